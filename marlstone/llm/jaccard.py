@@ -13,7 +13,7 @@ from .common import cut, documents, mix, signed, slices, words
 from .components import components
 
 #: Tokens of a fragment aimed at when candidates are sought; fragments in which overlaps are counted.
-FRAGMENT, PARTS = 1_500_000, 4
+FRAGMENT, PARTS = 2_000_000, 4
 #: A list of this many documents at most gives all its pairs; n-grams found so often in a batch of
 #: CHUNK come last in the order; so many of them are kept at most (the limit is doubled until they fit).
 SHORT, OFTEN, CHUNK, MOST_OFTEN = 8, 3, 2_000_000, 1_000_000
@@ -154,7 +154,7 @@ def _near(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _candidates(prefixes: DataFrame, percent: int) -> DataFrame:
-    """kind 0: pairs of sets that share an n-gram of short lists. kind 1: members of long lists."""
+    """kind 0: pairs of sets that share n-grams (gram: how many) of short lists. kind 1: members of long lists (gram)."""
     names = ["kind", "gram", "a", "b", "size", "rare", "a2", "b2", "size2"]
 
     def run(batches):
@@ -197,10 +197,10 @@ def _candidates(prefixes: DataFrame, percent: int) -> DataFrame:
         for step in range(1, SHORT):
             x, y = os_[:-step], os_[step:]
             ok = (gs[:-step] == gs[step:]) & _near(s[x, 2], s[y, 2], percent)
-            left.append(np.unique(np.minimum(x, y)[ok] * len(s) + np.maximum(x, y)[ok]))
-        pairs = np.unique(np.concatenate(left))
+            left.append(np.minimum(x, y)[ok] * len(s) + np.maximum(x, y)[ok])
+        pairs, times = np.unique(np.concatenate(left), return_counts=True)
         x, y = pairs // max(len(s), 1), pairs % max(len(s), 1)
-        arrays = [np.zeros(len(x), np.int32), None, s[x, 0], s[x, 1], s[x, 2], None, s[y, 0], s[y, 1], s[y, 2]]
+        arrays = [np.zeros(len(x), np.int32), times, s[x, 0], s[x, 1], s[x, 2], None, s[y, 0], s[y, 1], s[y, 2]]
         yield pa.RecordBatch.from_arrays([pa.nulls(len(x), pa.int64()) if v is None else pa.array(np.ascontiguousarray(v)) for v in arrays], names)
         k = n_of > SHORT
         arrays = [np.ones(k.sum(), np.int32), signed(g[k]), *(s[o[k], c] for c in range(4)), None, None, None]
@@ -236,15 +236,37 @@ def _overlaps(docs: DataFrame, sets: DataFrame, pairs: DataFrame, n: int, percen
             values = pa.array(signed(np.concatenate(out)) if out else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), pa.array(parts, pa.int32()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), values)], names)
 
-    parts = cut(rows.mapInArrow(run, "doc long, part int, size long, grams array<long>"))
-    left = parts.select(F.col("doc").alias("x"), "part", F.col("size").alias("x_size"), F.col("grams").alias("x_grams"))
-    right = parts.select(F.col("doc").alias("y"), "part", F.col("size").alias("y_size"), F.col("grams").alias("y_grams"))
-    counted = pairs.join(left, "x").join(right, ["y", "part"]).select("x", "y", "part", "x_size", "y_size", F.size(F.array_intersect("x_grams", "y_grams")).alias("inside"))
+    parts = rows.mapInArrow(run, "doc long, part int, size long, grams array<long>")
+    side = lambda v: parts.select(F.col("doc").alias(v), "part", F.col("size").alias(f"{v}_size"), F.col("grams").alias(f"{v}_grams"))
+    each = pairs.select("x", "y", F.explode(F.array(*map(F.lit, range(PARTS)))).alias("part"))
+    both = each.join(side("x"), ["x", "part"]).join(side("y"), ["y", "part"])
+    counted = both.select("x", "y", "part", "x_size", "y_size", F.size(F.array_intersect("x_grams", "y_grams")).alias("inside"))
     partial = counted.groupBy("x", "y", "part", "x_size", "y_size").agg(F.max("inside").alias("inside"))  # a repeated row counts once
     total = partial.groupBy("x", "y", "x_size", "y_size").agg(F.sum("inside").alias("inside"))
     return total.where(100 * F.col("inside") >= percent * (F.col("x_size") + F.col("y_size") - F.col("inside"))).select("x", "y")
 
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """The same with x < y, pairs of one set left out."""
+    swap = lambda v, w, name: F.when(F.col("x") < F.col("y"), F.col(v)).otherwise(F.col(w)).alias(name)
+    return pairs.where("x <> y").select(swap("x", "y", "x"), swap("y", "x", "y"), swap("x_size", "y_size", "x_size"), swap("y_size", "x_size", "y_size"), "inside")
+
+
+def _possible(pairs: DataFrame, listed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) whose overlap may still suffice.
+
+    Up to the nearer end of the two prefixes the shared n-grams are known: those of short lists by
+    count, those of long lists at most as many as either set has there. Behind
+    it at most the rest of a set is shared.
+    """
+    pairs = pairs.groupBy("x", "y", "x_size", "y_size").agg(F.sum("inside").alias("inside"))
+    pairs = pairs.join(listed.withColumnRenamed("listed", "lx"), "x", "left").join(listed.select(F.col("x").alias("y"), F.col("listed").alias("ly")), "y", "left")
+    rest = lambda c: F.ceil(F.col(c) * percent / 100) - 1
+    most = F.col("inside") + F.least(F.coalesce("lx", F.lit(0)), F.coalesce("ly", F.lit(0))) + F.greatest(rest("x_size"), rest("y_size"))
+    most = F.least(most, "x_size", "y_size")
+    return pairs.where(100 * most >= percent * (F.col("x_size") + F.col("y_size") - most)).select("x", "y")
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every document.
 
@@ -279,11 +301,13 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
 
     named = lambda a, b, x: sets.select(F.col("a").alias(a), F.col("b").alias(b), F.col("x").alias(x))
     lists = cut(seen.where("kind = 1").select("gram", "a", "b", "size", "rare").distinct().join(sets, ["a", "b"]).select("gram", "x", "size", "rare"))
-    pairs = seen.where("kind = 0").select("a", "b", "a2", "b2").distinct().join(named("a", "b", "x"), ["a", "b"]).join(named("a2", "b2", "y"), ["a2", "b2"]).select("x", "y")
+    shared = seen.where("kind = 0").groupBy("a", "b", "size", "a2", "b2", "size2").agg(F.sum("gram").alias("inside"))
+    pairs = shared.join(named("a", "b", "x"), ["a", "b"]).join(named("a2", "b2", "y"), ["a2", "b2"])
+    pairs = cut(_ordered(pairs.select("x", "y", F.col("size").alias("x_size"), F.col("size2").alias("y_size"), "inside")))
+    listed = cut(lists.groupBy("x").agg(F.count("*").alias("listed")))
     hub = lists.groupBy("gram").agg(F.min(F.struct("rare", F.col("x").alias("y"), F.col("size").alias("y_size"))).alias("hub")).select("gram", "hub.y", "hub.y_size")
-    fit = lambda p: 100 * F.least("size", "y_size") >= percent * F.greatest("size", "y_size")
-    order = lambda p: p.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).where("x <> y").distinct()
-    first = cut(order(pairs.unionByName(lists.join(hub, "gram").where(fit(0)).select("x", "y"))))
+    star = _ordered(lists.join(hub, "gram").select("x", "y", F.col("size").alias("x_size"), "y_size", F.lit(0).cast("long").alias("inside")))
+    first = cut(_possible(pairs.unionByName(star), listed, percent))
     links = cut(_overlaps(docs, sets, first, n, percent))
     joined = cut(components(links, "x", "y"))
 
@@ -294,8 +318,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     at = cut(at.join(main, "gram"))
     if not at.isEmpty():
         outer = at.where("component <> main").select("gram", F.col("x").alias("y"), F.col("size").alias("y_size"), F.col("component").alias("other"))
-        more = order(at.join(outer, "gram").where(F.col("component") != F.col("other")).where(fit(0)).select("x", "y"))
-        more = cut(more.join(first, ["x", "y"], "left_anti"))
+        met = at.join(outer, "gram").where(F.col("component") != F.col("other")).where(100 * F.least("size", "y_size") >= percent * F.greatest("size", "y_size"))
+        met = _ordered(met.select("x", "y", F.col("size").alias("x_size"), "y_size", F.lit(0).cast("long").alias("inside")).distinct()).join(first, ["x", "y"], "left_anti")
+        known = met.select("x", "y").distinct().join(pairs, ["x", "y"])
+        more = cut(_possible(met.unionByName(known), listed, percent))
         if not more.isEmpty():
             links = links.unionByName(_overlaps(docs, sets, more, n, percent))
             joined = cut(components(links, "x", "y"))
