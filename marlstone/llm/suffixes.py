@@ -21,85 +21,86 @@ ANCHOR, SHARD_BYTES, BIN_BYTES = 32, 2 << 20, 8 << 20
 # Suffix arrays ------------------------------------------------------------------------------------
 
 
-def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """Suffixes in the order of their first `depth` symbols or more, ties by place, by prefix doubling.
-
-    Also the ranks after each step, as (symbols compared, rank of each place).
+def _ranked(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, rank) of one key, or of two ranks taken together."""
+    key = keys[0] if len(keys) == 1 else keys[0] * np.uint64(int(keys[1].max(initial=0)) + 1) + keys[1]
+    order = np.argsort(key)
+    ordered = key[order]
+    rank = np.empty(len(key), np.uint64)
+    rank[order] = np.cumsum(np.concatenate([[False], ordered[1:] != ordered[:-1]])[: len(key)]).astype(np.uint64)
+    return order, rank
+
+
+def suffix_order(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffixes with at least `size` bytes in their text, in the order of these bytes, ties by place.
+
+    Returns (place, rank, starts): the places in that order, a rank that is equal
+    for equal `size` bytes, and where each text starts. Ranks of 8 bytes are doubled
+    until two overlapping ones make up `size`; a suffix takes part as long
+    as its text goes on, so no end marks are needed.
     """
-    n = len(text)
-    rank = text.astype(np.int64)
-    levels, k = [(1, rank)], 1
-    order = np.argsort(rank, kind="stable")
-    while k < depth:
-        second = np.full(n, -1, np.int64)
-        second[: n - k] = rank[k:]
-        key = rank * (n + 300) + second + 1
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate([[0], (ordered[1:] != ordered[:-1]).astype(np.int64)])) if n else 0
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    lengths = np.array([len(t) for t in texts])
+    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    left = np.repeat(starts + lengths, lengths) - np.arange(len(data))  # bytes from here to the end of the text
+    value, k = data.astype(np.uint64), 1
+    while k < 8 and 2 * k <= size:
+        value = (value[:-k] << np.uint64(8 * k)) | value[k:]
         k *= 2
-        levels.append((k, rank))
-    return order, levels
-
-
-def smaller_before(order: np.ndarray) -> np.ndarray:
-    """For each entry of the suffix order, the index of the nearest entry before it with a smaller place (-1: none)."""
-    n = len(order)
+    at = np.flatnonzero(left >= k)
+    rank = np.zeros(len(data), np.uint64)
+    order, rank[at] = _ranked(value[at])
+    while k < size:
+        step = min(k, size - k)
+        at = np.flatnonzero(left >= k + step)
+        order, new = _ranked(rank[at], rank[at + step])
+        rank[at], k = new, k + step
+    at, new = at[order], rank[at[order]]
+    tie = np.lexsort((at, new)) if len(at) and (new[1:] == new[:-1]).any() else slice(None)
+    return at[tie], new[tie], starts
+
+
+def smaller_before(place: np.ndarray) -> np.ndarray:
+    """For each entry of a suffix order, the nearest entry before it with a smaller place (-1: none)."""
+    n = len(place)
     found = np.arange(-1, n - 1)
-    open_ = np.flatnonzero((found >= 0) & (order[np.maximum(found, 0)] > order))
-    while len(open_):  # all at once, each jumps over what it already knows to be larger
+    open_ = np.flatnonzero((found >= 0) & (place[np.maximum(found, 0)] > place))
+    while len(open_):  # all at once: each jumps over what is known to be larger
         found[open_] = found[found[open_]]
         held = found[open_]
-        open_ = open_[(held >= 0) & (order[np.maximum(held, 0)] > order[open_])]
+        open_ = open_[(held >= 0) & (place[np.maximum(held, 0)] > place[open_])]
     return found
 
 
-def common_prefix(levels: list[tuple[int, np.ndarray]], x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """How many symbols the suffixes at x and y share, up to the last level's; y < 0 gives 0."""
-    n = len(levels[0][1])
-    total = np.zeros(len(x), np.int64)
-    for k, rank in reversed(levels):
-        a, b = x + total, y + total
-        ok = (y >= 0) & (a < n) & (b < n)
-        same = np.zeros(len(x), bool)
-        same[ok] = rank[a[ok]] == rank[b[ok]]
-        total[same] += k
-    return total
-
-
-def longest_previous(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(previous, next): at each place the longest match with an earlier place, and with a later one.
+def long_factors(place: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each entry of the suffix order whether its longest previous factor reaches the size, and its longest next factor.
 
     The longest match with an earlier place is with the nearest smaller place
-    before or after it in suffix order; with a later place, likewise with larger
-    ones. Lengths are exact up to `depth`.
+    before or after an entry; the rank tells whether it reaches the size. For
+    later places the order of places is turned round.
     """
-    n = len(text)
-    order, levels = suffix_array(text, depth)
+    n = len(place)
     out = []
-    for key in (order, n - 1 - order):
+    for key in (place, -place):
         before = smaller_before(key)
         after = n - 1 - smaller_before(key[::-1])[::-1]
-        best = np.zeros(n, np.int64)
+        hit = np.zeros(n, bool)
         for near in (before, np.where(after >= n, -1, after)):
-            place = np.where(near >= 0, order[np.maximum(near, 0)], -1)
-            np.maximum(best, common_prefix(levels, order, place), out=best)
-        length = np.empty(n, np.int64)
-        length[order] = best
-        out.append(length)
+            hit |= (near >= 0) & (rank[np.maximum(near, 0)] == rank)
+        out.append(hit)
     return out[0], out[1]
 
 
 def repeated_windows(texts: list[bytes], size: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each text, which of its windows of `size` bytes also start earlier (in this or an earlier text), and which anywhere else."""
-    symbols, starts, n = [], [], 0
-    for i, t in enumerate(texts):
-        starts.append(n)
-        symbols += [np.frombuffer(t, np.uint8).astype(np.int64), [256 + i]]  # an end of its own, so no match runs on
-        n += len(t) + 1
-    before, after = longest_previous(np.concatenate(symbols), size)
-    return [((b := before[s : s + len(t) - size + 1]) >= size, (b >= size) | (after[s : s + len(t) - size + 1] >= size)) for s, t in zip(starts, texts, strict=True)]
+    place, rank, starts = suffix_order(texts, size)
+    same = np.concatenate([[False], rank[1:] == rank[:-1], [False]])
+    shared = same[1:] | same[:-1]  # beside others a factor stays short
+    place, rank = place[shared[: len(place)]], rank[shared[: len(place)]]
+    later, sooner = long_factors(place, rank)
+    flags = np.zeros((2, sum(map(len, texts)) + 1), bool)
+    flags[0, place], flags[1, place] = later, later | sooner
+    return [(flags[0, s : s + len(t) - size + 1], flags[1, s : s + len(t) - size + 1]) for s, t in zip(starts.tolist(), texts, strict=True)]
 
 
 def runs_of(flags: np.ndarray) -> tuple[list[int], list[int]]:
