@@ -6,10 +6,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents, mix, signed, slices, words
+from .common import cut, documents, if_small, mix, signed, slices, words
 from .components import components
 
 #: Tokens of a fragment aimed at when candidates are sought; fragments in which overlaps are counted.
@@ -217,7 +217,8 @@ def _overlaps(docs: DataFrame, sets: DataFrame, pairs: DataFrame, n: int, percen
     """The pairs (x, y: documents standing for their sets) that link: overlaps are counted in each
     fragment of the n-gram order (PARTS ranges of the hash) and summed for each pair."""
     members = pairs.select(F.col("x").alias("_id")).union(pairs.select(F.col("y").alias("_id"))).distinct()
-    members = members.join(sets.select(F.col("x").alias("_id"), "a", "b"), "_id")
+    members = cut(members.join(sets.select(F.col("x").alias("_id"), "a", "b"), "_id"))
+    members = if_small(members, members.count(), 500_000)  # few: the texts aren't shuffled
     rows = _rows(docs).join(members, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "a", "b")
     names = ["doc", "part", "size", "grams"]
     cuts = np.array([(1 << 64) * k // PARTS for k in range(1, PARTS)], np.uint64)
@@ -261,10 +262,15 @@ def _possible(pairs: DataFrame, listed: DataFrame, percent: int) -> DataFrame:
     """
     pairs = pairs.groupBy("x", "y", "x_size", "y_size").agg(F.sum("inside").alias("inside"))
     pairs = pairs.join(listed.withColumnRenamed("listed", "lx"), "x", "left").join(listed.select(F.col("x").alias("y"), F.col("listed").alias("ly")), "y", "left")
+    known = F.col("inside") + F.least(F.coalesce("lx", F.lit(0)), F.coalesce("ly", F.lit(0)))
+    return pairs.where(_fits("x_size", "y_size", known, percent)).select("x", "y")
+
+
+def _fits(x: str, y: str, shared: Column, percent: int) -> Column:
+    """Whether two sets of sizes x and y that share so many n-grams up to the nearer end of their prefixes may link."""
     rest = lambda c: F.ceil(F.col(c) * percent / 100) - 1
-    most = F.col("inside") + F.least(F.coalesce("lx", F.lit(0)), F.coalesce("ly", F.lit(0))) + F.greatest(rest("x_size"), rest("y_size"))
-    most = F.least(most, "x_size", "y_size")
-    return pairs.where(100 * most >= percent * (F.col("x_size") + F.col("y_size") - most)).select("x", "y")
+    most = F.least(shared + F.greatest(rest(x), rest(y)), F.col(x), F.col(y))
+    return 100 * most >= percent * (F.col(x) + F.col(y) - most)
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -304,7 +310,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     shared = seen.where("kind = 0").groupBy("a", "b", "size", "a2", "b2", "size2").agg(F.sum("gram").alias("inside"))
     pairs = shared.join(named("a", "b", "x"), ["a", "b"]).join(named("a2", "b2", "y"), ["a2", "b2"])
     pairs = cut(_ordered(pairs.select("x", "y", F.col("size").alias("x_size"), F.col("size2").alias("y_size"), "inside")))
-    listed = cut(lists.groupBy("x").agg(F.count("*").alias("listed")))
+    # A set has no more of these n-grams than its prefix.
+    listed = cut(lists.groupBy("x").agg(F.count("*").alias("listed"), F.collect_set("gram").alias("grams")))
     hub = lists.groupBy("gram").agg(F.min(F.struct("rare", F.col("x").alias("y"), F.col("size").alias("y_size"))).alias("hub")).select("gram", "hub.y", "hub.y_size")
     star = _ordered(lists.join(hub, "gram").select("x", "y", F.col("size").alias("x_size"), "y_size", F.lit(0).cast("long").alias("inside")))
     first = cut(_possible(pairs.unionByName(star), listed, percent))
@@ -317,11 +324,14 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     main = sizes.groupBy("gram").agg(F.max(F.struct("k", "component"))["component"].alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
     at = cut(at.join(main, "gram"))
     if not at.isEmpty():
-        outer = at.where("component <> main").select("gram", F.col("x").alias("y"), F.col("size").alias("y_size"), F.col("component").alias("other"))
-        met = at.join(outer, "gram").where(F.col("component") != F.col("other")).where(100 * F.least("size", "y_size") >= percent * F.greatest("size", "y_size"))
-        met = _ordered(met.select("x", "y", F.col("size").alias("x_size"), "y_size", F.lit(0).cast("long").alias("inside")).distinct()).join(first, ["x", "y"], "left_anti")
-        known = met.select("x", "y").distinct().join(pairs, ["x", "y"])
-        more = cut(_possible(met.unionByName(known), listed, percent))
+        # Pairs that share n-grams of short lists too were weighed above. The others share those of
+        # their lists only, so the bound is known here; a pair is met at the least of them.
+        at = at.join(listed.select("x", "grams"), "x")
+        outer = at.where("component <> main").select(F.col("gram").alias("met"), F.col("x").alias("y"), F.col("size").alias("y_size"), F.col("component").alias("other"), F.col("grams").alias("y_grams"))
+        both = F.array_intersect("grams", "y_grams")
+        met = at.join(outer, (F.col("gram") == F.col("met")) & (F.col("component") != F.col("other")) & _fits("size", "y_size", F.size(both), percent) & (F.array_min(both) == F.col("gram")))
+        more = met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+        more = cut(more.join(first, ["x", "y"], "left_anti"))
         if not more.isEmpty():
             links = links.unionByName(_overlaps(docs, sets, more, n, percent))
             joined = cut(components(links, "x", "y"))
