@@ -1 +1 @@
-"""See the modules."""
+"""Relational, search, state and graph operators."""

@@ -1 +1 @@
-"""See the modules."""
+"""Readers of documents and blocks."""

@@ -1 +1 @@
-"""See the modules."""
+"""Event-time windows."""
