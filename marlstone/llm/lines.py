@@ -103,7 +103,7 @@ class LineIndex:
         touched = self.filters.join(changed, "shard", "left_semi")
         moved = cut(touched.groupBy("shard").cogroup(change.groupBy("shard")).applyInPandas(apply, "shard int, filter binary"))
         full = moved.where("filter IS NULL").select("shard")
-        anew = _filters(now.withColumn("shard", _shard(self.shards)).join(full, "shard", "left_semi").drop("shard"), self.shards)
+        anew = _filters(now.withColumn("shard", _shard(self.shards)).join(full, "shard", "left_semi").drop("shard"), self.shards).join(full, "shard", "left_semi")
         filters = self.filters.join(changed, "shard", "left_anti").unionByName(moved.where("filter IS NOT NULL")).unionByName(anew)
         return LineIndex(refs, cut(filters), self.shards)
 
