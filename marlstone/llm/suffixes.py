@@ -163,8 +163,12 @@ def _named(raw: bytes) -> tuple[int, int]:
     return a - (a >> 63 << 64), b - (b >> 63 << 64)
 
 
+#: Stands for a null id inside; the smallest of all.
+NO_ID = -(1 << 63)
+
+
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -267,8 +271,8 @@ def dedup_spans(docs: DataFrame, size: int = 400, keep: str = "first", bin_bytes
 
     Texts are judged as UTF-8; a null text is empty and loses nothing; rows that
     repeat an id or text are copies of each other (with keep="first" rows of the
-    smallest id keep the text); a row without an id counts as an occurrence
-    only beside a row with the same text. Only doc_id and text are read; no rows give no rows.
+    smallest id keep the text); a null id counts as the smallest.
+    Only doc_id and text are read; no rows give no rows.
     """
     none = keep == "none"
     texts = cut(_texts(docs))
@@ -277,9 +281,7 @@ def dedup_spans(docs: DataFrame, size: int = 400, keep: str = "first", bin_bytes
     bins = runs.groupBy("anchor").agg(F.count("*").alias("n"), F.min("content").alias("c1"), F.max("content").alias("c2"), F.max(F.col("place").bitwiseAND(F.lit(1))).alias("again")).where("n > 1 OR again = 1")
     alone = (F.col("c1") == F.col("c2")) & (F.col("again") == 0)
     found = runs.join(bins.select("anchor", alone.alias("equal")), "anchor").select("a", "b", "place", "anchor", "content", "equal").distinct()
-    # Texts whose every row lacks an id can't be looked up again and stay as they are.
-    known = by_text.where("rep IS NOT NULL").select("a", "b", "rep")
-    found = cut(found.join(known, ["a", "b"]))
+    found = cut(found.join(by_text.select("a", "b", "rep"), ["a", "b"]))
 
     first = F.min(F.struct(F.col("rep"), F.col("place"), F.col("a"), F.col("b"))).alias("first")
     heads = found.groupBy("anchor", "content", "equal").agg(first)
@@ -344,13 +346,15 @@ def dedup_spans(docs: DataFrame, size: int = 400, keep: str = "first", bin_bytes
     if not none:
         goes = goes & ~F.col("doc_id").eqNullSafe(F.col("rep"))
     void = F.lit(hashlib.sha256(b"").hexdigest()) if digest else F.lit(b"")
+    own = F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id")
+    removed = F.when(goes, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed")
+    n_spans = F.when(goes, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans")
     if digest:
-        kept = F.when(goes, void).otherwise(F.coalesce(last, "sha"))
-        return joined.select("doc_id", "n_bytes", F.when(goes, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"), F.when(goes, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"), kept.alias(last))
-    result = joined.select(F.col("doc_id").alias("_doc"), F.col("a"), F.col("b"), "n_bytes", F.when(goes, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"), F.when(goes, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"), F.when(goes, void).otherwise(F.col(last)).alias("_kept")).distinct()
-    named = _rows(docs).withColumn("n_", F.octet_length(F.coalesce("text", F.lit(""))).cast("long"))
-    back = named.join(result, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("n_") == F.col("n_bytes")))
-    return back.select("doc_id", "n_bytes", "n_removed", "n_spans", F.coalesce("_kept", F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias(last))
+        return joined.select(own, "n_bytes", removed, n_spans, F.when(goes, void).otherwise(F.coalesce(last, "sha")).alias(last))
+    result = joined.select(F.col("doc_id").alias("_doc"), F.col("sha").alias("_sha"), "n_bytes", removed, n_spans, F.when(goes, void).otherwise(F.col(last)).alias("_kept")).distinct()
+    named = _rows(docs).withColumn("_text", F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+    back = named.join(result, (F.col("doc_id") == F.col("_doc")) & (F.sha2("_text", 256) == F.col("_sha")))
+    return back.select(own, "n_bytes", "n_removed", "n_spans", F.coalesce("_kept", "_text").alias(last))
 
 
 def _over(*keys: str):
