@@ -33,9 +33,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go from the texts; n_chars follows. A document without any line left goes."""
-    cleaned = dedup_lines(docs, carry=[c for c in docs.columns if c not in ("doc_id", "text")])
-    kept = cleaned.where((F.col("n_dropped") == 0) | (F.col("text") != ""))
+    """Repeated lines go from the texts; n_chars follows. Every document stays, if with an empty text."""
+    kept = dedup_lines(docs, carry=[c for c in docs.columns if c not in ("doc_id", "text")])
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return kept.select(*docs.columns)
