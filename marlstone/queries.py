@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as tx
-from .operators import graph, search, state
+from .operators import extract, graph, ingest, search, state
 from .plans import guard
 from .sources import blocks
 from .streaming import windows
@@ -610,3 +610,29 @@ def events_tumbling(t):
 @query("WITH a AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events), b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM a) SELECT user_id, min(ts) AS start, count(*)::BIGINT AS n FROM b GROUP BY user_id, s")
 def events_session(t):
     return windows.sessions(t.events).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+# Ingest and extraction ----------------------------------------------------------------------------
+
+
+@query()
+def embed_chunks(t):
+    """Chunks with their hash vectors (no SQL: a chain of digests)."""
+    return ingest.embed(search.chunk_documents(t.documents)).select("doc_id", "seq", F.size("embedding").cast("long").alias("dim"), F.md5(F.array_join(F.transform("embedding", lambda x: F.round(x, 5).cast("string")), ",").cast("binary")).alias("digest"))
+
+
+@query("WITH f AS (SELECT text, min(doc_id) AS doc_id FROM documents GROUP BY text), n AS (SELECT * FROM f WHERE doc_id % 2 = 1 OR text NOT IN (SELECT text FROM documents WHERE doc_id % 2 = 0)) SELECT doc_id, (greatest(length(text) - 151, 0) // 1050 + 1)::BIGINT AS n_chunks FROM n WHERE text NOT IN (SELECT text FROM documents WHERE doc_id % 2 = 0) AND length(text) > 0")
+def ingest_new_documents(t):
+    """All documents arrive while the even ones are held; confident blocks aren't corrected."""
+    rows = t.documents.select("doc_id", F.lit(0).alias("seq"), F.lit("paragraph").alias("type"), "text", F.lit(1).alias("page"), F.lit(1.0).alias("confidence"))
+    held = t.documents.where("doc_id % 2 = 0").select(F.sha2("text", 256).alias("sha256"))
+    return ingest.load(rows, held).groupBy("doc_id").agg(n().alias("n_chunks"))
+
+
+@query("SELECT k, n_segments FROM (SELECT c_custkey AS k, count(o_orderkey)::BIGINT AS n_segments FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1)")
+def exam_report_segments(t):
+    """Reports written from each customer's orders and parsed again."""
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    part = F.concat(day, F.lit(" "), day, F.lit("\nEXAM: "), "o_orderpriority", F.lit("\nFINDING\n\n"), "o_orderstatus")
+    docs = t.orders.select("o_custkey", "o_orderkey", part.alias("part")).groupBy(F.col("o_custkey").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "part"))), lambda x: x["part"]), "\n").alias("text"))
+    return extract.exam_reports(docs).groupBy(F.col("doc_id").alias("k")).agg(n().alias("n_segments"))
