@@ -114,9 +114,9 @@ def clean_text(rows: DataFrame) -> DataFrame:
 
 
 def first_values(blocks: DataFrame, *keys: str, normalised: bool) -> DataFrame:
-    """Each key's first value that isn't blank, by seq; a partial aggregate, so a scan's blocks needn't meet."""
+    """Each key's first value that isn't blank, by seq (of equal ones the smallest value); a partial aggregate, so a scan's blocks needn't meet."""
     value = lambda k: F.coalesce(filled(F.col("norm")[k]), filled(F.col("fields")[k])) if normalised and k != "kcd" else filled(F.col("fields")[k])
-    firsts = [F.min_by(value(k), F.when(value(k).isNotNull(), F.col("seq"))).alias(k) for k in keys]
+    firsts = [F.min(F.when(value(k).isNotNull(), F.struct(F.col("seq").alias("seq"), value(k).alias("v"))))["v"].alias(k) for k in keys]
     certified = F.bool_or(F.coalesce(F.contains("title", F.lit("장애진단서")), F.lit(False))).alias("certified")
     return blocks.groupBy("scan_id").agg(*firsts, certified, F.count("*").alias("n_blocks"))
 

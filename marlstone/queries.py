@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as tx
-from .operators import extract, graph, ingest, search, state
+from .operators import extract, graph, ingest, scans, search, state
 from .plans import guard
-from .sources import blocks
+from .sources import blocks, texts
 from .streaming import windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -636,3 +636,49 @@ def exam_report_segments(t):
     part = F.concat(day, F.lit(" "), day, F.lit("\nEXAM: "), "o_orderpriority", F.lit("\nFINDING\n\n"), "o_orderstatus")
     docs = t.orders.select("o_custkey", "o_orderkey", part.alias("part")).groupBy(F.col("o_custkey").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "part"))), lambda x: x["part"]), "\n").alias("text"))
     return extract.exam_reports(docs).groupBy(F.col("doc_id").alias("k")).agg(n().alias("n_segments"))
+
+
+# Text sources and records -------------------------------------------------------------------------
+
+_PARAGRAPHS = r"SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\n[ \t\r\n\f]*\n'), lambda p: trim(regexp_replace(p, '[ \t\r\n\f]+', ' ', 'g'))), lambda p: length(p) >= 20) AS ps FROM documents"
+
+
+@query(f"SELECT doc_id, (i // 8 + 1)::BIGINT AS page, count(*)::BIGINT AS n_blocks, sum(length(p))::BIGINT AS n_chars FROM (SELECT doc_id, unnest(ps) AS p, unnest(range(0, len(ps))) AS i FROM ({_PARAGRAPHS})) GROUP BY ALL")
+def manual_pages(t):
+    rows = texts.manual_blocks(t.documents)
+    return rows.groupBy("doc_id", F.col("page").cast("long").alias("page")).agg(n().alias("n_blocks"), F.sum(F.length("text")).cast("long").alias("n_chars"))
+
+
+@query("SELECT doc_id, i::BIGINT AS seq, sha256(substr(text, (i * 1200 - 1199)::INT, 1200)) AS slice FROM (SELECT doc_id, text, unnest(range(1, least(20, ceil(length(text) / 1200))::BIGINT + 1)) AS i FROM documents) WHERE regexp_matches(substr(text, (i * 1200 - 1199)::INT, 1200), '[^ \t\r\n\f]')")
+def precedent_slices(t):
+    none = F.lit(None).cast("string")
+    items = t.documents.select("doc_id", F.col("source").alias("case_no"), none.alias("court"), none.alias("date"), none.alias("title"), none.alias("gist"), F.col("text").alias("body"))
+    return texts.precedent_blocks(items).where("seq > 0").select("doc_id", F.col("seq").cast("long").alias("seq"), F.sha2("text", 256).alias("slice"))
+
+
+def _scans(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Orders stand in for scans, their lines for blocks; every third line has no disease."""
+    docs = t.orders.select(F.col("o_orderkey").alias("scan_id"), F.lit(None).cast("string").alias("reg_no"), F.lit("p").alias("person"), F.lit("h").alias("hospital"), F.lit("k").alias("kind"), F.lit("").alias("text"))
+    day, disease = F.date_format("l_shipdate", "yyyy-MM-dd"), F.when(F.col("l_linenumber") % 3 > 0, F.col("l_returnflag"))
+    none = F.lit(None).cast("string")
+    fields = F.struct(day.alias("date"), disease.alias("disease"), F.col("l_linestatus").alias("grade"), none.alias("exam_kind"), none.alias("exam_dept"), none.alias("opinion"), none.alias("kcd")).cast(scans.FIELDS)
+    rows = t.lineitem.select(F.col("l_orderkey").alias("scan_id"), F.col("l_linenumber").cast("int").alias("seq"), F.lit("t").alias("title"), F.col("l_linenumber").cast("int").alias("line"), F.lit("").alias("excerpt"), fields.alias("fields"), F.lit(None).cast(scans.NORM).alias("norm"))
+    return docs, rows
+
+
+_FIRST = "SELECT l_orderkey, (min((l_linenumber, l_returnflag)) FILTER (WHERE l_linenumber % 3 > 0))[2] AS disease, min((l_linenumber, l_linestatus))[2] AS grade, min((l_linenumber, l_shipdate))[2] AS d FROM lineitem GROUP BY 1"
+
+
+@query(f"SELECT 'RD' || o_orderkey AS recv_no, coalesce(disease, '질병명 미상') AS name, strftime(d, '%Y.%m') AS onset, grade FROM orders JOIN ({_FIRST}) ON l_orderkey = o_orderkey WHERE o_orderkey % 2 = 1")
+def scan_cases(t):
+    """The even scans have an application already."""
+    docs, rows = _scans(t)
+    held = docs.where("scan_id % 2 = 0").select(F.concat(F.lit("RD"), F.col("scan_id").cast("string")).alias("recv_no"), F.col("scan_id").alias("app_id"))
+    return scans.cases(docs, rows, held)["disabilities"].select("recv_no", "name", "onset", "grade")
+
+
+@query(f"SELECT o_orderkey AS scan_id, coalesce(disease, '질병명 미상') AS injury, grade AS exam_grade, '재확인' AS exam_kind FROM orders JOIN ({_FIRST}) ON l_orderkey = o_orderkey")
+def scan_agendas(t):
+    docs, rows = _scans(t)
+    held = t.spark.createDataFrame([], "agenda_no string, agenda_id long")
+    return scans.agendas(docs, rows, held).select("scan_id", "injury", "exam_grade", "exam_kind")
