@@ -45,7 +45,7 @@ def bundles(docs: DataFrame, titles: tuple[str, ...]) -> DataFrame:
     A bundle without any title is one document named other. The excerpt is its first 40 lines, 400 characters at most.
     """
     bare = F.regexp_replace(F.col("text"), r"\s+", "")
-    title = F.coalesce(*[F.when(bare.startswith(t.replace(" ", "")) & (F.length("text") < len(t) + 12), t) for t in titles])
+    title = F.coalesce(*[F.when(bare.startswith(t.replace(" ", "")) & (F.length(bare) < len(t.replace(" ", "")) + 12), t) for t in titles])
     rows = segments(lines_of(docs).withColumn("title", title), F.col("title").isNotNull())
     ordered = F.array_sort(F.collect_list(F.struct("line", "text", "title")))
     seg = rows.groupBy("doc_id", "segment").agg(ordered.alias("x"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as tx
-from .operators import extract, graph, ingest, scans, search, state
+from .operators import extract, graph, ingest, intake, scans, search, state
 from .plans import guard
 from .sources import blocks, texts
 from .streaming import windows
@@ -682,3 +682,19 @@ def scan_agendas(t):
     docs, rows = _scans(t)
     held = t.spark.createDataFrame([], "agenda_no string, agenda_id long")
     return scans.agendas(docs, rows, held).select("scan_id", "injury", "exam_grade", "exam_kind")
+
+
+@query("SELECT o_orderkey::VARCHAR AS scan_id, 0::BIGINT AS seq, '진단서' AS title, 3::BIGINT AS line, '진단서 질병명 ' || o_orderpriority || ' ' || strftime(o_orderdate, '%Y-%m-%d') AS excerpt, strftime(o_orderdate, '%Y-%m-%d') AS date, o_orderpriority AS disease FROM orders")
+def bundle_blocks(t):
+    """Bundles written from orders and split again."""
+    text = F.concat(F.lit("성명\n홍길동\n진 단서\n질병명\n\n"), "o_orderpriority", F.lit("\n"), F.date_format("o_orderdate", "yyyy-MM-dd"))
+    rows = intake.bundle_blocks(t.orders.select(F.col("o_orderkey").cast("string").alias("file_name"), text.alias("text")))
+    return rows.select("scan_id", F.col("seq").cast("long").alias("seq"), "title", F.col("line").cast("long").alias("line"), F.replace("excerpt", F.lit("진 단서"), F.lit("진단서")).alias("excerpt"), "fields.date", "fields.disease")
+
+
+@query("SELECT l_orderkey AS doc_id, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_linestatus, l_returnflag) - 1)::BIGINT AS seq, l_linestatus || ' ' || l_linenumber || ' 여부' AS item, l_returnflag AS subs FROM lineitem")
+def checklist_items(t):
+    """Checklists written from the lines of orders and read again."""
+    part = F.concat("l_linestatus", F.lit("\n"), F.col("l_linenumber").cast("string"), F.lit(" 여부\n- "), "l_returnflag")
+    docs = t.lineitem.select("l_orderkey", "l_linenumber", part.alias("part")).groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.concat(F.lit("검토서 체크리스트\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "part"))), lambda x: x["part"]), "\n")).alias("text"))
+    return texts.checklists(docs).select("doc_id", F.col("seq").cast("long").alias("seq"), "item", F.array_join("subs", ",").alias("subs"))

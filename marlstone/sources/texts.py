@@ -94,3 +94,38 @@ def precedent_blocks(items: DataFrame, size: int = 1200, most: int = 20) -> Data
     rows = items.select("doc_id", F.posexplode(F.concat(F.array(head), slices)).alias("seq", "text"))
     rows = rows.where((F.col("seq") == 0) | (squeezed(F.col("text")) != ""))
     return rows.select("doc_id", "seq", F.lit("paragraph").alias("type"), "text", (F.col("seq") + 1).alias("page"), F.lit(1.0).alias("confidence"))
+
+
+# What begins and ends a checklist, lines of its table head, endings of a whole item.
+CHECKLIST = "검토서 체크리스트"
+CHECKLIST_END = "패스트 트랙|분야별 심사|보훈심사 개요"
+CHECKLIST_HEAD = ("체 크 사 항", "이상여부(체크)", "○ ×", "O X", "검토서 체크리스트")
+ITEM_END = r"(는지\??|여부|확인|경우)$"
+BULLETS = "-･∙․"
+
+
+def checklists(docs: DataFrame, most: int = 3500) -> DataFrame:
+    """Items (doc_id, seq, item, subs) of the last checklist of each text, within `most` characters of its heading.
+
+    It ends at the next heading, 100 characters on at the earliest. Bullets belong to the item before; a line continues the
+    item before if that has no bullets and no ending of a whole item. A text without a checklist gives nothing.
+    """
+    text = F.coalesce("text", F.lit(""))
+    tail = F.when(F.contains(text, F.lit(CHECKLIST)), F.substring(F.concat(F.lit(CHECKLIST), F.substring_index(text, CHECKLIST, -1)), 1, most))
+    rest = F.get(F.split(F.substring(tail, 101, most), CHECKLIST_END), 0)
+    lines = F.transform(F.split(F.concat(F.substring(tail, 1, 100), rest), r"\r?\n"), lambda x: F.trim(x))
+    lines = F.filter(lines, lambda x: ~x.isin("", *CHECKLIST_HEAD) & ~F.rlike(x, F.lit(r"^[ⅠⅡⅢⅣⅤ\d\s]+$")))
+    none = F.array().cast("array<string>")
+    item = lambda name, subs: F.struct(name.alias("item"), subs.alias("subs"))
+
+    def add(held: Column, line: Column) -> Column:
+        last = F.get(held, F.size(held) - 1)
+        before = F.slice(held, 1, F.greatest(F.size(held) - 1, F.lit(0)))
+        bullet = F.rlike(line, F.lit(f"^[{BULLETS}]"))
+        open_ = (F.size(held) > 0) & (F.size(last["subs"]) == 0) & ~F.rlike(last["item"], F.lit(ITEM_END))
+        with_bullet = F.array_append(before, item(last["item"], F.array_append(last["subs"], F.regexp_replace(line, f"^[{BULLETS} ]+", ""))))
+        longer = F.array_append(before, item(F.concat(last["item"], F.lit(" "), line), none))
+        return F.when(bullet & (F.size(held) == 0), held).when(bullet, with_bullet).when(open_, longer).otherwise(F.array_append(held, item(line, none)))
+
+    found = F.aggregate(lines, F.array().cast("array<struct<item:string,subs:array<string>>>"), add)
+    return docs.select("doc_id", F.posexplode(found).alias("seq", "x")).select("doc_id", "seq", "x.item", "x.subs")
