@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents, mix, slices, words
+from .common import cut, documents, mix, release, slices, words
 
 #: Tokens of a chunk and keys of a fragment aimed at.
 CHUNK, FRAGMENT = 2_000_000, 2_500_000
@@ -251,8 +251,10 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     n, n_docs, n_chunks = int(size[0]), int(size[1]), int(size[3])
     fragments = max(1, -(-n_chunks * CHUNK // FRAGMENT))
     totals = cut(_totals(_requests(chunks, fragments)))
+    release(docs.sparkSession)
     v = int(totals.where("kind = 0").agg(F.sum("seen")).first()[0] or 0)
     cells = _histogram(_joined(chunks, totals), n, n_docs).toPandas()
+    release(docs.sparkSession)
     model = Model(n, v, n_docs, mixture(cells["cell"].to_numpy(np.int64), cells["n"].to_numpy(float), v) if n else np.tile([0.0, 0.0, 1.0], (BUCKETS, 1)))
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
