@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents, if_small, mix, signed, slices, words
+from .common import cut, documents, if_small, mix, release, signed, slices, words
 from .components import components
 
 #: Tokens of a fragment aimed at when candidates are sought; fragments in which overlaps are counted.
@@ -304,18 +304,22 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     fragments = max(1, -(-int(total) // FRAGMENT))
     sets = cut(of.where("size > 0 AND doc_id IS NOT NULL").groupBy("a", "b").agg(F.min("doc_id").alias("x")))
     seen = cut(_candidates(_prefixes(docs, n, percent, frequent, fragments), percent))
+    release(docs.sparkSession)
 
     named = lambda a, b, x: sets.select(F.col("a").alias(a), F.col("b").alias(b), F.col("x").alias(x))
     lists = cut(seen.where("kind = 1").select("gram", "a", "b", "size", "rare").distinct().join(sets, ["a", "b"]).select("gram", "x", "size", "rare"))
     shared = seen.where("kind = 0").groupBy("a", "b", "size", "a2", "b2", "size2").agg(F.sum("gram").alias("inside"))
     pairs = shared.join(named("a", "b", "x"), ["a", "b"]).join(named("a2", "b2", "y"), ["a2", "b2"])
     pairs = cut(_ordered(pairs.select("x", "y", F.col("size").alias("x_size"), F.col("size2").alias("y_size"), "inside")))
+    release(docs.sparkSession)
     # A set has no more of these n-grams than its prefix.
     listed = cut(lists.groupBy("x").agg(F.count("*").alias("listed"), F.collect_set("gram").alias("grams")))
     hub = lists.groupBy("gram").agg(F.min(F.struct("rare", F.col("x").alias("y"), F.col("size").alias("y_size"))).alias("hub")).select("gram", "hub.y", "hub.y_size")
     star = _ordered(lists.join(hub, "gram").select("x", "y", F.col("size").alias("x_size"), "y_size", F.lit(0).cast("long").alias("inside")))
     first = cut(_possible(pairs.unionByName(star), listed, percent))
+    release(docs.sparkSession)
     links = cut(_overlaps(docs, sets, first, n, percent))
+    release(docs.sparkSession)
     joined = cut(components(links, "x", "y"))
 
     # The rest of the long lists: pairs of different components.
