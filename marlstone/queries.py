@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as tx
-from .operators import extract, graph, ingest, intake, scans, search, state
+from .operators import dossiers, extract, generate, graph, ingest, intake, scans, search, state
 from .plans import guard
 from .sources import blocks, texts
 from .streaming import windows
@@ -698,3 +698,19 @@ def checklist_items(t):
     part = F.concat("l_linestatus", F.lit("\n"), F.col("l_linenumber").cast("string"), F.lit(" 여부\n- "), "l_returnflag")
     docs = t.lineitem.select("l_orderkey", "l_linenumber", part.alias("part")).groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.concat(F.lit("검토서 체크리스트\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "part"))), lambda x: x["part"]), "\n")).alias("text"))
     return texts.checklists(docs).select("doc_id", F.col("seq").cast("long").alias("seq"), "item", F.array_join("subs", ",").alias("subs"))
+
+
+@query("SELECT (o_orderkey + 111 * j)::VARCHAR AS recv_no, CASE WHEN j = 0 THEN o_orderdate::DATE ELSE make_date(year(o_orderdate), least(month(o_orderdate) + j, 12), greatest(least(day(o_orderdate) - 3 * j, 28), 1)) END AS meeting_date, (CASE WHEN j = 1 THEN '우측 ' ELSE '좌측 ' END) || o_orderpriority AS disease_name, o_orderstatus AS body_part, 'g' AS grade FROM orders, range(0, 3) AS r(j)")
+def grade_variants(t):
+    pool = t.orders.select(F.col("o_orderkey").cast("string").alias("recv_no"), F.col("o_orderdate").alias("meeting_date"), F.concat(F.lit("좌측 "), "o_orderpriority").alias("disease_name"), F.col("o_orderstatus").alias("body_part"), F.lit("g").alias("grade"))
+    return generate.grade_variants(pool)
+
+
+@query("SELECT o_orderkey, '심의유형: ' || o_orderpriority || ' / 심의내용: ' || o_orderstatus || ' / 판단대상: (단일)' || chr(10) || '상이처(KCD): 없음' || chr(10) || '적용 조문(주문):' || chr(10) || string_agg('  - ' || l_linenumber || ' -> ' || l_returnflag || ' (표준문안 ' || l_linestatus || ')', chr(10) ORDER BY l_linenumber, l_returnflag, l_linestatus) || chr(10) || '조문 원문 근거:' || chr(10) || '담당 분과: 없음 (없음)' || chr(10) || '동일 상이처 과거 판정:' AS text FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderpriority, o_orderstatus")
+def fact_sheets(t):
+    """Orders stand in for cases, their lines for the clauses that apply."""
+    row = F.struct("l_linenumber", F.col("l_returnflag").alias("result"), F.col("l_linestatus").alias("standard"))
+    rows = t.lineitem.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(row)), lambda x: F.struct(x["l_linenumber"].cast("string").alias("clause"), x["result"].alias("result"), x["standard"].alias("standard"))).alias("orders"))
+    none = {"target": "string", "codes": "array<struct<code:string,disease:string>>", "passages": "array<struct<clause:string,content:string,source:string,page:int>>", "team": "string", "specialty": "string", "criteria": "array<struct<content:string,source:string>>", "similar": "array<struct<case_id:string,decision:string,shared:int>>"}
+    cases = t.orders.join(rows, F.col("l_orderkey") == F.col("o_orderkey")).select("o_orderkey", F.col("o_orderpriority").alias("review_type"), F.col("o_orderstatus").alias("review_content"), "orders", *[F.lit(None).cast(k).alias(c) for c, k in none.items()])
+    return cases.select("o_orderkey", dossiers.fact_sheet().alias("text"))
