@@ -55,33 +55,29 @@ def _lines(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "th", "host", F.xxhash64("x").alias("line"), F.regexp_count("x", F.lit(NOT_SPACE)).cast("long").alias("words"))
 
 
-def boilerplate(docs: DataFrame, least: int = 50, share: float = 0.05) -> DataFrame:
-    """Lines (host, line) in more than max(least, share of the host's texts) different texts of a host.
+def boilerplate(docs: DataFrame, least: int = 10) -> DataFrame:
+    """Lines (host, line) in `least` or more different documents of a host, however many documents the host has.
 
-    Copies of a whole text count once: they say nothing of their lines.
+    Rows that repeat an id are one document; rows without an id are told apart by their text.
     """
-    lines = _lines(docs).select("host", "th", "line").distinct()
-    counts = lines.groupBy("host", "line").agg(F.count("*").alias("n_docs"))
-    hosts = docs.select(F.col("source").alias("_host"), F.xxhash64("text").alias("th")).distinct().groupBy("_host").agg(F.count("*").alias("n_host"))
-    # A line at the lower limit needs no host; few pass it, and hosts meet those only.
-    often = counts.where(F.col("n_docs") > least)
-    both = often.join(hosts, often["host"].eqNullSafe(hosts["_host"]))
-    return both.where(F.col("n_docs") > F.col("n_host") * share).select("host", "line", "n_docs")
+    unnamed = F.when(F.col("doc_id").isNull(), F.col("th")).alias("unnamed")
+    lines = _lines(docs).select("host", "doc_id", unnamed, "line").distinct()
+    return lines.groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= least)
 
 
-def quality_rules(docs: DataFrame, least: int = 50, share: float = 0.05, remains: float = 0.1) -> DataFrame:
+def quality_rules(docs: DataFrame, least: int = 10, remains: float = 0.5) -> DataFrame:
     """Base figures, the words left without boilerplate lines (n_left), and kept, for every document.
 
-    The host is the source. A line found in more than max(least, share of the
-    host's texts) different texts of its host is removed; a document that
-    passed the base rules is rejected if less than `remains` of its words is left.
+    The host is the source. A line found in `least` or more different
+    documents of its host is removed; a document that passed the base rules
+    is rejected if less than `remains` of its words is left.
 
     A null text has no words and fails; a null host is one of its own; rows
     that repeat an id are judged by their own text. Only doc_id, text and
     source are read. An empty table gives no rows.
     """
     figures = text_rules(docs.withColumn("_th", F.xxhash64("text")), "_th", "source")
-    limits = boilerplate(docs, least, share)
+    limits = boilerplate(docs, least)
     lines, limits = _lines(docs), limits.withColumnRenamed("line", "_line").withColumnRenamed("host", "_host")
     found = lines.join(limits, (lines["line"] == limits["_line"]) & lines["host"].eqNullSafe(limits["_host"]), "left_semi")
     # Equal rows (an id repeated with its text) each bring their lines: the sum is shared among them.

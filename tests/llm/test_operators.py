@@ -108,6 +108,37 @@ def test_rules_reject_depleted(spark):
     assert {r.n_left for r in found if r.doc_id < 99} == {1}
 
 
+def test_rules_reject_depleted_in_hosts_of_any_size(spark):
+    """Depleted documents (a shared line is most of the text, some of them copies) among clean ones, with the default limits."""
+    r = random.Random(6)
+    line = "This shared line of the host stands above the text of every depleted page here."
+    own = lambda i, n: " ".join(f"w{i}-{r.randrange(10**9)}" for _ in range(n))
+    data, depleted = [], set()
+    for host, clean, bad in (("small", 4, 12), ("large", 900, 12), ("hot", 6000, 20), (None, 30, 10)):
+        for k in range(clean + bad):
+            i = len(data)
+            if k < bad:
+                depleted.add(i)
+                data.append((i, f"{line}\n{line.upper()}  \n" + (own(i, 9) if k % 3 else "the same rest"), host))
+            else:  # one clean document in two has the line too
+                data.append((i, (f"{line}\n" if k % 2 else "") + own(i, 40), host))
+    found = {x.doc_id: x for x in rules.quality_rules(spark.createDataFrame(data, SCHEMA[: SCHEMA.index(", size")]).repartition(4)).collect()}
+    assert len(found) == len(data) and {d for d, x in found.items() if not x.kept} == depleted
+    assert all(x.n_left == x.n_words - sum(len(y.split()) for y in t.split("\n") if y.strip().lower() == line.lower()) for (d, t, _), x in zip(data, (found[d] for d, _, _ in data), strict=True))
+
+
+def test_rules_limit_is_the_same_in_every_host(spark):
+    """A line in nine documents stays and one in ten goes, whether the host has ten documents or a thousand; rows of one id count once."""
+    one = lambda host, i: f"{host} heading line\n" + " ".join(f"w{i}-{k}" for k in range(30))
+    data = []
+    for host, have, more in (("nine", 9, 0), ("ten", 10, 0), ("nine of many", 9, 1000), ("ten of many", 10, 1000)):
+        data += [(len(data) + k, one(host, len(data) + k), host) for k in range(have)]
+        data += [(len(data) + k, " ".join(f"w{len(data)}-{k}-{j}" for j in range(30)), host) for k in range(more)]
+    data += [(-1, one("repeated", k), "repeated") for k in range(20)] + [(None, one("unnamed", k), "unnamed") for k in range(10)]
+    found = rules.boilerplate(spark.createDataFrame(data, SCHEMA[: SCHEMA.index(", size")])).collect()
+    assert sorted((x.host, x.n_docs) for x in found) == [("ten", 10), ("ten of many", 10), ("unnamed", 10)]
+
+
 def test_lines(docs):
     assert got(lines.dedup_lines(docs, digest=True), "doc_id", "n_lines", "n_dropped", "kept_sha256") == sorted(brute.lines(PAIRS))
 
