@@ -16,7 +16,7 @@ from marlstone.llm.jaccard import jaccard_components
 from marlstone.llm.lines import dedup_lines
 from marlstone.llm.mixing import mix_sources
 
-#: SQL can't express the classifier, the Jaccard components or the tokens; each operator is tested against a plain version.
+#: SQL can't express the classifier, the Jaccard components or the tokens; the stages are tested against plain versions, one after the other.
 ORACLE_SQL = None
 
 

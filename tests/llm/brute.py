@@ -109,3 +109,81 @@ def base_scores(rows):
     count = Counter(x for d, t in tokens if zlib.crc32(str(d).encode()) % 10 for x in t)
     n, v = sum(count.values()), len(count)
     return [(d, zlib.crc32(str(d).encode()) % 10 == 0, len(t), sum(x in count for x in t), n, sum(math.log10((count[x] + 0.1) / (n + 0.1 * (v + 1))) for x in t)) for d, t in tokens]
+
+
+def statistics(text):
+    """The classifier's features, by the lists and counts that they are named after."""
+    raw = (text or "").encode()
+    w = re.findall(rb"[^ \t\n\x0b\x0c\r]+", raw)
+    n, k = len(raw), len(w)
+    odds = lambda x, n: math.log((x + 0.5) / (max(n - x, 0) + 0.5))
+    of = lambda chars: sum(c in chars for c in raw)
+    rows = [x for x in raw.split(b"\n") if x.strip()]
+    blank = of(b" \t\n\x0b\x0c\r")
+    upper, digit = of(bytes(range(65, 91))), of(bytes(range(48, 58)))
+    symbol, mark = of(b"#*$%&|<>~^=+_{}[]\\@"), of(b"!?")
+    pairs = {(w[i], w[i + 1]) for i in range(k - 1)}
+    ends = sum(x.rstrip().endswith((b".", b"?", b"!")) for x in rows)
+    return [
+        math.log1p(k), math.log1p((n - blank) / max(k, 1)), odds(len(set(w)), k), odds(max(Counter(w).values(), default=0), k), odds(len(pairs), max(k - 1, 0)),
+        odds(upper, n), odds(digit, n), odds(symbol, n), odds(mark, n), odds(blank, n),
+        math.log1p(k / max(len(rows), 1)), odds(len(rows) - len(set(rows)), len(rows)), odds(ends, len(rows)),
+    ]
+
+
+def good(rows, labels):
+    """Ids that the quadratic discriminant predicts as good: densities by inverse and determinant."""
+    import numpy as np
+
+    x = {d: np.array(statistics(t)) for d, t in rows}
+    fit = [d for d in x if d in labels and zlib.crc32(str(d).encode()) % 3 != 1]
+    every = np.array([x[d] for d in fit])
+    center, scale = every.mean(0), np.sqrt(np.maximum(every.var(0), 1e-12))
+    part = [np.array([(x[d] - center) / scale for d in fit if labels[d] == c]) for c in (0, 1)]
+    spread = [np.cov(p.T, bias=True) for p in part]
+    both = sum(len(p) * s for p, s in zip(part, spread, strict=True)) / len(fit)
+
+    def density(z, c):
+        s = 0.8 * spread[c] + 0.2 * both
+        s = 0.9 * s + 0.1 * max(np.trace(s) / len(s), 1e-6) * np.eye(len(s))
+        y = z - part[c].mean(0)
+        return math.log(len(part[c]) / len(fit)) - 0.5 * np.linalg.slogdet(s)[1] - 0.5 * y @ np.linalg.inv(s) @ y
+
+    return {d for d, v in x.items() if density((v - center) / scale, 1) >= density((v - center) / scale, 0)}
+
+
+def lines_kept(rows):
+    """Texts without the lines that go."""
+    key = lambda x: x.strip(SPACE).translate(LOWER)
+    held = {}
+    for d, t in rows:
+        for x in (t or "").split("\n"):
+            if len(key(x)) >= 20:
+                held.setdefault(key(x), set()).add(d)
+    return [(d, "\n".join(x for x in (t or "").split("\n") if len(held.get(key(x), ())) < 3 or max(held[key(x)]) == d)) for d, t in rows]
+
+
+def copies(rows):
+    """How often the mix takes each of (doc_id, text, source): weights 1, 2, 3 in the order of sources, at most three times."""
+    by = {}
+    for d, t, s in rows:
+        by.setdefault(s, []).append((int(hashlib.md5(str(d).encode()).hexdigest()[:12], 16), len(WORDS.findall(t or "")), d))
+    names = sorted(by, key=lambda s: (s is None, s or ""))
+    weight = {s: i % 3 + 1 for i, s in enumerate(names)}
+    size = {s: sum(n for _, n, _ in by[s]) for s in names}
+    target, left, open_ = {}, sum(size.values()), set(names)
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        capped = {s for s in open_ if 3 * size[s] <= weight[s] * level}
+        target |= {s: float(3 * size[s]) if s in capped else weight[s] * level for s in capped or open_}
+        left -= sum(3 * size[s] for s in capped)
+        open_ = open_ - capped if capped else set()
+    out = {}
+    for s in names:
+        full = min(int(target[s] // size[s]), 3) if size[s] else 0
+        budget, done, ended = target[s] - full * size[s], 0, False
+        for _, n, d in sorted(by[s]):
+            ends = not ended and done + n >= budget
+            out[d] = full + int(not ended and (not ends or done + n - budget <= budget - done))
+            ended, done = ended or ends, done + n
+    return out

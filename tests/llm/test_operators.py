@@ -336,3 +336,35 @@ def test_pipeline_stages_keep_columns(spark, docs, tmp_path):
         now = spark.read.parquet(str(tmp_path / name))
         assert now.columns == columns
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == now.count()
+
+
+def test_pipeline_equals_plain_stages(spark, docs, tmp_path):
+    """Each stage's rows, and those of run(), against the plain versions one after the other."""
+    import public_tokenizers as public
+
+    import corpus_pipeline
+
+    labels = {d: int(len((t or "").split()) >= 60) for d, t in PAIRS if d % 9}
+    spark.createDataFrame(sorted(labels.items()), "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    now = docs.withColumn("n_chars", F.length("text").cast("long"))
+    now.write.parquet(str(tmp_path / "documents.parquet"))
+
+    good = brute.good(PAIRS, labels)
+    one = [x for x in rows() if x[0] in good]
+    text = dict(brute.lines_kept([(d, t) for d, t, _ in one]))
+    two = [(d, text[d], s) for d, _, s in one]
+    alone = {d for d, _, c in brute.jaccard([(d, t) for d, t, _ in two]) if d == c}
+    three = [x for x in two if x[0] in alone]
+    times = brute.copies(three)
+    four = [x for x in three for _ in range(times[x[0]])]
+    assert len(PAIRS) > len(one) > len(three) and two != one and {0, 1} < set(times.values())
+
+    key = lambda x: (x[0], x[1] or "")
+    for (name, stage), want in zip(corpus_pipeline.STAGES[:-1], (one, two, three, four), strict=True):
+        stage(spark, now, str(tmp_path)).write.parquet(str(tmp_path / name))
+        now = spark.read.parquet(str(tmp_path / name))
+        found = sorted((tuple(r) for r in now.select("doc_id", "text", "source", "n_chars").collect()), key=key)
+        assert found == sorted(((d, t, s, None if t is None else len(t)) for d, t, s in want), key=key), name
+    enc = bpe.encoding(bpe.rank_bytes(public.path("byte_bpe_50k.tiktoken")), public.PATTERN)
+    found = sorted((r.doc_id, list(r.ids), bytes(r.decoded)) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert found == sorted((d, enc.encode_ordinary(t), t.encode()) for d, t, _ in four)
