@@ -34,8 +34,9 @@ def lexical(docs: DataFrame, terms: list[str]) -> DataFrame:
 
 
 def knn(vectors: DataFrame, query: DataFrame, k: int) -> DataFrame:
-    """The k nearest of vectors (vec_id, embedding) to the one row of query, by cosine; exact."""
-    one = F.broadcast(query.select(F.col("embedding").alias("q")).limit(1))
+    """The k nearest of vectors (vec_id, embedding) to the one row of query, by cosine; exact. More than one row is an error."""
+    several = F.raise_error(F.lit("knn takes one query row; knn_multi ranks for each of many"))
+    one = F.broadcast(query.agg(F.count("*").alias("n"), F.first("embedding").alias("q")).where("n > 0").select(F.when(F.col("n") == 1, F.col("q")).otherwise(several).alias("q")))
     scored = vectors.crossJoin(one).select("vec_id", "label", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("similarity"))
     return top(scored, k, F.desc("similarity"), "vec_id")
 
@@ -58,6 +59,33 @@ def hybrid(docs: DataFrame, vectors: DataFrame, query: DataFrame, terms: list[st
     return top(fuse(branches), TOP, F.desc("score"), "doc_id")
 
 
+def top_each(df: DataFrame, k: int, *order) -> DataFrame:
+    """The first k rows of each query_id by a complete order, with rank r."""
+    return df.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)).cast("long")).where(F.col("r") <= k)
+
+
+def knn_multi(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id, similarity, r: the k nearest of vectors to each row of queries (query_id, embedding), by cosine; exact."""
+    pairs = vectors.crossJoin(queries.select("query_id", F.col("embedding").alias("q")))
+    return top_each(pairs.select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("similarity")), k, F.desc("similarity"), "vec_id")
+
+
+def lexical_multi(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, doc_id and rank of documents with any of a query's different terms. Only tokens that some query asks for are counted."""
+    asked = queries.select("query_id", F.array_distinct("terms").alias("terms")).select("query_id", F.size("terms").alias("n"), F.explode("terms").alias("term"))
+    found = docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    counted = found.groupBy("doc_id", "term").agg(F.count("*").alias("tf")).join(asked, "term")
+    return counted.groupBy("query_id", "doc_id").agg(F.round(F.sum(harmonic_rank(F.col("tf"), F.col("n"))), 9).alias("score"))
+
+
+def hybrid_multi(docs: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, doc_id, score, r: hybrid() for each row of queries (query_id, embedding, terms), ranked per query."""
+    sparse = top_each(lexical_multi(docs, queries), DEPTH, F.desc("score"), "doc_id").select("query_id", "doc_id", (F.lit(SPARSE) / (RRF_K + F.col("r"))).alias("s"))
+    dense = knn_multi(vectors, queries, DEPTH).select("query_id", F.col("vec_id").alias("doc_id"), (F.lit(DENSE) / (RRF_K + F.col("r"))).alias("s"))
+    fused = dense.unionByName(sparse).groupBy("query_id", "doc_id").agg(F.round(F.sum("s"), 9).alias("score"))
+    return top_each(fused, TOP, F.desc("score"), "doc_id")
+
+
 def merge_hits(lists: list[DataFrame], most: int) -> DataFrame:
     """Hit lists (doc_id, r) one after the other, each id once where it comes first, at most `most`."""
     both = None

@@ -56,6 +56,18 @@ sparse AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r F
 dense AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY similarity DESC, vec_id) AS r FROM ({COSINE_SQL}) QUALIFY r <= 50),
 fused AS (SELECT doc_id, round(sum(s), 9) AS score FROM (SELECT doc_id, 1.0::DOUBLE / (60 + r) AS s FROM dense UNION ALL SELECT doc_id, 0.5::DOUBLE / (60 + r) FROM sparse) GROUP BY doc_id)
 SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id)::BIGINT AS r FROM fused QUALIFY r <= 5"""
+#: Queries by the vector that stands for each.
+MANY = {0: TERMS, 3: ["der", "und", "nicht"], 17: ["les"], 42: ["the", "por"]}
+HYBRID_MULTI_SQL = f"""WITH asked(query_id, term, n) AS (VALUES {", ".join(f"({q}::BIGINT, '{x}', {len(terms)})" for q, terms in MANY.items() for x in terms)}),
+tok AS ({TOKENS_SQL}),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM tok WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+lex AS (SELECT query_id, doc_id, round(sum(0.1 * list_sum(list_transform(range(1, tf + 1), lambda j: 1.0::DOUBLE / (j * j))) / 1.64493406685 / n), 9) AS score FROM tf JOIN asked USING (term) GROUP BY ALL),
+sparse AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM lex QUALIFY r <= 50),
+v AS (SELECT vec_id, embedding::DOUBLE[] AS a FROM embeddings),
+near AS (SELECT q.vec_id::BIGINT AS query_id, e.vec_id, round(list_dot_product(e.a, q.a) / (sqrt(list_dot_product(e.a, e.a)) * sqrt(list_dot_product(q.a, q.a))), 6) AS similarity FROM v e, v q WHERE q.vec_id IN ({", ".join(map(str, MANY))})),
+dense AS (SELECT query_id, vec_id AS doc_id, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS r FROM near QUALIFY r <= 50),
+fused AS (SELECT query_id, doc_id, round(sum(s), 9) AS score FROM (SELECT query_id, doc_id, 1.0::DOUBLE / (60 + r) AS s FROM dense UNION ALL SELECT query_id, doc_id, 0.5::DOUBLE / (60 + r) FROM sparse) GROUP BY ALL)
+SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::BIGINT AS r FROM fused QUALIFY r <= 5"""
 
 
 def _one(t: Tables) -> DataFrame:
@@ -112,6 +124,13 @@ def hybrid_rrf(t):
     return search.hybrid(t.documents, t.embeddings, _one(t), TERMS)
 
 
+@query(HYBRID_MULTI_SQL)
+def hybrid_rrf_multi(t):
+    terms = F.create_map(*(x for q, words in MANY.items() for x in (F.lit(q).cast("long"), F.array(*map(F.lit, words)))))
+    asked = t.embeddings.where(F.col("vec_id").isin(*MANY)).select(F.col("vec_id").cast("long").alias("query_id"), "embedding", F.element_at(terms, F.col("vec_id").cast("long")).alias("terms"))
+    return search.hybrid_multi(t.documents, t.embeddings, asked)
+
+
 @query(f"WITH {LEXICAL_SQL}, s AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM lex QUALIFY r <= 50) SELECT doc_id, round(0.5::DOUBLE / (60 + r), 9) AS score, r::BIGINT AS r FROM s WHERE r <= 5")
 def hybrid_rrf_sparse_only(t):
     return search.hybrid(t.documents, t.embeddings, _one(t), TERMS, dense=False)

@@ -139,3 +139,17 @@ def test_stream_equals_batch(spark):
         assert key(spark.sql("SELECT * FROM tumbled")) == key(windows.tumbling(events))
     finally:
         q.stop()
+
+
+def test_many_queries_are_ranked_one_by_one(spark):
+    """Each query of hybrid_multi gets what hybrid gives it alone; hybrid and knn refuse several query rows."""
+    t = core.Tables(spark, AT)
+    asked = t.embeddings.where("vec_id IN (1, 5)").selectExpr("vec_id AS query_id", "embedding", "CASE vec_id WHEN 1 THEN array('the', 'pour') ELSE array('and') END AS terms")
+    many = search.hybrid_multi(t.documents, t.embeddings, asked).collect()
+    for q, terms in ((1, ["the", "pour"]), (5, ["and"])):
+        alone = search.hybrid(t.documents, t.embeddings, asked.where(f"query_id = {q}"), terms).collect()
+        assert sorted((r.r, r.doc_id, r.score) for r in many if r.query_id == q) == sorted((r.r, r.doc_id, r.score) for r in alone)
+    for df in (search.knn(t.embeddings, asked, 5), search.hybrid(t.documents, t.embeddings, asked, ["the"])):
+        with pytest.raises(Exception, match="one query row"):
+            df.collect()
+    assert search.knn(t.embeddings, asked.where("false"), 5).count() == 0
