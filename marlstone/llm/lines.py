@@ -19,6 +19,8 @@ from .cuckoo import CuckooFilter
 LEAST_CHARS, LEAST_DOCS = 20, 3
 #: Keys of a shard's filter aimed at, and the size up to which all filters together are sent to every task.
 SHARD_KEYS, SEND_BYTES = 200_000, 16 << 20
+#: Rows that meet a copy of their shard's filter at once, where the filters are not sent.
+GROUP_ROWS = 1_000_000
 _STRIP = b" \t\n\x0b\x0c\r"
 
 
@@ -111,15 +113,33 @@ class LineIndex:
         """(a, b, keep): keys of enough documents, and the largest doc_id, which keeps its lines."""
         return _often(self.refs)
 
-    def drops(self, docs: DataFrame) -> DataFrame:
-        """(doc_id, a) of keys that lose all their lines in a document, exactly.
+    def candidates(self, docs: DataFrame) -> DataFrame:
+        """Rows of references() whose key the filters may hold.
 
-        The filters go to every task if together they stay under SEND_BYTES, and leave few lines
-        to be shuffled; beyond that all of the keys join the exact table.
+        The filters go to every task if together they stay under SEND_BYTES; beyond that the
+        references are dealt by shard and meet their own filter there. A shard with
+        more than GROUP_ROWS is parted by document, with a copy of its filter for each part.
         """
         size = self.filters.agg(F.coalesce(F.sum(F.length("filter")), F.lit(0))).first()[0]
-        held = {r["shard"]: bytes(r["filter"]) for r in self.filters.toLocalIterator()} if size <= SEND_BYTES else None
-        return references(docs, held).join(self.droppable(), ["a", "b"]).where("doc_id < keep").select("doc_id", "a", "b").distinct()
+        if size <= SEND_BYTES:
+            return references(docs, {r["shard"]: bytes(r["filter"]) for r in self.filters.toLocalIterator()})
+        found = cut(references(docs).withColumn("shard", _shard(self.shards)))
+        most = found.groupBy("shard").count().agg(F.max("count")).first()[0] or 1
+        parts = -(-most // GROUP_ROWS)
+        found = found.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
+        held = self.filters.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+
+        def test(rows, held):
+            if not len(rows) or not len(held):
+                return rows[["a", "b", "doc_id"]].iloc[:0]
+            f = CuckooFilter.from_bytes(held["filter"].iloc[0])
+            return rows.loc[f.contains(rows["a"].to_numpy(np.int64).view(np.uint64)), ["a", "b", "doc_id"]]
+
+        return found.groupBy("shard", "part").cogroup(held.groupBy("shard", "part")).applyInPandas(test, "a long, b long, doc_id long")
+
+    def drops(self, docs: DataFrame) -> DataFrame:
+        """(doc_id, a, b) of keys that lose all their lines in a document, exactly: what the filters let pass joins the exact table."""
+        return self.candidates(docs).join(self.droppable(), ["a", "b"]).where("doc_id < keep").select("doc_id", "a", "b").distinct()
 
 
 def _often(refs: DataFrame) -> DataFrame:

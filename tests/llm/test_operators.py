@@ -154,6 +154,16 @@ def test_line_index_is_reversible(docs):
     assert got(lines.dedup_lines(one, back, digest=True), "doc_id", "kept_sha256") == got(lines.dedup_lines(one, index, digest=True), "doc_id", "kept_sha256")
 
 
+def test_line_filters_work_beyond_the_size_sent(docs, monkeypatch):
+    """Dealt by shard, the filters let the same rows pass as when they are sent, far fewer than all, and the result is exact."""
+    index = lines.LineIndex.build(docs, shards=3)
+    sent = got(index.candidates(docs), "a", "b", "doc_id")
+    monkeypatch.setattr(lines, "SEND_BYTES", 0)
+    monkeypatch.setattr(lines, "GROUP_ROWS", 20)
+    assert got(index.candidates(docs), "a", "b", "doc_id") == sent and 0 < len(sent) < lines.references(docs).count() / 2
+    assert got(lines.dedup_lines(docs, index, digest=True), "doc_id", "n_lines", "n_dropped", "kept_sha256") == sorted(brute.lines(PAIRS))
+
+
 def test_cuckoo():
     import numpy as np
 
