@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -29,11 +30,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir.
 
-    A local one is set only where the setting is absent (local mode, tests).
+    A local one is set only where the setting is absent in local mode (tests); on a
+    cluster, whose executors couldn't read it, that is an error.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='marlstone-')}")
     return sc.getCheckpointDir()
 
@@ -55,8 +59,11 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def text_of(docs: DataFrame) -> Column:
-    return F.coalesce(docs["text"], F.lit(""))
+def trim() -> None:
+    """In a Python worker: give the memory of arrays that are no longer used back to the system, for the stages to come."""
+    pa.default_memory_pool().release_unused()
+    if (give_back := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        give_back(0)
 
 
 def if_small(df: DataFrame, rows: int, limit: int = 100_000) -> DataFrame:
@@ -78,17 +85,22 @@ def as_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[at[0] : at[-1]], at - at[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+#: Rows whose texts are looked at together before they are cut by bytes.
+_ROWS = 512
+
+
+def slices(batches: Iterator[pa.RecordBatch], most: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cut batches with a column text into runs of rows of about `most` bytes (or one longer row)."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        data, at = as_bytes(batch.column(batch.schema.get_field_index("text")))
-        first = 0
-        while first < batch.num_rows:
-            last = max(first + 1, int(np.searchsorted(at, at[first] + most, "right")) - 1)
-            yield batch.slice(first, last - first), data[at[first] : at[last]], at[first : last + 1] - at[first]
-            first = last
+    for whole in batches:
+        for at_row in range(0, whole.num_rows, _ROWS):
+            batch = whole.slice(at_row, _ROWS)
+            data, at = as_bytes(batch.column(batch.schema.get_field_index("text")))
+            first = 0
+            while first < batch.num_rows:
+                last = max(first + 1, int(np.searchsorted(at, at[first] + most, "right")) - 1)
+                yield batch.slice(first, last - first), data[at[first] : at[last]], at[first : last + 1] - at[first]
+                first = last
+        trim()
 
 
 _RNG = np.random.default_rng(20_240_501)

@@ -66,32 +66,62 @@ def references(docs: DataFrame, filters: dict[int, bytes] | None = None) -> Data
 
 @dataclass
 class LineIndex:
-    """refs (a, b, doc_id) is exact: which document holds which key. filters (shard, filter) hold
+    """refs (a, b, doc_id) is exact: which document holds which key. counts (a, b, n, keep, version) is the
+    reference-count table: how many documents hold a key, and the largest of them; a change adds rows of a later
+    version for the keys that it touches, and the latest row of a key counts. filters (shard, filter) hold
     the keys of at least LEAST_DOCS documents, to leave out lines that can't be dropped."""
 
     refs: DataFrame
+    counts: DataFrame
     filters: DataFrame
     shards: int
+    version: int = 0
 
     @staticmethod
     def build(docs: DataFrame, shards: int | None = None) -> LineIndex:
         refs = cut(references(docs).distinct())
-        shards = shards or max(1, -(-_often(refs).count() // SHARD_KEYS))
-        return LineIndex(refs, cut(_filters(_often(refs), shards)), shards)
+        counts = cut(_counted(refs).withColumn("version", F.lit(0)))
+        often = counts.where(F.col("n") >= LEAST_DOCS)
+        shards = shards or max(1, -(-often.count() // SHARD_KEYS))
+        return LineIndex(refs, counts, cut(_filters(often, shards)), shards)
 
     def insert(self, docs: DataFrame) -> LineIndex:
-        """With more documents; only shards that change are touched. Documents already there stay as they are."""
-        new = references(docs).distinct().join(self.refs, ["a", "b", "doc_id"], "left_anti")
-        return self._with(cut(self.refs.unionByName(new)))
+        """With more documents. What they hold already stays as it is; only keys that the new documents hold are counted again."""
+        mine = cut(references(docs).distinct())
+        same = self.refs.join(mine.select("doc_id").distinct(), "doc_id", "left_semi")
+        new = cut(mine.join(same, ["a", "b", "doc_id"], "left_anti"))
+        added = _counted(new).select("a", "b", F.col("n").alias("more"), F.col("keep").alias("top"))
+        old = self._latest(added.select("a", "b"))
+        n = F.coalesce("n", F.lit(0).cast("long"))
+        touched = added.join(old, ["a", "b"], "left").select("a", "b", n.alias("before"), (n + F.col("more")).alias("n"), F.greatest("keep", "top").alias("keep"))
+        return self._with(self.refs.unionByName(new), touched)
 
     def delete(self, ids: DataFrame) -> LineIndex:
-        """Without the documents in ids (doc_id); the filters forget keys that fall under the limit."""
-        return self._with(cut(self.refs.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select("a", "b", "doc_id")))
-
-    def _with(self, refs: DataFrame) -> LineIndex:
-        before, now = _often(self.refs).select("a", "b"), _often(refs).select("a", "b")
-        change = now.join(before, ["a", "b"], "left_anti").withColumn("sign", F.lit(1)).unionByName(before.join(now, ["a", "b"], "left_anti").withColumn("sign", F.lit(-1)))
-        change = change.withColumn("shard", _shard(self.shards))
+        """Without the documents in ids (doc_id); the keys they held are counted again, and the filters forget those that fall under the limit."""
+        ids = ids.select("doc_id").distinct()
+        gone = cut(self.refs.join(ids, "doc_id", "left_semi").select("a", "b").distinct())
+        refs = cut(self.refs.join(ids, "doc_id", "left_anti").select("a", "b", "doc_id"))
+        now = _counted(refs.join(gone, ["a", "b"], "left_semi"))
+        old = self._latest(gone).select("a", "b", F.col("n").alias("before"))
+        touched = old.join(now, ["a", "b"], "left").select("a", "b", "before", F.coalesce("n", F.lit(0).cast("long")).alias("n"), "keep")
+        return self._with(refs, touched)
+
+    def _latest(self, keys: DataFrame | None = None) -> DataFrame:
+        """(a, b, n, keep) of the keys, or of all."""
+        rows = self.counts if keys is None else self.counts.join(keys, ["a", "b"], "left_semi")
+        if not self.version:
+            return rows.drop("version")
+        last = rows.groupBy("a", "b").agg(F.max(F.struct("version", "n", "keep")).alias("last"))
+        return last.select("a", "b", "last.n", "last.keep")
+
+    def _with(self, refs: DataFrame, touched: DataFrame) -> LineIndex:
+        """touched: (a, b, before, n, keep) of the keys that changed. Keys that cross the limit go into or out of their shard's filter."""
+        version = self.version + 1
+        touched = cut(touched)
+        counts = self.counts.unionByName(touched.select("a", "b", "n", "keep", F.lit(version).alias("version")))
+        up = (F.col("before") < LEAST_DOCS) & (F.col("n") >= LEAST_DOCS)
+        down = (F.col("before") >= LEAST_DOCS) & (F.col("n") < LEAST_DOCS)
+        change = touched.where(up | down).select("a", "b", F.when(up, 1).otherwise(-1).alias("sign"), _shard(self.shards).alias("shard"))
 
         def apply(key, held, rows):
             f = CuckooFilter.from_bytes(held["filter"].iloc[0]) if len(held) else CuckooFilter.sized(1)
@@ -102,16 +132,19 @@ class LineIndex:
             return pd.DataFrame({"shard": [key[0]], "filter": [None if full else f.to_bytes()]})
 
         changed = change.groupBy("shard").count().select("shard")
-        touched = self.filters.join(changed, "shard", "left_semi")
-        moved = cut(touched.groupBy("shard").cogroup(change.groupBy("shard")).applyInPandas(apply, "shard int, filter binary"))
+        held = self.filters.join(changed, "shard", "left_semi")
+        moved = cut(held.groupBy("shard").cogroup(change.groupBy("shard")).applyInPandas(apply, "shard int, filter binary"))
+        found = LineIndex(refs, counts, self.filters.join(changed, "shard", "left_anti").unionByName(moved.where("filter IS NOT NULL")), self.shards, version)
         full = moved.where("filter IS NULL").select("shard")
-        anew = _filters(now.withColumn("shard", _shard(self.shards)).join(full, "shard", "left_semi").drop("shard"), self.shards).join(full, "shard", "left_semi")
-        filters = self.filters.join(changed, "shard", "left_anti").unionByName(moved.where("filter IS NOT NULL")).unionByName(anew)
-        return LineIndex(refs, cut(filters), self.shards)
+        if not full.isEmpty():
+            anew = _filters(found.droppable().withColumn("shard", _shard(self.shards)).join(full, "shard", "left_semi").drop("shard"), self.shards).join(full, "shard", "left_semi")
+            found.filters = found.filters.unionByName(anew)
+        found.filters = cut(found.filters)
+        return found
 
     def droppable(self) -> DataFrame:
         """(a, b, keep): keys of enough documents, and the largest doc_id, which keeps its lines."""
-        return _often(self.refs)
+        return self._latest().where(F.col("n") >= LEAST_DOCS).select("a", "b", "keep")
 
     def candidates(self, docs: DataFrame) -> DataFrame:
         """Rows of references() whose key the filters may hold.
@@ -138,12 +171,14 @@ class LineIndex:
         return found.groupBy("shard", "part").cogroup(held.groupBy("shard", "part")).applyInPandas(test, "a long, b long, doc_id long")
 
     def drops(self, docs: DataFrame) -> DataFrame:
-        """(doc_id, a, b) of keys that lose all their lines in a document, exactly: what the filters let pass joins the exact table."""
-        return self.candidates(docs).join(self.droppable(), ["a", "b"]).where("doc_id < keep").select("doc_id", "a", "b").distinct()
+        """(doc_id, a, b) of keys that lose all their lines in a document, exactly: what the filters let pass joins the exact
+        table. Rows that repeat an id may give a key again. Nothing is grouped by key behind the join, so a key that
+        very many documents hold is parted among tasks at run time."""
+        return self.candidates(docs).join(self.droppable(), ["a", "b"]).where("doc_id < keep").select("doc_id", "a", "b")
 
 
-def _often(refs: DataFrame) -> DataFrame:
-    return refs.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep")).where(F.col("n") >= LEAST_DOCS).select("a", "b", "keep")
+def _counted(refs: DataFrame) -> DataFrame:
+    return refs.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep"))
 
 
 def _shard(shards: int):
@@ -175,23 +210,24 @@ def dedup_lines(docs: DataFrame, index: LineIndex | None = None, digest: bool =
     holds nothing and keeps all. Only doc_id and text are read; no rows give no rows.
     """
     index = index or LineIndex.build(docs)
-    drops = index.drops(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("a", "b")).alias("drops"))
+    drops = index.drops(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("a", "b")).alias("drops"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
     rows = rows.join(drops, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", "drops", *carry)
     last = "kept_sha256" if digest else "text"
 
     def run(batches):
-        for batch in batches:
-            out, n_lines, n_dropped = [], [], []
-            for text, drops in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                all_lines = (text or "").encode().split(b"\n")
+        for batch, data, at in slices(batches):
+            raw, out, n_lines, n_dropped = data.tobytes(), [], [], []
+            for drops, start, end in zip(batch.column(2).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                all_lines = raw[start:end].split(b"\n")
                 gone = {(d["a"], d["b"]) for d in drops or ()}
                 stay = [x for x in all_lines if line_key(x) not in gone] if gone else all_lines
                 kept = b"\n".join(stay)
-                out.append(hashlib.sha256(kept).hexdigest() if digest else kept.decode())
+                out.append(hashlib.sha256(kept).hexdigest() if digest else kept)
                 n_lines.append(len(all_lines))
                 n_dropped.append(len(all_lines) - len(stay))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(out, pa.string()), *batch.columns[3:]], ["doc_id", "n_lines", "n_dropped", last, *carry])
+            column = pa.array(out, pa.string()) if digest else pa.array(out, pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), column, *batch.columns[3:]], ["doc_id", "n_lines", "n_dropped", last, *carry])
 
     schema = T.StructType().add("doc_id", "long").add("n_lines", "long").add("n_dropped", "long").add(last, "string")
     for c in carry:
