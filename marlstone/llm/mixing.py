@@ -48,7 +48,8 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int
     hash bucket finds the bucket in which the budget ends, only that bucket is
     refined, LEVELS times in all, and the document at the end is taken if
     that is nearer. Thresholds are nested: a smaller budget takes a subset.
-    No document is taken more than `most` times. Nothing is sorted but the
+    No document is taken more than `most` times, and of a source whose budget for the rest is nothing
+    none is taken for it (texts without words included). Nothing is sorted but the
     buckets of one source.
 
     Null texts have size 0, a null source is a source of its own (last), null
@@ -74,9 +75,9 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int
         first = F.min(F.struct("bucket", "upto", "inside")).alias("first")
         bound = ends.groupBy(*keys).agg(first).select(*keys[:-1], (F.col("first.upto") - F.col("first.inside")).alias("base"), F.col("first.bucket").alias("bucket"), F.col("first.inside").alias("inside"))
     budget, base, inside = F.col("budget"), F.col("base"), F.col("inside")
-    bound = bound.withColumn("last", base + inside - budget <= budget - base)
+    bound = bound.withColumn("last", (budget > 0) & (base + inside - budget <= budget - base))
     of = if_small(bound.withColumnRenamed("source", "_source"), n_sources)
-    taken = (F.col("h") < F.col("bucket")) | ((F.col("h") == F.col("bucket")) & F.col("last"))
+    taken = (F.col("budget") > 0) & ((F.col("h") < F.col("bucket")) | ((F.col("h") == F.col("bucket")) & F.col("last")))
     joined = sized.join(of, sized["source"].eqNullSafe(of["_source"]))
     return joined.select("doc_id", sized["source"], "size", "source_size", "target", (F.col("full") + taken.cast("long")).alias("copies"))
 
@@ -107,6 +108,6 @@ upto AS (
   FROM sized s JOIN budgeted b ON s.source IS NOT DISTINCT FROM b.source),
 ending AS (SELECT *, min(CASE WHEN u >= budget THEN h END) OVER (PARTITION BY source) AS last FROM upto)
 SELECT doc_id, size, source_size, target,
-       (size * (whole + CASE WHEN h < last OR h = last AND u - budget <= budget - (u - own) THEN 1 ELSE 0 END))::BIGINT AS taken
+       (size * (whole + CASE WHEN budget > 0 AND (h < last OR h = last AND u - budget <= budget - (u - own)) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM ending
 """
