@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import time
+import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
@@ -39,21 +40,47 @@ def to_png(payload: bytes, level: int = 1) -> bytes:
 
 
 def from_png(media: bytes) -> bytes:
-    """The samples of an image as to_png() writes it; each chunk's CRC is tested."""
+    """The samples of an image of 8-bit samples, not interlaced, with any row filters; each chunk's CRC is tested."""
     if media[:8] != _SIGNATURE:
         raise ValueError("no PNG")
-    at, data, rows = 8, [], 0
+    at, data, head = 8, [], None
     while at < len(media):
         n, kind = struct.unpack(">I4s", media[at : at + 8])
         body = media[at + 8 : at + 8 + n]
         if zlib.crc32(kind + body) != struct.unpack(">I", media[at + 8 + n : at + 12 + n])[0]:
             raise ValueError("a chunk is damaged")
         if kind == b"IHDR":
-            rows = struct.unpack(">II", body[:8])[1]
+            head = struct.unpack(">IIBBBBB", body)
         elif kind == b"IDAT":
             data.append(body)
         at += 12 + n
-    return np.frombuffer(zlib.decompress(b"".join(data)), np.uint8).reshape(rows, ROW + 1)[:, 1:].tobytes()
+    width, rows, depth, colour, _, _, interlaced = head or (0,) * 7
+    per_pixel = {0: 1, 2: 3, 4: 2, 6: 4}.get(colour)
+    if depth != 8 or interlaced or not per_pixel:
+        raise ValueError("not an image of 8-bit samples, row by row")
+    lines = np.frombuffer(zlib.decompress(b"".join(data)), np.uint8).reshape(rows, width * per_pixel + 1)
+    return (lines[:, 1:] if not lines[:, 0].any() else _unfiltered(lines, per_pixel)).tobytes()
+
+
+def _unfiltered(lines: np.ndarray, step: int) -> np.ndarray:
+    """Undo the row filters (1: from the left, 2: from above, 3: from the mean of both, 4: from the nearest of left, above, corner to left + above - corner)."""
+    out = np.zeros((len(lines) + 1, lines.shape[1] - 1 + step), np.int64)  # zeros above and left of the image
+    for y, (kind, *_) in enumerate(lines, 1):
+        row, above = out[y], out[y - 1]
+        row[step:] = lines[y - 1, 1:]
+        if kind == 1:
+            for c in range(step):
+                row[c::step] = np.cumsum(row[c::step]) & 255
+        elif kind == 2:
+            row[step:] = (row[step:] + above[step:]) & 255
+        elif kind in (3, 4):
+            for x in range(step, len(row)):
+                left, up, corner = int(row[x - step]), int(above[x]), int(above[x - step])
+                near = (left + up) // 2 if kind == 3 else min((left, up, corner), key=lambda v: abs(left + up - corner - v))  # noqa: B023
+                row[x] = (row[x] + near) & 255
+        elif kind:
+            raise ValueError("no such row filter")
+    return out[1:, step:].astype(np.uint8)
 
 
 def feature_of(payload: bytes) -> str:
@@ -78,14 +105,28 @@ def _open(path: str):
 
 @dataclass
 class _Written(WriterCommitMessage):
-    files: list[str]
+    files: list[tuple[str, int]]
+
+
+def _manifests(store, root: str) -> list[str]:
+    from pyarrow import fs
+
+    found = store.get_file_info(fs.FileSelector(f"{root}/_commits", allow_not_found=True))
+    return sorted(f.path for f in found if f.type == fs.FileType.File and f.base_name.endswith(".list"))
+
+
+def _archives(store, manifest: str) -> list[tuple[str, int]]:
+    """(name, bytes) of the archives of one commit."""
+    with store.open_input_stream(manifest) as f:
+        return [(name, int(size)) for name, size in (x.split("\t") for x in f.read().decode().splitlines())]
 
 
 class ArchiveWriter(DataSourceArrowWriter):
-    """Each task writes archives under a temporary name; commit() gives the names of successful tasks' archives to readers."""
+    """Each task writes archives under a name of its own; commit() adds a manifest of the successful tasks' archives, with
+    their sizes, and readers take what all manifests name. An overwriting job removes the earlier ones after its own commit."""
 
-    def __init__(self, path: str, most: int):
-        self.path, self.most = path, most
+    def __init__(self, path: str, most: int, overwrite: bool):
+        self.path, self.most, self.overwrite, self.job = path, most, overwrite, uuid.uuid4().hex
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
         from pyspark import TaskContext
@@ -99,16 +140,17 @@ class ArchiveWriter(DataSourceArrowWriter):
             nonlocal out, archive
             if archive is not None:
                 archive.close()
+                files.append((name, out.tell()))
                 out.close()
                 archive = out = None
 
         for batch in iterator:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc, text in zip(batch.column(0), batch.column(1), strict=True):  # one text at a time
                 if archive is None:
-                    files.append(f"part-{attempt}-{len(files)}.zip")
-                    out, size = store.open_output_stream(f"{root}/{files[-1]}"), 0
+                    name = f"part-{self.job}-{attempt}-{len(files)}.zip"
+                    out, size = store.open_output_stream(f"{root}/{name}"), 0
                     archive = zipfile.ZipFile(out, "w", zipfile.ZIP_STORED)
-                raw = (text or "").encode()
+                raw, doc = (text.as_py() or "").encode(), doc.as_py()
                 media = to_png(payload_of(raw))
                 archive.writestr(zipfile.ZipInfo(f"{'' if doc is None else doc}_{len(raw)}.png"), media)
                 size += len(media)
@@ -119,14 +161,21 @@ class ArchiveWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list) -> None:
         store, root = _open(self.path)
-        store.create_dir(root)
-        with store.open_output_stream(f"{root}/_archives") as f:
-            f.write("\n".join(x for m in messages if m for x in m.files).encode())
+        store.create_dir(f"{root}/_commits")
+        before = _manifests(store, root) if self.overwrite else []
+        with store.open_output_stream(f"{root}/_commits/{self.job}.tmp") as f:
+            f.write("".join(f"{name}\t{size}\n" for m in messages if m for name, size in m.files).encode())
+        store.move(f"{root}/_commits/{self.job}.tmp", f"{root}/_commits/{self.job}.list")
+        for manifest in before:
+            gone = _archives(store, manifest)
+            store.delete_file(manifest)
+            for name, _ in gone:
+                store.delete_file(f"{root}/{name}")
 
     def abort(self, messages: list) -> None:
         store, root = _open(self.path)
         for m in messages:
-            for name in m.files if m else ():
+            for name, _ in m.files if m else ():
                 store.delete_file(f"{root}/{name}")
 
 
@@ -145,9 +194,10 @@ class ArchiveReader(DataSourceReader):
 
     def partitions(self) -> list[ByteRange]:
         store, root = _open(self.path)
-        with store.open_input_stream(f"{root}/_archives") as f:
-            names = f.read().decode().split()
-        sizes = [(f"{root}/{n}", store.get_file_info(f"{root}/{n}").size) for n in names]
+        manifests = _manifests(store, root)
+        if not manifests:
+            raise FileNotFoundError(f"{self.path} holds no archives")
+        sizes = [(f"{root}/{name}", size) for m in manifests for name, size in _archives(store, m)]
         return [ByteRange(p, a, min(a + self.step, size)) for p, size in sizes for a in range(0, size, self.step)] or [ByteRange("", 0, 0)]
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
@@ -203,12 +253,13 @@ class MediaArchive(DataSource):
         return ArchiveReader(self.options["path"], int(self.options.get("step", 16 << 20)), int(self.options.get("retries", 3)))
 
     def writer(self, schema, overwrite: bool) -> ArchiveWriter:
-        return ArchiveWriter(self.options["path"], int(self.options.get("most", 64 << 20)))
+        return ArchiveWriter(self.options["path"], int(self.options.get("most", 64 << 20)), overwrite)
 
 
-def write_media(docs: DataFrame, path: str) -> None:
+def write_media(docs: DataFrame, path: str, mode: str = "append") -> None:
+    """mode: append or overwrite."""
     docs.sparkSession.dataSource.register(MediaArchive)
-    docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).write.format("media_archive").mode("append").save(path)
+    docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).write.format("media_archive").mode(mode).save(path)
 
 
 def read_media(spark: SparkSession, path: str, **options) -> DataFrame:
