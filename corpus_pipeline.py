@@ -21,39 +21,65 @@ ORACLE_SQL = None
 
 
 def _matched(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs with found's columns by doc_id, also where it is null; found has one row a doc_id."""
-    found = found.withColumnRenamed("doc_id", "_id")
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_id"])).drop("_id")
+    """docs with found's columns by doc_id, also where it is null; found has one row a doc_id.
+
+    Own names are longer than any of docs, so none clashes.
+    """
+    key = _own(docs, "id")
+    found = found.withColumnRenamed("doc_id", key)
+    return docs.join(found, docs["doc_id"].eqNullSafe(found[key])).drop(key)
+
+
+def _own(docs: DataFrame, name: str) -> str:
+    return name + "_" * (1 + max(map(len, docs.columns)))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go; of rows that repeat an id the best decides for all."""
-    good = classify(docs, table(spark, sf_dir, "labels")).groupBy("doc_id").agg(F.max("predicted").alias("_good")).where("_good = 1").select("doc_id")
+    """Documents that the classifier rejects go; of rows that repeat an id the best decides for all.
+
+    A null or empty text is judged by its statistics, a very long one as a whole; rows with a null id are
+    one id; no rows give no rows. Any further columns come along.
+    """
+    good = classify(docs, table(spark, sf_dir, "labels")).groupBy("doc_id").agg(F.max("predicted").alias("good")).where("good = 1").select("doc_id")
     return _matched(docs, good)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go from the texts; n_chars follows. Every document stays, if with an empty text."""
-    kept = dedup_lines(docs, carry=[c for c in docs.columns if c not in ("doc_id", "text")])
-    if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return kept.select(*docs.columns)
+    """Repeated lines go from the texts; n_chars follows. Every document stays, if with an empty text.
+
+    A null text comes out empty. Rows that repeat an id are one document that holds a line;
+    a row with a null id keeps all its lines; no rows give no rows. Any further columns come along.
+    """
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    one = docs.select("doc_id", "text", *([F.struct(*(F.col(f"`{c}`") for c in rest)).alias("rest")] if rest else []))
+    kept = dedup_lines(one, carry=["rest"] if rest else [])
+    count = lambda c: F.length("text").cast(docs.schema[c].dataType) if c == "n_chars" else F.col(f"rest.`{c}`")
+    return kept.select(*(F.col(c) if c in ("doc_id", "text") else count(c).alias(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document whose id names it stays; a row without an id stays."""
+    """Of each component the document whose id names it stays, with all rows that repeat its id; a row without an id stays.
+
+    Texts that are null, empty or without words are linked with nothing and stay; no rows give no rows. Any further
+    columns come along.
+    """
     found = jaccard_components(docs).select("doc_id", "component_id").where("doc_id = component_id OR doc_id IS NULL").select("doc_id").distinct()
     return _matched(docs, found)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    copies = mix_sources(docs).groupBy("doc_id").agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    return _matched(docs, copies).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))).drop("_copies", "_copy")
+    """Each document as often as the mix takes it, which may be not at all.
+
+    Rows that repeat an id are taken alike, rows with a null id are one id, and documents without words go as their
+    hash says, never more often than the mix's limit; no rows give no rows. Any further columns come along.
+    """
+    copies, one = _own(docs, "copies"), _own(docs, "copy")
+    taken = mix_sources(docs).groupBy("doc_id").agg(F.max("copies").alias(copies)).where(F.col(copies) > 0)
+    return _matched(docs, taken).withColumn(one, F.explode(F.array_repeat(F.lit(0), F.col(copies).cast("int")))).drop(copies, one)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids and the bytes that they decode to, for every row."""
+    """doc_id, ids and the bytes that they decode to, for every row; a null text has no tokens, no rows give no rows."""
     return bpe_encode(docs)
 
 
