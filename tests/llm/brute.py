@@ -37,6 +37,19 @@ def suffixes(rows, size=400):
     return out
 
 
+def shared_bytes(rows, size):
+    raw = [(d, (t or "").encode()) for d, t in rows]
+    count = Counter(t[i : i + size] for _, t in raw for i in range(len(t) - size + 1))
+    out = []
+    for d, t in raw:
+        held = bytearray(len(t))
+        for i in range(len(t) - size + 1):
+            if count[t[i : i + size]] > 1:
+                held[i : i + size] = b"\x01" * size
+        out.append((d, sum(held)))
+    return out
+
+
 def suffixes_first(rows, size):
     """Rows in the order of doc_id; a window that started earlier goes."""
     seen, out = set(), []
@@ -111,6 +124,56 @@ def base_scores(rows):
     return [(d, zlib.crc32(str(d).encode()) % 10 == 0, len(t), sum(x in count for x in t), n, sum(math.log10((count[x] + 0.1) / (n + 0.1 * (v + 1))) for x in t)) for d, t in tokens]
 
 
+def lm_scores(rows, n, rounds=100):
+    """Log10 of the interpolated n-gram model: counts by n-gram tuples, weights by bucket from every held-out token of fold 1."""
+    texts = [(zlib.crc32(str(d).encode()) % 10, [*WORDS.findall((t or "").translate(LOWER)), None]) for d, t in rows]
+    gram = lambda w, i, k: tuple(w[i - k : i + 1]) if i >= k else ("begin", k, *w[: i + 1])
+
+    def count(chosen):
+        c = Counter(gram(w, i, k) for f, w in texts if chosen(f) for i in range(len(w)) for k in range(n))
+        return c, sum(len(w) for f, w in texts if chosen(f)), sum(chosen(f) for f, _ in texts)
+
+    def parts(c, total, docs, w, i):
+        """Estimates of orders 1 to n, and the bucket."""
+        before = [total] + [docs if i == 0 else c[gram(w, i - 1, k - 1)] for k in range(1, n)]
+        met = [k for k in range(1, n) if before[k]]
+        bucket = (met[-1], min(int(math.log2(before[met[-1]])), 23)) if met else (0, 0)
+        return [c[gram(w, i, k)] / max(before[k], 1) for k in range(n)], bucket
+
+    every, outside = count(lambda f: f > 0), count(lambda f: f > 1)
+    v = len({x for f, w in texts if f > 0 for x in w})
+    held = {}
+    for f, w in texts:
+        for i in range(len(w) if f == 1 else 0):
+            p, b = parts(*outside, w, i)
+            held.setdefault(b, []).append([*p, 1 / (v + 1)])
+
+    def weights(b):
+        while b not in held and b[1]:
+            b = (b[0], b[1] - 1)
+        w = [1 / (b[0] + 2) if k <= b[0] or k == n else 0.0 for k in range(n + 1)]
+        if b not in held:
+            return w
+        for _ in range(rounds):
+            new = [0.0] * (n + 1)
+            for p in held[b]:
+                total = sum(x * y for x, y in zip(p, w, strict=True))
+                for k in range(n + 1):
+                    new[k] += p[k] * w[k] / total
+            w = [x / len(held[b]) for x in new]
+        return [0.999 * x + 0.001 * (k == n) for k, x in enumerate(w)]
+
+    cache, out = {}, []
+    for _, w in texts:
+        score = 0
+        for i in range(len(w)):
+            p, b = parts(*every, w, i)
+            cache[b] = cache.get(b) or weights(b)
+            score += math.log10(sum(x * y for x, y in zip([*p, 1 / (v + 1)], cache[b], strict=True)))
+        out.append(score)
+    return out
+
+
 def statistics(text):
     """The classifier's features, by the lists and counts that they are named after."""
     raw = (text or "").encode()
@@ -184,6 +247,6 @@ def copies(rows):
         budget, done, ended = target[s] - full * size[s], 0, False
         for _, n, d in sorted(by[s]):
             ends = not ended and done + n >= budget
-            out[d] = full + int(not ended and (not ends or done + n - budget <= budget - done))
+            out[d] = full + int(budget > 0 and not ended and (not ends or done + n - budget <= budget - done))
             ended, done = ended or ends, done + n
     return out

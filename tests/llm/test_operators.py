@@ -89,8 +89,37 @@ def test_suffixes_keep_first(docs):
 
 @pytest.mark.parametrize("keep", ["none", "first"])
 def test_suffixes_with_windows_of_large_anchors(docs, keep):
-    plain = got(suffixes.dedup_spans(docs, size=80, keep=keep), "doc_id", "n_removed", "n_spans")
-    assert got(suffixes.dedup_spans(docs, size=80, keep=keep, bin_bytes=300), "doc_id", "n_removed", "n_spans") == plain
+    columns = ["doc_id", "n_removed", "n_spans", "n_shared"]
+    plain = got(suffixes.dedup_spans(docs, size=80, keep=keep, passage=50), *columns)
+    assert got(suffixes.dedup_spans(docs, size=80, keep=keep, passage=50, bin_bytes=300), *columns) == plain
+    assert [(d, n) for d, *_, n in plain] == sorted(brute.shared_bytes(PAIRS, 50))
+    without = suffixes.dedup_spans(docs, size=80, keep=keep)
+    assert "n_shared" not in without.columns and got(without, *columns[:3]) == [r[:3] for r in plain]
+
+
+def test_suffixes_over_files(spark, tmp_path):
+    """Copies, near copies and short and long passages over many files and partitions, against every window."""
+    r = random.Random(8)
+    words_ = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randrange(1, 9))) for _ in range(n))
+    passages, base = [words_(n) for n in (30, 52, 56, 70, 90, 300)], words_(200)
+    data = []
+    for i in range(120):
+        t = words_(r.randrange(1, 120))
+        if i % 3 == 0:
+            t += " " + passages[i // 3 % 6] + " " + words_(3)
+        if i % 10 == 1:
+            w = base.split()
+            w[r.randrange(200)] = f"own{i}"
+            t = " ".join(w)
+        if i % 10 == 2:
+            t = data[r.randrange(i - 1)][1]
+        data.append((i, t))
+    spark.createDataFrame(data, "doc_id long, text string").repartition(37).write.parquet(str(tmp_path / "d"))
+    found = suffixes.dedup_spans(spark.read.parquet(str(tmp_path / "d")), keep="none", passage=256, digest=True)
+    shared = dict(brute.shared_bytes(data, 256))
+    assert sorted(map(tuple, found.collect())) == sorted((*x, shared[x[0]]) for x in brute.suffixes(data))
+    long_ = {i for i in range(120) if i % 3 == 0 and i // 3 % 6 > 0 and i % 10 not in (1, 2)}
+    assert all(shared[i] for i in long_)
 
 
 def test_rules(docs):
@@ -217,12 +246,30 @@ def test_lm(docs):
     assert sum(r.score for r in found.values()) > sum(r.base_score for r in found.values())
 
 
+@pytest.mark.parametrize("n", [1, 2, 3])
+def test_lm_scores_equal_plain_interpolation(docs, n):
+    """Orders, buckets and weights; cells stand for tokens with nearly the same estimates, hence the tolerance."""
+    found = {r.doc_id: r.score for r in lm.lm_scores(docs, n=n).collect()}
+    for (d, _), score in zip(PAIRS, brute.lm_scores(PAIRS, n), strict=True):
+        assert found[d] == pytest.approx(score, rel=2e-3 if n < 3 else 2e-2, abs=1e-3)
+
+
+def test_lm_exchange_of_several_levels(docs):
+    """Small chunks and ranges: counts and scores are the same through one exchange or several."""
+    plain = got(lm.lm_scores(docs), "doc_id", "n_known", "train_tokens")
+    score = {r.doc_id: (r.base_score, r.score) for r in lm.lm_scores(docs).collect()}
+    for width in (2, 3):
+        found = lm.lm_scores(docs, chunk=700, fragment=2500, width=width)
+        assert got(found, "doc_id", "n_known", "train_tokens") == plain
+        assert all((r.base_score, r.score) == pytest.approx(score[r.doc_id]) for r in found.collect())
+
+
 def test_lm_mixture_sums_to_one():
     import numpy as np
 
-    cells = np.array([(3 * lm.STEPS + 4) * lm.STEPS + 20, (3 * lm.STEPS + lm.STEPS - 1) * lm.STEPS + 9])
-    w = lm.mixture(cells, np.array([70.0, 30.0]), 1000)
-    assert np.allclose(w.sum(1), 1) and (w >= 0).all()
+    p = np.array([[1e-3, 0.2], [1e-2, 0.0]])
+    w = lm.mixture(np.array([27, 27]), np.array([70.0, 30.0]), p, 1000)
+    assert np.allclose(w.sum(1), 1) and (w >= 0).all() and (w[1 : lm.LOGS, 1] == 0).all()
 
 
 def test_mixing(docs):
@@ -238,6 +285,16 @@ def test_mixing(docs):
     assert sorted(mixing.mix_sources(docs).collect()) == sorted(found)
 
 
+def test_mixing_takes_nothing_beyond_the_limit(spark):
+    """A source at its limit, with many empty texts: whatever their hashes, none is taken a fourth time."""
+    data = [(i, "" if i % 3 else "one two", "small") for i in range(60)] + [(100 + i, "w " * 400, "large") for i in range(20)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    found = mixing.mix_sources(df).collect()
+    small = [r for r in found if r.source == "small"]
+    assert {r.copies for r in small} == {3} and small[0].target == 3 * small[0].source_size
+    assert {r.doc_id: r.copies for r in found} == brute.copies(data)
+
+
 def test_mixing_caps(spark):
     df = spark.createDataFrame([("a", 1), ("b", 100), ("c", 5), (None, 10)], "source string, source_size long")
     t = {r.source: r.target for r in mixing.source_targets(df, (1, 2, 3), 3).collect()}
@@ -280,6 +337,54 @@ def test_media(spark, docs, tmp_path):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]))
 
 
+def test_media_appends_and_overwrites(spark, docs, tmp_path):
+    path = str(tmp_path / "m")
+    one, two, three = docs.where("doc_id < 20"), docs.where("doc_id >= 90"), docs.where("doc_id = 50")
+    ids = lambda: got(media.read_media(spark, path), "doc_id")
+    media.write_media(one, path)
+    media.write_media(two, path)
+    assert ids() == got(one.union(two), "doc_id")
+    media.write_media(three, path, "overwrite")
+    assert ids() == [(50,)] and len(list((tmp_path / "m").glob("*.zip"))) == 1
+    media.write_media(one, path)
+    assert ids() == got(one.union(three), "doc_id")
+
+
+def test_png_by_another_reading():
+    """Stored images by the chunks of the format, and images of any row filter made by the definition."""
+    import struct
+
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    for rows in (1, 5, 40):
+        payload = r.integers(0, 256, rows * 192, dtype=np.uint8).tobytes()
+        stored = media.to_png(payload)
+        assert stored[:8] == b"\x89PNG\r\n\x1a\n" and struct.unpack(">IIBB", stored[16:26]) == (64, rows, 8, 2)
+        n = struct.unpack(">I", stored[33:37])[0]
+        raw = zlib.decompress(stored[41 : 41 + n])
+        assert b"".join(raw[i * 193 + 1 : (i + 1) * 193] for i in range(rows)) == payload and set(raw[::193]) == {0}
+        assert media.from_png(stored) == payload
+    for colour, step in ((0, 1), (2, 3), (4, 2), (6, 4)):
+        x = r.integers(0, 256, (10, 7 * step), dtype=np.uint8)
+        lines = []
+        for y in range(10):
+            line = [y % 5]
+            for i in range(7 * step):
+                a = int(x[y, i - step]) if i >= step else 0
+                b = int(x[y - 1, i]) if y else 0
+                c = int(x[y - 1, i - step]) if y and i >= step else 0
+                q = a + b - c
+                near = a if abs(q - a) <= abs(q - b) and abs(q - a) <= abs(q - c) else b if abs(q - b) <= abs(q - c) else c
+                line.append((int(x[y, i]) - [0, a, b, (a + b) // 2, near][y % 5]) % 256)
+            lines.append(bytes(line))
+        body = lambda kind, v: struct.pack(">I", len(v)) + kind + v + struct.pack(">I", zlib.crc32(kind + v))
+        head = struct.pack(">IIBBBBB", 7, 10, 8, colour, 0, 0, 0)
+        packed = zlib.compress(b"".join(lines))
+        image = b"\x89PNG\r\n\x1a\n" + body(b"IHDR", head) + body(b"IDAT", packed[:20]) + body(b"IDAT", packed[20:]) + body(b"IEND", b"")
+        assert media.from_png(image) == x.tobytes()
+
+
 def test_media_tells_of_damage(spark, docs, tmp_path):
     path = tmp_path / "m"
     media.write_media(docs.coalesce(1), str(path))
