@@ -141,31 +141,39 @@ def _escaped(word: str) -> str:
 def word_diff(old: str | None, new: str | None) -> tuple[str, str]:
     """Both texts with words that only one has marked <del> and <ins>, by a longest common subsequence.
 
-    Of the table only one bit a cell is kept: whether skipping the old word is as good as skipping the new one.
+    Of several such subsequences the one is taken that pairs words as soon as they meet and else gives up old words
+    first: an old word is given up as long as the rest can still share as much without it.
+
+    For each old word one bit a place in the new text is kept: whether the rest shares as much without the old word.
     """
     a, b = ([x for x in re.split(r"(\s+)", t or "") if x] for t in (old, new))
-    code = {w: i for i, w in enumerate(dict.fromkeys(a + b))}
-    ids = np.array([code[w] for w in b], np.int64)
-    below, skip_old = np.zeros(len(b) + 1, np.int32), [b""] * len(a)
-    for i in range(len(a) - 1, -1, -1):
-        row = np.zeros(len(b) + 1, np.int32)
-        row[:-1] = np.where(ids == code[a[i]], below[1:] + 1, below[:-1])
-        row = np.maximum.accumulate(row[::-1])[::-1]
-        skip_old[i] = np.packbits(below[:-1] >= row[1:])
-        below = row
-    left, right, i, j = [], [], 0, 0
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and a[i] == b[j]:
-            left.append(_escaped(a[i]))
-            right.append(_escaped(b[j]))
-            i, j = i + 1, j + 1
-        elif j == len(b) or (i < len(a) and skip_old[i][j >> 3] >> (7 - (j & 7)) & 1):
-            left.append(f"<del>{_escaped(a[i])}</del>")
-            i += 1
+    number = {w: k for k, w in enumerate(dict.fromkeys(a + b))}
+    numbers = np.array([number[w] for w in b], np.int64)
+    rest, spare = np.zeros(len(b) + 1, np.int32), []
+    for word in reversed(a):
+        with_it = np.zeros_like(rest)
+        with_it[:-1] = np.where(numbers == number[word], rest[1:] + 1, rest[:-1])
+        with_it = np.maximum.accumulate(with_it[::-1])[::-1]
+        spare.append(np.packbits(rest[:-1] >= with_it[1:]))
+        rest = with_it
+    gone = lambda words: "".join(f"<del>{_escaped(w)}</del>" for w in words)
+    come = lambda words: "".join(f"<ins>{_escaped(w)}</ins>" for w in words)
+    before, after, at = [], [], 0
+    for word in a:
+        bits = spare.pop()
+        meets = at
+        while meets < len(b) and b[meets] != word and not bits[meets >> 3] >> (7 - (meets & 7)) & 1:
+            meets += 1
+        after.append(come(b[at:meets]))
+        at = meets
+        if at < len(b) and b[at] == word:
+            before.append(_escaped(word))
+            after.append(_escaped(word))
+            at += 1
         else:
-            right.append(f"<ins>{_escaped(b[j])}</ins>")
-            j += 1
-    return "".join(left), "".join(right)
+            before.append(gone([word]))
+    after.append(come(b[at:]))
+    return "".join(before), "".join(after)
 
 
 @F.pandas_udf(T.StructType().add("before", "string").add("after", "string"))

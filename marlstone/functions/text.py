@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 # Chunk length and overlap.
 CHUNK, OVERLAP = 1200, 150
-#: Ordered masks: resident number, mobile number, landline, e-mail.
+# Ordered masks (resident number, mobile number, landline, e-mail), and what stands in their place.
 MASKS = [
-    (r"([0-9]{6})-?[1-4][0-9]{6}", "$1-*******", r"\1-*******"),
-    (r"01[016789]-?[0-9]{3,4}-?[0-9]{4}", "[phone]", "[phone]"),
-    (r"0[2-6][0-9]?-[0-9]{3,4}-[0-9]{4}", "[phone]", "[phone]"),
-    (r"[0-9A-Za-z._%+-]+@[0-9A-Za-z.-]+\.[A-Za-z]{2,}", "[mail]", "[mail]"),
+    (r"\b[0-9]{6}[- ][0-9]{7}\b", "******-*******"),
+    (r"\b01[0-9][- ]?[0-9]{3,4}[- ]?[0-9]{4}\b", "01*-****-****"),
+    (r"\b0[0-9]{1,2}-[0-9]{3,4}-[0-9]{4}\b", "0**-****-****"),
+    (r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.]+", "****@****"),
 ]
+#: Found by nothing; stands for a query without terms.
+NO_TERM = "___none___"
 
 
 def chunks(text: Column, size: int = CHUNK, overlap: int = OVERLAP) -> Column:
@@ -27,19 +29,62 @@ def tokens(text: Column) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}\-]+"), 0), lambda t: t.rlike(r"[\p{L}\p{N}]"))
 
 
+def or_terms(query: Column) -> Column:
+    """The different terms of a question, any of which a hit may have; one that nothing has if there are none."""
+    found = F.array_distinct(F.filter(F.regexp_extract_all(query, F.lit(r"[\p{L}\p{N}\-]+"), 0), lambda t: t.rlike(r"[\p{L}\p{N}]")))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(NO_TERM)))
+
+
 def mask(text: Column) -> Column:
-    for pattern, by, _ in MASKS:
-        text = F.regexp_replace(text, pattern, by)
+    """Personal data masked, one kind after the other. Letters of any script are letters at a word's border."""
+    for pattern, by in MASKS:
+        text = F.regexp_replace(text, f"(?U){pattern}", by)
     return text
 
 
+def label(path: Column) -> Column:
+    """What a source is called: the text behind the first #, else the file's name."""
+    base = F.substring_index(F.translate(path, "\\", "/"), "/", -1)
+    return F.when(F.contains(path, F.lit("#")), F.regexp_replace(path, "(?s)^[^#]*#", "")).otherwise(base)
+
+
+# How a day and a month are written.
+FULL_DATE = r"([0-9]{4})[.\-/년\s]{1,2}([0-9]{1,2})[.\-/월\s]{1,2}([0-9]{1,2})"
+MONTH = r"([0-9]{4})[.\-/]([0-9]{1,2})"
+
+
 def tolerant_date(text: Column) -> Column:
-    """y sep m sep d, else y sep m as the 15th; an impossible full date is null and isn't read as a month."""
-    full, month = r"^\D*([0-9]{4})[-./]\s*([0-9]{1,2})[-./]\s*([0-9]{1,2})", r"^\D*([0-9]{4})[-./]\s*([0-9]{1,2})"
+    """The first day anywhere in a text, else the first month as its 15th; an impossible day is null and isn't read as a month."""
     part = lambda p, i: F.lpad(F.regexp_extract(text, p, i), 2, "0")
-    day = F.concat_ws("-", F.regexp_extract(text, full, 1), part(full, 2), part(full, 3))
-    mid = F.concat_ws("-", F.regexp_extract(text, month, 1), part(month, 2), F.lit("15"))
-    return F.when(text.rlike(full), F.try_to_date(day, "yyyy-MM-dd")).when(text.rlike(month), F.try_to_date(mid, "yyyy-MM-dd"))
+    read = lambda y, *more: F.when(F.regexp_extract(text, y, 1) != "0000", F.try_to_date(F.concat_ws("-", F.regexp_extract(text, y, 1), *more), "yyyy-MM-dd"))
+    return F.when(text.rlike(FULL_DATE), read(FULL_DATE, part(FULL_DATE, 2), part(FULL_DATE, 3))).when(text.rlike(MONTH), read(MONTH, part(MONTH, 2), F.lit("15")))
+
+
+def strip_markdown(text: Column) -> Column:
+    """Headings, rules, bold, italics and bullets lose their marks; of several blank lines one stays."""
+    for pattern, by in [
+        (r"(?m)^#{1,6}\s*", ""), (r"(?m)^\s*[-*]{3,}\s*$", ""), (r"\*\*(.+?)\*\*", "$1"),
+        (r"(?U)(?<!\w)\*(.+?)\*(?!\w)", "$1"), (r"(?m)^\s*[-*]\s+", ""), (r"\n{3,}", "\n\n"), (r"^\s+|\s+$", ""),
+    ]:
+        text = F.regexp_replace(text, pattern, by)
+    return text
+
+
+def first_most(values: Column) -> Column:
+    """The most frequent value of an array, of equals the one that comes first; null if there is none."""
+    kinds = F.transform(F.array_distinct(values), lambda v: F.struct(F.size(F.filter(values, lambda x: x == v)).alias("n"), v.alias("v")))
+    start = F.struct(F.lit(0).alias("n"), F.get(values, F.lit(0)).alias("v"))
+    return F.aggregate(kinds, start, lambda a, x: F.when(x["n"] > a["n"], x).otherwise(a))["v"]
+
+
+def merged(*lists: Column) -> Column:
+    """Lists one after the other, each value once where it comes first; a null list is empty."""
+    return F.array_distinct(F.concat(*(F.coalesce(x, F.array().cast("array<string>")) for x in lists)))
+
+
+def number_order(text: Column) -> Column:
+    """To sort a text by the number that it is; others come last."""
+    return F.coalesce(F.trim(text).try_cast("decimal(38,9)"), F.lit("9" * 29).cast("decimal(38,9)"))
 
 
 def strip_markup(html: Column) -> Column:

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Error rates by severity; look-alikes and specks of bad scans.
+# Error rates by severity.
 RATES = {"high": 0.15, "mid": 0.07, "low": 0.02}
-LOOKALIKES = {"0": "O", "1": "l", "8": "B", "5": "S", ".": ","}
-SPECKS = "·¸'˙|"
+#: Faults of a scan: what happens to a character and how often, in parts of a hundred of all faults.
+FAULTS = (("alike", 40), ("lost", 15), ("speck", 15), ("joined", 15), ("broken", 15))
+ALIKE = "0O1l5S8B2Z6G.,:;"
+SPECKS = "·˙¸'`"
 
 
 def chance(*keys: Column) -> Column:
@@ -20,23 +22,31 @@ def picked(options: list[str] | tuple[str, ...], *keys: Column) -> Column:
     return F.get(F.array(*map(F.lit, options)), F.pmod(F.xxhash64(*keys), F.lit(len(options))).cast("int"))
 
 
-def noisy(text: Column, rate: Column | float, *keys: Column) -> Column:
-    """A text as a bad scan gives it: look-alikes, lost characters and spaces, specks, stray spaces and line ends.
+def noisy(text: Column, rate: Column | float, *keys: Column, faults: tuple = FAULTS) -> Column:
+    """A text as a bad scan gives it. `rate` of the characters meet a fault, drawn by the shares in `faults`:
 
-    `rate` of the characters meet a fault; line ends stay unless lost. The keys name the row. Null stays null.
+    alike: the other of a pair of ALIKE; lost: nothing; speck: a speck behind it; joined: a space goes;
+    broken: a space or line end behind it. A fault that can't befall a character (another letter alike, a space
+    joined) leaves it, and line ends are only ever lost. The keys name the row. Null stays null.
     """
-    p = F.lit(rate) if isinstance(rate, float) else rate
-    alike = F.create_map(*[F.lit(x) for pair in LOOKALIKES.items() for x in pair])
-
-    def char(c: Column, i: Column) -> Column:
-        r, more = chance(*keys, i) / p, chance(*keys, i, F.lit("more"))
-        inner = c != "\n"
-        return (
-            F.when(p <= 0, c).when((r < 0.45) & alike[c].isNotNull(), alike[c]).when(r < 0.55, "").when((r < 0.70) & inner, F.concat(c, picked(SPECKS, *keys, i, F.lit("speck"))))
-            .when((r < 0.85) & (c == " "), "").when((r < 1) & inner, F.concat(c, F.when(more < 0.3, "\n").otherwise(" "))).otherwise(c)
-        )
-
-    return F.array_join(F.transform(F.split(text, ""), char), "")
+    rate = F.lit(rate) if isinstance(rate, float) else rate
+    drawn = [name for name, share in faults for _ in range(share)]
+    other = {ALIKE[k]: ALIKE[k ^ 1] for k in range(len(ALIKE) // 2 * 2)}
+    alike = F.create_map(*[F.lit(x) for pair in other.items() for x in pair])
+
+    def befallen(c: Column, i: Column) -> Column:
+        draw = lambda what: F.pmod(F.xxhash64(*keys, i, F.lit(what)), F.lit(len(drawn))).cast("int")
+        fault = F.get(F.array(*map(F.lit, drawn)), draw("fault"))
+        outcome = {
+            "alike": F.coalesce(alike[c], c), "lost": F.lit(""), "speck": F.concat(c, picked(SPECKS, *keys, i, F.lit("speck"))),
+            "joined": F.when(c == " ", "").otherwise(c), "broken": F.concat(c, F.when(draw("end") % 3 == 0, "\n").otherwise(" ")),
+        }
+        result = c
+        for name in outcome:
+            result = F.when((fault == name) & ((c != "\n") | F.lit(name == "lost")), outcome[name]).otherwise(result)
+        return F.when(chance(*keys, i) < rate, result).otherwise(c)
+
+    return F.array_join(F.transform(F.split(text, ""), befallen), "")
 
 
 def mirrored(name: Column) -> Column:

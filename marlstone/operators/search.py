@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import chunks, cosine, harmonic_rank, tokens
@@ -21,7 +21,11 @@ def chunk_documents(docs: DataFrame) -> DataFrame:
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    """doc_id, term, tf. Terms are counted in their row: sorted, then from one's first place to the next's. Nothing is shuffled."""
+    rows = docs.select("doc_id", F.array_sort(tokens(F.col("text"))).alias("s")).where(F.size("s") > 0)
+    rows = rows.select("doc_id", "s", F.filter(F.sequence(F.lit(1), F.size("s")), lambda i: (i == 1) | (F.element_at("s", i) != F.get("s", i - 2))).alias("at"))
+    found = F.transform("at", lambda p, k: F.struct(F.element_at("s", p).alias("term"), (F.coalesce(F.get("at", k + 1), F.size("s") + 1) - p).cast("long").alias("tf")))
+    return rows.select("doc_id", F.inline(found))
 
 
 def lexical(docs: DataFrame, terms: list[str]) -> DataFrame:
@@ -50,8 +54,14 @@ def fuse(branches: list[tuple[DataFrame, float]], key: str = "doc_id", k: int =
     return both.groupBy(key).agg(F.round(F.sum("s"), 9).alias("score"))
 
 
-def hybrid(docs: DataFrame, vectors: DataFrame, query: DataFrame, terms: list[str], dense: bool = True) -> DataFrame:
-    """doc_id, score, r: dense and lexical top lists fused; a document's vector has its id. Texts are fetched after the top-k only."""
+def hybrid(docs: DataFrame, vectors: DataFrame, query: DataFrame, terms: list[str], dense: bool = True, pool: Column | None = None) -> DataFrame:
+    """doc_id, score, r: dense and lexical top lists fused; a document's vector has its id. Texts are fetched after the top-k only.
+
+    With pool, a condition on documents, both lists are made of the documents that meet it.
+    """
+    if pool is not None:
+        docs = docs.where(pool)
+        vectors = vectors.join(docs.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
     sparse = top(lexical(docs, terms), DEPTH, F.desc("score"), "doc_id")
     branches = [(sparse, SPARSE)]
     if dense:
@@ -97,10 +107,12 @@ def merge_hits(lists: list[DataFrame], most: int) -> DataFrame:
 
 
 def apply_picks(hits: DataFrame, picks: DataFrame) -> DataFrame:
-    """Hits (id, similarity, r) without excluded ids, with pinned ones first by weight, then by similarity, stable."""
-    latest = picks
-    kept = hits.join(latest.where("kind = 'exclude'").select("id"), "id", "left_anti")
-    pins = latest.where("kind = 'pin'").select("id", "weight")
+    """Hits (id, similarity, r) without excluded ids, with pinned ones first by weight, then by similarity, stable.
+
+    Both are short lists (a search's top hits and one person's picks), ranked in one task.
+    """
+    kept = hits.join(picks.where("kind = 'exclude'").select("id"), "id", "left_anti")
+    pins = picks.where("kind = 'pin'").select("id", "weight")
     rows = kept.join(pins, "id", "full_outer").withColumn("pinned", F.col("weight").isNotNull())
     order = [F.desc("pinned"), F.desc_nulls_last("weight"), F.desc_nulls_last("similarity"), F.asc_nulls_last("r"), "id"]
     return rows.select("id", "similarity", "pinned", F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,11 +56,20 @@ def check(spark: SparkSession, sql: str, allowed: set[str]) -> None:
         raise Refused(f"functions: {sorted(functions - FUNCTIONS)}")
 
 
+def _own_view(session: SparkSession, name: str, df: DataFrame) -> None:
+    """A view that only this session has. Plans pass between sessions through a global view, under a name never used twice and gone at once."""
+    passing = f"guarded_{uuid.uuid4().hex}"
+    df.createGlobalTempView(passing)
+    try:
+        session.table(f"global_temp.{passing}").createOrReplaceTempView(name)
+    finally:
+        session.catalog.dropGlobalTempView(passing)
+
+
 def run(spark: SparkSession, sql: str, views: dict[str, DataFrame], most: int = MOST) -> DataFrame:
     """Runs a checked SELECT in a session that has the views only."""
     session = spark.newSession()
     check(session, sql, set(views))
     for name, df in views.items():
-        df.createOrReplaceGlobalTempView(f"guarded_{name}")
-        session.sql(f"CREATE OR REPLACE TEMPORARY VIEW {name} AS SELECT * FROM global_temp.guarded_{name}")
+        _own_view(session, name, df)
     return session.sql(sql).limit(most)

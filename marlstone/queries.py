@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as tx
-from .operators import dossiers, extract, generate, graph, ingest, intake, scans, search, state
+from .operators import dossiers, extract, generate, graph, ingest, intake, prediction, scans, search, state
 from .plans import guard
 from .sources import blocks, texts
 from .streaming import windows
@@ -395,7 +395,7 @@ def cascade_delete(t):
 
 def _masks() -> str:
     sql = "text"
-    for p, _, by in tx.MASKS:
+    for p, by in tx.MASKS:
         sql = f"regexp_replace({sql}, '{p}', '{by}', 'g')"
     return sql
 
@@ -405,10 +405,21 @@ def mask_pii(t):
     return t.documents.select("doc_id", F.sha2(tx.mask(F.col("text")), 256).alias("masked"))
 
 
-@query()
+_DIGITS = "'" + blocks.DIGIT + "'"
+CORRECT_SQL = f"""WITH t AS (SELECT doc_id, translate(replace(translate(text, '{blocks.NOISE.replace("'", "''")}', ''), chr(10), ' '), '{"".join(blocks.SAFE)}', '{"".join(blocks.SAFE.values())}') AS t FROM documents),
+c AS (SELECT doc_id, unnest(string_split(t, '')) AS c, unnest(range(length(t))) AS i FROM t),
+near AS (SELECT *, lead(c) OVER (PARTITION BY doc_id ORDER BY i) AS after,
+  last_value(CASE WHEN c NOT IN ('O', 'l', 'B', 'S') THEN c END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM c),
+done AS (SELECT doc_id, i, CASE WHEN c IN ('O', 'l', 'B', 'S', 'ㅡ') AND (coalesce(regexp_matches(after, {_DIGITS}), false) OR coalesce(regexp_matches(before, {_DIGITS}), false)) THEN translate(c, 'OlBSㅡ', '0185-') ELSE c END AS c FROM near),
+joined AS (SELECT doc_id, trim(regexp_replace(string_agg(c, '' ORDER BY i), '[\\s\\v\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+', ' ', 'g')) AS text FROM done GROUP BY 1)
+SELECT doc_id, coalesce(length(j.text), 0)::BIGINT AS n_chars, sha256(coalesce(j.text, '')) AS corrected FROM documents LEFT JOIN joined j USING (doc_id)"""
+
+
+@query(CORRECT_SQL)
 def rule_correct_text(t):
-    """Lookarounds have no counterpart in the SQL engine; unit tests hold the rules."""
-    return t.documents.select("doc_id", F.length(blocks.correct(F.col("text"))).cast("long").alias("n_chars"))
+    """In SQL by windows over single characters: the letters between a digit and here decide."""
+    fixed = blocks.correct(F.col("text"))
+    return t.documents.select("doc_id", F.length(fixed).cast("long").alias("n_chars"), F.sha2(fixed, 256).alias("corrected"))
 
 
 @query(r"SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?i)<br\s*/?>', chr(10), 'g'), '(?s)<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[ \t\r\n]+', ' ', 'g')) AS text FROM pages")
@@ -416,15 +427,6 @@ def strip_markup(t):
     return t.pages.select("page_id", tx.strip_markup(F.col("html")).alias("text"))
 
 
-@query(r"SELECT k, regexp_replace(regexp_replace(a, 'L ([0-9]+)-([0-9]+)-([0-9]+)', 'Law article \1 paragraph \2 item \3', 'g'), 'L ([0-9]+)-([0-9]+)', 'Law article \1 paragraph \2', 'g') AS expanded FROM (SELECT o_orderkey AS k, 'see L ' || (o_orderkey % 90) || '-' || (o_orderkey % 7) || CASE WHEN o_orderkey % 2 = 0 THEN '-' || (o_orderkey % 5) ELSE '' END AS a FROM orders)")
-def clause_expand(t):
-    k = F.col("o_orderkey")
-    s = lambda m: (k % m).cast("string")
-    a = F.concat(F.lit("see L "), s(90), F.lit("-"), s(7), F.when(k % 2 == 0, F.concat(F.lit("-"), s(5))).otherwise(""))
-    a = F.regexp_replace(a, "L ([0-9]+)-([0-9]+)-([0-9]+)", "Law article $1 paragraph $2 item $3")
-    return t.orders.select(k.alias("k"), F.regexp_replace(a, "L ([0-9]+)-([0-9]+)", "Law article $1 paragraph $2").alias("expanded"))
-
-
 @query(r"SELECT p_partkey, regexp_extract(p_brand, '#([0-9])', 1) AS major, array_to_string(regexp_extract_all(p_brand || ' ' || p_type, '[0-9]+|[A-Z]{3,}'), ',') AS codes FROM part")
 def code_extract(t):
     codes = F.regexp_extract_all(F.concat_ws(" ", "p_brand", "p_type"), F.lit("[0-9]+|[A-Z]{3,}"), 0)
@@ -434,7 +436,7 @@ def code_extract(t):
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 4 THEN NULL WHEN o_orderkey % 5 = 3 THEN NULL WHEN o_orderkey % 5 = 2 THEN make_date(year(o_orderdate), month(o_orderdate), 15) ELSE o_orderdate::DATE END AS day FROM orders")
 def tolerant_date_parse(t):
     d, k = F.col("o_orderdate"), F.col("o_orderkey") % 5
-    text = F.when(k == 4, "unknown").when(k == 3, F.concat(F.date_format(d, "yyyy"), F.lit(".13.40"))).when(k == 2, F.date_format(d, "yyyy. M")).when(k == 1, F.date_format(d, "yyyy-MM-dd")).otherwise(F.date_format(d, "yyyy. M. d"))
+    text = F.when(k == 4, "unknown 12 of 7").when(k == 3, F.concat(F.date_format(d, "yyyy"), F.lit(".13.40"))).when(k == 2, F.date_format(d, "'No 7:' yyyy.M")).when(k == 1, F.date_format(d, "yyyy년 M월 d일")).otherwise(F.date_format(d, "'No 7:' yyyy. M. d"))
     return t.orders.select("o_orderkey", tx.tolerant_date(text).alias("day"))
 
 
@@ -461,11 +463,15 @@ _LINES = "lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
 
 @query(f"WITH {_LINES}, a AS (SELECT *, sum(CASE WHEN length(line) < 60 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS seg FROM lines) SELECT doc_id, seg::BIGINT AS seg, min(i)::BIGINT AS first, max(i)::BIGINT AS last, sum(length(line))::BIGINT AS n_chars FROM a GROUP BY ALL")
 def anchor_segments(t):
-    """Short lines are anchors; a block ends before the next. A document's lines stay in its row."""
-    rows = t.documents.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
-    seg = F.sum((F.length("line") < 60).cast("long")).over(Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
-    at = (F.col("i") + 1).cast("long")
-    return rows.withColumn("seg", seg).groupBy("doc_id", "seg").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.sum(F.length("line")).cast("long").alias("n_chars"))
+    """Short lines are anchors; a block ends before the next, and lines before the first are block 0. A document's lines stay in its row."""
+    rows = t.documents.select("doc_id", F.transform(F.split("text", "\n", -1), lambda x: F.length(x)).alias("lens"))
+    anchors = F.filter(F.sequence(F.lit(1), F.size("lens")), lambda i: F.element_at("lens", i) < 60)
+    headless = F.element_at("lens", 1) >= 60
+    rows = rows.select("doc_id", "lens", F.when(headless, F.concat(F.array(F.lit(1)), anchors)).otherwise(anchors).alias("begins"), F.when(headless, 0).otherwise(1).alias("from"))
+    ends = F.transform("begins", lambda b, k: F.struct(b.alias("first"), (F.coalesce(F.get("begins", k + 1), F.size("lens") + 1) - 1).alias("last")))
+    rows = rows.select("doc_id", "lens", "from", F.posexplode(ends).alias("k", "x"))
+    chars = F.aggregate(F.slice("lens", F.col("x.first"), F.col("x.last") - F.col("x.first") + 1), F.lit(0).cast("long"), lambda a, v: a + v)
+    return rows.select("doc_id", (F.col("k") + F.col("from")).cast("long").alias("seg"), F.col("x.first").cast("long").alias("first"), F.col("x.last").cast("long").alias("last"), chars.alias("n_chars"))
 
 
 @query("SELECT event_id, coalesce(nullif(CASE WHEN event_id % 3 = 0 THEN '' ELSE event_type END, ''), nullif(props->>'$.k', ''), 'none') AS section FROM events")
@@ -515,12 +521,12 @@ def severity_total_grade(t):
     return g.select("p_brand", "worst", "sevens", F.when(F.col("sevens") >= 3, 6).otherwise(F.col("worst")).cast("long").alias("total"))
 
 
-@query("SELECT p_partkey, CASE WHEN a >= 50 AND b >= 50 THEN 'keep' WHEN b >= 50 THEN 'down' WHEN a >= 50 THEN 'new' WHEN a > b THEN 'up' WHEN a < b THEN 'down' ELSE 'keep' END AS label, coalesce(nullif(trim(m), '-'), e, 'predicted') AS proposed FROM (SELECT p_partkey, p_size AS a, (p_size * 7) % 60 AS b, CASE p_size % 3 WHEN 0 THEN 'manual' WHEN 1 THEN ' - ' END AS m, CASE WHEN p_size % 2 = 0 THEN 'exam' END AS e FROM part)")
+@query("SELECT p_partkey, CASE WHEN b = 99 THEN CASE WHEN a < 99 THEN '등급기준미달' END WHEN a = 99 THEN '승급(기준미달→등급)' WHEN b < a THEN '승급' WHEN b > a THEN '하향' ELSE '직전등급 유지' END AS label, coalesce(nullif(trim(m), '-'), e, 'predicted') AS proposed FROM (SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 99 ELSE p_size % 7 + 1 END AS a, CASE WHEN p_size % 3 = 0 THEN 99 ELSE p_size % 5 + 1 END AS b, CASE p_size % 3 WHEN 0 THEN 'manual' WHEN 1 THEN ' - ' END AS m, CASE WHEN p_size % 2 = 0 THEN 'exam' END AS e FROM part)")
 def updown_labels(t):
-    a, b = F.col("p_size"), (F.col("p_size") * 7) % 60
-    label = F.when((a >= 50) & (b >= 50), "keep").when(b >= 50, "down").when(a >= 50, "new").when(a > b, "up").when(a < b, "down").otherwise("keep")
-    manual = F.when(a % 3 == 0, "manual").when(a % 3 == 1, " - ")
-    return t.part.select("p_partkey", label.alias("label"), F.coalesce(F.nullif(F.trim(manual), F.lit("-")), F.when(a % 2 == 0, "exam"), F.lit("predicted")).alias("proposed"))
+    a, size = F.when(F.col("p_size") % 4 == 0, 99).otherwise(F.col("p_size") % 7 + 1), F.col("p_size")
+    b = F.when(size % 3 == 0, 99).otherwise(size % 5 + 1)
+    manual = F.when(size % 3 == 0, "manual").when(size % 3 == 1, " - ")
+    return t.part.select("p_partkey", prediction.updown(a, b).alias("label"), F.coalesce(F.nullif(F.trim(manual), F.lit("-")), F.when(size % 2 == 0, "exam"), F.lit("predicted")).alias("proposed"))
 
 
 @query("WITH s AS (SELECT o_orderkey, sum(CASE l_returnflag WHEN 'A' THEN 1 WHEN 'R' THEN -1 ELSE 0 END) AS score FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1) SELECT o_orderkey, score::BIGINT AS score, CASE WHEN score > 0 THEN 'likely' WHEN score >= 0 THEN 'open' ELSE 'unlikely' END AS label, CASE WHEN abs(score) >= 2 THEN 'high' ELSE 'low' END AS confidence FROM s")
@@ -531,12 +537,6 @@ def axis_predict(t):
     return s.select("o_orderkey", "score", F.when(c > 0, "likely").when(c >= 0, "open").otherwise("unlikely").alias("label"), F.when(F.abs(c) >= 2, "high").otherwise("low").alias("confidence"))
 
 
-@query("SELECT p_partkey, CASE WHEN contains(p_type, 'BRASS') THEN '3' WHEN contains(p_type, 'STEEL') THEN '2' WHEN starts_with(p_brand, 'Brand#4') THEN '4' WHEN starts_with(p_brand, 'Brand#5') THEN '5' ELSE '1' END AS committee FROM part")
-def route_committee(t):
-    kind, brand = F.col("p_type"), F.col("p_brand")
-    return t.part.select("p_partkey", F.when(F.contains(kind, F.lit("BRASS")), "3").when(F.contains(kind, F.lit("STEEL")), "2").when(F.startswith(brand, F.lit("Brand#4")), "4").when(F.startswith(brand, F.lit("Brand#5")), "5").otherwise("1").alias("committee"))
-
-
 def _graph(t: Tables) -> tuple[DataFrame, DataFrame]:
     nodes = graph.nodes(
         t.region.select(F.lit("region").alias("ntype"), F.col("r_regionkey").alias("key"), F.col("r_name").alias("name")),
@@ -585,10 +585,13 @@ def graph_shared_codes(t):
 
 @query("SELECT c_custkey::VARCHAR AS customer, count(DISTINCT o_orderkey)::BIGINT AS n_orders, count(DISTINCT p_brand)::BIGINT AS n_codes FROM customer LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN part ON p_partkey = l_partkey GROUP BY 1")
 def graph_optional_hops(t):
+    """Each branch is counted before it is joined, so nothing fans out."""
     _, e = _graph(t)
+    has = e.where("etype = 'HAS'").select(F.col("skey").alias("customer"), F.col("dkey").alias("order")).distinct()
+    codes = graph.hop(has, e.where("etype = 'CODED'").distinct(), "CODED", "order", "code").select("customer", "code").distinct()
     start = t.customer.select(F.col("c_custkey").cast("string").alias("customer"))
-    paths = graph.hop(graph.hop(start, e, "HAS", "customer", "order", optional=True), e.where("etype = 'CODED'").distinct(), "CODED", "order", "code", optional=True)
-    return paths.groupBy("customer").agg(F.countDistinct("order").alias("n_orders"), F.countDistinct("code").alias("n_codes"))
+    rows = start.join(has.groupBy("customer").agg(n().alias("n_orders")), "customer", "left").join(codes.groupBy("customer").agg(n().alias("n_codes")), "customer", "left")
+    return rows.select("customer", F.coalesce("n_orders", F.lit(0)).alias("n_orders"), F.coalesce("n_codes", F.lit(0)).alias("n_codes"))
 
 
 @query("SELECT 'nation' AS ntype, n_name AS key, count(*)::BIGINT AS n FROM nation, documents WHERE contains(lower(text), lower(substr(n_name, 1, 3))) GROUP BY ALL")

@@ -28,6 +28,16 @@ def from_text(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "seq", F.lit("paragraph").alias("type"), "text", (F.col("seq") + 1).alias("page"), F.lit(0.5).alias("confidence"))
 
 
+def from_request(docs: DataFrame) -> DataFrame:
+    """Blocks of requests (doc_id, text): a JSON object with blocks gives these, with defaults (a block without a type is a
+    paragraph); any other text its paragraphs."""
+    held = F.from_json("text", T.StructType().add("blocks", T.ArrayType(BLOCK)))["blocks"]
+    rows = docs.select("doc_id", "text", held.alias("held"))
+    given = rows.where("held IS NOT NULL").select("doc_id", F.posexplode("held").alias("seq", "b"))
+    paragraph = F.coalesce(F.col("b")["type"], F.lit("paragraph")).alias("type")
+    return given.select("doc_id", "seq", paragraph, *_defaults(F.col("b"))[1:]).unionByName(from_text(rows.where("held IS NULL")))
+
+
 def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """Whole files of a directory tree: path, length, content, sha256."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
@@ -45,12 +55,29 @@ def needs_check(kind: Column, confidence: Column, every: bool = False) -> Column
     return (kind != "figure") & (F.lit(every) | (confidence < GATE))
 
 
+# Specks that go; letters that stand for another anywhere; letters that are digits beside a digit.
+NOISE = "·¸'˙‚ˈ|"
+SAFE = {"멍": "명", "힝": "항", "싱": "심", "둥": "등", "흔": "훈"}
+BY_DIGIT = {"O": "0", "l": "1", "B": "8", "S": "5", "ㅡ": "-"}
+#: A character that is a digit in any script, or raised, lowered or circled.
+DIGIT = r"[\p{Nd}²³¹⁰⁴-⁹₀-₉①-⑨⑴-⑼⒈-⒐⓪⓵-⓽⓿❶-❾➀-➈➊-➒]"
+_MARK = "\ue000"
+
+
 def correct(text: Column) -> Column:
-    """Noise characters go, look-alikes between digits become digits, white space is squeezed."""
-    text = F.regexp_replace(F.translate(text, "~^`|", ""), r"\n", " ")
-    for letter, digit in (("[lI]", "1"), ("[oO]", "0"), ("S", "5")):
-        text = F.regexp_replace(text, rf"(?<=[0-9]){letter}(?=[0-9]|\b)", digit)
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    """Specks go and line ends become spaces; letters of SAFE are put right; those of BY_DIGIT if the character before, as it is
+    then, or the next one is a digit; white space is squeezed.
+
+    Going from left to right, a letter put right makes a digit for the next one (but for the dash). So these letters are marked where
+    they follow a digit, where they follow the last marked one, or where a digit comes next.
+    """
+    text = F.regexp_replace(text, f"[{NOISE}{_MARK}]", "")
+    text = F.translate(F.translate(text, "\n", " "), "".join(SAFE), "".join(SAFE.values()))
+    some = f"[{''.join(BY_DIGIT)}]"
+    text = F.regexp_replace(text, rf"(?<={DIGIT}){some}|(?<!^)(?<!ㅡ)\G{some}|{some}(?={DIGIT})", _MARK + "$0")
+    for letter, digit in BY_DIGIT.items():
+        text = F.replace(text, F.lit(_MARK + letter), F.lit(digit))
+    return F.regexp_replace(F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", " "), "^ | $", "")
 
 
 def verified(blocks: DataFrame, every: bool = False) -> DataFrame:

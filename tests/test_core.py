@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone import queries as core
+from marlstone import queries_review  # noqa: F401 (adds its queries to those of core)
 from marlstone.functions import text as tx
 from marlstone.operators import search, state
 from marlstone.plans import guard
@@ -47,18 +48,31 @@ def one(spark, value, f):
     return spark.createDataFrame([(value,)], "v string").select(f(F.col("v"))).first()[0]
 
 
-@pytest.mark.parametrize(("text", "want"), [("2019. 3. 4", "2019-03-04"), ("2020.05", "2020-05-15"), ("2021.02.31", None), ("none", None), (None, None), ("2019-12-01 x", "2019-12-01")])
+@pytest.mark.parametrize(("text", "want"), [("2019. 3. 4", "2019-03-04"), ("2020.05", "2020-05-15"), ("2021.02.31", None), ("none", None), (None, None), ("2019-12-01 x", "2019-12-01"), ("No 12, on 2019년 3월 4일", "2019-03-04"), ("7 of 2020-5", "2020-05-15"), ("1996. 1", None), ("0000.01.02", None)])
 def test_dates(spark, text, want):
     got = one(spark, text, tx.tolerant_date)
     assert (got and str(got)) == want
 
 
-@pytest.mark.parametrize(("text", "want"), [("id 900101-1234567.", "id 900101-*******."), ("call 010-1234-5678 now", "call [phone] now"), ("a.b@c-d.org,", "[mail],"), ("02-123-4567", "[phone]")])
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("id 900101-1234567.", "id ******-*******."), ("id 900101 1234567", "id ******-*******"), ("9001011234567", "9001011234567"), ("번900101-1234567", "번900101-1234567"), ("900101-9234567", "******-*******"),
+        ("call 010-1234-5678 now", "call 01*-****-**** now"), ("010 1234 5678", "01*-****-****"), ("01112345678,", "01*-****-****,"), ("02-123-4567", "0**-****-****"), ("064-123-4567", "0**-****-****"),
+        ("a.b@c-d.org,", "****@****,"), ("홍길동@회사.한국", "****@****"), ("010-1234-5678 900101-1234567", "01*-****-**** ******-*******"), (None, None),
+    ],
+)
 def test_masks(spark, text, want):
     assert one(spark, text, tx.mask) == want
 
 
-@pytest.mark.parametrize(("text", "want"), [("1o5 ~x", "105 x"), ("2l3\n4", "213 4"), ("Solo", "Solo"), ("9S", "95")])
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("1O5 x", "105 x"), ("2l3\n4", "213 4"), ("Solo", "Solo"), ("9S", "95"), ("OlB5", "Ol85"), ("5OlBSx", "50185x"), ("3ㅡO", "3-O"), ("Oㅡ1", "O-1"), ("lO5", "l05"), ("4ㅡ1ㅡ6", "4-1-6"),
+        ("·설멍|  x", "설명 x"), ("1힝 싱흔", "1항 심훈"), ("²O", "²0"), ("1o5", "1o5"), ("", ""), (None, None),
+    ],
+)
 def test_correction(spark, text, want):
     assert one(spark, text, blocks.correct) == want
 
@@ -90,15 +104,20 @@ def test_guard_refuses(spark, sql):
 def test_guard_runs_over_views_only(spark):
     df = spark.range(500).withColumn("k", F.col("id") % 3)
     assert guard.run(spark, "SELECT k, id FROM stats_a", {"stats_a": df}).count() == 200
+    one, two = (guard.run(spark, "SELECT k, id FROM stats_a", {"stats_a": df.where(f"k = {k}")}) for k in (1, 2))  # of one name, side by side
+    assert {r.k for r in one.collect()} == {1} and {r.k for r in two.collect()} == {2}
 
 
 def test_blocks(spark, tmp_path):
-    data = {"doc_id": "d", "blocks": [{"type": "paragraph", "text": "1o5", "page": 2, "confidence": 0.5}, {"text": "1o5"}, {"type": "figure", "text": "1o5", "confidence": 0.1}, {"type": "table", "text": "1o5", "confidence": 0.85}]}
+    data = {"doc_id": "d", "blocks": [{"type": "paragraph", "text": "1O5", "page": 2, "confidence": 0.5}, {"text": "1O5"}, {"type": "figure", "text": "1O5", "confidence": 0.1}, {"type": "table", "text": "1O5", "confidence": 0.85}]}
     (tmp_path / "a.json").write_text(json.dumps(data))
     got = blocks.verified(blocks.read_json(spark, str(tmp_path))).orderBy("seq").collect()
-    assert [(r.type, r.text, r.page, r.confidence, r.raw) for r in got] == [("paragraph", "105", 2, 0.5, "1o5"), ("other", "1o5", 1, 1.0, None), ("figure", "1o5", 1, 0.1, None), ("table", "1o5", 1, 0.85, None)]
+    assert [(r.type, r.text, r.page, r.confidence, r.raw) for r in got] == [("paragraph", "105", 2, 0.5, "1O5"), ("other", "1O5", 1, 1.0, None), ("figure", "1O5", 1, 0.1, None), ("table", "1O5", 1, 0.85, None)]
     text = spark.createDataFrame([(1, " a \n\n\n\nb\nc\n \n")], "doc_id long, text string")
     assert [(r.text, r.page) for r in blocks.from_text(text).orderBy("seq").collect()] == [("a", 1), ("b\nc", 2)]
+    asked = spark.createDataFrame([(1, '{"blocks": [{"text": "x"}, {"type": "table", "text": "y", "page": 3, "confidence": 0.2}]}'), (2, "one\n\ntwo")], "doc_id long, text string")
+    got = [(r.doc_id, r.type, r.text, r.page, r.confidence) for r in blocks.from_request(asked).orderBy("doc_id", "seq").collect()]
+    assert got == [(1, "paragraph", "x", 1, 1.0), (1, "table", "y", 3, 0.2), (2, "paragraph", "one", 1, 0.5), (2, "paragraph", "two", 2, 0.5)]
 
 
 def test_manifest(spark, tmp_path):

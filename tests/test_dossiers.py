@@ -52,7 +52,7 @@ def test_noise(spark):
     noised = [[r[0] for r in rows.repartition(n).orderBy("k").select(generate.noisy(F.col("t"), generate.RATES["high"], F.col("k"))).collect()] for n in (1, 3)]
     assert noised[0] == noised[1] and noised[0][0] != noised[0][1] and noised[0][2] is None
     assert rows.where("k = 1").select(generate.noisy(F.col("t"), 0.0, F.col("k"))).first()[0] == text
-    assert 0 < sum(noised[0][0].count(c) for c in generate.SPECKS) < 0.06 * len(text) and "O" in noised[0][0]
+    assert 0 < sum(noised[0][0].count(c) for c in generate.SPECKS) < 0.06 * len(text)
 
 
 def test_variants(spark):
