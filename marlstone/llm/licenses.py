@@ -111,3 +111,34 @@ def license_scan(docs: DataFrame, share: float = 0.8, drift: int = 3) -> DataFra
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(documents(spark, sf_dir))
+
+
+def _values() -> str:
+    rows = []
+    for number, (label, text) in enumerate(PHRASES + NOTICES):
+        w = text.split()
+        rows += [f"({number}, '{label}', {str(number < len(PHRASES)).lower()}, {len(w)}, {i}, '{w[i]}', '{w[i + 1]}', '{w[i + 2]}')" for i in range(len(w) - K + 1)]
+    return ", ".join(rows)
+
+
+OP2_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w FROM documents),
+token AS (SELECT doc_id, unnest(w) AS w0, unnest(range(len(w))) AS i FROM d),
+gram AS (SELECT *, lead(w0, 1) OVER o AS w1, lead(w0, 2) OVER o AS w2 FROM token WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+known(template, label, base, size, place, g0, g1, g2) AS (VALUES {_values()}),
+hit AS (SELECT doc_id, template, label, base, size, i - place AS diagonal, place FROM gram JOIN known ON w0 = g0 AND w1 = g1 AND w2 = g2),
+diagonals AS (SELECT doc_id, template, label, size, diagonal, any_value(base) AND count(DISTINCT place) = any_value(size) - {K - 1} AS exact FROM hit GROUP BY doc_id, template, label, size, diagonal),
+apart AS (SELECT *, coalesce((diagonal - lag(diagonal) OVER o > 3)::INT, 0) AS apart FROM diagonals WINDOW o AS (PARTITION BY doc_id, template ORDER BY diagonal)),
+clusters AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id, template ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS cluster FROM apart),
+words AS (SELECT doc_id, template, cluster, h.diagonal, h.place, unnest(range({K})) AS k FROM hit h JOIN clusters c USING (doc_id, template, diagonal)),
+spans AS (SELECT doc_id, template, cluster, count(DISTINCT place + k) AS covered, min(diagonal + place) AS first, max(diagonal + place) + {K} AS last FROM words GROUP BY ALL),
+merged AS (SELECT doc_id, template, label, size, cluster, sum(exact::INT) AS n_exact, min(CASE WHEN exact THEN diagonal END) AS lo, max(CASE WHEN exact THEN diagonal END) AS hi FROM clusters GROUP BY ALL),
+judged AS (SELECT *, covered::DOUBLE / size AS share, n_exact > 0 OR (covered::DOUBLE / size >= 0.8 AND last - first <= 1.5 * size) AS labelled FROM merged JOIN spans USING (doc_id, template, cluster)),
+found AS (
+  SELECT doc_id, sum(n_exact)::BIGINT AS n_base, min(lo)::BIGINT AS first_word, max(hi)::BIGINT AS last_word,
+         array_to_string(list_sort(list(DISTINCT label) FILTER (WHERE n_exact > 0)), ',') AS base_labels, array_to_string(list_sort(list(DISTINCT label) FILTER (WHERE labelled)), ',') AS labels,
+         max(CASE WHEN n_exact > 0 THEN 1.0::DOUBLE ELSE least(share, 1.0::DOUBLE) END) AS score
+  FROM judged GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0::DOUBLE) AS score
+FROM d LEFT JOIN found USING (doc_id)
+"""
