@@ -351,3 +351,17 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir))
+
+
+OP8_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+token AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM d WHERE len(w) >= 5),
+gram AS (SELECT doc_id, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o || ' ' || lead(word, 3) OVER o || ' ' || lead(word, 4) OVER o AS g FROM token WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+shingle AS MATERIALIZED (SELECT DISTINCT doc_id, md5(g) AS g FROM gram WHERE g IS NOT NULL UNION ALL SELECT doc_id, md5(array_to_string(w, ' ')) FROM d WHERE len(w) BETWEEN 1 AND 4),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY 1),
+pair AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM shingle a JOIN shingle b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS MATERIALIZED (SELECT x, y FROM pair JOIN size s ON s.doc_id = x JOIN size t ON t.doc_id = y WHERE 100 * k >= 80 * (s.n + t.n - k)),
+reach(x, y) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.x, l.y FROM reach r JOIN link l ON l.x = r.y)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, c.least AS component_id
+FROM d LEFT JOIN size s USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS least FROM reach GROUP BY 1) c USING (doc_id)
+"""
