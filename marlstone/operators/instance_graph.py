@@ -38,7 +38,7 @@ def layer(scans: DataFrame, blocks: DataFrame, agendas: DataFrame, rules: DataFr
     per_code = of.select("sd_id", "disease").distinct().join(coded, "sd_id")
     kinds = of.select("disease").distinct()
     matches = kinds.join(usable(rules).select("pattern").distinct(), F.rlike("disease", F.col("pattern")))
-    node = lambda df, kind, key, name: df.select(F.lit(kind).alias("ntype"), F.col(key).alias("key"), F.col(name).alias("name")).where("key IS NOT NULL AND key <> ''")
+    node = lambda df, kind, key, name: df.select(F.lit(kind).alias("ntype"), F.col(key).cast("string").alias("key"), F.col(name).alias("name")).where("key IS NOT NULL AND key <> ''")
     nodes = graph.nodes(
         node(scans, "scan_doc", "sd_id", "title"), node(scans, "person", "owner", "person"), node(scans, "hospital", "hospital", "hospital"), node(kinds, "disease", "disease", "disease"),
         node(coded, "kcd", "kcd", "kcd"), node(graded, "grade", "grade", "grade"), node(agendas, "grade_agenda", "ga_id", "agenda_no"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .functions import text as tx
-from .operators import clauses, instance_graph, prediction, rules, search, state
+from .operators import clauses, graph_facts, instance_graph, prediction, records, rules, search, state
 from .queries import COSINE_SQL, TOKENS_SQL, Tables, n, query
 from .sources import tables
 
@@ -267,6 +267,13 @@ edge AS (SELECT 'MENTIONS' AS etype, sd || '>' || x AS e FROM d UNION ALL SELECT
 SELECT etype, count(*)::BIGINT AS n, count(DISTINCT e)::BIGINT AS different, min(e) AS least FROM edge GROUP BY 1""")
 def instance_graph_layer(t):
     """Every tenth order as a scan, its lines as blocks; a model put right those with flag A."""
+    edges = _scan_graph(t)[1]
+    e = edges.groupBy("etype", F.concat("skey", F.lit(">"), "dkey").alias("e")).agg(n().alias("k"))
+    return e.groupBy("etype").agg(F.sum("k").alias("n"), n().alias("different"), F.min("e").alias("least"))
+
+
+def _scan_graph(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges, scans."""
     k, p = F.col("l_orderkey"), F.col("l_partkey")
     rows = t.lineitem.where(k % 10 == 1)
     empty = F.lit(None).cast("string")
@@ -277,9 +284,93 @@ def instance_graph_layer(t):
     s = F.col("sd_id")
     scans = rows.select(k.alias("sd_id")).distinct().select(s, F.concat(F.lit("p"), (s % 40).cast("string")).alias("person"), empty.alias("reg_no"), F.when(s % 3 > 0, F.concat(F.lit("h"), (s % 3).cast("string"))).alias("hospital"), F.lit("k").alias("doc_kind"), s.alias("ga_id"))
     agendas = scans.where("sd_id % 4 = 1").select("ga_id", F.lit("a").alias("agenda_no"))
-    _, edges = instance_graph.layer(scans, blocks, agendas, _rules(t))
-    e = edges.groupBy("etype", F.concat("skey", F.lit(">"), "dkey").alias("e")).agg(n().alias("k"))
-    return e.groupBy("etype").agg(F.sum("k").alias("n"), n().alias("different"), F.min("e").alias("least"))
+    return *instance_graph.layer(scans, blocks, agendas, _rules(t)), scans
+
+
+_SCANS_SQL = """l AS (SELECT l_orderkey AS sd, l_linenumber AS line, l_partkey AS p FROM lineitem WHERE l_orderkey % 10 = 1),
+d AS (SELECT DISTINCT sd, unnest(CASE p % 5 WHEN 0 THEN ['무릎 염좌'] WHEN 1 THEN ['허리', '목 통증'] WHEN 3 THEN ['발목'] WHEN 4 THEN ['어깨'] END) AS x FROM l),
+k AS (SELECT DISTINCT sd, 'M' || (p % 30) AS x FROM l WHERE p % 2 = 0)"""
+
+
+@query(f"""WITH {_SCANS_SQL}, q AS (SELECT o_orderkey AS id, o_orderkey % 30 AS c, {_case('o_orderkey', _DISEASES)} AS t FROM orders WHERE o_orderkey % 50 = 0),
+e AS (SELECT id, x AS name FROM q, (SELECT DISTINCT x FROM d) WHERE contains(t, x)),
+people AS (SELECT x, count(DISTINCT sd % 40) AS n, string_agg(DISTINCT 'p' || (sd % 40), ', ' ORDER BY 'p' || (sd % 40)) AS who FROM d GROUP BY 1),
+codes AS (SELECT d.x, string_agg(DISTINCT k.x, ', ' ORDER BY k.x) AS codes FROM d JOIN k USING (sd) GROUP BY 1)
+SELECT id, name || ' — 실데이터 대상자 ' || n || '명: ' || who || coalesce(' (KCD ' || codes || ')', '') AS fact FROM e JOIN people p ON p.x = name LEFT JOIN codes c ON c.x = name""")
+def graph_disease_facts(t):
+    """Every fiftieth order as a question that names a disease."""
+    nodes, edges, _ = _scan_graph(t)
+    asked = t.orders.where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("id"), _pick(F.col("o_orderkey"), _DISEASES).alias("text"))
+    return graph_facts.disease_facts(graph_facts.entities(asked, nodes), nodes, edges).select("id", "fact")
+
+
+@query(f"""WITH {_SCANS_SQL}, q AS (SELECT o_orderkey AS id, 'M' || (10 + o_orderkey // 50 % 30) AS c FROM orders WHERE o_orderkey % 50 = 0),
+kinds AS (SELECT k.x, string_agg(DISTINCT d.x, ', ' ORDER BY d.x) AS d FROM k JOIN d USING (sd) GROUP BY 1), people AS (SELECT x, string_agg(DISTINCT 'p' || (sd % 40), ', ' ORDER BY 'p' || (sd % 40)) AS who FROM k GROUP BY 1)
+SELECT id, 'KCD ' || c || ' — 질환: ' || coalesce(d, '?') || coalesce(' / 대상자: ' || who, '') AS fact FROM q LEFT JOIN kinds s ON s.x = c LEFT JOIN people p ON p.x = c WHERE d IS NOT NULL OR who IS NOT NULL""")
+def graph_code_facts(t):
+    """Questions that name a code of two digits, some of which no scan has."""
+    nodes, edges, _ = _scan_graph(t)
+    k = F.col("o_orderkey")
+    asked = t.orders.where(k % 50 == 0).select(k.alias("id"), F.concat(F.lit("코드 M"), (10 + (k / 50).cast("long") % 30).cast("string"), F.lit("은?")).alias("text"))
+    return graph_facts.code_facts(graph_facts.entities(asked, nodes), nodes, edges).select("id", "fact")
+
+
+# Boards, sessions, files --------------------------------------------------------------------------
+
+
+@query("WITH p AS (SELECT event_id AS id, CASE WHEN event_id % 3 > 0 THEN event_id - event_id % 7 END AS parent, event_type FROM events) SELECT r.id, r.event_type AS author, count(c.id)::BIGINT AS n, coalesce(string_agg(c.id::VARCHAR, ',' ORDER BY c.id), '') AS replies FROM p r LEFT JOIN p c ON c.parent = r.id WHERE r.parent IS NULL GROUP BY ALL ORDER BY r.id DESC LIMIT 100")
+def board_threads(t):
+    """Events as posts; the newest hundred posts with their replies."""
+    k = F.col("event_id")
+    posts = t.events.select(k.alias("id"), F.when(k % 3 > 0, k - k % 7).alias("parent_id"), F.col("event_type").alias("author"))
+    rows = records.threads(posts).orderBy(F.desc("id")).limit(100)
+    return rows.select("id", "author", F.size("replies").cast("long").alias("n"), F.array_join(F.transform("replies", lambda r: r["id"].cast("string")), ",").alias("replies"))
+
+
+@query("WITH m AS (SELECT conv_id, max(turn) AS last FROM conversations GROUP BY 1), b AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE role = 'user') SELECT conv_id AS session, (last + 2 * k - 1 + i)::BIGINT AS seq, CASE i WHEN 0 THEN 'user' ELSE 'ai' END AS role, CASE i WHEN 0 THEN text ELSE 'a' END AS content, CASE i WHEN 1 THEN turn::VARCHAR END AS source FROM b JOIN m USING (conv_id), (VALUES (0), (1)) v(i)")
+def session_exchanges(t):
+    """Each question of a conversation asked once more, with one source."""
+    c = t.conversations
+    source = F.array(F.struct(F.col("turn").alias("doc_id"), F.lit("x").alias("content"), F.lit(1).alias("other")))
+    batch = c.where("role = 'user'").select(F.col("conv_id").alias("session"), F.col("turn").alias("at"), F.col("text").alias("question"), F.lit("a").alias("answer"), source.alias("sources"))
+    new = records.exchanges(c.select(F.col("conv_id").alias("session"), F.col("turn").alias("seq")), batch)
+    return new.select("session", "seq", "role", "content", F.get("sources", F.lit(0))["doc_id"].alias("source"))
+
+
+@query(f"""WITH i AS (SELECT DISTINCT l_orderkey AS app, l_linenumber AS dis, l_returnflag AS f, l_linestatus AS s, l_shipdate::DATE AS d FROM lineitem WHERE l_orderkey % 5 = 0),
+u AS (SELECT o_orderkey AS app, 0 AS item, '신청서' AS kind, '{records.APPLICATION_TITLE}' AS title, true AS final FROM orders WHERE o_orderkey % 5 = 0 UNION ALL SELECT o_orderkey, 0, '병적', '{records.SERVICE_TITLE}', true FROM orders WHERE o_orderkey % 5 = 0
+  UNION ALL SELECT app, dis, '요건사실확인서', '1-4 요건사실확인서 — ' || f, true FROM i UNION ALL SELECT app, dis, '의무기록', 'h ' || CASE s WHEN 'F' THEN '영상' ELSE '외래' END || ' (' || CASE WHEN f = 'A' THEN '일자미상' ELSE d::VARCHAR END || ')', s = 'F' FROM i
+  UNION ALL SELECT o_orderkey, 0, '공적서류', o_orderstatus || ' ( ' || o_orderpriority || ')', false FROM orders WHERE o_orderkey % 5 = 0 UNION ALL SELECT o_orderkey, 0, '스캔 원문', 's — ' || o_orderkey, false FROM orders WHERE o_orderkey % 5 = 0),
+g AS (SELECT app, item, kind, title, min(final::INT) = 1 AS final FROM u GROUP BY ALL)
+SELECT app AS app_id, kind, count(*)::BIGINT AS n, count(*) FILTER (WHERE final)::BIGINT AS final, min(title) AS least FROM g WHERE NOT (app % 10 = 0 AND kind = '병적') GROUP BY ALL""")
+def file_register_sources(t):
+    """Every fifth order as a case, with files from five sources; of every tenth one file is held already."""
+    none = F.lit(None).cast("string")
+    cases = t.orders.where("o_orderkey % 5 = 0").withColumnRenamed("o_orderkey", "app_id")
+    lines = t.lineitem.where("l_orderkey % 5 = 0").select(F.col("l_orderkey").alias("app_id"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("dis_id"), "l_returnflag", "l_linestatus", "l_shipdate").distinct()
+    items = lines.select("app_id", "dis_id", F.col("l_returnflag").alias("name"))
+    medical = lines.select("dis_id", F.lit("h").alias("hospital"), F.when(F.col("l_linestatus") == "F", "영상").otherwise("외래").alias("rec_type"), F.when(F.col("l_returnflag") != "A", F.col("l_shipdate").cast("date")).alias("rec_date"), none.alias("diagnosis"), F.lit("f").alias("finding"))
+    officials = cases.select("app_id", F.lit(None).alias("dis_id"), F.col("o_orderstatus").alias("doc_kind"), none.alias("doc_date"), F.col("o_orderpriority").alias("issuer"), F.lit("c").alias("content"))
+    scans = cases.select("app_id", F.lit("s").alias("doc_kind"), F.col("app_id").cast("string").alias("file_name"), none.alias("orig_path"))
+    held = cases.where("app_id % 10 = 0").select("app_id", F.lit(None).cast("long").alias("dis_id"), F.lit(records.SERVICE).alias("kind"), F.lit(records.SERVICE_TITLE).alias("title"))
+    got = records.register(cases.select("app_id"), items.dropDuplicates(["dis_id", "name"]), medical.distinct(), officials, scans, held)
+    return got.groupBy("app_id", "kind").agg(n().alias("n"), F.count_if("is_final").alias("final"), F.min("title").alias("least"))
+
+
+@query("SELECT event_id AS block, CASE event_id % 2 WHEN 0 THEN 'grade' ELSE 'disease' END AS field, CASE WHEN event_id % 5 = 0 THEN false WHEN event_id % 2 = 0 THEN contains(event_type, 'c') AND contains(event_type, 'k') ELSE contains(event_type, 'c') OR contains(event_type, 'k') END AS hit FROM events")
+def field_needles(t):
+    k = F.col("event_id")
+    field = F.when(k % 2 == 0, "grade").otherwise("disease")
+    found = t.events.where("event_id % 5 > 0").select(k.alias("block"), field.alias("field"), F.col("event_type").alias("value"))
+    return records.field_hits(found, t.events.select(k.alias("block"), field.alias("field"), F.array(F.lit("c"), F.lit("k")).alias("needles")))
+
+
+@query("SELECT CASE WHEN p_brand IN (SELECT p_brand FROM part WHERE p_size > 45) THEN 'review_content' WHEN p_type = 'ECONOMY' THEN 'review_type' ELSE 'agenda' END AS stype, count(*)::BIGINT AS n, min(p_partkey) AS least FROM part GROUP BY 1")
+def agenda_edges(t):
+    """Parts as agendas of a brand and a type, not all of which are nodes."""
+    rows = t.part.select(F.col("p_partkey").alias("agenda"), F.col("p_brand").alias("content"), F.col("p_type").alias("type"))
+    got = records.agenda_sources(rows, t.part.where("p_size > 45").select(F.col("p_brand").alias("key")), t.spark.sql("SELECT 'ECONOMY' AS key"))
+    return got.groupBy("stype").agg(n().alias("n"), F.min("dkey").alias("least"))
 
 
 # Changes of tables --------------------------------------------------------------------------------

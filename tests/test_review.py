@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.functions import replies, text as tx
-from marlstone.operators import clauses, prediction, rules, state
+from marlstone.operators import clauses, graph_facts, prediction, records, rules, state
 from marlstone.sources import tables
 
 
@@ -207,3 +207,38 @@ def test_first_most(spark, values, want):
 def test_word_diff_prefers_giving_up_old_words():
     assert replies.word_diff("a b", "b a") == ("<del>a</del><del> </del>b", "b<ins> </ins><ins>a</ins>")
     assert replies.word_diff("x", "y") == ("<del>x</del>", "<ins>y</ins>") and replies.word_diff("a", None) == ("<del>a</del>", "")
+
+
+def test_board(spark):
+    posts = spark.createDataFrame([(1, None, "a"), (2, 1, "b"), (3, 2, "c"), (4, 99, "d"), (5, None, "e"), (6, 1, "f")], "id long, parent_id long, author string")
+    got = {r.id: [x.id for x in r.replies] for r in records.threads(posts).collect()}
+    assert got == {1: [2, 6], 5: []}
+
+
+def test_exchanges(spark):
+    held = spark.createDataFrame([("s", 1), ("s", 2)], "session string, seq long")
+    batch = spark.createDataFrame([("s", 2, "q2", "a2", []), ("s", 1, "q1" * 40, "a1", [(7, "c", "more")]), ("t", 1, "q" * 70, "a", None)], "session string, at long, question string, answer string, sources array<struct<doc_id:long,content:string,other:string>>")
+    got = {(r.session, r.seq): r for r in records.exchanges(held, batch).collect()}
+    assert {k: r.role for k, r in got.items()} == {("s", 3): "user", ("s", 4): "ai", ("s", 5): "user", ("s", 6): "ai", ("t", 1): "user", ("t", 2): "ai"}
+    assert [tuple(x) for x in got["s", 4].sources] == [("7", None, None, "c", None)] and got["s", 6].sources == [] and got["t", 2].sources is None and got["s", 5].content == "q2"
+    assert [tuple(r) for r in records.new_sessions(held, batch).collect()] == [("t", "q" * 60)]
+
+
+def test_facts_of_a_scan_graph(spark):
+    nodes = spark.createDataFrame([("person", "김철수:1", "김철수"), ("person", "김철수:2", "김철수"), ("disease", "무릎 염좌", "무릎 염좌"), ("disease", "목", "목"), ("scan_doc", "1", "x")], "ntype string, key string, name string")
+    edge = [("person", "김철수:1", "HAS_DOC", "scan_doc", "1"), ("person", "김철수:2", "HAS_DOC", "scan_doc", "2"), ("scan_doc", "1", "MENTIONS", "disease", "무릎 염좌"), ("scan_doc", "2", "MENTIONS", "disease", "무릎 염좌"), ("scan_doc", "1", "ASSIGNS_GRADE", "grade", "7급"), ("scan_doc", "1", "MENTIONS_KCD", "kcd", "S83"), ("disease", "무릎 염좌", "CODED_AS", "kcd", "S83")]
+    edges = spark.createDataFrame(edge, "stype string, skey string, etype string, dtype string, dkey string")
+    asked = spark.createDataFrame([(1, "김철수 님의 무릎 염좌 S83은 7급 1항?"), (2, "M17.1과 XS83, 손목"), (3, "")], "id long, text string")
+    found = graph_facts.entities(asked, nodes)
+    assert sorted(map(tuple, found.collect())) == [(1, "code", "S83"), (1, "disease", "무릎 염좌"), (1, "grade", "7급1항"), (1, "person", "김철수"), (2, "code", "M17.1"), (2, "disease", "목")]
+    scans = spark.createDataFrame([(1, "진단서"), (2, None)], "sd_id long, doc_kind string")
+    facts = lambda df: sorted(r.fact for r in df.collect())
+    assert facts(graph_facts.person_facts(found, nodes, edges, scans)) == ["김철수 — 문서[스캔#2] 질환: 무릎 염좌", "김철수 — 문서[진단서#1] 질환: 무릎 염좌 (KCD S83) · 기재 등급: 7급"]
+    assert facts(graph_facts.disease_facts(found, nodes, edges)) == ["무릎 염좌 — 실데이터 대상자 2명: 김철수 (KCD S83)"]
+    assert facts(graph_facts.code_facts(found, nodes, edges)) == ["KCD S83 — 질환: 무릎 염좌 / 대상자: 김철수"]
+
+
+def test_field_hits(spark):
+    found = spark.createDataFrame([(1, "grade", "7급 12"), (1, "disease", "무릎 염좌"), (2, "grade", None)], "block long, field string, value string")
+    expected = spark.createDataFrame([(1, "grade", ["7급", "1201"]), (1, "disease", ["허리", "무릎"]), (2, "grade", ["7"]), (3, "disease", ["x"])], "block long, field string, needles array<string>")
+    assert sorted(map(tuple, records.field_hits(found, expected).collect())) == [(1, "disease", True), (1, "grade", False), (2, "grade", False), (3, "disease", False)]
