@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,14 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents, slices, table
+from .common import cut, documents, mix, slices, table, words
 
 FEATURES = ["words", "word_length", "distinct_share", "top_share", "pair_share", "upper_share", "digit_share", "symbol_share", "mark_share", "space_share", "line_words", "dup_line_share", "end_share"]
 _UPPER, _DIGIT = slice(65, 91), slice(48, 58)
 _SYMBOLS = np.frombuffer(b"#*$%&|<>~^=+_{}[]\\@", np.uint8)
 _MARKS = np.frombuffer(b"!?", np.uint8)
 _SPACES = np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8)
-_WORD = re.compile(rb"[^ \t\n\x0b\x0c\r]+")
+_ODD = np.uint64(0x9FB21C651E98DF25)
 
 
 def _logit(x: float, n: float) -> float:
@@ -27,19 +25,17 @@ def _logit(x: float, n: float) -> float:
     return float(np.log((x + 0.5) / (max(n - x, 0) + 0.5)))
 
 
-def statistics(raw: bytes) -> list[float]:
-    """The transformed statistics of one text (UTF-8): logs of sizes, log odds of shares."""
+def statistics(raw: bytes, w: np.ndarray) -> list[float]:
+    """The transformed statistics of one text (UTF-8) and the hashes of its words (A-Z lower-cased): logs of sizes, log odds of shares."""
     count = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
-    n = len(raw)
-    w = _WORD.findall(raw)
-    k = len(w)
-    names = Counter(w)
-    top = max(names.values(), default=0)
-    pairs = len(set(zip(w, w[1:], strict=False)))
+    n, k = len(raw), len(w)
+    _, times = np.unique(w, return_counts=True)
+    top = int(times.max(initial=0))
+    pairs = len(np.unique(mix(w[:-1] * _ODD + w[1:])))
     lines = [x for x in raw.split(b"\n") if x.strip()]
     ended = sum(x.rstrip()[-1:] in (b".", b"?", b"!") for x in lines)
     return [
-        float(np.log1p(k)), float(np.log1p((n - count[_SPACES].sum()) / max(k, 1))), _logit(len(names), k), _logit(top, k), _logit(pairs, max(k - 1, 0)),
+        float(np.log1p(k)), float(np.log1p((n - count[_SPACES].sum()) / max(k, 1))), _logit(len(times), k), _logit(top, k), _logit(pairs, max(k - 1, 0)),
         _logit(count[_UPPER].sum(), n), _logit(count[_DIGIT].sum(), n), _logit(count[_SYMBOLS].sum(), n), _logit(count[_MARKS].sum(), n), _logit(count[_SPACES].sum(), n),
         float(np.log1p(k / max(len(lines), 1))), _logit(len(lines) - len(set(lines)), len(lines)), _logit(ended, len(lines)),
     ]
@@ -50,8 +46,9 @@ def features(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch, data, at in slices(batches):
-            raw = data.tobytes()
-            x = np.array([statistics(raw[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
+            raw, (h, first) = data.tobytes(), words(data, at)
+            bounds = zip(at[:-1].tolist(), at[1:].tolist(), first[:-1].tolist(), first[1:].tolist(), strict=True)
+            x = np.array([statistics(raw[a:b], h[c:d]) for a, b, c, d in bounds])
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(FEATURES)), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), flat], ["doc_id", "x"])
 
@@ -64,7 +61,7 @@ def held_out(doc_id):
 
 @dataclass
 class Discriminant:
-    """Means, cached Cholesky factors and log determinants of both classes."""
+    """Means, cached inverse Cholesky factors and log determinants of both classes."""
 
     center: np.ndarray
     scale: np.ndarray
@@ -79,7 +76,7 @@ class Discriminant:
         z = (x - self.center) / self.scale
         density = []
         for mean, factor, offset in zip(self.means, self.factors, self.offsets, strict=True):
-            u = np.linalg.solve(factor, (z - mean).T)  # L u = z - mean: the squared length of u is the Mahalanobis distance
+            u = factor @ (z - mean).T  # L u = z - mean: the squared length of u is the Mahalanobis distance
             density.append(offset - 0.5 * (u * u).sum(0))
         return 1 / (1 + np.exp(np.clip(density[0] - density[1], -700, 700)))
 
@@ -130,7 +127,7 @@ def fit(rows: DataFrame, pooled: float = 0.2, diagonal: float = 0.1) -> Discrimi
         c = (1 - pooled) * spread[label] + pooled * both
         c = (1 - diagonal) * c + diagonal * max(np.trace(c) / len(c), 1e-6) * np.eye(len(c))
         factor = np.linalg.cholesky(c)
-        factors.append(factor)
+        factors.append(np.linalg.inv(factor))
         offsets.append(float(np.log(found[label][0] / total) - np.log(np.diag(factor)).sum()))
     return Discriminant(center, scale, means, factors, offsets)
 
@@ -140,7 +137,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Scores use the text alone. A null or empty text gets the score of its
     (extreme) statistics; rows that repeat an id are scored one by one; a null
-    id is not held out and matches no label; labels without a quality are left
+    id counts as the empty text in the choice of held-out documents, so it isn't one, and matches no label; labels without a quality are left
     out. Only doc_id and text, doc_id and quality are read.
     """
     x = cut(features(docs))

@@ -85,8 +85,8 @@ def as_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[at[0] : at[-1]], at - at[0]
 
 
-#: Rows whose texts are looked at together before they are cut by bytes.
-_ROWS = 512
+#: Rows whose texts are looked at together before they are cut by bytes; bytes whose words are hashed together.
+_ROWS, _BLOCK = 512, 1 << 19
 
 
 def slices(batches: Iterator[pa.RecordBatch], most: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -133,17 +133,30 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     after[1:] = inside[:-1]
     start = np.flatnonzero(inside & (~after | begins))
     end = np.flatnonzero(after & (~inside | begins))
-    power = np.full(n, _BASE, np.uint64)
-    power[0] = 1
-    np.cumprod(power, out=power)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[_LOWER[data]] * power, out=total[1:])
-    power[:] = _INVERSE
-    power[0] = 1
-    np.cumprod(power, out=power)
-    h = (total[end] - total[start]) * power[start] + (end - start).astype(np.uint64)
+    # A word's hash is the sum of its bytes' values times powers of a base, from its first byte on; sums run over blocks of whole words.
+    size = min(n, _BLOCK)
+    power, inverse = _powers(_BASE, size), _powers(_INVERSE, size)
+    h, done = np.zeros(len(start), np.uint64), 0
+    while done < len(start):
+        low = start[done]
+        last = max(done + 1, int(np.searchsorted(end, low + size, "right")))
+        m = int(end[last - 1] - low)
+        if m > size:  # a longer word than a block
+            size = m
+            power, inverse = _powers(_BASE, size), _powers(_INVERSE, size)
+        total = np.zeros(m + 1, np.uint64)
+        np.cumsum(_BYTE[_LOWER[data[low : low + m]]] * power[:m], out=total[1:])
+        s, e = start[done:last] - low, end[done:last] - low
+        h[done:last] = (total[e] - total[s]) * inverse[s] + (e - s).astype(np.uint64)
+        done = last
     return mix(h), np.searchsorted(start, at)
 
 
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, out=out)
+
+
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)

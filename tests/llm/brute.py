@@ -177,7 +177,7 @@ def lm_scores(rows, n, rounds=100):
 def statistics(text):
     """The classifier's features, by the lists and counts that they are named after."""
     raw = (text or "").encode()
-    w = re.findall(rb"[^ \t\n\x0b\x0c\r]+", raw)
+    w = [x.lower() for x in re.findall(rb"[^ \t\n\x0b\x0c\r]+", raw)]
     n, k = len(raw), len(w)
     odds = lambda x, n: math.log((x + 0.5) / (max(n - x, 0) + 0.5))
     of = lambda chars: sum(c in chars for c in raw)
@@ -194,8 +194,8 @@ def statistics(text):
     ]
 
 
-def good(rows, labels):
-    """Ids that the quadratic discriminant predicts as good: densities by inverse and determinant."""
+def quality(rows, labels):
+    """Scores of the quadratic discriminant by id: densities by inverse and determinant."""
     import numpy as np
 
     x = {d: np.array(statistics(t)) for d, t in rows}
@@ -212,7 +212,12 @@ def good(rows, labels):
         y = z - part[c].mean(0)
         return math.log(len(part[c]) / len(fit)) - 0.5 * np.linalg.slogdet(s)[1] - 0.5 * y @ np.linalg.inv(s) @ y
 
-    return {d for d, v in x.items() if density((v - center) / scale, 1) >= density((v - center) / scale, 0)}
+    return {d: 1 / (1 + math.exp(min(700, max(-700, density((v - center) / scale, 0) - density((v - center) / scale, 1))))) for d, v in x.items()}
+
+
+def good(rows, labels):
+    """Ids that the quadratic discriminant predicts as good."""
+    return {d for d, s in quality(rows, labels).items() if s >= 0.5}
 
 
 def lines_kept(rows):

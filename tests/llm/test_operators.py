@@ -1,7 +1,9 @@
 """Every operator against a plain version, with nulls, empty and long texts, repeated rows and clashing columns."""
 
 import hashlib
+import os
 import random
+import sys
 import zlib
 
 import brute
@@ -411,6 +413,76 @@ def test_classifier(spark):
     assert sum(r.predicted == dict(labels)[r.doc_id] for r in held) >= 0.97 * len(held)
 
 
+def test_classifier_equals_plain_discriminant(spark, docs):
+    labels = {d: int(len((t or "").split()) >= 60) for d, t in PAIRS if d % 9}
+    found = classifier.classify(docs, spark.createDataFrame(sorted(labels.items()), "doc_id long, quality int")).collect()
+    want = brute.quality(PAIRS, labels)
+    assert len(found) == len(want) and all(r.score == pytest.approx(want[r.doc_id], abs=1e-9) and r.predicted == (r.score >= 0.5) for r in found)
+
+
+def test_words_are_hashed_alike_in_blocks_of_any_size(monkeypatch):
+    import numpy as np
+
+    from marlstone.llm import common
+
+    r = random.Random(9)
+    texts = ["".join(r.choice("ab \n") for _ in range(r.randrange(0, 400))) for _ in range(30)] + ["x" * 3000 + " ab", "", "AB ab"]
+    raw = [t.encode() for t in texts]
+    data, at = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+    h, first = common.words(data, at)
+    by = {}
+    for t, a, b in zip(texts, first[:-1], first[1:], strict=True):
+        assert b - a == len(t.split())
+        for w, x in zip(t.lower().split(), h[a:b].tolist(), strict=True):
+            assert by.setdefault(w, x) == x
+    assert len(set(by.values())) == len(by)
+    monkeypatch.setattr(common, "_BLOCK", 64)
+    assert (common.words(data, at)[0] == h).all()
+
+
+@pytest.fixture(scope="module")
+def long_texts(spark):
+    """Texts of some MB, one without any white space and one with a long line in each of three documents."""
+    r = random.Random(11)
+    vocabulary = ["".join(r.choice("abcdefghé1'") for _ in range(r.randrange(1, 9))) for _ in range(500)]
+    big = "\n".join(" ".join(r.choice(vocabulary) for _ in range(40)) for _ in range(12_000))
+    line = " ".join(r.choice(vocabulary) for _ in range(60_000))
+    data = [(1, big), (2, "ab" * 700_000), (3, f"{line}\nend"), (4, f"x\n{line}"), (5, f" {line} "), (6, "short text"), (7, big[: len(big) // 2] + " other words at the end")]
+    return data, spark.createDataFrame([(d, t, "s") for d, t in data], "doc_id long, text string, source string").repartition(2)
+
+
+def test_long_texts(long_texts, spark, tmp_path):
+    """Texts beyond a piece, a slice or a chunk."""
+    import public_tokenizers as public
+
+    data, df = long_texts
+    assert max(len(t) for _, t in data) > bpe.PIECE
+    enc = bpe.encoding(bpe.rank_bytes(public.path("byte_bpe_50k.tiktoken")), public.PATTERN)
+    ids = {r.doc_id: r for r in bpe.bpe_encode(df.where("doc_id <> 2"), digest=True).collect()}
+    for d, t in data:
+        if d != 2:  # the library itself is quadratic on a single match of that length
+            want = enc.encode_ordinary(t)
+            assert ids[d].n_tokens == len(want) and ids[d].ids_sha256 == hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest()
+    assert got(lines.dedup_lines(df, digest=True), "doc_id", "n_lines", "n_dropped", "kept_sha256") == sorted(brute.lines(data))
+    found = {r.doc_id: r for r in lm.lm_scores(df, chunk=100_000, fragment=50_000, width=4).collect()}
+    for d, held, n, known, total, base in brute.base_scores(data):
+        assert (found[d].held_out, found[d].n_tokens, found[d].n_known, found[d].train_tokens) == (held, n, known, total) and found[d].base_score == pytest.approx(base)
+    assert got(jaccard.jaccard_components(df), "doc_id", "n_shingles", "component_id") == sorted(brute.jaccard(data))
+    media.write_media(df, str(tmp_path / "m"))
+    stored = {r.doc_id: r.payload_sha256 for r in media.media_features(media.read_media(spark, str(tmp_path / "m"), step=1 << 20)).collect()}
+    assert stored == {d: hashlib.sha256(media.payload_of(t.encode())).hexdigest() for d, t in data}
+
+
+@pytest.mark.parametrize("name", ["op1_mixing", "op2_licenses", "op5_rules", "op6_lines", "op8_jaccard"])
+def test_equals_sql(spark, name):
+    from marlstone.llm.queries import ORACLES, QUERIES
+
+    sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    import oracle
+
+    assert oracle.differences(spark, "/root/testdata/sf0.001", name, QUERIES, ORACLES) is None
+
+
 def every(spark, df):
     none = spark.createDataFrame([], "doc_id long, quality int")
     yield mixing.mix_sources(df)
