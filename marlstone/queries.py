@@ -637,10 +637,19 @@ def events_session(t):
 # Ingest and extraction ----------------------------------------------------------------------------
 
 
-@query()
+_CHAIN = ", ".join(["sha256(content) AS h0", *(f"sha256(unhex(h{k - 1})) AS h{k}" for k in range(1, 32))])
+_EMBED_SQL = f"""WITH h AS (SELECT doc_id, seq, {_CHAIN} FROM ({CHUNKS_SQL})),
+b AS (SELECT doc_id, seq, list_transform(range(1, 2048, 2), lambda i: ('0x' || substr({" || ".join(f"h{k}" for k in range(32))}, i, 2))::INT / 255.0::DOUBLE - 0.5::DOUBLE) AS v FROM h)
+SELECT doc_id, seq, len(v)::BIGINT AS dim, len(list_filter(v, lambda x: x > 0))::BIGINT AS n_positive, round(v[1] / sqrt(list_dot_product(v, v)), 3) + 0.0::DOUBLE AS first, round(v[1024] / sqrt(list_dot_product(v, v)), 3) + 0.0::DOUBLE AS last FROM b"""
+
+
+@query(_EMBED_SQL)
 def embed_chunks(t):
-    """Chunks with their hash vectors (no SQL: a chain of digests)."""
-    return ingest.embed(search.chunk_documents(t.documents)).select("doc_id", "seq", F.size("embedding").cast("long").alias("dim"), F.md5(F.array_join(F.transform("embedding", lambda x: F.round(x, 5).cast("string")), ",").cast("binary")).alias("digest"))
+    """Chunks with their hash vectors: size, positive components, the first and the last one."""
+    v = F.col("embedding")
+    one = lambda x: F.round(x.cast("double"), 3) + F.lit(0.0)  # no negative zero
+    rows = ingest.embed(search.chunk_documents(t.documents))
+    return rows.select("doc_id", "seq", F.size(v).cast("long").alias("dim"), F.size(F.filter(v, lambda x: x > 0)).cast("long").alias("n_positive"), one(F.get(v, F.lit(0))).alias("first"), one(F.element_at(v, -1)).alias("last"))
 
 
 @query("WITH f AS (SELECT text, min(doc_id) AS doc_id FROM documents GROUP BY text), n AS (SELECT * FROM f WHERE doc_id % 2 = 1 OR text NOT IN (SELECT text FROM documents WHERE doc_id % 2 = 0)) SELECT doc_id, (greatest(length(text) - 151, 0) // 1050 + 1)::BIGINT AS n_chunks FROM n WHERE text NOT IN (SELECT text FROM documents WHERE doc_id % 2 = 0) AND length(text) > 0")
