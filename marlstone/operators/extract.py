@@ -53,3 +53,53 @@ def bundles(docs: DataFrame, titles: tuple[str, ...]) -> DataFrame:
     seg = seg.select("doc_id", "segment", F.get("x", 0)["title"].alias("title"), F.get("x", 0)["line"].alias("line"), text.alias("excerpt"))
     any_title = F.max(F.col("title").isNotNull()).over(Window.partitionBy("doc_id"))
     return seg.withColumn("any", any_title).where("title IS NOT NULL OR NOT any").select("doc_id", F.coalesce("title", F.lit("other")).alias("title"), "line", "excerpt")
+
+
+# Marks of an exam's parts as scans have them (brackets may be lost), what ends a part, readers and their numbers.
+DAY = r"\d{4}-\d{2}-\d{2}(?:\s?\d{2}:\d{2})?"
+PARTS = {"dx": "임상진단", "exam_name": "검사명", "finding": r"(?i)\[?\s*Finding\s*\]?", "conclusion": r"(?i)\[?\s*Conclusion\s*\]?", "recommendation": r"(?i)\[?\s*Recommendation\s*\]?"}
+ENDS = {"dx": "임상소견|검사명", "exam_name": PARTS["finding"], "finding": PARTS["conclusion"], "conclusion": PARTS["recommendation"], "recommendation": "판독의"}
+LATIN = r"^[A-Za-z][A-Za-z0-9 ,&()\-./]+$"
+READER = r"판독의\s*[:;]?\s*([가-힣]{2,5})\s*\(?\s*(\d+)?"
+NUMBERED = r"([가-힣][가-힣\s]{1,6})?\(?\s*(\d{5,6})\s*\)\s*$"
+READ = "판독"
+
+
+def exam_blocks(pages: DataFrame) -> DataFrame:
+    """Exams of scanned pages (doc_id, page, text): doc_id, place, page, req_date, exam_date, read_date, dx, exam_name, finding, conclusion,
+    recommendation, reader. A line with two days or more begins one; kept if it names an exam or has a finding.
+
+    A part is what stands between the first line with its mark, unless an earlier part took this line, and its end. Without a
+    name the last Latin line before the finding, other than the diagnosis, is the name; without a reader a line that
+    ends in a number of five or six digits names one. All is judged within an exam's own lines.
+    """
+    lines = pages.where("text IS NOT NULL").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", F.split("text", r"\r\n|[\n\r]", -1).alias("ls")))).alias("p"))
+    flat = F.flatten(F.transform("p", lambda p: F.transform(p["ls"], lambda x: F.struct(p["page"].alias("page"), x.alias("x")))))
+    rows = lines.select("doc_id", flat.alias("flat"))
+    begins = F.filter(F.sequence(F.lit(1), F.size("flat")), lambda i: F.size(F.regexp_extract_all(F.element_at("flat", i)["x"], F.lit(DAY), 0)) >= 2)
+    rows = rows.select("doc_id", "flat", begins.alias("begins")).where(F.size("begins") > 0)
+    parts = F.transform("begins", lambda b, k: F.slice("flat", b, F.coalesce(F.get("begins", k + 1), F.size("flat") + 1) - b))
+    rows = rows.select("doc_id", F.posexplode(parts).alias("place", "s")).select("doc_id", "place", F.col("s")[0]["page"].alias("page"), F.transform("s", lambda v: v["x"]).alias("ls"))
+    taken: list[str] = []
+    for name, mark in PARTS.items():  # where each part's mark is, none of them twice
+        other = F.array(F.lit(-1), *[F.col(f"at_{p}") - 1 for p in taken])
+        here = F.transform("ls", lambda x, i: F.rlike(x, F.lit(mark)) & ~F.array_contains(other, i))  # noqa: B023 (used at once)
+        rows = rows.withColumn(f"at_{name}", F.array_position(here, True).cast("int"))
+        taken.append(name)
+    found = {}
+    for name, end in ENDS.items():
+        rest = F.slice("ls", F.col(f"at_{name}") + 1, F.size("ls"))
+        stop = F.array_position(F.transform(rest, lambda x: F.rlike(x, F.lit(end))), True).cast("int")  # noqa: B023
+        kept = F.filter(F.transform(F.slice(rest, F.lit(1), F.when(stop > 0, stop - 1).otherwise(F.size("ls"))), lambda x: F.trim(x)), lambda x: x != "")
+        found[name] = F.when(F.col(f"at_{name}") > 0, F.array_join(kept, " "))
+    days = F.regexp_extract_all(F.get("ls", 0), F.lit(DAY), 0)
+    rows = rows.select("doc_id", "place", "page", "ls", *[F.get(days, k).alias(c) for k, c in enumerate(("req_date", "exam_date", "read_date"))], *[c.alias(k) for k, c in found.items()])
+    first = F.array_position(F.transform("ls", lambda x: F.rlike(x, F.lit(PARTS["finding"]))), True).cast("int")
+    latin = F.filter(F.transform(F.slice("ls", F.lit(1), F.greatest(first - 1, F.lit(0))), lambda x: F.trim(x)), lambda x: F.rlike(x, F.lit(LATIN)) & (F.lower(x) != F.lower(F.trim(F.coalesce("dx", F.lit(""))))))
+    name = F.when((F.coalesce("exam_name", F.lit("")) == "") & F.col("finding").isNotNull(), F.coalesce(F.get(latin, F.size(latin) - 1), F.col("exam_name"))).otherwise(F.col("exam_name"))
+    said = F.get(F.filter("ls", lambda x: F.rlike(x, F.lit(READER))), 0)
+    numbered = F.get(F.filter(F.transform("ls", lambda x: F.trim(x)), lambda x: F.rlike(x, F.lit(NUMBERED)) & (F.contains(x, F.lit(READ)) | (F.regexp_extract(x, NUMBERED, 1) != ""))), 0)
+    called = F.replace(F.regexp_extract(numbered, NUMBERED, 1), F.lit(" "), F.lit(""))
+    reader = F.coalesce(F.regexp_extract(said, READER, 1), F.concat(F.when(called != "", called).otherwise("판독의"), F.lit("("), F.regexp_extract(numbered, NUMBERED, 2), F.lit(")")))
+    rows = rows.withColumn("exam_name", name).withColumn("reader", reader).drop("ls")
+    return rows.where((F.coalesce("exam_name", F.lit("")) != "") | (F.coalesce("finding", F.lit("")) != ""))

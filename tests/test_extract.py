@@ -33,10 +33,22 @@ def test_hash_vector():
 
 def test_load_is_idempotent(spark):
     schema = "doc_id long, seq int, type string, text string, page int, confidence double"
-    blocks = spark.createDataFrame([(1, 0, "paragraph", "1o5", 1, 0.5), (1, 1, "table", "t" * 1300, 1, 1.0), (2, 0, "paragraph", "", 1, 1.0), (3, 0, "paragraph", "x" * 1201, 1, 1.0)], schema)
+    blocks = spark.createDataFrame([(1, 0, "paragraph", "1O5", 1, 0.5), (1, 1, "table", "t" * 1300, 1, 1.0), (2, 0, "paragraph", "", 1, 1.0), (3, 0, "paragraph", "x" * 1201, 1, 1.0)], schema)
     none = spark.createDataFrame([], "sha256 string")
     got = ingest.load(blocks, none).collect()
     assert sorted((r.doc_id, r.seq, r.part, len(r.content)) for r in got) == [(1, 0, 0, 3), (1, 1, 0, 1300), (3, 0, 0, 1200), (3, 0, 1, 151)]
     assert {r.content for r in got if r.seq == 0 and r.doc_id == 1} == {"105"} and all(len(r.embedding) == 1024 for r in got)
     held = spark.createDataFrame([(r.sha256,) for r in got], "sha256 string")
     assert ingest.load(blocks, held).count() == 0
+
+
+def test_exam_blocks(spark):
+    one = "성명 홍길동\n2024-01-02 2024-01-03 10:20 2024-01-04\n임상진단\n Knee pain \n검사명\nMRI knee\n\n[Finding]\ntear\nof meniscus\n[ Conclusion ]\nc1\nRecommendation\nr1\n판독의 : 김철수 (12345)"
+    two = "2024-02-02 2024-02-03\n임상진단\nback\n검사\nback\nL-spine AP/Lat\nFinding\nnormal\n이영 희(54321)\n2024-03-01 2024-03-02\nnothing here"
+    pages = spark.createDataFrame([(1, 1, one), (1, 2, two), (2, 1, "no dates"), (3, 1, None), (4, 1, "2024-01-01 2024-01-02\nFinding\nx\n판독 (99999)")], "doc_id long, page int, text string")
+    got = [tuple(r) for r in extract.exam_blocks(pages).orderBy("doc_id", "place").collect()]
+    assert got == [
+        (1, 0, 1, "2024-01-02", "2024-01-03 10:20", "2024-01-04", "Knee pain", "MRI knee", "tear of meniscus", "c1", "r1", "김철수"),
+        (1, 1, 2, "2024-02-02", "2024-02-03", None, "back 검사 back L-spine AP/Lat Finding normal 이영 희(54321)", "L-spine AP/Lat", "normal 이영 희(54321)", None, None, "이영희(54321)"),
+        (4, 0, 1, "2024-01-01", "2024-01-02", None, None, None, "x 판독 (99999)", None, None, "판독(99999)"),
+    ]
