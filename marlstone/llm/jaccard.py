@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -314,7 +316,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     release(docs.sparkSession)
     # A set has no more of these n-grams than its prefix.
     listed = cut(lists.groupBy("x").agg(F.count("*").alias("listed"), F.collect_set("gram").alias("grams")))
-    hub = lists.groupBy("gram").agg(F.min(F.struct("rare", F.col("x").alias("y"), F.col("size").alias("y_size"))).alias("hub")).select("gram", "hub.y", "hub.y_size")
+    # Hubs and largest components are written down, so that the joins with the lists can part a very long one among tasks.
+    hub = cut(lists.groupBy("gram").agg(F.min(F.struct("rare", F.col("x").alias("y"), F.col("size").alias("y_size"))).alias("hub")).select("gram", "hub.y", "hub.y_size"))
     star = _ordered(lists.join(hub, "gram").select("x", "y", F.col("size").alias("x_size"), "y_size", F.lit(0).cast("long").alias("inside")))
     first = cut(_possible(pairs.unionByName(star), listed, percent))
     release(docs.sparkSession)
@@ -326,14 +329,18 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     at = lists.join(joined.withColumnRenamed("node", "x"), "x", "left").withColumn("component", F.coalesce("component", "x"))
     sizes = at.groupBy("gram", "component").agg(F.count("*").alias("k"))
     main = sizes.groupBy("gram").agg(F.max(F.struct("k", "component"))["component"].alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    at = cut(at.join(main, "gram"))
+    at = cut(at.join(cut(main), "gram"))
     if not at.isEmpty():
         # Pairs that share n-grams of short lists too were weighed above. The others share those of
-        # their lists only, so the bound is known here; a pair is met at the least of them.
-        at = at.join(listed.select("x", "grams"), "x")
-        outer = at.where("component <> main").select(F.col("gram").alias("met"), F.col("x").alias("y"), F.col("size").alias("y_size"), F.col("component").alias("other"), F.col("grams").alias("y_grams"))
-        both = F.array_intersect("grams", "y_grams")
-        met = at.join(outer, (F.col("gram") == F.col("met")) & (F.col("component") != F.col("other")) & _fits("size", "y_size", F.size(both), percent) & (F.array_min(both) == F.col("gram")))
+        # their lists only, so the bound is known here; a pair is met at the least of them. A list is
+        # dealt out by bands of sizes as well: those of linked sets are the same or next to each other.
+        at = at.join(listed.select("x", "grams"), "x").withColumn("band", F.floor(F.log("size") / math.log(max(100 / percent, 1.01) * 1.0001)))
+        near = F.explode(F.array(*(F.col("band") + k for k in (-1, 0, 1)))).alias("near")
+        outer = at.where("component <> main").select(F.col("gram").alias("met"), near, F.col("x").alias("y"), F.col("size").alias("y_size"), F.col("component").alias("other"), F.col("grams").alias("y_grams"))
+        sizes_near = 100 * F.least("size", "y_size") >= percent * F.greatest("size", "y_size")
+        # The shared n-grams are found once a pair, as the one element that exists() looks at.
+        fits = F.exists(F.array(F.array_intersect("grams", "y_grams")), lambda both: _fits("size", "y_size", F.size(both), percent) & (F.array_min(both) == F.col("gram")))
+        met = at.join(outer, (F.col("gram") == F.col("met")) & (F.col("band") == F.col("near")) & (F.col("component") != F.col("other")) & sizes_near & fits)
         more = met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
         more = cut(more.join(first, ["x", "y"], "left_anti"))
         if not more.isEmpty():
