@@ -28,6 +28,10 @@ FINDINGS = (
     (r"compression\s*fracture", "척추 압박골절", "척추"),
     (r"fracture", "골절", None),
 )
+# What parts disease names, how they are written, labels and noise among them, words for none; the two forms of a grade.
+BETWEEN, DISEASE, TWO_SYLLABLES = "[,·/]", "^[가-힣A-Za-z][가-힣A-Za-z0-9 ]*$", "[가-힣]{2,}"
+NOT_DISEASE, NO_DISEASE = "검진|검사|판독|소견|기록|서류|구분|성명|번호", ("null", "none", "없음", "-")
+GRADES = r"^\d급|^\d-\d-\d{4}$"
 SIDES = ((r"\bleft\b|\bLt\b", "좌"), (r"\bright\b|\bRt\b", "우"), (r"\bboth\b|양측", "양측"))
 
 
@@ -103,18 +107,18 @@ def finding(text: Column, findings: tuple = FINDINGS, sides: tuple = SIDES) -> C
 def grade(text: Column) -> Column:
     """A grade without white space, if it has one of the two known forms, else null."""
     bare = F.regexp_replace(text, r"\s", "")
-    return F.when(F.rlike(bare, F.lit(r"^\d급|^\d-\d-\d{4}$")), bare)
+    return F.when(F.rlike(bare, F.lit(GRADES)), bare)
 
 
-def diseases(text: Column, unwanted: tuple[str, ...] = (), unwanted_pattern: str = "검진|검사|판독|소견|기록|서류|구분|성명|번호") -> Column:
+def diseases(text: Column, unwanted: tuple[str, ...] = (), unwanted_pattern: str = NOT_DISEASE) -> Column:
     """The disease names of a field: up to an asterisk, split, without what stands in brackets; labels and noise go."""
-    parts = F.split(F.get(F.split(F.coalesce(text, F.lit("")), r"\*"), 0), "[,·/]")
+    parts = F.split(F.get(F.split(F.coalesce(text, F.lit("")), r"\*"), 0), BETWEEN)
     names = F.transform(parts, lambda p: F.trim(F.regexp_replace(p, r"\([^)]*\)", "")))
-    good = lambda v: (F.length(v) >= 2) & F.rlike(v, F.lit("^[가-힣A-Za-z][가-힣A-Za-z0-9 ]*$")) & F.rlike(v, F.lit("[가-힣]{2,}")) & ~F.rlike(v, F.lit(unwanted_pattern))
+    good = lambda v: (F.length(v) >= 2) & F.rlike(v, F.lit(DISEASE)) & F.rlike(v, F.lit(TWO_SYLLABLES)) & ~F.rlike(v, F.lit(unwanted_pattern))
     names = F.filter(names, good)
     if unwanted:
         names = F.filter(names, lambda v: ~v.isin(*unwanted))
-    return F.when(F.lower(F.trim(text)).isin("null", "none", "없음", "-"), F.array().cast("array<string>")).otherwise(names)
+    return F.when(F.lower(F.trim(text)).isin(*NO_DISEASE), F.array().cast("array<string>")).otherwise(names)
 
 
 def wrapped(text: Column, width: int = 78, pad: str = "", hang: str = "  ") -> Column:

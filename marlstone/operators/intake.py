@@ -27,6 +27,12 @@ RECORD = "의무기록"
 NOT_NAMES = ("성별", "성명", "주민", "번호", "나이", "보훈", "관할", "신규", "재심")
 NOT_FILES = ("제출서류", "진단서")
 NOT_DISEASE = r"신체검사|의사\s*소견|소견서|질병명|상이처|구\s*분|요청사항|아래와\s*같이"
+# Labels before a disease and a department and what isn't their value, titles of examinations, kinds of one, a certificate; years
+# of a date; letters of a title's line beyond it, lines and letters of an excerpt, letters of a disease and of a department, lines with a name.
+DISEASE_LABELS, DISEASE_LABEL, NOT_AFTER_DISEASE = ("상이처(질병명)", "신청질병명"), "질병명", ("질병명", "구분", "(")
+DEPT_LABEL, NOT_AFTER_DEPT, NAME_LABEL, NOT_AFTER_NAME = "신검과목", ("신검", "소속"), "성명", ("성명", "주민", "번호")
+EXAMINATIONS, KINDS, SPACED_KINDS, CERTIFICATE = ("신체검사", "소견서"), "재확인|재판정", r"재\s?심|신\s?규", "진단서"
+YEARS, TITLE_ROOM, EXCERPT, DISEASE_CHARS, DEPT_CHARS, NAME_LINES = (1940, 2035), 12, (40, 400), 60, 20, 83
 OUTSIDE, INSIDE = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 RESIDENT = rf"{OUTSIDE}(\d{{6}}) ?[-–]? ?([1-4])(?:\d{{6}}|\*{{6}}){INSIDE}"
 CODE = rf"{OUTSIDE}([A-Z]\d{{2}}(?:\.\d{{1,2}})?){INSIDE}"
@@ -68,7 +74,7 @@ def valid_name(value: Column) -> Column:
 def valid_disease(value: Column) -> Column:
     """A disease without the number before it, at most 60 characters; null for labels and single characters."""
     bare = F.regexp_replace(F.trim(value), r"^\d+[.)]\s*", "")
-    return F.when((F.length(bare) >= 2) & ~F.rlike(bare, F.lit(NOT_DISEASE)), F.substring(bare, 1, 60))
+    return F.when((F.length(bare) >= 2) & ~F.rlike(bare, F.lit(NOT_DISEASE)), F.substring(bare, 1, DISEASE_CHARS))
 
 
 @F.pandas_udf(T.StringType())
@@ -88,20 +94,20 @@ def person_of(file_name: Column) -> Column:
 def first_date(text: Column) -> Column:
     """The first date within 1940 to 2035, as yyyy-MM-dd; days up to 31 count in every month."""
     part = lambda d, i: F.regexp_extract(d, ANY_DATE, i).cast("int")
-    good = F.filter(F.regexp_extract_all(text, F.lit(ANY_DATE), 0), lambda d: part(d, 1).between(1940, 2035) & part(d, 2).between(1, 12) & part(d, 3).between(1, 31))
+    good = F.filter(F.regexp_extract_all(text, F.lit(ANY_DATE), 0), lambda d: part(d, 1).between(*YEARS) & part(d, 2).between(1, 12) & part(d, 3).between(1, 31))
     found = F.get(good, 0)
     return F.when(F.size(good) > 0, F.format_string("%d-%02d-%02d", part(found, 1), part(found, 2), part(found, 3)))
 
 
 def _fields(title: Column, lines: Column, body: Column) -> Column:
-    disease = after(lines, lambda x: F.contains(x, F.lit("상이처(질병명)")) | F.contains(x, F.lit("신청질병명")) | (x == "질병명"), ("질병명", "구분", "("))
-    dept = after(lines, lambda x: F.contains(x, F.lit("신검과목")), ("신검", "소속"))
-    examined = F.contains(title, F.lit("신체검사")) | F.contains(title, F.lit("소견서"))
-    kind = F.coalesce(_some(F.regexp_extract(body, "재확인|재판정", 0)), _some(F.regexp_extract(body, r"재\s?심|신\s?규", 0)))
+    disease = after(lines, lambda x: F.contains(x, F.lit(DISEASE_LABELS[0])) | F.contains(x, F.lit(DISEASE_LABELS[1])) | (x == DISEASE_LABEL), NOT_AFTER_DISEASE)
+    dept = after(lines, lambda x: F.contains(x, F.lit(DEPT_LABEL)), NOT_AFTER_DEPT)
+    examined = F.contains(title, F.lit(EXAMINATIONS[0])) | F.contains(title, F.lit(EXAMINATIONS[1]))
+    kind = F.coalesce(_some(F.regexp_extract(body, KINDS, 0)), _some(F.regexp_extract(body, SPACED_KINDS, 0)))
     opinion = F.regexp_extract(body, OPINION, 1)
     return F.struct(
         first_date(body).alias("date"), valid_disease(F.get(disease, 0)).alias("disease"), _some(F.regexp_extract(body, GRADE, 1)).alias("grade"), F.when(examined, F.regexp_replace(kind, r"\s", "")).alias("exam_kind"),
-        F.substring(F.get(dept, 0), 1, 20).alias("exam_dept"), F.when(examined & valid_disease(opinion).isNotNull(), F.trim(opinion)).alias("opinion"), F.when(title == "진단서", _some(F.regexp_extract(body, CODE, 1))).alias("kcd"),
+        F.substring(F.get(dept, 0), 1, DEPT_CHARS).alias("exam_dept"), F.when(examined & valid_disease(opinion).isNotNull(), F.trim(opinion)).alias("opinion"), F.when(title == CERTIFICATE, _some(F.regexp_extract(body, CODE, 1))).alias("kcd"),
     ).cast(FIELDS)
 
 
@@ -114,15 +120,15 @@ def bundle_blocks(files: DataFrame, titles: tuple[str, ...] = TITLES) -> DataFra
 
     def title(line: Column) -> Column:
         bare = F.translate(F.trim(line), " ", "")
-        return F.coalesce(*[F.when(bare.startswith(b) & (F.length(bare) < len(b) + 12), b if t in SPACED else t) for t in titles for b in [t.replace(" ", "")]])
+        return F.coalesce(*[F.when(bare.startswith(b) & (F.length(bare) < len(b) + TITLE_ROOM), b if t in SPACED else t) for t in titles for b in [t.replace(" ", "")]])
 
     rows = files.select(F.col("file_name").alias("scan_id"), F.split(masked(F.coalesce("text", F.lit(""))), r"\r?\n").alias("lines"))
     marks = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("at"), title(x).alias("title"))), lambda m: m["title"].isNotNull())
     rows = rows.select("scan_id", "lines", F.when(F.size(marks) > 0, marks).otherwise(F.array(F.struct(F.lit(0).alias("at"), F.lit(RECORD).alias("title")))).alias("marks"))
     part = lambda m, k: F.slice(F.col("lines"), m["at"] + 1, F.coalesce(F.get(F.col("marks"), k + 1)["at"], F.size("lines")) - m["at"])
     cut = rows.select("scan_id", F.posexplode(F.transform("marks", lambda m, k: F.struct(m["title"].alias("title"), (m["at"] + 1).alias("line"), part(m, k).alias("lines")))).alias("seq", "b")).select("scan_id", "seq", "b.*")
-    excerpt = F.array_join(F.filter(F.transform(F.slice("lines", 1, 40), lambda x: F.trim(x)), lambda x: x != ""), " ")
-    return cut.select("scan_id", "seq", "title", "line", F.substring(excerpt, 1, 400).alias("excerpt"), _fields(F.col("title"), F.col("lines"), F.array_join("lines", "\n")).alias("fields"), F.lit(None).cast(NORM).alias("norm"))
+    excerpt = F.array_join(F.filter(F.transform(F.slice("lines", 1, EXCERPT[0]), lambda x: F.trim(x)), lambda x: x != ""), " ")
+    return cut.select("scan_id", "seq", "title", "line", F.substring(excerpt, 1, EXCERPT[1]).alias("excerpt"), _fields(F.col("title"), F.col("lines"), F.array_join("lines", "\n")).alias("fields"), F.lit(None).cast(NORM).alias("norm"))
 
 
 def bundle_scans(files: DataFrame, blocks: DataFrame, hospitals: tuple[str, ...] = HOSPITALS) -> DataFrame:
@@ -132,8 +138,8 @@ def bundle_scans(files: DataFrame, blocks: DataFrame, hospitals: tuple[str, ...]
     file name. A single block gives the kind; a bundle is named by its first disease, else by its number of blocks.
     """
     text = F.coalesce("text", F.lit(""))
-    head = F.slice(F.split(masked(text), r"\r?\n"), 1, 83)
-    named = after(head, lambda x: F.contains(x, F.lit("성명")), ("성명", "주민", "번호"))
+    head = F.slice(F.split(masked(text), r"\r?\n"), 1, NAME_LINES)
+    named = after(head, lambda x: F.contains(x, F.lit(NAME_LABEL)), NOT_AFTER_NAME)
     person = F.coalesce(F.get(F.array_compact(F.transform(named, valid_name)), 0), person_of(F.col("file_name")))
     hospital = F.coalesce(*[F.when(F.contains(text, F.lit(h)), h) for h in hospitals])
     found = F.min(F.when(F.col("fields.disease").isNotNull(), F.struct("seq", F.col("fields.disease").alias("d"))))["d"]

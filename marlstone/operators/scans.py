@@ -21,6 +21,10 @@ STRICT_DATE = r"^(19[4-9]\d|20[0-3]\d)-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])$"
 NOISE = "~^`|"
 
 
+# What stands where nothing is known, a certificate that counts as a grade.
+UNKNOWN, NO_DISEASE, NO_NAME, NO_GRADE, HOSPITAL, CERTIFICATE = "미상", "질병명 미상", "성명미상", "미기재", "보훈병원", "장애진단서"
+
+
 def filled(c: Column) -> Column:
     """Null for a blank value."""
     return F.when(F.trim(c) != "", c)
@@ -97,7 +101,7 @@ def sections(blocks: DataFrame, scans: DataFrame) -> DataFrame:
     norm, field = (lambda k: filled(F.col("norm")[k])), (lambda k: filled(F.col("fields")[k]))
     both = lambda k: F.coalesce(norm(k), field(k)).alias(k)
     return b.select(
-        "scan_id", "seq", F.coalesce(norm("doc_type"), filled(F.col("title")), F.lit("미상")).alias("doc_type"), both("date"), F.coalesce(norm("hospital"), F.col("_hospital")).alias("hospital"),
+        "scan_id", "seq", F.coalesce(norm("doc_type"), filled(F.col("title")), F.lit(UNKNOWN)).alias("doc_type"), both("date"), F.coalesce(norm("hospital"), F.col("_hospital")).alias("hospital"),
         both("disease"), both("grade"), both("exam_kind"), field("kcd").alias("kcd"), both("opinion"), norm("summary").alias("summary"),
         F.coalesce(F.col("norm")["key_findings"], F.array().cast("array<string>")).alias("key_findings"), F.col("line").alias("source_line"), F.col("norm").isNotNull().alias("normalized"), norm("source").alias("norm_source"),
     )
@@ -117,7 +121,7 @@ def first_values(blocks: DataFrame, *keys: str, normalised: bool) -> DataFrame:
     """Each key's first value that isn't blank, by seq (of equal ones the smallest value); a partial aggregate, so a scan's blocks needn't meet."""
     value = lambda k: F.coalesce(filled(F.col("norm")[k]), filled(F.col("fields")[k])) if normalised and k != "kcd" else filled(F.col("fields")[k])
     firsts = [F.min(F.when(value(k).isNotNull(), F.struct(F.col("seq").alias("seq"), value(k).alias("v"))))["v"].alias(k) for k in keys]
-    certified = F.bool_or(F.coalesce(F.contains("title", F.lit("장애진단서")), F.lit(False))).alias("certified")
+    certified = F.bool_or(F.coalesce(F.contains("title", F.lit(CERTIFICATE)), F.lit(False))).alias("certified")
     return blocks.groupBy("scan_id").agg(*firsts, certified, F.count("*").alias("n_blocks"))
 
 
@@ -132,17 +136,17 @@ def cases(scans: DataFrame, blocks: DataFrame, held: DataFrame) -> dict[str, Dat
     """
     b = first_values(blocks, "disease", "kcd", "grade", "date", normalised=False)
     rows = scans.join(b, "scan_id").withColumn("recv_no", F.concat(F.lit("RD"), F.coalesce(filled(F.col("reg_no")), F.col("scan_id").cast("string"))))
-    rows = rows.withColumn("disease", F.coalesce("disease", _kept_kind(F.col("kind")), F.lit("질병명 미상")))
+    rows = rows.withColumn("disease", F.coalesce("disease", _kept_kind(F.col("kind")), F.lit(NO_DISEASE)))
     known = rows.join(held, "recv_no")
     new = rows.join(held, "recv_no", "left_anti")
     born = F.substring("reg_no", 1, 2).try_cast("int") + 1900
-    applications = new.groupBy("recv_no").agg(F.min_by(F.struct("scan_id", F.coalesce(filled(F.col("person")), F.lit("성명미상")).alias("applicant"), born.alias("birth_year"), "disease", "n_blocks"), "scan_id").alias("x")).select("recv_no", "x.*")
+    applications = new.groupBy("recv_no").agg(F.min_by(F.struct("scan_id", F.coalesce(filled(F.col("person")), F.lit(NO_NAME)).alias("applicant"), born.alias("birth_year"), "disease", "n_blocks"), "scan_id").alias("x")).select("recv_no", "x.*")
     chosen = new.join(applications.select("scan_id"), "scan_id", "left_semi")
     month = F.replace(F.substring("date", 1, 7), F.lit("-"), F.lit("."))
-    disabilities = chosen.select("recv_no", F.col("disease").alias("name"), "kcd", month.alias("onset"), F.coalesce("grade", F.lit("미기재")).alias("grade"))
+    disabilities = chosen.select("recv_no", F.col("disease").alias("name"), "kcd", month.alias("onset"), F.coalesce("grade", F.lit(NO_GRADE)).alias("grade"))
     day = F.col("fields")["date"]
     records = blocks.join(chosen.select("scan_id", "recv_no", "hospital"), "scan_id").select(
-        "recv_no", "seq", F.coalesce(filled(F.col("hospital")), F.lit("보훈병원")).alias("hospital"), F.col("title").alias("rec_type"),
+        "recv_no", "seq", F.coalesce(filled(F.col("hospital")), F.lit(HOSPITAL)).alias("hospital"), F.col("title").alias("rec_type"),
         F.when(F.rlike(day, F.lit(STRICT_DATE)), day).alias("rec_date"), F.col("fields")["disease"].alias("diagnosis"), F.substring("excerpt", 1, 400).alias("finding"),
     )
     links = known.select("scan_id", "recv_no", "app_id").unionByName(new.select("scan_id", "recv_no", F.lit(None).cast(held.schema["app_id"].dataType).alias("app_id")))
@@ -156,7 +160,7 @@ def agendas(scans: DataFrame, blocks: DataFrame, held: DataFrame) -> DataFrame:
     """
     b = first_values(blocks, "disease", "grade", "exam_kind", "exam_dept", "opinion", normalised=True)
     rows = scans.join(b, "scan_id").withColumn("agenda_no", F.concat(F.lit("RD"), F.coalesce(filled(F.col("reg_no")), F.col("scan_id").cast("string")), F.lit("호")))
-    disease = F.coalesce("disease", _kept_kind(F.col("kind")), F.lit("질병명 미상"))
-    grade = F.coalesce("grade", F.when(F.col("certified"), "장애진단서"))
+    disease = F.coalesce("disease", _kept_kind(F.col("kind")), F.lit(NO_DISEASE))
+    grade = F.coalesce("grade", F.when(F.col("certified"), CERTIFICATE))
     out = rows.join(held, "agenda_no", "left")
     return out.select("scan_id", "agenda_no", "agenda_id", F.col("agenda_id").isNotNull().alias("existed"), disease.alias("injury"), grade.alias("exam_grade"), F.coalesce("exam_kind", F.lit("재확인")).alias("exam_kind"), "exam_dept", "opinion")
