@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cosine
+from .search import by_blocks
 
 # Criteria looked at, what is said of a grade and of the change of one.
 CRITERIA = 6
@@ -25,8 +26,8 @@ def score_criteria(queries: DataFrame, criteria: DataFrame, most: int = CRITERIA
     queries: id, disease, body_part (null: any), embedding; criteria: class_no, grade, body_part, description, embedding. A query meets
     all criteria of its body part; one without meets each part's. Returns id, r, class_no, grade, description, similarity.
     """
-    parts = criteria.select("body_part").distinct().agg(F.collect_list("body_part").alias("every"))
-    asked = queries.crossJoin(F.broadcast(parts)).select("id", F.array_distinct(F.regexp_extract_all("disease", F.lit("[가-힣A-Za-z0-9]{2,}"), 0)).alias("words"), F.col("embedding").alias("q"), F.explode(F.when(F.col("body_part").isNull(), F.col("every")).otherwise(F.array("body_part"))).alias("body_part"))
+    parts = criteria.agg(F.collect_set("body_part").alias("every"))  # one row
+    asked = queries.join(F.broadcast(parts)).select("id", F.array_distinct(F.regexp_extract_all("disease", F.lit("[가-힣A-Za-z0-9]{2,}"), 0)).alias("words"), F.col("embedding").alias("q"), F.explode(F.when(F.col("body_part").isNull(), F.col("every")).otherwise(F.array("body_part"))).alias("body_part"))
     letters = F.aggregate(F.filter("words", lambda w: F.contains("description", w)), F.lit(0), lambda a, w: a + F.length(w))
     rows = asked.join(criteria, "body_part").select("id", "class_no", "grade", "description", F.bround(letters + cosine(F.col("embedding"), F.col("q")), 4).alias("similarity"))
     order = Window.partitionBy("id").orderBy(F.desc("similarity"), "class_no", "grade", "description")
@@ -36,15 +37,19 @@ def score_criteria(queries: DataFrame, criteria: DataFrame, most: int = CRITERIA
 def similar_cases(queries: DataFrame, cases: DataFrame, most: int = 5) -> DataFrame:
     """The nearest cases of each query, those of its body part first: id, r, case_id, grade, similarity.
 
-    queries: id, body_part, embedding, a stated set that meets all cases; cases: case_id, body_part, grade, embedding. As in
+    queries: id, body_part, embedding, a stated set that meets all cases, in blocks; cases: case_id, body_part, grade, embedding. As in
     the order of booleans with nulls first, a case without body part comes before all others. Each task keeps its best
     `most` of a query before they meet.
     """
     near = F.round(cosine(F.col("embedding"), F.col("q")), 4).alias("similarity")
     first = F.when(F.col("body_part").isNull(), 2).when(F.col("body_part") == F.coalesce("part", F.lit("")), 1).otherwise(0).alias("first")
-    rows = cases.crossJoin(queries.select("id", F.col("body_part").alias("part"), F.col("embedding").alias("q"))).select("id", first, near, "case_id", "grade")
     order = [F.desc("first"), F.desc("similarity"), "case_id"]
-    return rows.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(*order)).cast("long")).where(F.col("r") <= most).select("id", "r", "case_id", "grade", "similarity")
+
+    def nearest(part: DataFrame) -> DataFrame:
+        rows = cases.join(part).select("id", first, near, "case_id", "grade")
+        return rows.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(*order)).cast("long")).where(F.col("r") <= most).select("id", "r", "case_id", "grade", "similarity")
+
+    return by_blocks(queries.select("id", F.col("body_part").alias("part"), F.col("embedding").alias("q")), "id", nearest)
 
 
 def predict(queries: DataFrame, criteria: DataFrame, cases: DataFrame) -> DataFrame:

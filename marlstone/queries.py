@@ -158,11 +158,15 @@ def knn_with_picks(t):
 
 @query("WITH p AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT * FROM p WHERE vec_id % 100 = 0), s AS (SELECT q.vec_id AS q, q.label AS want, p.label AS got, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(p.v, q.v) / (sqrt(list_dot_product(p.v, p.v)) * sqrt(list_dot_product(q.v, q.v))), 6) DESC, p.vec_id) AS r FROM p, q WHERE p.vec_id <> q.vec_id), h AS (SELECT q, want, max((got = want AND r <= 1)::INT) AS h1, max((got = want)::INT) AS h5 FROM s WHERE r <= 5 GROUP BY ALL) SELECT want::BIGINT AS label, count(*)::BIGINT AS n, round(avg(h1), 6) AS hit1, round(avg(h5), 6) AS hit5 FROM h GROUP BY GROUPING SETS ((want), ())")
 def hit_at_k_by_group(t):
+    """Every hundredth vector, a stated set of queries, meets all others, in blocks of queries."""
     v = t.embeddings.withColumn("norm", F.sqrt(tx.dot(F.col("embedding"), F.col("embedding"))))
-    # The queries are every hundredth vector, a stated set, met by all vectors.
     q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("label").alias("want"), F.col("embedding").alias("e"), F.col("norm").alias("m"))
-    s = v.join(q, F.col("vec_id") != F.col("q")).withColumn("s", F.round(tx.dot(F.col("embedding"), F.col("e")) / (F.col("norm") * F.col("m")), 6))
-    r = s.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "vec_id"))).where("r <= 5")
+
+    def nearest(part: DataFrame) -> DataFrame:
+        s = v.join(part, F.col("vec_id") != F.col("q")).withColumn("s", F.round(tx.dot(F.col("embedding"), F.col("e")) / (F.col("norm") * F.col("m")), 6))
+        return s.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "vec_id"))).where("r <= 5").select("q", "want", "label", "r")
+
+    r = search.by_blocks(q, "q", nearest)
     same = (F.col("label") == F.col("want")).cast("int")
     h = r.groupBy("q", "want").agg(F.max(F.when(F.col("r") <= 1, same).otherwise(0)).alias("h1"), F.max(same).alias("h5"))
     return h.rollup("want").agg(n().alias("n"), F.round(F.avg("h1"), 6).alias("hit1"), F.round(F.avg("h5"), 6).alias("hit5")).select(F.col("want").cast("long").alias("label"), "n", "hit1", "hit5")
@@ -265,14 +269,18 @@ def anti_not_exists(t):
 @query("SELECT r_name, n_name FROM (SELECT r_name, n_name, row_number() OVER (PARTITION BY r_name ORDER BY md5(r_name || n_name)) AS k FROM region, nation) WHERE k = 1")
 def lateral_md5_pick(t):
     """The nation with the least md5 beside each region: the region has a handful of rows."""
-    rows = t.nation.crossJoin(F.broadcast(t.region))
+    rows = t.nation.join(t.region)
     return rows.groupBy("r_name").agg(F.min(F.struct(F.md5(F.concat("r_name", "n_name").cast("binary")).alias("h"), "n_name"))["n_name"].alias("n_name"))
 
 
-@query("SELECT n_name, doc_id FROM nation, documents WHERE contains(lower(text), lower(substr(n_name, 1, 4)))")
+#: Names that texts are searched for: a fixed few.
+SOUGHT = ["data", "license", "nicht", "pour", "system", "the"]
+
+
+@query(f"SELECT name, doc_id FROM (VALUES {', '.join(f"('{x}')" for x in SOUGHT)}) v(name), documents WHERE contains(lower(text), name)")
 def theta_contains_join(t):
-    names = F.broadcast(t.nation.select("n_name"))
-    return t.documents.join(names, F.contains(F.lower("text"), F.lower(F.substring("n_name", 1, 4)))).select("n_name", "doc_id")
+    names = F.broadcast(t.spark.sql(f"SELECT * FROM VALUES {', '.join(f"('{x}')" for x in SOUGHT)} AS v(name)"))
+    return t.documents.join(names, F.contains(F.lower("text"), F.col("name"))).select("name", "doc_id")
 
 
 @query(r"SELECT rule, count(*)::BIGINT AS n FROM (VALUES ('money', '[0-9]+ ?(%|\$)'), ('mail', '[a-z0-9.]+@[a-z0-9.]+'), ('license', '(?i)licen[cs]e')) r(rule, pattern), documents WHERE regexp_matches(text, pattern) GROUP BY 1")
@@ -294,10 +302,10 @@ def unpivot_pairs(t):
     return rows.select("l_orderkey", "line", (F.col("i") + 1).cast("long").alias("pair"), "p.item", "p.result").where("item <> 'N'")
 
 
-@query("WITH p AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'), r AS (SELECT conv_id, turn - 1 AS turn, text FROM conversations WHERE role <> 'user') SELECT p.conv_id, p.turn, length(p.text)::BIGINT AS n_chars, count(r.text)::BIGINT AS n_replies, coalesce(string_agg(substr(r.text, 1, 20), '|' ORDER BY r.text), '') AS replies FROM p LEFT JOIN r USING (conv_id, turn) GROUP BY ALL")
+@query("WITH p AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'), r AS (SELECT conv_id, turn - 1 AS turn, text FROM conversations WHERE role <> 'user') SELECT p.conv_id, p.turn, length(p.text)::BIGINT AS n_chars, count(r.text)::BIGINT AS n_replies, coalesce(string_agg(md5(r.text), '|' ORDER BY r.text), '') AS replies FROM p LEFT JOIN r USING (conv_id, turn) GROUP BY ALL")
 def tree_nest_replies(t):
     c = t.conversations
-    r = c.where("role <> 'user'").groupBy("conv_id", (F.col("turn") - 1).alias("turn")).agg(n("text").alias("k"), F.array_join(F.transform(F.array_sort(F.collect_list("text")), lambda x: F.substring(x, 1, 20)), "|").alias("replies"))
+    r = c.where("role <> 'user'").groupBy("conv_id", (F.col("turn") - 1).alias("turn")).agg(n("text").alias("k"), F.array_join(F.transform(F.array_sort(F.collect_list("text")), lambda x: F.md5(x.cast("binary"))), "|").alias("replies"))
     rows = c.where("role = 'user'").join(r, ["conv_id", "turn"], "left")
     return rows.select("conv_id", "turn", F.length("text").cast("long").alias("n_chars"), F.coalesce("k", F.lit(0)).alias("n_replies"), F.coalesce("replies", F.lit("")).alias("replies"))
 
@@ -594,11 +602,12 @@ def graph_optional_hops(t):
     return rows.select("customer", F.coalesce("n_orders", F.lit(0)).alias("n_orders"), F.coalesce("n_codes", F.lit(0)).alias("n_codes"))
 
 
-@query("SELECT 'nation' AS ntype, n_name AS key, count(*)::BIGINT AS n FROM nation, documents WHERE contains(lower(text), lower(substr(n_name, 1, 3))) GROUP BY ALL")
+@query(f"SELECT 'topic' AS ntype, name AS key, count(*)::BIGINT AS n FROM (VALUES {', '.join(f"('{x}')" for x in SOUGHT)}) v(name), documents WHERE contains(' ' || lower(text) || ' ', ' ' || name || ' ') GROUP BY ALL")
 def graph_entity_match(t):
-    names = F.broadcast(t.nation.select("n_name"))
-    hit = t.documents.join(names, F.contains(F.lower("text"), F.lower(F.substring("n_name", 1, 3))))
-    return hit.groupBy(F.lit("nation").alias("ntype"), F.col("n_name").alias("key")).agg(n().alias("n"))
+    """Nodes whose whole name stands between spaces: a question's words meet the names by equality."""
+    nodes = t.spark.sql(f"SELECT 'topic' AS ntype, name AS key FROM VALUES {', '.join(f"('{x}')" for x in SOUGHT)} AS v(name)")
+    said = t.documents.select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), " ", -1))).alias("key"))
+    return said.join(nodes, "key").groupBy("ntype", "key").agg(n().alias("n"))
 
 
 @query("SELECT c_custkey AS app, kind, title, bool_or(final) AS final FROM (SELECT o_custkey AS c_custkey, 'order' AS kind, o_orderpriority AS title, o_orderstatus = 'F' AS final FROM orders UNION ALL SELECT o_custkey, 'item', l_returnflag, l_linestatus = 'F' FROM orders JOIN lineitem ON l_orderkey = o_orderkey UNION ALL SELECT c_custkey, 'profile', c_mktsegment, true FROM customer) GROUP BY 1, 2, 3")

@@ -172,3 +172,12 @@ def test_many_queries_are_ranked_one_by_one(spark):
         with pytest.raises(Exception, match="one query row"):
             df.collect()
     assert search.knn(t.embeddings, asked.where("false"), 5).count() == 0
+
+
+def test_queries_meet_all_rows_in_blocks(spark):
+    rows = spark.range(50).withColumnRenamed("id", "x")
+    asked = spark.range(23).withColumnRenamed("id", "q")
+    near = lambda part: rows.join(part, F.col("x") % 23 == F.col("q")).groupBy("q").agg(F.count("*").alias("n"))
+    got = [sorted(map(tuple, search.by_blocks(asked, "q", near, most).collect())) for most in (1000, 4, 1)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 23
+    assert search.by_blocks(asked.where("false"), "q", near).count() == 0
