@@ -89,11 +89,11 @@ def as_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 _ROWS, _BLOCK = 512, 1 << 19
 
 
-def slices(batches: Iterator[pa.RecordBatch], most: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def slices(batches: Iterator[pa.RecordBatch], most: int = 2 << 20, rows: int = _ROWS) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cut batches with a column text into runs of rows of about `most` bytes (or one longer row)."""
     for whole in batches:
-        for at_row in range(0, whole.num_rows, _ROWS):
-            batch = whole.slice(at_row, _ROWS)
+        for at_row in range(0, whole.num_rows, rows):
+            batch = whole.slice(at_row, rows)
             data, at = as_bytes(batch.column(batch.schema.get_field_index("text")))
             first = 0
             while first < batch.num_rows:

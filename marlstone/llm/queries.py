@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op13_alignment
 from .bpe import op3_bpe
 from .classifier import op7_classifier
 from .jaccard import OP8_SQL, op8_jaccard
@@ -28,5 +29,6 @@ QUERIES = {
     "op10_lm": op10_lm,
     "op11_language": op11_language,
     "op12_negatives": op12_negatives,
+    "op13_alignment": op13_alignment,
 }
 ORACLES = {"op1_mixing": OP1_SQL, "op2_licenses": OP2_SQL, "op5_rules": OP5_SQL, "op6_lines": OP6_SQL, "op8_jaccard": OP8_SQL, "op12_negatives": OP12_SQL}
