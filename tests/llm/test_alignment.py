@@ -33,7 +33,7 @@ def plain(texts):
             raw = (" " + text).encode()
             if b"".join(x for _, x in a) == raw == b"".join(x for _, x in b):
                 ends = [np.cumsum([len(x) for _, x in side]).tolist() for side in (a, b)]
-                cuts, found = sorted(set(ends[0]) & set(ends[1])), defaultdict(lambda: ([], []))
+                cuts, found = np.array(sorted(set(ends[0]) & set(ends[1]))), defaultdict(lambda: ([], []))
                 for k, side in enumerate((a, b)):
                     for (i, _), end in zip(side, ends[k], strict=True):
                         found[np.searchsorted(cuts, end)][k].append(i)
