@@ -31,6 +31,8 @@ FINDINGS = (
 # What parts disease names, how they are written, labels and noise among them, words for none; the two forms of a grade.
 BETWEEN, DISEASE, TWO_SYLLABLES = "[,·/]", "^[가-힣A-Za-z][가-힣A-Za-z0-9 ]*$", "[가-힣]{2,}"
 NOT_DISEASE, NO_DISEASE = "검진|검사|판독|소견|기록|서류|구분|성명|번호", ("null", "none", "없음", "-")
+#: Titles and labels of forms that stand where a disease is asked for.
+FORM_TITLES = ("임상적추정", "병상일지", "신청사유", "의무기록", "소견서", "진단서", "수술기록", "외래기록", "입퇴원요약", "영상검사결과", "기능검사결과")
 GRADES = r"^\d급|^\d-\d-\d{4}$"
 SIDES = ((r"\bleft\b|\bLt\b", "좌"), (r"\bright\b|\bRt\b", "우"), (r"\bboth\b|양측", "양측"))
 
@@ -110,8 +112,8 @@ def grade(text: Column) -> Column:
     return F.when(F.rlike(bare, F.lit(GRADES)), bare)
 
 
-def diseases(text: Column, unwanted: tuple[str, ...] = (), unwanted_pattern: str = NOT_DISEASE) -> Column:
-    """The disease names of a field: up to an asterisk, split, without what stands in brackets; labels and noise go."""
+def diseases(text: Column, unwanted: tuple[str, ...] = FORM_TITLES, unwanted_pattern: str = NOT_DISEASE) -> Column:
+    """The disease names of a field: up to an asterisk, split, without what stands in brackets; titles of forms, labels and noise go."""
     parts = F.split(F.get(F.split(F.coalesce(text, F.lit("")), r"\*"), 0), BETWEEN)
     names = F.transform(parts, lambda p: F.trim(F.regexp_replace(p, r"\([^)]*\)", "")))
     good = lambda v: (F.length(v) >= 2) & F.rlike(v, F.lit(DISEASE)) & F.rlike(v, F.lit(TWO_SYLLABLES)) & ~F.rlike(v, F.lit(unwanted_pattern))

@@ -30,8 +30,8 @@ def tokens(text: Column) -> Column:
 
 
 def or_terms(query: Column) -> Column:
-    """The different terms of a question, any of which a hit may have; one that nothing has if there are none."""
-    found = F.array_distinct(F.filter(F.regexp_extract_all(query, F.lit(r"[\p{L}\p{N}\-]+"), 0), lambda t: t.rlike(r"[\p{L}\p{N}]")))
+    """The different terms of a question, lower-cased as those of texts are, any of which a hit may have; one that nothing has if there are none."""
+    found = F.array_distinct(tokens(F.coalesce(query, F.lit(""))))
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(NO_TERM)))
 
 
@@ -60,12 +60,16 @@ def tolerant_date(text: Column) -> Column:
     return F.when(text.rlike(FULL_DATE), read(FULL_DATE, part(FULL_DATE, 2), part(FULL_DATE, 3))).when(text.rlike(MONTH), read(MONTH, part(MONTH, 2), F.lit("15")))
 
 
+# What markdown's marks look like (headings, rules, bold, italics, bullets, blank lines, ends), and what stays of them.
+MARKDOWN = [
+    (r"(?m)^#{1,6}\s*", ""), (r"(?m)^\s*[-*]{3,}\s*$", ""), (r"\*\*(.+?)\*\*", "$1"),
+    (r"(?U)(?<!\w)\*(.+?)\*(?!\w)", "$1"), (r"(?m)^\s*[-*]\s+", ""), (r"\n{3,}", "\n\n"), (r"^\s+|\s+$", ""),
+]
+
+
 def strip_markdown(text: Column) -> Column:
     """Headings, rules, bold, italics and bullets lose their marks; of several blank lines one stays."""
-    for pattern, by in [
-        (r"(?m)^#{1,6}\s*", ""), (r"(?m)^\s*[-*]{3,}\s*$", ""), (r"\*\*(.+?)\*\*", "$1"),
-        (r"(?U)(?<!\w)\*(.+?)\*(?!\w)", "$1"), (r"(?m)^\s*[-*]\s+", ""), (r"\n{3,}", "\n\n"), (r"^\s+|\s+$", ""),
-    ]:
+    for pattern, by in MARKDOWN:
         text = F.regexp_replace(text, pattern, by)
     return text
 

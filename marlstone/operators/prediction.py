@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import cosine
-from .search import by_blocks
+from .nearest import cosines, directed, first_of, matrix, meet
 
 # Criteria looked at, what is said of a grade and of the change of one.
 CRITERIA = 6
@@ -25,48 +26,100 @@ def score_criteria(queries: DataFrame, criteria: DataFrame, most: int = CRITERIA
 
     queries: id, disease, body_part (null: any), embedding; criteria: class_no, grade, body_part, description, embedding. A query meets
     all criteria of its body part; one without meets each part's. Returns id, r, class_no, grade, description, similarity.
+    Cosines are matrix products of blocks (nearest.meet), and each word is looked for once in each text of a block; a vector
+    without a direction finds nothing and isn't found. The frames are counted when this one is built.
     """
-    parts = criteria.agg(F.collect_set("body_part").alias("every"))  # one row
-    asked = queries.join(F.broadcast(parts)).select("id", F.array_distinct(F.regexp_extract_all("disease", F.lit("[가-힣A-Za-z0-9]{2,}"), 0)).alias("words"), F.col("embedding").alias("q"), F.explode(F.when(F.col("body_part").isNull(), F.col("every")).otherwise(F.array("body_part"))).alias("body_part"))
-    letters = F.aggregate(F.filter("words", lambda w: F.contains("description", w)), F.lit(0), lambda a, w: a + F.length(w))
-    rows = asked.join(criteria, "body_part").select("id", "class_no", "grade", "description", F.bround(letters + cosine(F.col("embedding"), F.col("q")), 4).alias("similarity"))
+    parts = criteria.where("body_part IS NOT NULL").agg(F.collect_set("body_part").alias("every"))  # one row
+    words = F.array_distinct(F.regexp_extract_all(F.coalesce("disease", F.lit("")), F.lit("[가-힣A-Za-z0-9]{2,}"), 0)).alias("words")
+    of = F.explode(F.when(F.col("body_part").isNull(), F.col("every")).otherwise(F.array("body_part"))).alias("body_part")
+    asked = queries.where(directed("embedding")).join(F.broadcast(parts)).select(F.col("id").cast("long"), words, "embedding", of)
+    known = criteria.where(directed("embedding")).select(F.col("class_no").cast("long"), "grade", "body_part", "description", "embedding")
+
+    def run(r: pa.Table, q: pa.Table) -> pa.Table:
+        near = cosines(matrix(q["embedding"]), matrix(r["embedding"]))
+        texts, spoken = [t or "" for t in r["description"].to_pylist()], q["words"].to_pylist()
+        different = sorted({w for x in spoken for w in x})
+        place = {w: i for i, w in enumerate(different)}
+        asks = np.zeros((len(spoken), len(different)))
+        for i, x in enumerate(spoken):
+            asks[i, [place[w] for w in x]] = [len(w) for w in x]
+        held = np.array([[w in t for t in texts] for w in different], float).reshape(len(different), len(texts))
+        found = np.round(asks @ held + near, 4)
+        class_no, grade, text = (np.array(r[c].to_pylist(), kind) for c, kind in (("class_no", np.int64), ("grade", object), ("description", object)))
+        ties = [class_no, *(np.unique([v or "" for v in c], return_inverse=True)[1] if len(c) else np.zeros(0, int) for c in (grade, text))]
+        best = [first_of([-s, *ties], most) for s in found]
+        at = np.concatenate(best) if best else np.zeros(0, int)
+        by = np.repeat(np.arange(len(best)), [len(x) for x in best])
+        return pa.table({"id": pa.array(q["id"].to_numpy()[by]), "class_no": pa.array(class_no[at]), "grade": pa.array(grade[at], pa.string()), "description": pa.array(text[at], pa.string()), "similarity": pa.array(found[by, at] if len(at) else np.zeros(0))})
+
+    rows = meet(known, F.struct("class_no", "description"), asked, F.col("id"), run, "id long, class_no long, grade string, description string, similarity double", keys=["body_part"])
     order = Window.partitionBy("id").orderBy(F.desc("similarity"), "class_no", "grade", "description")
-    return rows.withColumn("r", F.row_number().over(order).cast("long")).where(F.col("r") <= most)
+    return rows.withColumn("r", F.row_number().over(order).cast("long")).where(F.col("r") <= most).select("id", "r", "class_no", "grade", "description", "similarity")
 
 
 def similar_cases(queries: DataFrame, cases: DataFrame, most: int = 5) -> DataFrame:
     """The nearest cases of each query, those of its body part first: id, r, case_id, grade, similarity.
 
-    queries: id, body_part, embedding, a stated set that meets all cases, in blocks; cases: case_id, body_part, grade, embedding. As in
-    the order of booleans with nulls first, a case without body part comes before all others. Each task keeps its best
-    `most` of a query before they meet.
+    queries: id, body_part, embedding; cases: case_id, body_part, grade, embedding. As in the order of booleans with nulls first,
+    a case without body part comes before all others. Cosines are matrix products of blocks, each of which keeps its best
+    `most` of a query; a vector without a direction finds nothing and isn't found. The frames are counted when this one is built.
     """
-    near = F.round(cosine(F.col("embedding"), F.col("q")), 4).alias("similarity")
-    first = F.when(F.col("body_part").isNull(), 2).when(F.col("body_part") == F.coalesce("part", F.lit("")), 1).otherwise(0).alias("first")
-    order = [F.desc("first"), F.desc("similarity"), "case_id"]
 
-    def nearest(part: DataFrame) -> DataFrame:
-        rows = cases.join(part).select("id", first, near, "case_id", "grade")
-        return rows.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(*order)).cast("long")).where(F.col("r") <= most).select("id", "r", "case_id", "grade", "similarity")
-
-    return by_blocks(queries.select("id", F.col("body_part").alias("part"), F.col("embedding").alias("q")), "id", nearest)
-
-
-def predict(queries: DataFrame, criteria: DataFrame, cases: DataFrame) -> DataFrame:
-    """id, grade1, grade2, rationale: the best criterion's grade and that of the next with another grade or number; where no criterion is
-    met, the grades with the largest sums of similarity among near cases (of equals the nearer), without rationale."""
-    found = score_criteria(queries, criteria)
+    def run(r: pa.Table, q: pa.Table) -> pa.Table:
+        near = np.round(cosines(matrix(q["embedding"]), matrix(r["embedding"])), 4)
+        part, grade = np.array(r["body_part"].to_pylist(), object), np.array(r["grade"].to_pylist(), object)
+        ids, none = r["case_id"].to_numpy(), np.equal(part, None)
+        out = []
+        for s, own in zip(near, q["body_part"].to_pylist(), strict=True):
+            first = np.where(none, 2, np.equal(part, own or "").astype(int))
+            best = first_of([-first, -s, ids], most)
+            out.append((first[best], ids[best], best, s[best]))
+        size = [len(x[0]) for x in out]
+        flat = lambda i, kind: np.concatenate([x[i] for x in out]) if out else np.zeros(0, kind)
+        return pa.table({"id": pa.array(np.repeat(q["id"].to_numpy(), size)), "first": pa.array(flat(0, np.int64)), "case_id": pa.array(flat(1, np.int64)), "grade": pa.array(grade[flat(2, np.int64)], pa.string()), "similarity": pa.array(flat(3, np.float64))})
+
+    asked = queries.where(directed("embedding")).select(F.col("id").cast("long"), "body_part", "embedding")
+    known = cases.where(directed("embedding")).select(F.col("case_id").cast("long"), "body_part", "grade", "embedding")
+    rows = meet(known, F.col("case_id"), asked, F.col("id"), run, "id long, first long, case_id long, grade string, similarity double")
+    order = Window.partitionBy("id").orderBy(F.desc("first"), F.desc("similarity"), "case_id")
+    return rows.withColumn("r", F.row_number().over(order).cast("long")).where(F.col("r") <= most).select("id", "r", "case_id", "grade", "similarity")
+
+
+def picked_cases(near: DataFrame, cases: DataFrame, picks: DataFrame) -> DataFrame:
+    """near (id, r, case_id, grade, similarity) as a person's picks (id, case_id, kind, weight) want it: excluded cases go, pinned ones come
+    first by weight, then by similarity; a pinned case that isn't near comes with no similarity. r counts anew."""
+    kept = near.join(picks.where("kind = 'exclude'").select("id", "case_id"), ["id", "case_id"], "left_anti")
+    pins = picks.where("kind = 'pin'").groupBy("id", "case_id").agg(F.max("weight").alias("weight"))
+    pins = pins.join(cases.select(F.col("case_id").cast("long").alias("case_id"), F.col("grade").alias("own")), "case_id").join(near.select("id").distinct(), "id", "left_semi")
+    rows = kept.join(pins, ["id", "case_id"], "full")
+    order = [F.col("own").isNull(), F.desc_nulls_last("weight"), F.desc_nulls_last("similarity"), F.asc_nulls_last("r"), "case_id"]
+    place = F.row_number().over(Window.partitionBy("id").orderBy(*order)).cast("long")
+    return rows.withColumn("place", place).select("id", F.col("place").alias("r"), "case_id", F.coalesce("grade", "own").alias("grade"), "similarity")
+
+
+def predict(queries: DataFrame, criteria: DataFrame, cases: DataFrame, picks: DataFrame | None = None) -> DataFrame:
+    """id, grade1, grade2, rationale: the best criterion's grade and that of the next with another grade or number; where there are no
+    criteria for a body part, the grades with the largest sums of similarity among near cases (of equals the nearer), without
+    rationale. picks (id, case_id, kind, weight) are applied to the near cases first; a case without similarity adds nothing to a sum.
+
+    Which queries the cases decide follows from the body parts alone, so each score is worked out once.
+    """
+    parts = criteria.where(directed("embedding") & F.col("body_part").isNotNull()).select("body_part").distinct()
+    scored = queries.where(directed("embedding")).select("id", F.col("body_part").alias("asked"))
+    met = scored.join(parts, F.col("asked").isNull() | (F.col("asked") == F.col("body_part")), "left_semi")
     item = F.struct("r", "grade", "class_no", "description")
-    best = found.groupBy("id").agg(F.array_sort(F.collect_list(item)).alias("c"))
+    best = score_criteria(queries, criteria).groupBy("id").agg(F.array_sort(F.collect_list(item)).alias("c"))
     top = F.get("c", F.lit(0))
     other = F.get(F.filter("c", lambda x: (x["grade"] != top["grade"]) | (x["class_no"] != top["class_no"])), F.lit(0))
     named = lambda c: F.concat(c["grade"], F.lit(" "), c["class_no"].cast("string"), F.lit("호"))
     number = top["class_no"].cast("string")
     text = F.format_string(RATIONALE, "disease", number, top["description"], top["grade"], number)
-    rows = queries.select("id", "disease", "body_part", "embedding").join(best, "id", "left")
-    by_criteria = rows.where("c IS NOT NULL").select("id", named(top).alias("grade1"), named(other).alias("grade2"), text.alias("rationale"))
-    rest = rows.where("c IS NULL")
-    sums = similar_cases(rest, cases).groupBy("id", "grade").agg(F.sum("similarity").alias("s"), F.min("r").alias("r"))
+    by_criteria = queries.select("id", "disease").join(best, "id").select("id", named(top).alias("grade1"), named(other).alias("grade2"), text.alias("rationale"))
+    rest = queries.join(met, "id", "left_anti").select("id", "body_part", "embedding")
+    near = similar_cases(rest, cases)
+    if picks is not None:
+        near = picked_cases(near, cases, picks)
+    sums = near.groupBy("id", "grade").agg(F.sum(F.coalesce("similarity", F.lit(0.0))).alias("s"), F.min("r").alias("r"))
     votes = sums.groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("s"), "r", "grade"))).alias("g"))
     voted = rest.select("id").join(votes, "id", "left").select("id", F.get("g", F.lit(0))["grade"].alias("grade1"), F.get("g", F.lit(1))["grade"].alias("grade2"), F.lit(None).cast("string").alias("rationale"))
     return by_criteria.unionByName(voted)

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import chunks, cosine, harmonic_rank, tokens
+from .nearest import nearest
 
 # Candidates of each branch, rank constant, branch weights, results.
 DEPTH, RRF_K, DENSE, SPARSE, TOP = 50, 60, 1.0, 0.5, 5
@@ -76,26 +75,10 @@ def top_each(df: DataFrame, k: int, *order) -> DataFrame:
     return df.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)).cast("long")).where(F.col("r") <= k)
 
 
-def by_blocks(queries: DataFrame, key: str, meet: Callable[[DataFrame], DataFrame], most: int = 5_000) -> DataFrame:
-    """What meet() finds for queries that have to meet all rows of something: about `most` of them at once, sent to all tasks; the
-    blocks' results are put together. The queries are counted first."""
-    blocks = max(1, -(-queries.count() // most))
-    found = None
-    for k in range(blocks):
-        part = meet(F.broadcast(queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == k)))
-        found = part if found is None else found.unionByName(part)
-    return found
-
-
 def knn_multi(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, vec_id, similarity, r: the k nearest of vectors to each row of queries (query_id, embedding), by cosine; exact, in blocks
-    of queries. Each task keeps its best k of a query before they meet."""
-
-    def nearest(part: DataFrame) -> DataFrame:
-        pairs = vectors.join(part)
-        return top_each(pairs.select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("similarity")), k, F.desc("similarity"), "vec_id")
-
-    return by_blocks(queries.select("query_id", F.col("embedding").alias("q")), "query_id", nearest)
+    """query_id, vec_id, similarity, r: the k nearest of vectors to each row of queries (query_id, embedding), by cosine; exact, as matrix
+    products of blocks. A vector without a direction isn't found and finds nothing. Both frames are counted when this one is built."""
+    return top_each(nearest(vectors, queries, k), k, F.desc("similarity"), "vec_id")
 
 
 def lexical_multi(docs: DataFrame, queries: DataFrame) -> DataFrame:

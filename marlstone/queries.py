@@ -158,15 +158,12 @@ def knn_with_picks(t):
 
 @query("WITH p AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT * FROM p WHERE vec_id % 100 = 0), s AS (SELECT q.vec_id AS q, q.label AS want, p.label AS got, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(p.v, q.v) / (sqrt(list_dot_product(p.v, p.v)) * sqrt(list_dot_product(q.v, q.v))), 6) DESC, p.vec_id) AS r FROM p, q WHERE p.vec_id <> q.vec_id), h AS (SELECT q, want, max((got = want AND r <= 1)::INT) AS h1, max((got = want)::INT) AS h5 FROM s WHERE r <= 5 GROUP BY ALL) SELECT want::BIGINT AS label, count(*)::BIGINT AS n, round(avg(h1), 6) AS hit1, round(avg(h5), 6) AS hit5 FROM h GROUP BY GROUPING SETS ((want), ())")
 def hit_at_k_by_group(t):
-    """Every hundredth vector, a stated set of queries, meets all others, in blocks of queries."""
-    v = t.embeddings.withColumn("norm", F.sqrt(tx.dot(F.col("embedding"), F.col("embedding"))))
-    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("label").alias("want"), F.col("embedding").alias("e"), F.col("norm").alias("m"))
-
-    def nearest(part: DataFrame) -> DataFrame:
-        s = v.join(part, F.col("vec_id") != F.col("q")).withColumn("s", F.round(tx.dot(F.col("embedding"), F.col("e")) / (F.col("norm") * F.col("m")), 6))
-        return s.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "vec_id"))).where("r <= 5").select("q", "want", "label", "r")
-
-    r = search.by_blocks(q, "q", nearest)
+    """Every hundredth vector, a stated set of queries, meets all others: its six nearest without itself."""
+    v = t.embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding")
+    q = v.where("vec_id % 100 = 0")
+    near = search.knn_multi(v, q.select(F.col("vec_id").alias("query_id"), "embedding"), 6).where("vec_id <> query_id")
+    near = near.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("r"))).where("r <= 5")
+    r = near.join(v.select("vec_id", "label"), "vec_id").join(q.select(F.col("vec_id").alias("query_id"), F.col("label").alias("want")), "query_id").withColumnRenamed("query_id", "q")
     same = (F.col("label") == F.col("want")).cast("int")
     h = r.groupBy("q", "want").agg(F.max(F.when(F.col("r") <= 1, same).otherwise(0)).alias("h1"), F.max(same).alias("h5"))
     return h.rollup("want").agg(n().alias("n"), F.round(F.avg("h1"), 6).alias("hit1"), F.round(F.avg("h5"), 6).alias("hit5")).select(F.col("want").cast("long").alias("label"), "n", "hit1", "hit5")

@@ -81,7 +81,7 @@ def retry_new_evidence(t):
     return got["hits"].withColumn("retried", F.lit(got["retried"]).cast("long"))
 
 
-@query(r"WITH x AS (SELECT item_id, list_filter(regexp_extract_all(text, '[\p{L}\p{N}\-]+'), lambda t: regexp_matches(t, '[\p{L}\p{N}]')) AS l FROM benchmark) SELECT item_id, array_to_string(CASE WHEN len(l) > 0 THEN list_filter(l, lambda v, i: list_position(l, v) = i) ELSE ['___none___'] END, ' | ') AS terms FROM x")
+@query(r"WITH x AS (SELECT item_id, list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}\-]+'), lambda t: regexp_matches(t, '[\p{L}\p{N}]')) AS l FROM benchmark) SELECT item_id, array_to_string(CASE WHEN len(l) > 0 THEN list_filter(l, lambda v, i: list_position(l, v) = i) ELSE ['___none___'] END, ' | ') AS terms FROM x")
 def or_terms(t):
     return t.benchmark.select("item_id", F.array_join(tx.or_terms(F.col("text")), " | ").alias("terms"))
 
@@ -193,14 +193,15 @@ _ASKED = ["red bolt", "small widget of size", "xx", "gear gear hot"]
 
 
 def _criteria(t: Tables) -> DataFrame:
-    """Parts as criteria, with the vector that their key leads to; those of brands up to 20 only."""
-    rows = t.part.where("cast(substr(p_brand, 7) AS int) <= 20").join(t.embeddings, F.col("p_partkey") % 500 == F.col("vec_id"))
+    """Parts as criteria of their brand, with the vector that their key leads to."""
+    rows = t.part.join(t.embeddings, F.col("p_partkey") % 500 == F.col("vec_id"))
     return rows.select(F.col("p_partkey").alias("class_no"), F.concat(F.lit("g"), (F.col("p_size") % 7 + 1).cast("string")).alias("grade"), F.col("p_brand").alias("body_part"), F.col("p_name").alias("description"), "embedding")
 
 
 def _asked(t: Tables) -> DataFrame:
+    """Every vector as a question; brands beyond 25 have no criteria."""
     v = F.col("vec_id")
-    return t.embeddings.where(v % 10 == 0).select(v.alias("id"), _pick(v.cast("long") / 10, _ASKED).alias("disease"), F.when(v % 30 > 0, F.concat(F.lit("Brand#"), (v % 25 + 1).cast("string"))).alias("body_part"), "embedding")
+    return t.embeddings.select(v.alias("id"), _pick(v, _ASKED).alias("disease"), F.when(v % 31 > 0, F.concat(F.lit("Brand#"), (v % 29 + 1).cast("string"))).alias("body_part"), "embedding")
 
 
 def _earlier(t: Tables) -> DataFrame:
@@ -209,9 +210,9 @@ def _earlier(t: Tables) -> DataFrame:
 
 
 _COS = "list_dot_product({0}::DOUBLE[], {1}::DOUBLE[]) / (sqrt(list_dot_product({0}::DOUBLE[], {0}::DOUBLE[])) * sqrt(list_dot_product({1}::DOUBLE[], {1}::DOUBLE[])))"
-_ASKED_SQL = f"SELECT vec_id AS id, {_case('(vec_id // 10)', _ASKED)} AS disease, CASE WHEN vec_id % 30 > 0 THEN 'Brand#' || (vec_id % 25 + 1) END AS part, embedding AS q FROM embeddings WHERE vec_id % 10 = 0"
+_ASKED_SQL = f"SELECT vec_id AS id, {_case('vec_id', _ASKED)} AS disease, CASE WHEN vec_id % 31 > 0 THEN 'Brand#' || (vec_id % 29 + 1) END AS part, embedding AS q FROM embeddings"
 _CRITERIA_SQL = f"""asked AS ({_ASKED_SQL}),
-crit AS (SELECT p_partkey AS class_no, 'g' || (p_size % 7 + 1) AS grade, p_brand AS body_part, p_name AS description, embedding FROM part JOIN embeddings ON p_partkey % 500 = vec_id WHERE substr(p_brand, 7)::INT <= 20),
+crit AS (SELECT p_partkey AS class_no, 'g' || (p_size % 7 + 1) AS grade, p_brand AS body_part, p_name AS description, embedding FROM part JOIN embeddings ON p_partkey % 500 = vec_id),
 scored AS (SELECT id, disease, class_no, grade, description, round_even(coalesce(list_sum(list_transform(list_filter(list_distinct(regexp_extract_all(disease, '[가-힣A-Za-z0-9]{{2,}}')), lambda w: contains(description, w)), lambda w: length(w))), 0) + {_COS.format('embedding', 'q')}, 4) AS similarity
   FROM asked JOIN crit ON part IS NULL OR part = body_part),
 best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, class_no, grade, description) AS r FROM scored QUALIFY r <= 6)"""
@@ -232,14 +233,22 @@ def cases_part_first(t):
 
 @query(f"""WITH {_CRITERIA_SQL}, {_CASES_NEAR_SQL},
 top AS (SELECT * FROM best WHERE r = 1), other AS (SELECT b.id, min(b.r) AS r FROM best b JOIN top USING (id) WHERE (b.grade, b.class_no) <> (top.grade, top.class_no) GROUP BY 1),
-votes AS (SELECT id, grade, row_number() OVER (PARTITION BY id ORDER BY sum(similarity) DESC, min(r)) AS place FROM cases WHERE id NOT IN (SELECT id FROM top) GROUP BY id, grade)
+kept AS (SELECT id, case_id, c.grade, c.similarity, c.r, p.case_id IS NOT NULL AS pinned, p.weight, 'c' || e.label AS own FROM (SELECT * FROM cases WHERE id NOT IN (SELECT id FROM top) AND (id % 3 <> 2 OR case_id <> (id * 7 + 1) % 500) AND (id % 5 <> 0 OR case_id % 26 <> 3)) c
+  FULL JOIN (SELECT id, (id * 13) % 500 AS case_id, 1.0 AS weight FROM asked WHERE id NOT IN (SELECT id FROM top) AND id % 3 = 1) p USING (id, case_id) LEFT JOIN embeddings e ON e.vec_id = case_id),
+placed AS (SELECT id, coalesce(grade, own) AS grade, similarity, row_number() OVER (PARTITION BY id ORDER BY pinned DESC, weight DESC NULLS LAST, similarity DESC NULLS LAST, r NULLS LAST, case_id) AS r FROM kept),
+votes AS (SELECT id, grade, row_number() OVER (PARTITION BY id ORDER BY sum(coalesce(similarity, 0)) DESC, min(r)) AS place FROM placed GROUP BY id, grade)
 SELECT t.id, t.grade || ' ' || t.class_no || '호' AS grade1, b.grade || ' ' || b.class_no || '호' AS grade2, replace(replace('{prediction.RATIONALE}', '%s호 "%s"', t.class_no || '호 "' || t.description || '"'), '%s %s호', t.grade || ' ' || t.class_no || '호') AS rationale, t.disease
 FROM top t LEFT JOIN other o ON o.id = t.id LEFT JOIN best b ON b.id = t.id AND b.r = o.r
 UNION ALL SELECT id, max(grade) FILTER (WHERE place = 1), max(grade) FILTER (WHERE place = 2), NULL, disease FROM votes JOIN asked USING (id) GROUP BY id, disease""".replace("'%s'에", "''%s''에").replace("상이등급 '%s %s호'에", "상이등급 ''%s %s호''에"))
 def predict_grades(t):
-    """Where a body part has no criteria (brands beyond 20) the cases vote. The SQL leaves the disease to the end, so it is cut out here."""
+    """Where a body part has no criteria (brands beyond 25) the cases vote, as picks of some questions want them: one pinned case, one
+    excluded, and for every fifth question a whole body part excluded. The SQL leaves the disease to the end, so it is cut out here."""
     asked = _asked(t)
-    rows = prediction.predict(asked, _criteria(t), _earlier(t)).join(asked.select("id", "disease"), "id")
+    k = F.col("id")
+    pick = lambda case, kind: F.struct(case.cast("long").alias("case_id"), F.lit(kind).alias("kind"), F.lit(1.0).alias("weight"))
+    one = asked.where(k % 3 > 0).select("id", F.when(k % 3 == 1, pick(k * 13 % 500, "pin")).otherwise(pick((k * 7 + 1) % 500, "exclude")).alias("p")).select("id", "p.*")
+    part = asked.where(k % 5 == 0).select("id", F.lit(3).alias("m")).join(t.embeddings.select(F.col("vec_id").alias("case_id"), (F.col("vec_id") % 26).alias("m")), "m").select("id", "case_id", F.lit("exclude").alias("kind"), F.lit(1.0).alias("weight"))
+    rows = prediction.predict(asked, _criteria(t), _earlier(t), one.unionByName(part)).join(asked.select("id", "disease"), "id")
     return rows.select("id", "grade1", "grade2", F.replace("rationale", F.concat(F.lit("'"), "disease", F.lit("'에 대하여")), F.lit("'%s'에 대하여")).alias("rationale"), "disease")
 
 
@@ -252,7 +261,7 @@ def hearing_loss(t):
 
 # The graph of scans -------------------------------------------------------------------------------
 
-_DISEASES = ["무릎 염좌", "허리, 목 통증", "검진 기록", "발목*x", "어깨(좌)"]
+_DISEASES = ["무릎 염좌", "허리, 목 통증", "진단서, 검진 기록/병상일지", "발목*x", "어깨(좌)"]
 
 
 @query("""WITH l AS (SELECT l_orderkey AS sd, l_linenumber AS line, l_returnflag AS f, l_linestatus AS s, l_partkey AS p FROM lineitem WHERE l_orderkey % 10 = 1),

@@ -3,6 +3,7 @@
 import json
 import random
 
+import numpy as np
 import oracle
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from marlstone import queries as core
 from marlstone import queries_review  # noqa: F401 (adds its queries to those of core)
 from marlstone.functions import text as tx
-from marlstone.operators import search, state
+from marlstone.operators import nearest, search, state
 from marlstone.plans import guard
 from marlstone.sources import blocks
 from marlstone.streaming import windows
@@ -174,10 +175,22 @@ def test_many_queries_are_ranked_one_by_one(spark):
     assert search.knn(t.embeddings, asked.where("false"), 5).count() == 0
 
 
-def test_queries_meet_all_rows_in_blocks(spark):
-    rows = spark.range(50).withColumnRenamed("id", "x")
-    asked = spark.range(23).withColumnRenamed("id", "q")
-    near = lambda part: rows.join(part, F.col("x") % 23 == F.col("q")).groupBy("q").agg(F.count("*").alias("n"))
-    got = [sorted(map(tuple, search.by_blocks(asked, "q", near, most).collect())) for most in (1000, 4, 1)]
-    assert got[0] == got[1] == got[2] and len(got[0]) == 23
-    assert search.by_blocks(asked.where("false"), "q", near).count() == 0
+@pytest.mark.parametrize("each", [(8192, 1024), (60, 7)])
+def test_queries_meet_all_rows_in_blocks(spark, each):
+    """The nearest of every query, ties by id, against a plain sort; vectors without a direction have no part in it."""
+    r = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in r.integers(-2, 3, 6)]) for i in range(300)]
+    odd = [(400, None), (401, [0.0] * 6), (402, [None] * 6)]
+    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>").repartition(4)
+    asked = df.where("vec_id % 9 = 0 OR vec_id > 399").withColumnRenamed("vec_id", "query_id")
+    found = nearest.nearest(df, asked, 7, rows_each=each[0], queries_each=each[1])
+    got = sorted(map(tuple, search.top_each(found, 7, F.desc("similarity"), "vec_id").select("query_id", "r", "vec_id", "similarity").collect()))
+    size = lambda v: sum(x * x for x in v) ** 0.5
+    some = [(i, v) for i, v in rows if any(v)]
+    want = []
+    for q, u in some:
+        if q % 9 == 0:
+            near = sorted((-round(sum(a * b for a, b in zip(u, v, strict=True)) / (size(u) * size(v)), 6), i) for i, v in some)[:7]
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(near)]
+    assert [x[:3] for x in got] == [x[:3] for x in sorted(want)] and all(abs(a[3] - b[3]) < 2e-6 for a, b in zip(got, sorted(want), strict=True))
+    assert nearest.nearest(df, asked.where("false"), 7).count() == 0 == nearest.nearest(df.where("false"), asked, 7).count()
