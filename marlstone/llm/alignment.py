@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import rank_bytes
-from .common import documents, fresh_dir, mix, slices, trim
+from .common import documents, fresh_dir, mix, settings, slices, stored, trim
 
 #: Bytes of texts that share a list of units (or one longer text); bytes whose units are hashed together.
 CHUNK, _BLOCK = 8 << 20, 1 << 20
@@ -211,6 +211,8 @@ def _sequences(docs: pa.Table, units: pa.Table) -> tuple[pa.Table, pa.Table, np.
 
 def _pairs_of_chunk(docs: pa.Table, units: pa.Table) -> pa.Table:
     """How many documents of the chunk hold each pair."""
+    if not docs.num_rows or not units.num_rows:
+        return pa.table({"p": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
     rows, _, which, at, known = _sequences(docs, units)
     pair, bounds = _flat(units["pairs"])
     names, local = np.unique(pair, return_inverse=True)
@@ -242,7 +244,11 @@ SUMS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
 
 def _documents_of_chunk(digest: bool):
+    nothing = pa.table({"number": pa.array([], pa.int32()), "groups": pa.array([], pa.string()), **{c: pa.array([], pa.int64()) for c in SUMS}})
+
     def run(docs: pa.Table, units: pa.Table) -> pa.Table:
+        if not units.num_rows:
+            units = nothing
         rows, others, which, at, known = _sequences(docs, units)
         number = units["number"].to_numpy()
         texts = np.empty(len(known), object)
@@ -286,21 +292,13 @@ def align_tokens(docs: DataFrame, vocabulary_file: str | None = None, model_file
     model = rank_bytes(model_file or public.path("piece_bpe_32k.model"))
     at = fresh_dir(spark, "alignment")
 
-    def written(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{at}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{at}/{name}")
-
+    written = lambda df, name: stored(df, f"{at}/{name}")
     rows = written(_cut(docs, safe_marks(vocabulary, model), chunk), "parts")
     units = spark.read.schema(rows.schema).parquet(f"{at}/parts").where("unit IS NOT NULL").select("chunk", "number", "unit")
     rows = rows.where("unit IS NULL").select("chunk", "doc_id", "units")
     tokens = written(_tokens(units.select("unit").distinct(), vocabulary, model).withColumn("id", F.monotonically_increasing_id()), "tokens")
-    together = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(together)
-    spark.conf.set(together, "false")  # both sides are dealt by id, which is enough for a join on id and end
-    try:
+    with settings(spark, spark__sql__requireAllClusterKeysForCoPartition="false"):  # both sides are dealt by id, enough for a join on id and end
         aligned = written(align(tokens.where("size(a) > 0").select("id", "a", "b").repartition("id")), "aligned")
-    finally:
-        spark.conf.set(together, before)
     aligned = written(aligned.join(tokens.select("id", "unit"), "id"), "units")
     chunks = lambda df: units.join(df, "unit").drop("unit").groupBy("chunk")
     once = aligned.select("unit", F.array_distinct("pairs.p").alias("pairs"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
 import tempfile
@@ -52,6 +53,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """The session's SQL settings while something runs; __ stands for a dot."""
+    named = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in named}
+    try:
+        for k, v in named.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def stored(df: DataFrame, at: str) -> DataFrame:
+    """df written as a table and read again: its lineage is cut, and its shuffle files go as soon as it is written."""
+    with settings(df.sparkSession, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def release(spark: SparkSession) -> None:
     """Have the driver collect garbage now: Spark deletes shuffle files and checkpoints once their objects are collected,
     which on a large heap may be long after their last use. Nothing that is still referred to goes."""

@@ -93,7 +93,9 @@ def hard_negatives(rows: DataFrame, is_anchor: Column, positives: int = 5, negat
 
     def meet(asked: DataFrame, run, schema: str) -> DataFrame:
         each = asked.select("*", deal(anchor_blocks).alias("ab"), every(row_blocks).alias("rb"))
-        return dealt.cogroup(each.groupBy("rb", "ab")).applyInArrow(run, schema)
+        nothing = pa.table({c.split()[0]: pa.array([], pa.int64()) for c in schema.split(", ")})
+        both = lambda r, a: run(r, a) if r.num_rows and a.num_rows else nothing
+        return dealt.cogroup(each.groupBy("rb", "ab")).applyInArrow(both, schema)
 
     def best(r: pa.Table, a: pa.Table) -> pa.Table:
         out = {"a": [], "positive_id": [], "positive_score": []}

@@ -91,6 +91,8 @@ def test_no_rows_and_repeated_rows(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     found, none = alignment.align_tokens(docs)
     assert found.count() == 0 == none.count()
+    found, none = alignment.align_tokens(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string"))
+    assert sorted(map(tuple, found.collect())) == [(1, *[0] * 6, ""), (2, *[0] * 6, "")] and none.count() == 0
     docs = spark.createDataFrame([(None, "one word"), (None, "one word"), (1, None), (1, "one word"), (1, "▁")], "doc_id long, text string")
     found, pairs = alignment.align_tokens(docs)
     got = sorted(tuple(r)[1:] for r in found.collect())

@@ -99,7 +99,7 @@ def test_hard_negatives(spark, each):
     df = spark.createDataFrame([(*x, 1) for x in rows + odd], "vec_id long, embedding array<float>, label int, rank int").repartition(5)
     found = negatives.hard_negatives(df, F.col("vec_id") % 100 == 0, rows_each=each[0], anchors_each=each[1])
     assert sorted(map(tuple, found.collect())) == plain_negatives(rows)
-    assert negatives.hard_negatives(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
+    assert negatives.hard_negatives(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0 == negatives.hard_negatives(df, F.lit(False)).count()
 
 
 def test_hard_negatives_of_large_components(spark):
