@@ -18,20 +18,28 @@ ROWS, QUERIES = 8192, 1024
 def meet(rows: DataFrame, row_key: Column, queries: DataFrame, query_key: Column, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str, keys: Sequence[str] = (), rows_each: int = ROWS, queries_each: int = QUERIES) -> DataFrame:
     """What run finds in each block of rows for each block of queries, of equal keys if there are any.
 
-    Blocks are dealt by hashes of row_key and query_key, so a key that holds a third of all rows is many blocks; the plan is
-    the same for any number of queries. Both frames are counted when this one is built. Ties and limits are run's: it
-    should keep the best of each query, to be merged by query.
+    Blocks are dealt by hashes of row_key and query_key, as many for each key as its rows and queries ask for, so a key that holds
+    a third of all rows is many blocks; the plan is the same for any number of queries. Rows of a key without queries stay out.
+    Both frames are counted (in the plan where there are keys, else when it is built). Ties and limits are run's: it should
+    keep the best of each query, to be merged by query.
     """
-    row_blocks, query_blocks = -(-rows.count() // rows_each), max(1, -(-queries.count() // queries_each))
-    row_blocks = max(row_blocks, 1 if keys else rows.sparkSession.sparkContext.defaultParallelism)
-    deal = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    at = [*keys, "row_block", "query_block"]
     nothing = to_arrow_schema(StructType.fromDDL(schema)).empty_table()
     both = lambda r, q: run(r, q) if r.num_rows and q.num_rows else nothing
-    r = rows.withColumn("row_block", deal(row_key, row_blocks)).withColumn("query_block", every(query_blocks))
-    q = queries.withColumn("query_block", deal(query_key, query_blocks)).withColumn("row_block", every(row_blocks))
-    return r.groupBy(*at).cogroup(q.groupBy(*at)).applyInArrow(both, schema)
+    deal = lambda key, n: F.pmod(F.xxhash64(key), n)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    if keys:
+        many = lambda df, n, name: df.groupBy(*keys).agg(F.ceil(F.count("*") / n).alias(name))
+        sizes = many(rows, rows_each, "row_blocks").join(many(queries, queries_each, "query_blocks"), list(keys))
+        rows, queries = rows.join(sizes, list(keys)), queries.join(sizes, list(keys))
+    else:
+        least = rows.sparkSession.sparkContext.defaultParallelism
+        sizes = [F.lit(max(-(-rows.count() // rows_each), least)).cast("long").alias("row_blocks"), F.lit(max(1, -(-queries.count() // queries_each))).cast("long").alias("query_blocks")]
+        rows, queries = rows.select("*", *sizes), queries.select("*", *sizes)
+    at = [*keys, "row_block", "query_block"]
+    r = rows.withColumn("row_block", deal(row_key, F.col("row_blocks"))).withColumn("query_block", every(F.col("query_blocks")))
+    q = queries.withColumn("query_block", deal(query_key, F.col("query_blocks"))).withColumn("row_block", every(F.col("row_blocks")))
+    drop = ("row_blocks", "query_blocks")
+    return r.drop(*drop).groupBy(*at).cogroup(q.drop(*drop).groupBy(*at)).applyInArrow(both, schema)
 
 
 def matrix(column: pa.ChunkedArray) -> np.ndarray:
