@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import rank_bytes
-from .common import documents, fresh_dir, mix, settings, slices, stored, trim
+from .common import documents, fresh_dir, mix, removed, settings, slices, stored, trim
 
 #: Bytes of texts that share a list of units (or one longer text); bytes whose units are hashed together.
-CHUNK, _BLOCK = 8 << 20, 1 << 20
+CHUNK, _BLOCK = 16 << 20, 1 << 20
 _PAIR = 1 << 32
 _MARKS = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum()) + b"\n\t"
 _ODD = np.random.default_rng(77).integers(0, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -90,6 +90,28 @@ def distinct_units(data: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.
     return index, which
 
 
+def short_numbers(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, where each number ends): seven bits a byte, the lowest first, an eighth where more follow; up to 28 bits."""
+    size = 1 + (n >= 1 << 7) + (n >= 1 << 14) + (n >= 1 << 21)
+    ends = np.cumsum(size)
+    out, first = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8), ends - size
+    for k in range(4):
+        some = size > k
+        out[first[some] + k] = ((n[some] >> 7 * k) & 127) | ((size[some] > k + 1).astype(np.int64) << 7)
+    return out, ends
+
+
+def long_numbers(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, where each ends) of short_numbers' bytes."""
+    last = np.flatnonzero(data < 128)
+    first = np.concatenate([[0], last[:-1] + 1]).astype(np.int64) if len(last) else last
+    size, n = last - first + 1, np.zeros(len(last), np.int64)
+    for k in range(4):
+        some = size > k
+        n[some] |= (data[first[some] + k] & 127).astype(np.int64) << 7 * k
+    return n, last + 1
+
+
 def _cut(docs: DataFrame, marks: bytes, chunk: int) -> DataFrame:
     """Rows of two kinds: a document with the numbers of its units in order, and a unit of a chunk with its number."""
 
@@ -100,9 +122,12 @@ def _cut(docs: DataFrame, marks: bytes, chunk: int) -> DataFrame:
             data, at = np.insert(data, at[:-1], 0x20), at + np.arange(rows + 1)
             start = unit_starts(data, at[:-1], marks)
             index, which = distinct_units(data, start)
-            bounds = np.searchsorted(start, at).astype(np.int32)
+            common = np.argsort(-np.bincount(which), kind="stable")  # frequent units have small numbers, which take a byte
+            index, which = index[common], np.argsort(common)[which]
+            numbers, ends = short_numbers(which)
+            bounds = np.concatenate([[0], ends])[np.searchsorted(start, at)]
             some = pa.array(np.diff(at) > 1)
-            order = pa.ListArray.from_arrays(pa.array(bounds), pa.array(which.astype(np.int32)))
+            order = pa.LargeBinaryArray.from_buffers(pa.large_binary(), rows, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(numbers)]).cast(pa.binary())
             null = lambda n, kind: pa.nulls(n, kind)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, number)), batch.column(0), pa.compute.if_else(some, order, None), null(rows, pa.int32()), null(rows, pa.string())], NAMES)
             end = np.append(start[1:], len(data))[index]
@@ -113,10 +138,10 @@ def _cut(docs: DataFrame, marks: bytes, chunk: int) -> DataFrame:
             for a in range(0, len(index), 1 << 16):
                 part = units.slice(a, 1 << 16)
                 n = len(part)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), null(n, pa.int64()), null(n, pa.list_(pa.int32())), pa.array(np.arange(a, a + n, dtype=np.int32)), part], NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), null(n, pa.int64()), null(n, pa.binary()), pa.array(np.arange(a, a + n, dtype=np.int32)), part], NAMES)
 
     NAMES = ["chunk", "doc_id", "units", "number", "unit"]
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "chunk long, doc_id long, units array<int>, number int, unit string")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "chunk long, doc_id long, units binary, number int, unit string")
 
 
 def _tokens(units: DataFrame, vocabulary: str, model: bytes) -> DataFrame:
@@ -199,7 +224,10 @@ def _sequences(docs: pa.Table, units: pa.Table) -> tuple[pa.Table, pa.Table, np.
     """The documents of a chunk all of whose units have tokens, the others, the former's units one after the other and where each
     begins, and which units have tokens."""
     some = docs.filter(pa.compute.is_valid(docs["units"]))
-    which, at = _flat(some["units"])
+    raw = some["units"].combine_chunks() if some.num_rows else pa.array([], pa.binary())
+    raw = pa.concat_arrays(raw.chunks) if isinstance(raw, pa.ChunkedArray) else raw
+    which, ends = long_numbers(np.frombuffer(b"".join(raw.to_pylist()), np.uint8))
+    at = np.searchsorted(ends, np.concatenate([[0], np.cumsum(pa.compute.binary_length(raw).to_numpy(zero_copy_only=False))]), "right")
     known = np.zeros(int(max(which.max(initial=-1), units["number"].to_numpy().max(initial=-1))) + 1, bool)
     known[units["number"].to_numpy()] = True
     whole = np.logical_and.reduceat(known[which], at[:-1]) if some.num_rows else np.zeros(0, bool)
@@ -298,8 +326,9 @@ def align_tokens(docs: DataFrame, vocabulary_file: str | None = None, model_file
     rows = rows.where("unit IS NULL").select("chunk", "doc_id", "units")
     tokens = written(_tokens(units.select("unit").distinct(), vocabulary, model).withColumn("id", F.monotonically_increasing_id()), "tokens")
     with settings(spark, spark__sql__requireAllClusterKeysForCoPartition="false"):  # both sides are dealt by id, enough for a join on id and end
-        aligned = written(align(tokens.where("size(a) > 0").select("id", "a", "b").repartition("id")), "aligned")
-    aligned = written(aligned.join(tokens.select("id", "unit"), "id"), "units")
+        aligned = align(tokens.where("size(a) > 0").select("id", "a", "b").repartition("id"))
+        aligned = written(aligned.join(tokens.select("id", "unit"), "id"), "aligned")
+    removed(spark, f"{at}/tokens")
     chunks = lambda df: units.join(df, "unit").drop("unit").groupBy("chunk")
     once = aligned.select("unit", F.array_distinct("pairs.p").alias("pairs"))
     held = rows.where("units IS NOT NULL").groupBy("chunk").cogroup(chunks(once)).applyInArrow(_pairs_of_chunk, "p long, n long")
@@ -309,6 +338,7 @@ def align_tokens(docs: DataFrame, vocabulary_file: str | None = None, model_file
     linked = aligned.select("id", F.explode("pairs").alias("x")).select("id", "x.*").join(pairs, "p")
     sums = linked.groupBy("id").agg(F.sum(F.when(F.col("best"), F.col("m")).otherwise(0)).alias("n_best"), F.sum(F.col("n_docs") * F.col("m")).alias("count_sum"))
     valued = written(aligned.join(sums, "id").select("unit", "groups", *SUMS), "valued")
+    removed(spark, f"{at}/aligned")
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in SUMS) + ", groups string"
     found = rows.groupBy("chunk").cogroup(chunks(valued)).applyInArrow(_documents_of_chunk(digest), schema)
     return found, pairs.select("a", "b", "n_docs", "best")

@@ -74,6 +74,12 @@ def stored(df: DataFrame, at: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def removed(spark: SparkSession, at: str) -> None:
+    """A table of an operator's own that nothing reads any more goes."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Have the driver collect garbage now: Spark deletes shuffle files and checkpoints once their objects are collected,
     which on a large heap may be long after their last use. Nothing that is still referred to goes."""

@@ -105,6 +105,13 @@ def test_long_text(spark):
     assert tuple(found.first())[1:] == plain([text])[0][0]
 
 
+def test_short_numbers():
+    n = np.array([0, 127, 128, 5, 16383, 16384, 2097151, 2097152, (1 << 28) - 1, 1])
+    data, ends = alignment.short_numbers(n)
+    assert alignment.long_numbers(data)[0].tolist() == n.tolist() and alignment.long_numbers(data)[1].tolist() == ends.tolist()
+    assert len(data) == 1 + 1 + 2 + 1 + 2 + 3 + 3 + 4 + 4 + 1 and all(len(x) == 0 for x in alignment.long_numbers(data[:0]))
+
+
 @pytest.mark.parametrize("marks", [b"", b",.", b",.;!?\n'\"()<>"])
 def test_units_join_to_the_texts(marks):
     raw = [(" " + t).encode() for t in TEXTS if t]
