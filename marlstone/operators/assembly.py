@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.replies import NOTHING_TO_FIX
+from ..functions.replies import NOTHING_TO_FIX, cites_page
+from .clauses import NO_EVIDENCE
 
 ITEM = "struct<injury:string,manual:string,exam_grade:string,predicted:string,review_items:array<string>>"
 
@@ -153,8 +154,9 @@ def refined(drafts: DataFrame, critique: Callable[[str], str], revise: Callable[
 
 
 def answer_quality(answers: DataFrame, by: str = "mode") -> DataFrame:
-    """Shares of answers (by, expected, sources, answer, retries, score): hits, without evidence, with citation, retried; mean score."""
-    hit = F.coalesce(F.array_contains("sources", F.col("expected")), F.lit(False))
+    """Shares of answers (by, expected, sources, answer, retries, score): those with a source whose name holds the expected one, that say
+    there is no evidence, with citation, retried; mean score."""
+    said = F.coalesce("answer", F.lit(""))
+    hit = F.coalesce(F.exists("sources", lambda s: F.contains(s, F.col("expected"))), F.lit(False))
     share = lambda c, name: F.round(F.avg(c.cast("int")), 6).alias(name)
-    cited = F.rlike(F.coalesce("answer", F.lit("")), F.lit(r"\[[^\[\]]+ p\.\s?\d+\]"))
-    return answers.groupBy(by).agg(F.count("*").alias("n"), share(hit, "hit"), share(F.coalesce(F.size("sources"), F.lit(0)) == 0, "no_evidence"), share(cited, "cited"), share(F.col("retries") > 0, "retried"), F.round(F.avg("score"), 6).alias("score"))
+    return answers.groupBy(by).agg(F.count("*").alias("n"), share(hit, "hit"), share(F.contains(said, F.lit(NO_EVIDENCE)), "no_evidence"), share(cites_page(said), "cited"), share(F.col("retries") > 0, "retried"), F.round(F.avg("score"), 6).alias("score"))

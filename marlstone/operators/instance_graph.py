@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.replies import diseases, grade
 from . import graph
-from .rules import usable
+from .matching import regex_join
+from .rules import compiled
 
 
 def mentions(blocks: DataFrame) -> DataFrame:
@@ -26,7 +27,7 @@ def layer(scans: DataFrame, blocks: DataFrame, agendas: DataFrame, rules: DataFr
     """Nodes (ntype, key, name) and edges (stype, skey, etype, dtype, dkey) of the scans.
 
     scans: sd_id, person, reg_no, hospital, doc_kind, ga_id; agendas: ga_id, agenda_no; rules: pattern (those that can't be
-    compiled are left out). Codes of a scan meet its diseases by sd_id, each pair once.
+    compiled are left out; they are read when this is called). Codes of a scan meet its diseases by sd_id, each pair once.
     """
     said = mentions(blocks)
     filled = lambda c: F.nullif(F.col(c), F.lit(""))
@@ -37,7 +38,8 @@ def layer(scans: DataFrame, blocks: DataFrame, agendas: DataFrame, rules: DataFr
     graded = said.where("grade IS NOT NULL").select("sd_id", "grade")
     per_code = of.select("sd_id", "disease").distinct().join(coded, "sd_id")
     kinds = of.select("disease").distinct()
-    matches = kinds.join(usable(rules).select("pattern").distinct(), F.rlike("disease", F.col("pattern")))
+    good, _ = compiled(rules)
+    matches = regex_join(kinds.select(F.col("disease").alias("text")), good).withColumnRenamed("text", "disease")
     node = lambda df, kind, key, name: df.select(F.lit(kind).alias("ntype"), F.col(key).cast("string").alias("key"), F.col(name).alias("name")).where("key IS NOT NULL AND key <> ''")
     nodes = graph.nodes(
         node(scans, "scan_doc", "sd_id", "title"), node(scans, "person", "owner", "person"), node(scans, "hospital", "hospital", "hospital"), node(kinds, "disease", "disease", "disease"),

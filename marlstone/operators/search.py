@@ -89,12 +89,17 @@ def lexical_multi(docs: DataFrame, queries: DataFrame) -> DataFrame:
     return counted.groupBy("query_id", "doc_id").agg(F.round(F.sum(harmonic_rank(F.col("tf"), F.col("n"))), 9).alias("score"))
 
 
+def fused_multi(dense: DataFrame, sparse: DataFrame) -> DataFrame:
+    """query_id, doc_id, score, r: ranked lists (query_id, doc_id, r) fused for each query, wherever they come from."""
+    part = lambda hits, w: hits.select("query_id", "doc_id", (F.lit(w) / (RRF_K + F.col("r"))).alias("s"))
+    fused = part(dense, DENSE).unionByName(part(sparse, SPARSE)).groupBy("query_id", "doc_id").agg(F.round(F.sum("s"), 9).alias("score"))
+    return top_each(fused, TOP, F.desc("score"), "doc_id")
+
+
 def hybrid_multi(docs: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, doc_id, score, r: hybrid() for each row of queries (query_id, embedding, terms), ranked per query."""
-    sparse = top_each(lexical_multi(docs, queries), DEPTH, F.desc("score"), "doc_id").select("query_id", "doc_id", (F.lit(SPARSE) / (RRF_K + F.col("r"))).alias("s"))
-    dense = knn_multi(vectors, queries, DEPTH).select("query_id", F.col("vec_id").alias("doc_id"), (F.lit(DENSE) / (RRF_K + F.col("r"))).alias("s"))
-    fused = dense.unionByName(sparse).groupBy("query_id", "doc_id").agg(F.round(F.sum("s"), 9).alias("score"))
-    return top_each(fused, TOP, F.desc("score"), "doc_id")
+    sparse = top_each(lexical_multi(docs, queries), DEPTH, F.desc("score"), "doc_id")
+    return fused_multi(knn_multi(vectors, queries, DEPTH).withColumnRenamed("vec_id", "doc_id"), sparse)
 
 
 def merge_hits(lists: list[DataFrame], most: int) -> DataFrame:

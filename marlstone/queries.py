@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as tx
-from .operators import dossiers, extract, generate, graph, ingest, intake, prediction, scans, search, state
+from .operators import dossiers, extract, generate, graph, ingest, intake, matching, prediction, scans, search, state
 from .plans import guard
 from .sources import blocks, texts
 from .streaming import windows
@@ -282,8 +282,9 @@ def theta_contains_join(t):
 
 @query(r"SELECT rule, count(*)::BIGINT AS n FROM (VALUES ('money', '[0-9]+ ?(%|\$)'), ('mail', '[a-z0-9.]+@[a-z0-9.]+'), ('license', '(?i)licen[cs]e')) r(rule, pattern), documents WHERE regexp_matches(text, pattern) GROUP BY 1")
 def theta_regex_join(t):
-    rules = F.broadcast(t.spark.sql(r"SELECT * FROM VALUES ('money', r'[0-9]+ ?(%|\$)'), ('mail', r'[a-z0-9.]+@[a-z0-9.]+'), ('license', r'(?i)licen[cs]e') AS t(rule, pattern)"))
-    return t.documents.join(rules, F.rlike("text", F.col("pattern"))).groupBy("rule").agg(n().alias("n"))
+    rules = t.spark.sql(r"SELECT * FROM VALUES ('money', r'[0-9]+ ?(%|\$)'), ('mail', r'[a-z0-9.]+@[a-z0-9.]+'), ('license', r'(?i)licen[cs]e') AS t(rule, pattern)")
+    met = matching.regex_join(t.documents, [r.pattern for r in rules.collect()])
+    return t.documents.join(met, "text").join(rules, "pattern").groupBy("rule").agg(n().alias("n"))
 
 
 @query("SELECT c_nationkey::BIGINT AS nation, c_custkey, c_name FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) = 1")

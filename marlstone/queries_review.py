@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .functions import text as tx
-from .operators import clauses, graph_facts, instance_graph, prediction, records, rules, search, state
+from .operators import clauses, graph_facts, instance_graph, prediction, questions, records, rules, search, state
 from .queries import COSINE_SQL, TOKENS_SQL, Tables, n, query
 from .sources import tables
 
@@ -60,8 +60,18 @@ def _lexical_sql(name: str, terms: list[str], where: str, most: int) -> str:
 {name} AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM {name}_s QUALIFY r <= {most})"""
 
 
-def _search(docs: DataFrame, most: int):
-    return lambda q: search.top(search.lexical(docs, q.lower().split()), most, F.desc("score"), "doc_id").select("doc_id", "r")
+def _search(docs: DataFrame, most: int) -> questions.Search:
+    """Searches any frame of questions in the given documents."""
+
+    def search_all(asked: DataFrame) -> DataFrame:
+        found = search.lexical_multi(docs, asked.select(F.col("id").alias("query_id"), tx.or_terms(F.col("text")).alias("terms")))
+        return search.top_each(found, most, F.desc("score"), "doc_id").select(F.col("query_id").alias("id"), "doc_id", "r")
+
+    return search_all
+
+
+def _one(t: Tables, text: str) -> DataFrame:
+    return t.spark.createDataFrame([(0, text)], "id long, text string")
 
 
 #: Stands in for the law's full name, so that writing a clause out finds something in these texts.
@@ -71,14 +81,20 @@ _LAWS = {"예우법": "der und"}
 @query(f"WITH {_lexical_sql('plain', ['the', '예우법', '4-1-6'], 'true', 5)}, {_lexical_sql('law', ['the', '예우법', '제4조제1항제6호', 'der', 'und'], "lang = 'de'", 3)} SELECT doc_id, row_number() OVER (ORDER BY list, r)::BIGINT AS r FROM (SELECT doc_id, 0 AS list, r FROM law UNION ALL SELECT doc_id, 1, r FROM plain WHERE doc_id NOT IN (SELECT doc_id FROM law)) QUALIFY r <= 10")
 def law_first_hits(t):
     """The question names a clause, so what the German texts (standing in for laws) say of it comes first."""
-    return clauses.law_first(t.spark, "the 예우법 4-1-6", _search(t.documents, 5), _search(t.documents.where("lang = 'de'"), 3), laws=_LAWS)
+    return questions.law_first(_one(t, "the 예우법 4-1-6"), _search(t.documents, 5), _search(t.documents.where("lang = 'de'"), 3), laws=_LAWS).select("doc_id", "r")
+
+
+def answered(asked: DataFrame) -> DataFrame:
+    """Stands in for a model: cites the first hit, or says that there is no evidence."""
+    return asked.select("id", F.when(F.size("hits") > 0, F.concat(F.lit("see ["), F.get("hits", F.lit(0)).cast("string"), F.lit(" p.1]"))).otherwise(clauses.NO_EVIDENCE).alias("said"))
 
 
 @query(f"WITH {_lexical_sql('found', ['예우법', '제4조제1항', 'der', 'und'], 'true', 5)} SELECT doc_id, r::BIGINT AS r, 1::BIGINT AS retried FROM found")
 def retry_new_evidence(t):
     """The short form finds nothing, the written-out one does; the answer then stands."""
-    got = clauses.answer_with_retries(t.spark, "예우법 4-1", _search(t.documents, 5), lambda q, hits: clauses.NO_EVIDENCE if hits.isEmpty() else "found", laws=_LAWS)
-    return got["hits"].withColumn("retried", F.lit(got["retried"]).cast("long"))
+    asked = _one(t, "예우법 4-1")
+    got = questions.answers(asked, _search(t.documents, 5), answered, laws=_LAWS)
+    return got.select(F.posexplode("hits").alias("r", "doc_id"), F.col("retried").cast("long").alias("retried")).select("doc_id", (F.col("r") + 1).cast("long").alias("r"), "retried")
 
 
 @query(r"WITH x AS (SELECT item_id, list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}\-]+'), lambda t: regexp_matches(t, '[\p{L}\p{N}]')) AS l FROM benchmark) SELECT item_id, array_to_string(CASE WHEN len(l) > 0 THEN list_filter(l, lambda v, i: list_position(l, v) = i) ELSE ['___none___'] END, ' | ') AS terms FROM x")

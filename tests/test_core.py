@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone import queries as core
-from marlstone import queries_review  # noqa: F401 (adds its queries to those of core)
+from marlstone import queries_review, queries_search  # noqa: F401 (add their queries to those of core)
 from marlstone.functions import text as tx
 from marlstone.operators import nearest, search, state
 from marlstone.plans import guard

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.functions import replies
-from marlstone.operators import assembly, scans
+from marlstone.operators import assembly, clauses, scans
 from marlstone.sources import texts
 
 BLOCKS = f"scan_id long, seq int, title string, line int, excerpt string, fields {scans.FIELDS}, norm {scans.NORM}"
@@ -129,5 +129,5 @@ def test_generators(spark):
     assert assembly.refine("d", lambda t: "- bad", lambda t, i: " ") == ("d", 1, ["bad"], False)
     got = assembly.refined(spark.createDataFrame([(1, "d"), (2, None)], "id long, draft string"), lambda t: "- x" if t else "", lambda t, i: "e").orderBy("id").collect()
     assert [tuple(r) for r in got] == [(1, "e", 1, ["x"], True), (2, "", 1, [], False)]
-    a = spark.createDataFrame([("on", "d", ["d"], "see [n p.3]", 1, 4.0), ("on", "d", [], "no", 0, 2.0)], "mode string, expected string, sources array<string>, answer string, retries int, score double")
+    a = spark.createDataFrame([("on", "d", ["d"], "see [n p.3]", 1, 4.0), ("on", "d", ["e"], f"x {clauses.NO_EVIDENCE}", 0, 2.0)], "mode string, expected string, sources array<string>, answer string, retries int, score double")
     assert tuple(assembly.answer_quality(a).first()) == ("on", 2, 0.5, 0.5, 0.5, 0.5, 3.0)

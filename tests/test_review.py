@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.functions import replies, text as tx
-from marlstone.operators import clauses, graph_facts, prediction, records, rules, state
+from marlstone.operators import clauses, graph_facts, prediction, questions, records, rules, state
 from marlstone.sources import tables
 
 
@@ -32,42 +32,64 @@ def test_notes_of_clauses(spark):
     assert one(spark, "없음", clauses.clause_notes) == []
 
 
+FRAMES = {"q 예우법 1-2": [1, 2], "q 예우법 제1조제2항 X": [3, 1], "other words": [4]}
+LAWS = {"예우법": "X"}
+
+
 @pytest.fixture(scope="module")
 def found(spark):
     """Hits by question."""
-    frames = {"q 예우법 1-2": [1, 2], "q 예우법 제1조제2항 X": [3, 1], "other words": [4]}
-    return lambda q: spark.createDataFrame([(d, i + 1) for i, d in enumerate(frames.get(q, []))], "doc_id long, r long")
+    held = spark.createDataFrame([(q, d, i + 1) for q, ds in FRAMES.items() for i, d in enumerate(ds)], "text string, doc_id long, r long")
+    return lambda asked: asked.join(held, "text").select("id", "doc_id", "r")
 
 
-LAWS = {"예우법": "X"}
+def asked(spark, *texts):
+    return spark.createDataFrame(list(enumerate(texts)), "id long, text string")
 
 
-def hits(df):
-    return [r.doc_id for r in df.orderBy("r").collect()]
+def always(said):
+    return questions.per_question(lambda text, hits: said)
 
 
 def test_retry_takes_new_evidence_only(spark, found):
-    seen = []
-    never = lambda q, h: seen.append(q) or clauses.NO_EVIDENCE
-    got = clauses.answer_with_retries(spark, "q 예우법 1-2", found, never, laws=LAWS)
-    assert (hits(got["hits"]), got["retried"], got["rewritten"]) == ([3, 1, 2], 1, "q 예우법 제1조제2항 X") and len(seen) == 2
-    got = clauses.answer_with_retries(spark, "q 예우법 1-2", found, never, rewrite=lambda q, h: "other words\nmore", retries=3, laws=LAWS)
-    assert (hits(got["hits"]), got["retried"], got["rewritten"]) == ([4, 3, 1, 2], 2, "other words")
-    got = clauses.answer_with_retries(spark, "q 예우법 1-2", found, lambda q, h: "an answer", laws=LAWS)
-    assert (hits(got["hits"]), got["retried"], got["rewritten"]) == ([1, 2], 0, None)
-    got = clauses.answer_with_retries(spark, "other words", found, never, rewrite=lambda q, h: 1 / 0)
-    assert (hits(got["hits"]), got["retried"]) == ([4], 0)
-    got = clauses.answer_with_retries(spark, "nothing", found, never, rewrite=lambda q, h: "nothing else")  # no new evidence
-    assert (hits(got["hits"]), got["retried"], got["answer"]) == ([], 0, clauses.NO_EVIDENCE)
+    """Many questions at once: each goes its own way through the rounds."""
+    texts = ["q 예우법 1-2", "other words", "nothing", None]
+    never = always(clauses.NO_EVIDENCE)
+    got = {r.id: r for r in questions.answers(asked(spark, *texts), found, never, laws=LAWS).collect()}
+    assert (got[0].hits, got[0].retried, got[0].wordings) == ([3, 1, 2], 1, ["q 예우법 1-2", "q 예우법 제1조제2항 X"])
+    assert [(got[i].hits, got[i].retried) for i in (1, 2, 3)] == [([4], 0), ([], 0), ([], 0)] and all(clauses.NO_EVIDENCE in r.answer for r in got.values())
+    got = {r.id: r for r in questions.answers(asked(spark, *texts), found, never, always(" other words\nmore"), retries=3, laws=LAWS).collect()}
+    assert (got[0].hits, got[0].retried, got[0].wordings[-1]) == ([4, 3, 1, 2], 2, "other words")
+    assert (got[1].hits, got[1].retried) == ([4], 0) and (got[2].hits, got[2].retried) == ([4], 1)
+    got = questions.answers(asked(spark, *texts), found, always("an answer"), laws=LAWS).collect()
+    assert {(r.retried, r.answer) for r in got} == {(0, "an answer")}
+    failing = questions.per_question(lambda text, hits: 1 / 0)
+    got = {r.id: r for r in questions.answers(asked(spark, *texts), found, never, failing, retries=2, laws=LAWS).collect()}
+    assert (got[0].retried, got[1].hits, got[1].retried) == (1, [4], 0)
+    assert questions.answers(asked(spark, "x").where("false"), found, never, laws=LAWS).count() == 0
+
+
+def test_a_failing_generator_says_nothing(spark, found):
+    got = questions.answers(asked(spark, "other words"), found, questions.per_question(lambda text, hits: 1 / 0)).first()
+    assert (got.answer, got.hits, got.retried) == (None, [4], 0)
+
+
+def test_evaluation(spark, found):
+    rows = asked(spark, "q 예우법 1-2", "other words", "nothing").withColumn("expected", F.lit("3"))
+    generate = questions.per_question(lambda text, hits: f"see [a p.{hits[0]}]" if 3 in hits or 4 in hits else clauses.NO_EVIDENCE)
+    got = {r.mode: r for r in questions.evaluation(rows, found, generate, laws=LAWS).collect()}
+    third = round(1 / 3, 6)
+    assert tuple(got["off"])[1:6] == (3, 0.0, round(2 / 3, 6), third, 0.0)
+    assert tuple(got["on"])[1:6] == (3, third, third, round(2 / 3, 6), third)
 
 
 def test_laws_come_first(spark, found):
-    laws = lambda q: spark.createDataFrame([(2, 1), (9, 2)], "doc_id long, r long") if q.endswith("X") else None
-    assert hits(clauses.law_first(spark, "q 예우법 1-2", found, laws, laws=LAWS)) == [2, 9, 1]
-    assert hits(clauses.law_first(spark, "other words", found, laws)) == [4]
+    laws = lambda rows: rows.where(F.endswith("text", F.lit("X"))).select("id", F.explode(F.array(F.lit(2).cast("long"), F.lit(9).cast("long"))).alias("doc_id")).withColumn("r", F.col("doc_id"))
+    rows = questions.law_first(asked(spark, "q 예우법 1-2", "other words"), found, laws, laws=LAWS).orderBy("id", "r").collect()
+    assert [(r.id, r.doc_id) for r in rows] == [(0, 2), (0, 9), (0, 1), (1, 4)]
 
 
-@pytest.mark.parametrize(("query", "want"), [("예우법 - 4조 예우법 --", ["예우법", "4조"]), ("- ---", [tx.NO_TERM]), ("", [tx.NO_TERM]), ("S83-5 a a", ["S83-5", "a"])])
+@pytest.mark.parametrize(("query", "want"), [("예우법 - 4조 예우법 --", ["예우법", "4조"]), ("- ---", [tx.NO_TERM]), ("", [tx.NO_TERM]), ("S83-5 a A", ["s83-5", "a"])])
 def test_or_terms(spark, query, want):
     assert one(spark, query, tx.or_terms) == want
 
