@@ -6,9 +6,10 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from ..functions.text import chunks
 from ..sources.blocks import verified
@@ -17,28 +18,39 @@ from .state import new_only
 DIM = 1024
 
 
+def hash_vectors(texts: list[str], dim: int = DIM) -> np.ndarray:
+    """Stand-in embeddings: SHA-256 digests, each of the one before, as bytes / 255 - 0.5, of unit length."""
+    sha, parts = hashlib.sha256, []
+    for text in texts:
+        digest = sha(text.encode()).digest()
+        for _ in range(-(-dim // 32)):
+            parts.append(digest)
+            digest = sha(digest).digest()
+    v = np.frombuffer(b"".join(parts), np.uint8).reshape(len(texts), -1)[:, :dim] / 255.0 - 0.5
+    return (v / np.sqrt((v * v).sum(1, keepdims=True))).astype(np.float32)
+
+
 def hash_vector(text: str, dim: int = DIM) -> np.ndarray:
-    """A stand-in embedding: SHA-256 digests, each of the one before, as bytes / 255 - 0.5, of unit length."""
-    parts, digest = [], hashlib.sha256(text.encode()).digest()
-    while 32 * len(parts) < dim:
-        parts.append(digest)
-        digest = hashlib.sha256(digest).digest()
-    v = np.frombuffer(b"".join(parts), np.uint8)[:dim] / 255.0 - 0.5
-    return (v / np.linalg.norm(v)).astype(np.float32)
+    return hash_vectors([text], dim)[0]
 
 
-def embed(df: DataFrame, encode: Callable[[list[str]], list] | None = None, column: str = "content", dim: int = DIM) -> DataFrame:
-    """df with the column embedding. encode turns a batch of texts into vectors; it is made once a task.
+def embed(df: DataFrame, encode: Callable[[list[str]], list] | None = None, column: str = "content", dim: int = DIM, batch: int = 1024) -> DataFrame:
+    """df with the column embedding. encode turns a batch of texts into vectors of one length; null texts are empty.
 
-    The hash needs a loop over digests for each text, hence Arrow batches and not SQL.
+    The hash needs a loop over digests for each text, hence Arrow batches and not SQL; a batch's vectors are one array.
     """
+    at = df.columns.index(column)
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            found = encode(texts.fillna("").tolist()) if encode else [hash_vector(t or "", dim) for t in texts]
-            yield pd.Series(list(found))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, batch):
+                part = whole.slice(start, batch)
+                texts = [t or "" for t in part.column(at).to_pylist()]
+                found = np.asarray(encode(texts), np.float32) if encode else hash_vectors(texts, dim)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * found.shape[1]), pa.array(found.ravel()))
+                yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, "embedding"])
 
-    return df.withColumn("embedding", F.pandas_udf(run, "array<float>")(F.col(column)))
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField("embedding", ArrayType(FloatType()))]))
 
 
 def chunked(blocks: DataFrame) -> DataFrame:
@@ -57,3 +69,23 @@ def load(blocks: DataFrame, held: DataFrame, tag: str = "") -> DataFrame:
     new = new_only(first, held.select("sha256"), ["sha256"])
     clean = verified(blocks.withColumn("text", F.replace("text", F.lit("\x00"), F.lit(""))))
     return embed(chunked(clean).join(new, "doc_id"))
+
+
+def reindexed(blocks: DataFrame, held: DataFrame, encode: Callable[[list[str]], list] | None = None, dim: int = DIM) -> DataFrame:
+    """The chunks of a batch of corrected documents, with vectors: what stands for them from now on in place of their held ones.
+
+    blocks: doc_id, seq, type, text, page, confidence; held: sha256 and embedding of all chunks there are. A chunk is known by its
+    content's digest, so only contents that no held chunk has are embedded, each once; the others take over their vector, and chunks that a
+    document no longer has are gone. fresh tells what was embedded.
+    """
+    now = chunked(verified(blocks.withColumn("text", F.replace("text", F.lit("\x00"), F.lit(""))))).withColumn("sha256", F.sha2("content", 256))
+    known = held.groupBy("sha256").agg(F.first("embedding").alias("embedding"))
+    new = now.select("sha256", "content").dropDuplicates(["sha256"]).join(known, "sha256", "left_anti")
+    vectors = known.withColumn("fresh", F.lit(False)).unionByName(embed(new, encode, dim=dim).select("sha256", "embedding", F.lit(True).alias("fresh")))
+    return now.join(vectors, "sha256")
+
+
+def reindex(chunks: DataFrame, blocks: DataFrame, encode: Callable[[list[str]], list] | None = None, dim: int = DIM) -> DataFrame:
+    """All chunks (with sha256 and embedding) after a batch: those of its documents are replaced (reindexed), the others stay."""
+    rows = reindexed(blocks, chunks, encode, dim).drop("fresh")
+    return chunks.join(blocks.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(rows.select(*chunks.columns))

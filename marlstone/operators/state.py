@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -104,3 +106,43 @@ def edit_items(items: Column, edits: Column, allowed: list[str]) -> Column:
         return F.map_concat(F.map_filter(keep(old), lambda k, _: ~F.array_contains(F.map_keys(new), k)), new)
 
     return F.slice(F.zip_with(items, edits, laid), F.lit(1), F.greatest(F.size(edits), F.lit(1)))
+
+
+# Stored tables ------------------------------------------------------------------------------------
+
+
+def overwrite_parts(rows: DataFrame, at: str, by: str | list[str]) -> None:
+    """The partitions that rows has replace those of the table at a place; the files of all others stay as they are."""
+    by = [by] if isinstance(by, str) else by
+    rows.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(at)
+
+
+class KeyedTable:
+    """A stored table dealt by a hash of its key to `parts` partitions (column _part). A write reads and replaces touched ones only."""
+
+    def __init__(self, spark: SparkSession, at: str, key: list[str], parts: int = 64):
+        self.spark, self.at, self.key, self.parts = spark, at, key, parts
+
+    def _dealt(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("_part", F.pmod(F.xxhash64(*self.key), F.lit(self.parts)).cast("int"))
+
+    def create(self, rows: DataFrame) -> None:
+        self._dealt(rows).repartition("_part").write.partitionBy("_part").parquet(self.at)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.parquet(self.at).drop("_part")
+
+    def _replace(self, batch: DataFrame, change: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+        new = self._dealt(batch)
+        touched = [r[0] for r in new.select("_part").distinct().collect()]  # at most `parts`
+        if touched:
+            held = self.spark.read.parquet(self.at).where(F.col("_part").isin(touched)).drop("_part").select(*batch.columns)
+            overwrite_parts(self._dealt(change(held, batch)), self.at, "_part")
+
+    def upsert(self, batch: DataFrame, order: list[Column]) -> None:
+        """The batch's rows, of each key the first by order, replace those of the same key or are added."""
+        self._replace(batch, lambda held, new: upsert_newest(held, new, self.key, order))
+
+    def replace_changed(self, batch: DataFrame, digest: str) -> None:
+        """Rows whose digest differs replace the held ones of their key; new keys are added."""
+        self._replace(batch, lambda held, new: replace_changed(held, new, self.key[0], digest))

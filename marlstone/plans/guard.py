@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 
 from py4j.protocol import Py4JError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 
 ROOTS = {"Project", "Aggregate", "UnresolvedHaving", "Distinct", "Sort", "GlobalLimit", "Filter"}
 FUNCTIONS = {"count", "sum", "avg", "min", "max", "round", "abs", "coalesce", "year", "month", "lower", "upper", "length", "substring", "concat", "if", "nullif", "greatest", "least", "count_if"}
-MOST = 200
+MOST, SECONDS = 200, 5.0
 
 
 class Refused(ValueError):
@@ -73,3 +74,28 @@ def run(spark: SparkSession, sql: str, views: dict[str, DataFrame], most: int =
     for name, df in views.items():
         _own_view(session, name, df)
     return session.sql(sql).limit(most)
+
+
+def rows(spark: SparkSession, sql: str, views: dict[str, DataFrame], most: int = MOST, seconds: float = SECONDS) -> list[Row]:
+    """The rows of run(), Refused if they take longer than that: its jobs carry a tag of their own and are interrupted; the session stays usable."""
+    df, sc = run(spark, sql, views, most), spark.sparkContext
+    tag, late = f"guarded-{uuid.uuid4().hex}", threading.Event()
+
+    def stop() -> None:
+        late.set()
+        sc.cancelJobsWithTag(tag)
+
+    timer = threading.Timer(seconds, stop)
+    sc.addJobTag(tag)
+    sc.setInterruptOnCancel(True)
+    timer.start()
+    try:
+        return df.collect()
+    except Exception as e:
+        if late.is_set():
+            raise Refused(f"it took longer than {seconds:g} s") from e
+        raise
+    finally:
+        timer.cancel()
+        sc.removeJobTag(tag)
+        sc.setInterruptOnCancel(False)

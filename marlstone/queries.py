@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as tx
 from .operators import dossiers, extract, generate, graph, ingest, intake, matching, prediction, scans, search, state
+from .operators.shared import fresh_dir
 from .plans import guard
 from .sources import blocks, texts
 from .streaming import windows
@@ -667,6 +668,39 @@ def ingest_new_documents(t):
     return ingest.load(rows, held).groupBy("doc_id").agg(n().alias("n_chunks"))
 
 
+_EDITED_SQL = CHUNKS_SQL.replace("FROM documents WHERE length(text) > 0", "FROM (SELECT doc_id, text || ' end' AS text FROM documents WHERE doc_id % 3 = 0 AND length(text) > 0)")
+
+
+@query(f"WITH c AS ({CHUNKS_SQL}), e AS ({_EDITED_SQL}) SELECT doc_id, count(*)::BIGINT AS n, count(*) FILTER (WHERE content NOT IN (SELECT content FROM c))::BIGINT AS embedded FROM e GROUP BY doc_id")
+def reindex_chunks(t):
+    """All documents are held; every third one comes again with a word more, and only its changed chunks are embedded."""
+    held = ingest.embed(search.chunk_documents(t.documents).select(F.sha2("content", 256).alias("sha256"), "content"), dim=32)
+    batch = t.documents.where("doc_id % 3 = 0 AND length(text) > 0").select("doc_id", F.lit(0).alias("seq"), F.lit("paragraph").alias("type"), F.concat("text", F.lit(" end")).alias("text"), F.lit(1).alias("page"), F.lit(1.0).alias("confidence"))
+    rows = ingest.reindexed(batch, held, dim=32)
+    return rows.groupBy("doc_id").agg(n().alias("n"), F.count_if("fresh").alias("embedded"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 50 = 0 THEN 'X' ELSE o_orderstatus END AS status FROM orders UNION ALL SELECT -o_orderkey, 'Y' FROM orders WHERE o_orderkey % 50 = 1")
+def stored_upsert(t):
+    """Orders stored by key; a batch changes and adds some, and the table is read back."""
+    table = state.KeyedTable(t.spark, fresh_dir(t.spark, "orders"), ["o_orderkey"], 16)
+    table.create(t.orders.select("o_orderkey", F.col("o_orderstatus").alias("status")))
+    k = F.col("o_orderkey")
+    batch = t.orders.where(k % 50 < 2).select(F.when(k % 50 == 0, k).otherwise(-k).alias("o_orderkey"), F.when(k % 50 == 0, "X").otherwise("Y").alias("status"))
+    table.upsert(batch, [F.desc("status")])
+    return table.read()
+
+
+@query("SELECT o_orderpriority, count(*)::BIGINT AS n, round(sum(CASE WHEN starts_with(o_orderpriority, '1') THEN 1 ELSE o_totalprice END), 2) AS total FROM orders GROUP BY 1")
+def stored_reload(t):
+    """Orders stored by priority; those of one priority are loaded again, with another price."""
+    at = fresh_dir(t.spark, "priorities")
+    rows = t.orders.select("o_orderkey", "o_totalprice", "o_orderpriority")
+    rows.write.partitionBy("o_orderpriority").parquet(at)
+    state.overwrite_parts(rows.where("startswith(o_orderpriority, '1')").withColumn("o_totalprice", F.lit(1.0)), at, "o_orderpriority")
+    return t.spark.read.parquet(at).groupBy("o_orderpriority").agg(n().alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
 @query("SELECT k, n_segments FROM (SELECT c_custkey AS k, count(o_orderkey)::BIGINT AS n_segments FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1)")
 def exam_report_segments(t):
     """Reports written from each customer's orders and parsed again."""

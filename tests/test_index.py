@@ -1,10 +1,15 @@
 """Stored indexes: vectors by cell, postings by block."""
 
+import glob
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.operators import ann, search
+from marlstone.operators import ann, ingest, search, state
+from marlstone.operators.postings import Postings
+from marlstone.plans import guard
 
 AT = "/root/testdata/sf0.1"
 
@@ -57,3 +62,72 @@ def test_one_vector_many_times(spark, tmp_path):
     index = ann.VectorIndex.build(df, str(tmp_path / "i"), cells=8)
     found = index.search(spark.createDataFrame([(0, [1.0, 2.0])], "query_id long, embedding array<double>"), 5, rerank=1000).collect()
     assert [r.vec_id for r in sorted(found, key=lambda r: r.r)] == [0, 1, 2, 3, 4]
+
+
+def test_postings_equal_a_scan_and_skip_blocks(spark, tmp_path):
+    """Three segments; the best documents are those of a scan of all texts, and blocks that can't hold one aren't read."""
+    docs = spark.read.parquet(f"{AT}/documents.parquet").select("doc_id", "text").where("doc_id < 4000")
+    index = Postings.build(docs.where("doc_id % 3 = 0"), str(tmp_path / "p"))
+    before = sorted(glob.glob(f"{tmp_path}/p/*/*.parquet"))
+    for k in (1, 2):
+        index.add(docs.where(f"doc_id % 3 = {k}"))
+    assert set(before) <= set(glob.glob(f"{tmp_path}/p/*/*.parquet"))
+    asked = spark.createDataFrame([(1, "The THAT and"), (2, "nicht der und"), (3, "nobodyhasthis"), (4, None), (5, "pour")], "query_id long, text string")
+    hits, counts = index.search(asked, 5)
+    terms = asked.select("query_id", F.split(F.lower("text"), " ").alias("terms")).where("text IS NOT NULL")
+    want = search.top_each(search.lexical_multi(docs, terms), 5, F.desc("score"), "doc_id")
+    columns = ["query_id", "r", "doc_id", "score"]
+    assert sorted(map(tuple, hits.select(*columns).collect())) == sorted(map(tuple, want.select(*columns).collect()))
+    read = {r.query_id: (r.blocks, r.read) for r in counts.collect()}
+    assert set(read) == {1, 2, 5} and all(r <= b for b, r in read.values()) and sum(r for _, r in read.values()) < 0.8 * sum(b for b, _ in read.values())
+
+
+def test_no_documents(spark, tmp_path):
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "- !")], "doc_id long, text string")
+    index = Postings.build(docs.unionByName(spark.createDataFrame([(4, "one two two")], docs.schema)), str(tmp_path / "p"))
+    hits, counts = index.search(spark.createDataFrame([(0, "two three")], "query_id long, text string"), 3)
+    assert [(r.doc_id, r.r) for r in hits.collect()] == [(4, 1)] and counts.first()["read"] == 1
+
+
+def test_untouched_partitions_stay(spark, tmp_path):
+    at = str(tmp_path / "t")
+    table = state.KeyedTable(spark, at, ["id"], 16)
+    table.create(spark.range(500).withColumn("v", F.lit("a")))
+    files = lambda: set(glob.glob(f"{at}/*/*.parquet"))
+    before = files()
+    batch = spark.createDataFrame([(3, "b"), (3, "c"), (900, "b")], "id long, v string")
+    table.upsert(batch, [F.desc("v")])
+    assert len(before & files()) >= len(before) - 2 and files() != before
+    got = {r.id: r.v for r in table.read().collect()}
+    assert (len(got), got[3], got[900], got[4]) == (501, "c", "b", "a")
+    table.upsert(batch.where("false"), [F.desc("v")])
+    table.replace_changed(spark.createDataFrame([(3, "c"), (4, "z")], "id long, v string"), "v")
+    assert {r.id: r.v for r in table.read().where("id < 5").collect()} == {0: "a", 1: "a", 2: "a", 3: "c", 4: "z"}
+
+
+def test_only_changed_chunks_are_embedded(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def encode(texts):
+        calls.add(len(texts))
+        return [[float(len(t)), 1.0] for t in texts]
+
+    rows = lambda texts: spark.createDataFrame([(d, 0, "paragraph", t, 1, 1.0) for d, t in texts], "doc_id long, seq int, type string, text string, page int, confidence double")
+    long = "abcdefghij" * 300  # the first two of its three chunks are equal
+    none = spark.createDataFrame([], "sha256 string, embedding array<float>")
+    loaded = ingest.reindexed(rows([(1, long), (2, "short")]), none, encode).drop("fresh")
+    first = spark.createDataFrame(loaded.collect(), loaded.schema)
+    made = calls.value
+    after = ingest.reindex(first, rows([(1, long + "!")]), encode).collect()
+    assert (made, calls.value - made) == (3, 1) and sorted((r.doc_id, r.part) for r in after) == [(1, 0), (1, 1), (1, 2), (2, 0)]
+    shorter = ingest.reindex(first, rows([(1, "abc")]), encode).collect()
+    assert sorted((r.doc_id, r.content) for r in shorter) == [(1, "abc"), (2, "short")]
+
+
+def test_a_slow_statement_is_refused(spark):
+    slow = spark.range(4, numPartitions=4).select(F.udf(lambda x: time.sleep(20) or x, "long")("id").alias("x"))
+    start = time.time()
+    with pytest.raises(guard.Refused, match="longer"):
+        guard.rows(spark, "SELECT sum(x) AS s FROM v", {"v": slow}, seconds=1.5)
+    assert time.time() - start < 15
+    assert guard.rows(spark, "SELECT sum(x) AS s FROM v", {"v": spark.range(5).withColumnRenamed("id", "x")})[0].s == 10
