@@ -29,6 +29,13 @@ def postings(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.inline(found))
 
 
+def term_counts(docs: DataFrame) -> DataFrame:
+    """term, tf, df over all documents: two kinds of ones, added up in the same place before they move."""
+    found = docs.select(tokens(F.col("text")).alias("s"))
+    one = lambda terms, tf, df: found.select(F.explode(terms).alias("term"), F.lit(tf).alias("tf"), F.lit(df).alias("df"))
+    return one("s", 1, 0).unionAll(one(F.array_distinct("s"), 0, 1)).groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+
+
 def lexical(docs: DataFrame, terms: list[str]) -> DataFrame:
     """doc_id and rank of documents with any of the terms. The tokens are counted in place: nothing is shuffled."""
     held = F.filter(tokens(F.col("text")), lambda t: t.isin(terms))

@@ -88,7 +88,7 @@ def chunk_counts_by_lang(t):
 
 @query(f"SELECT term, sum(tf)::BIGINT AS tf, count(*)::BIGINT AS df FROM (SELECT doc_id, term, count(*) AS tf FROM ({TOKENS_SQL}) GROUP BY ALL) GROUP BY term ORDER BY tf DESC, term LIMIT 50")
 def token_postings_topterms(t):
-    return search.postings(t.documents).groupBy("term").agg(F.sum("tf").alias("tf"), n().alias("df")).orderBy(F.desc("tf"), "term").limit(50)
+    return search.term_counts(t.documents).orderBy(F.desc("tf"), "term").limit(50)
 
 
 @query(f"WITH {LEXICAL_SQL} SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id)::BIGINT AS r FROM lex QUALIFY r <= 50")

@@ -174,18 +174,23 @@ def rule_facts(t):
     return rules.rule_facts(t.orders.select(F.col("o_orderkey").alias("id"), _pick(F.col("o_orderkey"), _NAMED).alias("text")), _rules(t), 4)
 
 
-@query("SELECT * FROM (VALUES ('HAS_DISEASE', 6::BIGINT), ('JUDGED_BY', 6), ('REQUIRES', 5), ('jr_axis', 6), ('jr_disease', 6), ('jr_doc', 4), ('jr_sub', 3)) v(kind, n)")
+@query("""WITH r AS (SELECT p_partkey, (p_size % 6 + 1)::VARCHAR AS sub, p_name, p_brand, p_type FROM part)
+SELECT 'HAS_DISEASE' AS kind, count(*)::BIGINT AS n FROM r UNION ALL SELECT 'JUDGED_BY', count(*) FROM r UNION ALL SELECT 'REQUIRES', 2 * count(*) FROM r UNION ALL SELECT 'jr_sub', count(DISTINCT sub) FROM r UNION ALL SELECT 'jr_disease', count(DISTINCT p_name) FROM r
+UNION ALL SELECT 'jr_axis', count(DISTINCT sub || ':' || p_brand) FROM r UNION ALL SELECT 'jr_doc', (SELECT count(DISTINCT x) FROM (SELECT p_type AS x FROM r UNION ALL SELECT p_brand FROM r))""")
 def rule_graph_layer(t):
-    nodes, edges = rules.layer(_rules(t))
+    """Parts as rules: their names as patterns, brands as axes, types and brands as required documents."""
+    sub = (F.col("p_size") % 6 + 1).cast("string")
+    nodes, edges = rules.layer(t.part.select(F.col("p_partkey").alias("jr_id"), sub.alias("subcommittee"), F.col("p_name").alias("pattern"), F.col("p_brand").alias("axis"), F.array("p_type", "p_brand").alias("required_docs")))
     return nodes.groupBy(F.col("ntype").alias("kind")).agg(n().alias("n")).unionByName(edges.groupBy(F.col("etype").alias("kind")).agg(n().alias("n")))
 
 
-@query("SELECT o_orderkey AS case_id, row_number() OVER (PARTITION BY o_orderkey ORDER BY p_size, p_partkey % 4, p_name, p_retailprice::VARCHAR)::BIGINT AS place, p_name AS judge_item FROM orders JOIN part ON p_brand = 'Brand#' || (o_orderkey % 25 + 1) AND (p_partkey % 3 = 0) = (o_orderkey % 2 = 0) WHERE o_orderkey % 7 = 0")
+@query("""WITH c AS (SELECT o_custkey AS case_id, 'Brand#' || (min(o_orderkey) % 25 + 1) AS brand, min(o_orderkey) % 2 = 0 AS even FROM orders GROUP BY 1)
+SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY p_size, p_partkey % 4, p_name, p_retailprice::VARCHAR)::BIGINT AS place, p_name AS judge_item FROM c JOIN part ON p_brand = brand AND (p_partkey % 3 = 0) = even""")
 def applied_clauses(t):
-    """Parts as rules of a brand, with a condition on some; every seventh order as a case."""
+    """Parts as rules of a brand, with a condition on some; a case for each customer with orders, told by the first of these."""
     order = t.part.select(F.col("p_size").cast("string").alias("rule_no"), F.col("p_brand").alias("review_content"), F.when(F.col("p_partkey") % 3 == 0, "even").otherwise("").alias("target_cond"), (F.col("p_partkey") % 4).cast("string").alias("pair_order"), F.col("p_name").alias("judge_item"), F.col("p_retailprice").cast("string").alias("result"))
-    k = F.col("o_orderkey")
-    cases = t.orders.where(k % 7 == 0).select(k.alias("case_id"), F.concat(F.lit("Brand#"), (k % 25 + 1).cast("string")).alias("review_content"), F.when(k % 2 == 0, "even").alias("target_cond"))
+    k = F.col("k")
+    cases = t.orders.groupBy(F.col("o_custkey").alias("case_id")).agg(F.min("o_orderkey").alias("k")).select("case_id", F.concat(F.lit("Brand#"), (k % 25 + 1).cast("string")).alias("review_content"), F.when(k % 2 == 0, "even").alias("target_cond"))
     return rules.applied_clauses(order, cases).select("case_id", "place", "judge_item")
 
 
@@ -280,7 +285,7 @@ def hearing_loss(t):
 _DISEASES = ["무릎 염좌", "허리, 목 통증", "진단서, 검진 기록/병상일지", "발목*x", "어깨(좌)"]
 
 
-@query("""WITH l AS (SELECT l_orderkey AS sd, l_linenumber AS line, l_returnflag AS f, l_linestatus AS s, l_partkey AS p FROM lineitem WHERE l_orderkey % 10 = 1),
+@query("""WITH l AS (SELECT l_orderkey AS sd, l_linenumber AS line, l_returnflag AS f, l_linestatus AS s, l_partkey AS p FROM lineitem),
 d AS (SELECT sd, line, unnest(CASE p % 5 WHEN 0 THEN ['무릎 염좌'] WHEN 1 THEN ['허리', '목 통증'] WHEN 3 THEN ['발목'] WHEN 4 THEN ['어깨'] END) AS x FROM l),
 k AS (SELECT sd, line, 'M' || (p % 30) AS x FROM l WHERE p % 2 = 0),
 g AS (SELECT sd, line, CASE WHEN f = 'A' THEN CASE WHEN s = 'F' THEN (p % 7 + 1) || '급' END ELSE (p % 6 + 1) || '급' END AS x FROM l),
@@ -291,7 +296,7 @@ edge AS (SELECT 'MENTIONS' AS etype, sd || '>' || x AS e FROM d UNION ALL SELECT
   UNION ALL SELECT 'CONVERTED_TO', sd || '>' || sd FROM e WHERE sd % 4 = 1 UNION ALL SELECT 'HAS_AGENDA', 'p' || (sd % 40) || ':>' || sd FROM e WHERE sd % 4 = 1)
 SELECT etype, count(*)::BIGINT AS n, count(DISTINCT e)::BIGINT AS different, min(e) AS least FROM edge GROUP BY 1""")
 def instance_graph_layer(t):
-    """Every tenth order as a scan, its lines as blocks; a model put right those with flag A."""
+    """Every order as a scan, its lines as blocks; a model put right those with flag A."""
     edges = _scan_graph(t)[1]
     e = edges.groupBy("etype", F.concat("skey", F.lit(">"), "dkey").alias("e")).agg(n().alias("k"))
     return e.groupBy("etype").agg(F.sum("k").alias("n"), n().alias("different"), F.min("e").alias("least"))
@@ -300,7 +305,7 @@ def instance_graph_layer(t):
 def _scan_graph(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nodes, edges, scans."""
     k, p = F.col("l_orderkey"), F.col("l_partkey")
-    rows = t.lineitem.where(k % 10 == 1)
+    rows = t.lineitem
     empty = F.lit(None).cast("string")
     model = F.col("l_returnflag") == "A"
     fields = F.struct(_pick(p, _DISEASES).alias("disease"), F.concat((p % 6 + 1).cast("string"), F.lit(" 급")).alias("grade"), F.when(p % 2 == 0, F.concat(F.lit("M"), (p % 30).cast("string"))).alias("kcd"))
@@ -312,31 +317,31 @@ def _scan_graph(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     return *instance_graph.layer(scans, blocks, agendas, _rules(t)), scans
 
 
-_SCANS_SQL = """l AS (SELECT l_orderkey AS sd, l_linenumber AS line, l_partkey AS p FROM lineitem WHERE l_orderkey % 10 = 1),
+_SCANS_SQL = """l AS (SELECT l_orderkey AS sd, l_linenumber AS line, l_partkey AS p FROM lineitem),
 d AS (SELECT DISTINCT sd, unnest(CASE p % 5 WHEN 0 THEN ['무릎 염좌'] WHEN 1 THEN ['허리', '목 통증'] WHEN 3 THEN ['발목'] WHEN 4 THEN ['어깨'] END) AS x FROM l),
 k AS (SELECT DISTINCT sd, 'M' || (p % 30) AS x FROM l WHERE p % 2 = 0)"""
 
 
-@query(f"""WITH {_SCANS_SQL}, q AS (SELECT o_orderkey AS id, o_orderkey % 30 AS c, {_case('o_orderkey', _DISEASES)} AS t FROM orders WHERE o_orderkey % 50 = 0),
+@query(f"""WITH {_SCANS_SQL}, q AS (SELECT o_orderkey AS id, o_orderkey % 30 AS c, {_case('o_orderkey', _DISEASES)} AS t FROM orders),
 e AS (SELECT id, x AS name FROM q, (SELECT DISTINCT x FROM d) WHERE contains(t, x)),
 people AS (SELECT x, count(DISTINCT sd % 40) AS n, string_agg(DISTINCT 'p' || (sd % 40), ', ' ORDER BY 'p' || (sd % 40)) AS who FROM d GROUP BY 1),
 codes AS (SELECT d.x, string_agg(DISTINCT k.x, ', ' ORDER BY k.x) AS codes FROM d JOIN k USING (sd) GROUP BY 1)
 SELECT id, name || ' — 실데이터 대상자 ' || n || '명: ' || who || coalesce(' (KCD ' || codes || ')', '') AS fact FROM e JOIN people p ON p.x = name LEFT JOIN codes c ON c.x = name""")
 def graph_disease_facts(t):
-    """Every fiftieth order as a question that names a disease."""
+    """Every order as a question, most of which name a disease."""
     nodes, edges, _ = _scan_graph(t)
-    asked = t.orders.where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("id"), _pick(F.col("o_orderkey"), _DISEASES).alias("text"))
+    asked = t.orders.select(F.col("o_orderkey").alias("id"), _pick(F.col("o_orderkey"), _DISEASES).alias("text"))
     return graph_facts.disease_facts(graph_facts.entities(asked, nodes), nodes, edges).select("id", "fact")
 
 
-@query(f"""WITH {_SCANS_SQL}, q AS (SELECT o_orderkey AS id, 'M' || (10 + o_orderkey // 50 % 30) AS c FROM orders WHERE o_orderkey % 50 = 0),
+@query(f"""WITH {_SCANS_SQL}, q AS (SELECT o_orderkey AS id, 'M' || (10 + o_orderkey // 50 % 30) AS c FROM orders),
 kinds AS (SELECT k.x, string_agg(DISTINCT d.x, ', ' ORDER BY d.x) AS d FROM k JOIN d USING (sd) GROUP BY 1), people AS (SELECT x, string_agg(DISTINCT 'p' || (sd % 40), ', ' ORDER BY 'p' || (sd % 40)) AS who FROM k GROUP BY 1)
 SELECT id, 'KCD ' || c || ' — 질환: ' || coalesce(d, '?') || coalesce(' / 대상자: ' || who, '') AS fact FROM q LEFT JOIN kinds s ON s.x = c LEFT JOIN people p ON p.x = c WHERE d IS NOT NULL OR who IS NOT NULL""")
 def graph_code_facts(t):
     """Questions that name a code of two digits, some of which no scan has."""
     nodes, edges, _ = _scan_graph(t)
     k = F.col("o_orderkey")
-    asked = t.orders.where(k % 50 == 0).select(k.alias("id"), F.concat(F.lit("코드 M"), (10 + (k / 50).cast("long") % 30).cast("string"), F.lit("은?")).alias("text"))
+    asked = t.orders.select(k.alias("id"), F.concat(F.lit("코드 M"), (10 + (k / 50).cast("long") % 30).cast("string"), F.lit("은?")).alias("text"))
     return graph_facts.code_facts(graph_facts.entities(asked, nodes), nodes, edges).select("id", "fact")
 
 
@@ -362,17 +367,17 @@ def session_exchanges(t):
     return new.select("session", "seq", "role", "content", F.get("sources", F.lit(0))["doc_id"].alias("source"))
 
 
-@query(f"""WITH i AS (SELECT DISTINCT l_orderkey AS app, l_linenumber AS dis, l_returnflag AS f, l_linestatus AS s, l_shipdate::DATE AS d FROM lineitem WHERE l_orderkey % 5 = 0),
-u AS (SELECT o_orderkey AS app, 0 AS item, '신청서' AS kind, '{records.APPLICATION_TITLE}' AS title, true AS final FROM orders WHERE o_orderkey % 5 = 0 UNION ALL SELECT o_orderkey, 0, '병적', '{records.SERVICE_TITLE}', true FROM orders WHERE o_orderkey % 5 = 0
+@query(f"""WITH i AS (SELECT DISTINCT l_orderkey AS app, l_linenumber AS dis, l_returnflag AS f, l_linestatus AS s, l_shipdate::DATE AS d FROM lineitem),
+u AS (SELECT o_orderkey AS app, 0 AS item, '신청서' AS kind, '{records.APPLICATION_TITLE}' AS title, true AS final FROM orders UNION ALL SELECT o_orderkey, 0, '병적', '{records.SERVICE_TITLE}', true FROM orders
   UNION ALL SELECT app, dis, '요건사실확인서', '1-4 요건사실확인서 — ' || f, true FROM i UNION ALL SELECT app, dis, '의무기록', 'h ' || CASE s WHEN 'F' THEN '영상' ELSE '외래' END || ' (' || CASE WHEN f = 'A' THEN '일자미상' ELSE d::VARCHAR END || ')', s = 'F' FROM i
-  UNION ALL SELECT o_orderkey, 0, '공적서류', o_orderstatus || ' ( ' || o_orderpriority || ')', false FROM orders WHERE o_orderkey % 5 = 0 UNION ALL SELECT o_orderkey, 0, '스캔 원문', 's — ' || o_orderkey, false FROM orders WHERE o_orderkey % 5 = 0),
+  UNION ALL SELECT o_orderkey, 0, '공적서류', o_orderstatus || ' ( ' || o_orderpriority || ')', false FROM orders UNION ALL SELECT o_orderkey, 0, '스캔 원문', 's — ' || o_orderkey, false FROM orders),
 g AS (SELECT app, item, kind, title, min(final::INT) = 1 AS final FROM u GROUP BY ALL)
 SELECT app AS app_id, kind, count(*)::BIGINT AS n, count(*) FILTER (WHERE final)::BIGINT AS final, min(title) AS least FROM g WHERE NOT (app % 10 = 0 AND kind = '병적') GROUP BY ALL""")
 def file_register_sources(t):
-    """Every fifth order as a case, with files from five sources; of every tenth one file is held already."""
+    """Every order as a case, with files from five sources; of every tenth one file is held already."""
     none = F.lit(None).cast("string")
-    cases = t.orders.where("o_orderkey % 5 = 0").withColumnRenamed("o_orderkey", "app_id")
-    lines = t.lineitem.where("l_orderkey % 5 = 0").select(F.col("l_orderkey").alias("app_id"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("dis_id"), "l_returnflag", "l_linestatus", "l_shipdate").distinct()
+    cases = t.orders.withColumnRenamed("o_orderkey", "app_id")
+    lines = t.lineitem.select(F.col("l_orderkey").alias("app_id"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("dis_id"), "l_returnflag", "l_linestatus", "l_shipdate").distinct()
     items = lines.select("app_id", "dis_id", F.col("l_returnflag").alias("name"))
     medical = lines.select("dis_id", F.lit("h").alias("hospital"), F.when(F.col("l_linestatus") == "F", "영상").otherwise("외래").alias("rec_type"), F.when(F.col("l_returnflag") != "A", F.col("l_shipdate").cast("date")).alias("rec_date"), none.alias("diagnosis"), F.lit("f").alias("finding"))
     officials = cases.select("app_id", F.lit(None).alias("dis_id"), F.col("o_orderstatus").alias("doc_kind"), none.alias("doc_date"), F.col("o_orderpriority").alias("issuer"), F.lit("c").alias("content"))
