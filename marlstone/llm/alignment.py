@@ -321,26 +321,28 @@ def align_tokens(docs: DataFrame, vocabulary_file: str | None = None, model_file
     at = fresh_dir(spark, "alignment")
 
     written = lambda df, name: stored(df, f"{at}/{name}")
-    rows = written(_cut(docs, safe_marks(vocabulary, model), chunk), "parts")
-    units = spark.read.schema(rows.schema).parquet(f"{at}/parts").where("unit IS NOT NULL").select("chunk", "number", "unit")
-    rows = rows.where("unit IS NULL").select("chunk", "doc_id", "units")
+    cut = _cut(docs, safe_marks(vocabulary, model), chunk).withColumn("kind", F.when(F.col("unit").isNull(), "texts").otherwise("units"))
+    stored(cut, f"{at}/parts", "kind")
+    part = lambda kind, *columns: spark.read.schema(cut.schema).parquet(f"{at}/parts").where(F.col("kind") == kind).select(*columns)
+    rows, units = part("texts", "chunk", "doc_id", "units"), part("units", "chunk", "number", "unit")
     tokens = written(_tokens(units.select("unit").distinct(), vocabulary, model).withColumn("id", F.monotonically_increasing_id()), "tokens")
     with settings(spark, spark__sql__requireAllClusterKeysForCoPartition="false"):  # both sides are dealt by id, enough for a join on id and end
         aligned = align(tokens.where("size(a) > 0").select("id", "a", "b").repartition("id"))
         aligned = written(aligned.join(tokens.select("id", "unit"), "id"), "aligned")
     removed(spark, f"{at}/tokens")
-    chunks = lambda df: units.join(df, "unit").drop("unit").groupBy("chunk")
     once = aligned.select("unit", F.array_distinct("pairs.p").alias("pairs"))
-    held = rows.where("units IS NOT NULL").groupBy("chunk").cogroup(chunks(once)).applyInArrow(_pairs_of_chunk, "p long, n long")
+    held = rows.where("units IS NOT NULL").groupBy("chunk").cogroup(units.join(once, "unit").drop("unit").groupBy("chunk")).applyInArrow(_pairs_of_chunk, "p long, n long")
     counted = written(held.groupBy("p").agg(F.sum("n").alias("n_docs")).withColumn("a", F.shiftright("p", 32).cast("int")), "counted")
     most = counted.groupBy("a").agg(F.max("n_docs").alias("most"))
     pairs = counted.join(most, "a").select("p", "a", (F.col("p") % _PAIR).cast("int").alias("b"), "n_docs", (F.col("n_docs") == F.col("most")).alias("best"))
     linked = aligned.select("id", F.explode("pairs").alias("x")).select("id", "x.*").join(pairs, "p")
     sums = linked.groupBy("id").agg(F.sum(F.when(F.col("best"), F.col("m")).otherwise(0)).alias("n_best"), F.sum(F.col("n_docs") * F.col("m")).alias("count_sum"))
-    valued = written(aligned.join(sums, "id").select("unit", "groups", *SUMS), "valued")
-    removed(spark, f"{at}/aligned")
+    valued = aligned.join(sums, "id").select("unit", "groups", *SUMS)
+    valued = written(units.join(valued, "unit").drop("unit"), "valued")
+    for done in ("aligned", "parts/kind=units"):
+        removed(spark, f"{at}/{done}")
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in SUMS) + ", groups string"
-    found = rows.groupBy("chunk").cogroup(chunks(valued)).applyInArrow(_documents_of_chunk(digest), schema)
+    found = rows.groupBy("chunk").cogroup(valued.groupBy("chunk")).applyInArrow(_documents_of_chunk(digest), schema)
     return found, pairs.select("a", "b", "n_docs", "best")
 
 

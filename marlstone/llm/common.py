@@ -67,10 +67,11 @@ def settings(spark: SparkSession, **values: str) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def stored(df: DataFrame, at: str) -> DataFrame:
-    """df written as a table and read again: its lineage is cut, and its shuffle files go as soon as it is written."""
-    with settings(df.sparkSession, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
-        df.write.parquet(at)
+def stored(df: DataFrame, at: str, by: str | None = None) -> DataFrame:
+    """df written as a table, in a folder for each of the few values of a column if asked, and read again: its lineage is cut, and its
+    shuffle files go as soon as it is written."""
+    with settings(df.sparkSession, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true", spark__sql__maxConcurrentOutputFileWriters="4"):
+        (df.write.partitionBy(by) if by else df.write).parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
