@@ -555,3 +555,48 @@ def test_pipeline_equals_plain_stages(spark, docs, tmp_path):
     enc = bpe.encoding(bpe.rank_bytes(public.path("byte_bpe_50k.tiktoken")), public.PATTERN)
     found = sorted((r.doc_id, list(r.ids), bytes(r.decoded)) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
     assert found == sorted((d, enc.encode_ordinary(t), t.encode()) for d, t, _ in four)
+
+
+def test_very_long_texts_of_the_others(spark):
+    """Three megabytes in a row, for the operators that test_long_texts leaves out."""
+    r = random.Random(12)
+    vocabulary = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(2, 10))) for _ in range(40_000)]
+    words_ = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    passage = words_(150)
+    long = f"{words_(240_000)} under the mit license {words_(240_000)} <{passage}> end\n# x\n"
+    assert len(long) > 3_000_000
+    data = [(1, long), (2, f"[{passage}]"), (3, "short")]
+    df = spark.createDataFrame([(*x, "s") for x in data], "doc_id long, text string, source string")
+    assert {x.doc_id: x.size for x in mixing.mix_sources(df).collect()} == {d: len(t.split()) for d, t in data}
+    found = {x.doc_id: x for x in licenses.license_scan(df).collect()}
+    assert all((found[d].n_words, found[d].n_base, found[d].first_word, found[d].last_word, found[d].base_labels) == brute.licenses(t) for d, t in data)
+    removed = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans) for x in suffixes.dedup_spans(df, keep="none", digest=True).collect()}
+    assert removed == {1: (len(long), len(passage), 1), 2: (len(passage) + 2, len(passage), 1), 3: (5, 0, 0)}
+    judged = {x.doc_id: x for x in rules.quality_rules(df).collect()}
+    assert (judged[1].n_words, judged[1].n_symbols, judged[1].n_dup_lines) == (len(long.split()), 3, 0) and not judged[1].base_failed and judged[3].base_failed
+    scored = classifier.classify(df, spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int")).collect()
+    assert len(scored) == 3 and all(0 <= x.score <= 1 for x in scored)
+
+
+@pytest.mark.parametrize("kind", ["empty", "odd"])
+def test_pipeline_on_odd_input(spark, empty, odd, tmp_path, kind):
+    """No rows; null ids, null and empty texts, repeated rows, an id with two texts, and columns with names that stages use."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, 1), (2, 0), (None, 1), (3, None)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = (empty if kind == "empty" else odd).withColumn("n_chars", F.length("text").cast("long")).withColumn("copies", F.lit(9)).withColumn("good", F.lit("g"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    now = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    texts = {t for (t,) in now.select("text").collect()} | {""}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, now, str(tmp_path)).write.parquet(str(tmp_path / name))
+        after = spark.read.parquet(str(tmp_path / name))
+        assert after.columns == docs.columns and {(r.copies, r.good) for r in after.collect()} <= {(9, "g")}
+        assert kind == "odd" or after.count() == 0
+        if name == "lines":
+            assert after.count() == now.count() and all(r.text is not None and r.n_chars == len(r.text) for r in after.collect())
+        else:
+            assert {r.text for r in after.collect()} <= texts | {r.text for r in now.collect()}
+        now = after
+    run = corpus_pipeline.run(spark, str(tmp_path))
+    assert run.count() == now.count() and all(bytes(r.decoded).decode() in {t.text for t in now.collect()} for r in run.collect())
