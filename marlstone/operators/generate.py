@@ -54,14 +54,18 @@ def mirrored(name: Column) -> Column:
     return F.replace(F.replace(F.replace(name, F.lit("우측"), F.lit("\x00")), F.lit("좌측"), F.lit("우측")), F.lit("\x00"), F.lit("좌측"))
 
 
+# What a variant adds to its case's number, the days that it moves by, the last day of a month.
+NUMBER_STEP, DAY_STEP, LAST_DAY = 111, 3, 28
+
+
 def grade_variants(pool: DataFrame) -> DataFrame:
     """Each case of pool (recv_no, meeting_date, disease_name, body_part, grade) and two more: later by a month and by two, earlier by three
     and six days, within the year and the month's first 28 days; the first of them mirrored; numbers go up by 111."""
     day = F.to_date("meeting_date")
     rows = pool.withColumn("j", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
-    moved = F.make_date(F.year(day), F.least(F.month(day) + F.col("j"), F.lit(12)), F.greatest(F.least(F.dayofmonth(day) - 3 * F.col("j"), F.lit(28)), F.lit(1)))
+    moved = F.make_date(F.year(day), F.least(F.month(day) + F.col("j"), F.lit(12)), F.greatest(F.least(F.dayofmonth(day) - DAY_STEP * F.col("j"), F.lit(LAST_DAY)), F.lit(1)))
     return rows.select(
-        F.when(F.col("j") == 0, F.col("recv_no")).otherwise((F.col("recv_no").cast("long") + 111 * F.col("j")).cast("string")).alias("recv_no"), F.when(F.col("j") == 0, day).otherwise(moved).alias("meeting_date"),
+        F.when(F.col("j") == 0, F.col("recv_no")).otherwise((F.col("recv_no").cast("long") + NUMBER_STEP * F.col("j")).cast("string")).alias("recv_no"), F.when(F.col("j") == 0, day).otherwise(moved).alias("meeting_date"),
         F.when(F.col("j") == 1, mirrored(F.col("disease_name"))).otherwise(F.col("disease_name")).alias("disease_name"), "body_part", "grade",
     )
 

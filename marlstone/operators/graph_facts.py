@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 CODE = r"(?<![A-Za-z0-9])[A-Z]\d{2}(?:\.\d{1,2})?(?!\d)"
 GRADE = r"\d급\s?\d?\s?항?(?:\s?\d{4}\s?호)?"
 
+# What is said of a person's scan, of a disease and of a code.
+SCAN, NO_KIND, SCAN_DISEASES, SCAN_GRADES = " — 문서[", "스캔", " 질환: ", " · 기재 등급: "
+PEOPLE, PEOPLE_END, CODES = " — 실데이터 대상자 ", "명: ", " (KCD "
+CODE_HEAD, CODE_DISEASES, CODE_PEOPLE = "KCD ", " — 질환: ", " / 대상자: "
+
 
 def entities(questions: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, kind, name) of what questions (id, text) name: persons by words of two to four letters, diseases by containment, both of them
@@ -47,8 +52,8 @@ def person_facts(found: DataFrame, nodes: DataFrame, edges: DataFrame, scans: Da
     for kind, name in (("MENTIONS", "diseases"), ("ASSIGNS_GRADE", "grades"), ("MENTIONS_KCD", "codes")):
         rows = rows.join(_listed(edges, kind, name), "scan", "left")
     rows = rows.join(scans.select(F.col("sd_id").cast("string").alias("scan"), "doc_kind"), "scan", "left")
-    head = F.concat("name", F.lit(" — 문서["), F.coalesce(F.nullif("doc_kind", F.lit("")), F.lit("스캔")), F.lit("#"), "scan", F.lit("]"))
-    return rows.select("id", "name", F.concat(head, _said(" 질환: ", "diseases"), _said(" (KCD ", "codes", ")"), _said(" · 기재 등급: ", "grades")).alias("fact"))
+    head = F.concat("name", F.lit(SCAN), F.coalesce(F.nullif("doc_kind", F.lit("")), F.lit(NO_KIND)), F.lit("#"), "scan", F.lit("]"))
+    return rows.select("id", "name", F.concat(head, _said(SCAN_DISEASES, "diseases"), _said(CODES, "codes", ")"), _said(SCAN_GRADES, "grades")).alias("fact"))
 
 
 def disease_facts(found: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -58,7 +63,7 @@ def disease_facts(found: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataF
     called = people.join(nodes.where("ntype = 'person'").select(F.col("key").alias("person"), F.col("name").alias("who")), "person").groupBy("name").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("who")).alias("who"))
     codes = _ends(edges, "CODED_AS", "name", "code").groupBy("name").agg(F.array_sort(F.collect_set("code")).alias("codes"))
     rows = asked.join(called, "name").join(codes, "name", "left")
-    return rows.select("id", "name", F.concat("name", F.lit(" — 실데이터 대상자 "), F.col("n").cast("string"), F.lit("명: "), F.array_join("who", ", "), _said(" (KCD ", "codes", ")")).alias("fact"))
+    return rows.select("id", "name", F.concat("name", F.lit(PEOPLE), F.col("n").cast("string"), F.lit(PEOPLE_END), F.array_join("who", ", "), _said(CODES, "codes", ")")).alias("fact"))
 
 
 def code_facts(found: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -68,4 +73,4 @@ def code_facts(found: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFram
     people = _ends(edges, "MENTIONS_KCD", "scan", "name").join(_ends(edges, "HAS_DOC", "person", "scan"), "scan").join(nodes.where("ntype = 'person'").select(F.col("key").alias("person"), F.col("name").alias("who")), "person")
     people = people.groupBy("name").agg(F.array_sort(F.collect_set("who")).alias("who"))
     rows = asked.join(kinds, "name", "left").join(people, "name", "left").where("diseases IS NOT NULL OR who IS NOT NULL")
-    return rows.select("id", "name", F.concat(F.lit("KCD "), "name", F.lit(" — 질환: "), F.coalesce(F.array_join("diseases", ", "), F.lit("?")), _said(" / 대상자: ", "who")).alias("fact"))
+    return rows.select("id", "name", F.concat(F.lit(CODE_HEAD), "name", F.lit(CODE_DISEASES), F.coalesce(F.array_join("diseases", ", "), F.lit("?")), _said(CODE_PEOPLE, "who")).alias("fact"))
