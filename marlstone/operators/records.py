@@ -105,3 +105,48 @@ def agenda_sources(agendas: DataFrame, contents: DataFrame, types: DataFrame) ->
     at = lambda a, b, c: F.when(F.col("c"), a).when(F.col("t"), b).otherwise(c)
     kind: Column = at(F.lit("review_content"), F.lit("review_type"), F.lit("agenda"))
     return rows.select(kind.alias("stype"), at(F.col("content"), F.col("type"), F.col("agenda")).alias("skey"), F.lit("HAS_AGENDA").alias("etype"), F.lit("agenda").alias("dtype"), F.col("agenda").alias("dkey"))
+
+
+def with_profile(rows: DataFrame, key: str, profiles: DataFrame, otherwise: str) -> DataFrame:
+    """rows with the columns of the profile (key: text, ...) that their key, as text, names; those of `otherwise` where it is null or nobody's.
+
+    profiles has one row a key. The key is settled first, so the profile is met by one equality.
+    """
+    known = profiles.select(F.col("key").alias("_known")).distinct()
+    asked = rows.withColumn("_asked", F.col(key).cast("string")).join(known, F.col("_asked") == F.col("_known"), "left")
+    settled = asked.withColumn("_key", F.coalesce("_known", F.lit(otherwise))).drop("_asked", "_known")
+    return settled.join(profiles.withColumnRenamed("key", "_key"), "_key", "left").drop("_key")
+
+
+def listed_items(cases: DataFrame, items: DataFrame, key: str, order: str, *columns: str) -> DataFrame:
+    """cases with an array for each of the items' columns, in the items' order, nulls kept in their places; a case without items has one null
+    in each, as a left join grouped by case gives it. Items are listed before they are joined."""
+    row = F.struct(F.col(order).alias("_order"), *columns)
+    listed = items.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("_items"))
+    none = lambda c: F.array(F.lit(None).cast(items.schema[c].dataType))
+    field = lambda c: F.transform("_items", lambda x: x[c])
+    found = [F.coalesce(field(c), none(c)).alias(c) for c in columns]
+    return cases.join(listed, key, "left").select(*cases.columns, *found)
+
+
+def nested_size(items: Column) -> Column:
+    """How many elements an array of arrays has in all; null arrays have none."""
+    return F.aggregate(F.coalesce(items, F.array()), F.lit(0).cast("long"), lambda total, x: total + F.coalesce(F.size(x), F.lit(0)))
+
+
+def matching_list(rows: DataFrame, said: str | None = None, within: tuple[str, ...] = (), equal: dict | None = None, unanswered: tuple[DataFrame, str] | None = None) -> DataFrame:
+    """A list as its filters show it: a word, in any case, in one of some columns; columns that equal a value; rows whose key (answers, key) has
+    no answer yet. A filter that isn't given, is empty or None shows all."""
+    if said and said.strip():
+        word = F.lit(said.strip().lower())
+        some = F.lit(False)
+        for c in within:
+            some = some | F.coalesce(F.contains(F.lower(F.col(c).cast("string")), word), F.lit(False))
+        rows = rows.where(some)
+    for c, value in (equal or {}).items():
+        if value is not None and value != "":
+            rows = rows.where(F.col(c) == value)
+    if unanswered:
+        answers, key = unanswered
+        rows = rows.join(answers.select(key).distinct(), key, "left_anti")
+    return rows

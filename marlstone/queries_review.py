@@ -507,7 +507,7 @@ def number_sorted(t):
 def nested_totals(t):
     """Items with their records in arrays, added up inside the row."""
     items = t.lineitem.groupBy("l_orderkey", "l_returnflag").agg(F.collect_list("l_linenumber").alias("records")).groupBy("l_orderkey").agg(F.collect_list("records").alias("items"))
-    return items.select("l_orderkey", F.aggregate("items", F.lit(0).cast("long"), lambda a, x: a + F.size(x)).alias("records"), F.size("items").cast("long").alias("items"))
+    return items.select("l_orderkey", records.nested_size(F.col("items")).alias("records"), F.size("items").cast("long").alias("items"))
 
 
 _KW, _SOFT = ("license", "data", "time"), ("the", "der")
@@ -533,9 +533,26 @@ def refined_scans(t):
     return got.select("file_name", "doc_kind", F.col("pages").cast("long").alias("pages"), "raw_text", total(lambda b: b["line"]).alias("lines"), total(lambda b: b["n_fixes"]).alias("fixes"))
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE (contains(lower(c_name), '1') OR contains(c_custkey::VARCHAR, '77')) AND c_mktsegment = 'BUILDING' AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
+@query("SELECT c_custkey, c_name FROM customer WHERE (contains(lower(c_name), '1') OR contains(c_custkey::VARCHAR, '1')) AND c_mktsegment = 'BUILDING' AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
 def list_filters(t):
     """A list as its filters show it: a word in name or number, one kind, and without an answer yet."""
-    said = F.contains(F.lower("c_name"), F.lit("1")) | F.contains(F.col("c_custkey").cast("string"), F.lit("77"))
-    rows = t.customer.where(said & (F.col("c_mktsegment") == "BUILDING"))
-    return rows.join(t.orders.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_name")
+    answered_ = t.orders.where("o_orderstatus = 'F'").withColumnRenamed("o_custkey", "c_custkey")
+    return records.matching_list(t.customer, " 1", ("c_name", "c_custkey"), {"c_mktsegment": "BUILDING", "c_name": ""}, (answered_, "c_custkey")).select("c_custkey", "c_name")
+
+
+@query("SELECT c_custkey, coalesce(r.r_name, f.r_name) AS profile FROM customer LEFT JOIN region r ON r.r_regionkey = CASE WHEN c_custkey % 3 > 0 THEN c_custkey % 8 END, (SELECT r_name FROM region WHERE r_regionkey = 1) f")
+def profile_fallback(t):
+    """Regions as profiles: some customers name one, some one that isn't there, some none."""
+    k = F.col("c_custkey")
+    rows = t.customer.select("c_custkey", F.when(k % 3 > 0, k % 8).alias("sub"))
+    return records.with_profile(rows, "sub", t.region.select(F.col("r_regionkey").cast("string").alias("key"), F.col("r_name").alias("profile")), "1").select("c_custkey", "profile")
+
+
+@query("WITH i AS (SELECT o_custkey AS k, o_orderkey, CASE WHEN o_orderkey % 4 > 0 THEN o_orderstatus END AS code, o_orderpriority FROM orders) SELECT c_custkey AS k, coalesce(string_agg(coalesce(code, '-'), '' ORDER BY o_orderkey), '-') AS codes, count(o_orderkey)::BIGINT AS n, count(code)::BIGINT AS coded, min(o_orderpriority) AS least FROM customer LEFT JOIN i ON k = c_custkey GROUP BY c_custkey")
+def items_listed(t):
+    """Customers as cases with their orders' codes in arrays, of which every fourth is null and keeps its place."""
+    k = F.col("o_orderkey")
+    items = t.orders.select(F.col("o_custkey").alias("k"), "o_orderkey", F.when(k % 4 > 0, F.col("o_orderstatus")).alias("code"), F.col("o_orderpriority").alias("kind"))
+    rows = records.listed_items(t.customer.select(F.col("c_custkey").alias("k")), items, "k", "o_orderkey", "code", "kind")
+    some = lambda c: F.array_compact(c)
+    return rows.select("k", F.array_join("code", "", "-").alias("codes"), F.size(some("kind")).cast("long").alias("n"), F.size(some("code")).cast("long").alias("coded"), F.array_min(some("kind")).alias("least"))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.functions import replies
-from marlstone.operators import assembly, clauses, scans
+from marlstone.operators import assembly, clauses, records, scans
 from marlstone.sources import texts
 
 BLOCKS = f"scan_id long, seq int, title string, line int, excerpt string, fields {scans.FIELDS}, norm {scans.NORM}"
@@ -131,3 +131,22 @@ def test_generators(spark):
     assert [tuple(r) for r in got] == [(1, "e", 1, ["x"], True), (2, "", 1, [], False)]
     a = spark.createDataFrame([("on", "d", ["d"], "see [n p.3]", 1, 4.0), ("on", "d", ["e"], f"x {clauses.NO_EVIDENCE}", 0, 2.0)], "mode string, expected string, sources array<string>, answer string, retries int, score double")
     assert tuple(assembly.answer_quality(a).first()) == ("on", 2, 0.5, 0.5, 0.5, 0.5, 3.0)
+
+
+def test_lists_and_fallbacks(spark):
+    rows = spark.createDataFrame([(1, "2"), (2, None), (3, "9"), (4, "1")], "id long, sub string")
+    profiles = spark.createDataFrame([("1", "first"), ("2", "second")], "key string, name string")
+    assert {r.id: r.name for r in records.with_profile(rows, "sub", profiles, "1").collect()} == {1: "second", 2: "first", 3: "first", 4: "first"}
+    assert {r.name for r in records.with_profile(rows, "sub", profiles, "7").where("id = 3").collect()} == {None}
+    items = spark.createDataFrame([(1, 2, None), (1, 1, "b"), (3, 1, "a")], "id long, at int, code string")
+    assert {r.id: r.code for r in records.listed_items(rows.select("id"), items, "id", "at", "code").collect()} == {1: ["b", None], 2: [None], 3: ["a"], 4: [None]}
+    sizes = spark.createDataFrame([([[1, 2], None, []],), (None,)], "x array<array<int>>").select(records.nested_size(F.col("x"))).collect()
+    assert [r[0] for r in sizes] == [2, 0]
+
+
+def test_list_filters(spark):
+    rows = spark.createDataFrame([(1, "Kim", "a"), (21, "Lee", "b"), (3, None, "a")], "id long, name string, kind string")
+    shown = lambda **k: sorted(r.id for r in records.matching_list(rows, **k).collect())
+    assert shown() == shown(said=" ", equal={"kind": ""}) == [1, 3, 21]
+    assert shown(said="1", within=("id", "name")) == [1, 21] and shown(said="kIM", within=("id", "name")) == [1] and shown(equal={"kind": "a"}) == [1, 3]
+    assert shown(unanswered=(rows.where("id > 2"), "id")) == [1]
