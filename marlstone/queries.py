@@ -323,12 +323,11 @@ def session_append_seq(t):
 
 @query("WITH t AS (SELECT greatest(1, ceil(count(*) / 10))::BIGINT AS pages FROM orders WHERE o_orderstatus = 'P') SELECT o_orderkey, least(greatest(1000, 1), pages)::BIGINT AS page FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS r FROM orders WHERE o_orderstatus = 'P'), t WHERE (r - 1) // 10 + 1 = least(greatest(1000, 1), pages)")
 def page_clamped(t):
-    """The page asked for (1000) is clamped to the last; it is read from the end, so no window sees all rows."""
+    """The page asked for (1000) is clamped to the last; no window sees more rows than the pages up to the one asked for have."""
     rows = t.orders.where("o_orderstatus = 'P'").select("o_orderkey")
-    count = rows.agg(n().alias("k"), F.greatest(F.lit(1), F.ceil(n() / 10)).alias("pages"))
-    last = rows.orderBy(F.desc("o_orderkey")).limit(10).withColumn("back", F.row_number().over(Window.orderBy(F.desc("o_orderkey"))))
-    size = F.col("k") - (F.col("pages") - 1) * 10
-    return last.crossJoin(F.broadcast(count)).where(F.col("back") <= size).select("o_orderkey", F.least(F.lit(1000), F.col("pages")).cast("long").alias("page"))
+    pages = rows.agg(F.least(F.lit(1000), F.greatest(F.lit(1), F.ceil(n() / 10))).cast("long").alias("page"))
+    upto = search.top(rows, 1000 * 10, "o_orderkey")
+    return upto.crossJoin(F.broadcast(pages)).where(F.ceil(F.col("r") / 10) == F.col("page")).select("o_orderkey", "page")
 
 
 # Sinks and state ----------------------------------------------------------------------------------

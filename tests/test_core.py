@@ -194,3 +194,9 @@ def test_queries_meet_all_rows_in_blocks(spark, each):
             want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(near)]
     assert [x[:3] for x in got] == [x[:3] for x in sorted(want)] and all(abs(a[3] - b[3]) < 2e-6 for a, b in zip(got, sorted(want), strict=True))
     assert nearest.nearest(df, asked.where("false"), 7).count() == 0 == nearest.nearest(df.where("false"), asked, 7).count()
+
+
+@pytest.mark.parametrize("rows", [1, 25, 10_000, 10_007, 25_000])
+def test_page_asked_for_is_clamped_only_beyond_the_last(spark, tmp_path, rows):
+    spark.range(rows).select((F.col("id") * 3).alias("o_orderkey"), F.lit("P").alias("o_orderstatus")).write.parquet(f"{tmp_path}/orders.parquet")
+    assert oracle.differences(spark, str(tmp_path), "page_clamped", core.QUERIES, core.ORACLES) is None
