@@ -264,3 +264,15 @@ def test_field_hits(spark):
     found = spark.createDataFrame([(1, "grade", "7급 12"), (1, "disease", "무릎 염좌"), (2, "grade", None)], "block long, field string, value string")
     expected = spark.createDataFrame([(1, "grade", ["7급", "1201"]), (1, "disease", ["허리", "무릎"]), (2, "grade", ["7"]), (3, "disease", ["x"])], "block long, field string, needles array<string>")
     assert sorted(map(tuple, records.field_hits(found, expected).collect())) == [(1, "disease", True), (1, "grade", False), (2, "grade", False), (3, "disease", False)]
+
+
+def test_clauses_are_numbered_once_for_all_cases_of_a_kind(spark):
+    """More cases and clauses than one block of either; nothing is gathered or sorted for a case."""
+    order = spark.range(600).select((F.col("id") % 60).cast("string").alias("rule_no"), F.lit("x").alias("review_content"), F.lit(None).cast("string").alias("target_cond"), F.floor(F.col("id") / 60).cast("string").alias("pair_order"), F.col("id").cast("string").alias("judge_item"), F.lit("r").alias("result"))
+    cases = spark.range(1100).select(F.col("id").alias("case_id"), F.when(F.col("id") < 1099, "x").otherwise("y").alias("review_content"), F.when(F.col("id") % 2 == 0, "").alias("target_cond"))
+    found = rules.applied_clauses(order, cases)
+    got = found.groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "judge_item"))), lambda c: c["judge_item"]).alias("items"), F.max("place").alias("most")).collect()
+    want = [str(pair * 60 + no) for no in range(60) for pair in range(10)]
+    assert sorted(r.case_id for r in got) == list(range(1099)) and all(r["items"] == want and r.most == 600 for r in got)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [case_id" not in plan
