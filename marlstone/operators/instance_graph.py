@@ -36,7 +36,7 @@ def layer(scans: DataFrame, blocks: DataFrame, agendas: DataFrame, rules: DataFr
     of = said.select("sd_id", "doc", "line", F.explode("diseases").alias("disease"))
     coded = said.where("kcd IS NOT NULL").select("sd_id", "kcd", "doc")
     graded = said.where("grade IS NOT NULL").select("sd_id", "grade")
-    per_code = of.select("sd_id", "disease").distinct().join(coded, "sd_id")
+    per_code = of.select("sd_id", "disease").distinct().join(coded.hint("merge"), "sd_id")  # both grow with the scans: neither is for the driver to hold
     kinds = of.select("disease").distinct()
     good, _ = compiled(rules)
     matches = regex_join(kinds.select(F.col("disease").alias("text")), good).withColumnRenamed("text", "disease")
@@ -45,7 +45,7 @@ def layer(scans: DataFrame, blocks: DataFrame, agendas: DataFrame, rules: DataFr
         node(scans, "scan_doc", "sd_id", "title"), node(scans, "person", "owner", "person"), node(scans, "hospital", "hospital", "hospital"), node(kinds, "disease", "disease", "disease"),
         node(coded, "kcd", "kcd", "kcd"), node(graded, "grade", "grade", "grade"), node(agendas, "grade_agenda", "ga_id", "agenda_no"),
     )
-    given = scans.join(agendas.select("ga_id"), "ga_id", "left_semi")
+    given = scans.join(agendas.select("ga_id").hint("merge"), "ga_id", "left_semi")
     parts = [
         (scans, "HAS_DOC", ("person", "owner"), ("scan_doc", "sd_id")), (scans.withColumn("hospital", filled("hospital")), "ISSUED_BY", ("scan_doc", "sd_id"), ("hospital", "hospital")),
         (of, "MENTIONS", ("scan_doc", "sd_id"), ("disease", "disease")), (matches, "MATCHES_RULE", ("disease", "disease"), ("jr_disease", "pattern")),

@@ -276,3 +276,13 @@ def test_clauses_are_numbered_once_for_all_cases_of_a_kind(spark):
     assert sorted(r.case_id for r in got) == list(range(1099)) and all(r["items"] == want and r.most == 600 for r in got)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [case_id" not in plan
+
+
+def test_entities_leave_questions_and_nodes_to_the_executors(spark):
+    """Both grow; neither the questions' letters nor the nodes are a table that the driver would have to hold."""
+    nodes = spark.createDataFrame([("person", "p", "김철수"), ("disease", "허리", "허리"), ("disease", "목 통증", "목 통증"), ("disease", "x", "x")], "ntype string, key string, name string")
+    texts = ["김철수 허리와 목 통증", "허리", None, "", "ax", "허리"]
+    found = graph_facts.entities(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), nodes)
+    want = {(0, "person", "김철수"), (0, "disease", "허리"), (0, "disease", "목 통증"), (1, "disease", "허리"), (4, "disease", "x"), (5, "disease", "허리")}
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
