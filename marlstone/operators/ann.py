@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cosine
@@ -16,6 +16,12 @@ from .nearest import directed, matrix, meet, nearest
 SAMPLE, TRIED, MOST_CELLS = 65_536, 256, 4096
 #: Codes have four bits a number and span so many standard deviations on either side.
 LEVELS, SPAN = 16, 2.5
+_SETTINGS = "spread array<double>, probes int, recall double"
+
+
+def _by_hash() -> list[Column]:
+    """An order of vectors that has nothing to do with what they hold."""
+    return [F.xxhash64("vec_id"), F.col("vec_id")]
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -59,12 +65,13 @@ class VectorIndex:
         rows = sorted(spark.read.parquet(f"{at}/centers").collect())
         self.centers = np.array([r.center for r in rows])
         held = spark.read.parquet(f"{at}/settings").first()
-        self.spread, self.probes = np.array(held.spread), held.probes
+        self.spread, self.probes, self.recall = np.array(held.spread), held.probes, held.recall
 
     @classmethod
     def build(cls, vectors: DataFrame, at: str, cells: int | None = None, sample: int = SAMPLE, rounds: int = 8, recall: float = 0.95) -> VectorIndex:
-        """Learn centres on at most `sample` vectors (those with the smallest hashes of their ids), store all vectors, and choose the
-        fewest probes that find `recall` of the ten nearest of up to TRIED of the sample.
+        """Learn centres on at most `sample` vectors (by the smallest hashes of their ids, after those that are tried), store all vectors,
+        and choose the fewest probes that find `recall` of the ten nearest of the TRIED with the smallest hashes (at most a quarter of
+        the vectors). No centre is learned on a vector that is tried, as none is on a question.
 
         The number of cells is the root of the number of vectors unless given. Each round's assignment is a Spark job over the
         written sample, of which sums by cell come back. No vectors make an index of one cell that finds nothing.
@@ -72,24 +79,30 @@ class VectorIndex:
         spark, some = vectors.sparkSession, vectors.where(directed("embedding")).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
         n = some.count()
         cells = min(MOST_CELLS, max(1, cells or round(n**0.5)), max(n, 1))
-        some.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).write.parquet(f"{at}/sample")
+        tried = min(TRIED, n // 4) if n > 10 else 0
+        some.orderBy(*_by_hash()).limit(tried).write.parquet(f"{at}/tried")
+        some.orderBy(*_by_hash()).offset(tried).limit(sample).write.parquet(f"{at}/sample")
         learned = spark.read.parquet(f"{at}/sample")
-        first = learned.orderBy(F.xxhash64("vec_id"), "vec_id").limit(cells).collect()
+        first = learned.orderBy(*_by_hash()).limit(cells).collect()
         centers = _unit(np.array([r.embedding for r in first])) if first else np.zeros((1, 1))
         spread = np.ones(centers.shape[1])
         for _ in range(rounds if n else 0):
             centers, spread = _round(learned, centers)
-        settings = lambda probes: spark.createDataFrame([(spread.tolist(), probes)], "spread array<double>, probes int").coalesce(1).write.mode("overwrite").parquet(f"{at}/settings")
         spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centers)], "cell int, center array<double>").coalesce(1).write.parquet(f"{at}/centers")
-        settings(len(centers))
+        spark.createDataFrame([(spread.tolist(), len(centers), recall)], _SETTINGS).coalesce(1).write.parquet(f"{at}/settings")
         index = cls(spark, at)
-        index.add(some)
-        if n > 10:
-            settings(index._probes_for(learned.limit(TRIED), recall))
-        return cls(spark, at)
+        index._store(some)
+        index._choose()
+        return index
 
     def add(self, vectors: DataFrame) -> None:
-        """More vectors, to the same centres. What was stored stays as it is."""
+        """More vectors, to the same centres. What was stored stays as it is; the probes are chosen again, since there is more to find."""
+        rows = vectors.where(directed("embedding")).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+        rows.orderBy(*_by_hash()).limit(TRIED).write.mode("append").parquet(f"{self.at}/tried")
+        self._store(rows)
+        self._choose()
+
+    def _store(self, vectors: DataFrame) -> None:
         centers, spread = self.centers, self.spread
 
         def run(batches: Iterator[pa.RecordBatch]):
@@ -159,6 +172,12 @@ class VectorIndex:
         order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
         return ranked.withColumn("r", F.row_number().over(order).cast("long")).where(F.col("r") <= k)
 
+    def _choose(self) -> None:
+        """Probes by the TRIED of all stored vectors whose ids have the smallest hashes."""
+        tried = self.spark.read.schema("vec_id long, embedding array<double>").parquet(f"{self.at}/tried").orderBy(*_by_hash()).limit(TRIED)
+        self.probes = self._probes_for(tried, self.recall)
+        self.spark.createDataFrame([(self.spread.tolist(), self.probes, self.recall)], _SETTINGS).coalesce(1).write.mode("overwrite").parquet(f"{self.at}/settings")
+
     def _probes_for(self, tried: DataFrame, recall: float) -> int:
         """The fewest cells, by nearness to a vector, that hold `recall` of its ten nearest others."""
         asked = tried.withColumnRenamed("vec_id", "query_id")

@@ -131,3 +131,17 @@ def test_a_slow_statement_is_refused(spark):
         guard.rows(spark, "SELECT sum(x) AS s FROM v", {"v": slow}, seconds=1.5)
     assert time.time() - start < 15
     assert guard.rows(spark, "SELECT sum(x) AS s FROM v", {"v": spark.range(5).withColumnRenamed("id", "x")})[0].s == 10
+
+
+def test_probes_are_chosen_on_vectors_that_no_centre_was_learned_on(spark, tmp_path):
+    """Of all that is stored: those added later are tried too, and raise the probes if their neighbours lie farther."""
+    r = np.random.default_rng(3)
+    tight = np.repeat(r.normal(0, 1, (12, 16)), 50, 0) + r.normal(0, 0.01, (600, 16))
+    data = [(i, v.tolist()) for i, v in enumerate(np.vstack([tight, r.normal(0, 1, (2400, 16))]))]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    at = str(tmp_path / "i")
+    index = ann.VectorIndex.build(df.where("vec_id < 600"), at)
+    before, ids = index.probes, lambda what: {x.vec_id for x in spark.read.parquet(f"{at}/{what}").collect()}
+    assert len(ids("tried")) == 150 and not ids("tried") & ids("sample") and len(ids("sample")) == 450
+    index.add(df.where("vec_id >= 600"))
+    assert before < index.probes == ann.VectorIndex(spark, at).probes
