@@ -163,13 +163,18 @@ class VectorIndex:
         """query_id, vec_id, similarity, r: about the k nearest of each query, by cosine. The best rerank * k by codes are compared exactly.
 
         probes: the cells read for a query, chosen when the index was built unless given; with all cells and rerank * k of all
-        vectors the result is exact.
+        vectors the result is exact. Then neither cells nor codes leave any vector out, so blocks of stored vectors meet the
+        queries as they are and keep the k best of each: no list of all pairs is made.
         """
-        best = self.candidates(queries, rerank * k, min(probes or self.probes, len(self.centers)))
+        probes = min(probes or self.probes, len(self.centers))
+        order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
+        if probes == len(self.centers) and rerank * k >= self.vectors().count():
+            ranked = nearest(self.vectors("embedding"), queries, k)
+            return ranked.withColumn("r", F.row_number().over(order).cast("long")).where(F.col("r") <= k)
+        best = self.candidates(queries, rerank * k, probes)
         asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("q"))
         exact = best.join(self.vectors("embedding"), ["cell", "vec_id"]).join(asked, "query_id")
         ranked = exact.select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("similarity"))
-        order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
         return ranked.withColumn("r", F.row_number().over(order).cast("long")).where(F.col("r") <= k)
 
     def _choose(self) -> None:

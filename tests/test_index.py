@@ -145,3 +145,12 @@ def test_probes_are_chosen_on_vectors_that_no_centre_was_learned_on(spark, tmp_p
     assert len(ids("tried")) == 150 and not ids("tried") & ids("sample") and len(ids("sample")) == 450
     index.add(df.where("vec_id >= 600"))
     assert before < index.probes == ann.VectorIndex(spark, at).probes
+
+
+def test_a_search_of_everything_lists_no_pairs(spark, tmp_path):
+    vectors = spark.read.parquet(f"{AT}/embeddings.parquet").select("vec_id", "embedding").where("vec_id < 300")
+    index = ann.VectorIndex.build(vectors, str(tmp_path / "i"))
+    asked = vectors.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    found = index.search(asked, 3, probes=len(index.centers), rerank=100)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, search.knn_multi(vectors, asked, 3).collect()))
