@@ -61,26 +61,40 @@ def similar_cases(queries: DataFrame, cases: DataFrame, most: int = 5) -> DataFr
     """The nearest cases of each query, those of its body part first: id, r, case_id, grade, similarity.
 
     queries: id, body_part, embedding; cases: case_id, body_part, grade, embedding. As in the order of booleans with nulls first,
-    a case without body part comes before all others. Cosines are matrix products of blocks, each of which keeps its best
+    a case without body part comes before all others. Only cases that may come among the first `most` are met: where enough have no body part, those;
+    where a query's own part has enough with them, these two; else all. Cosines are matrix products of blocks, each of which keeps its best
     `most` of a query; a vector without a direction finds nothing and isn't found. The frames are counted when this one is built.
     """
-
-    def run(r: pa.Table, q: pa.Table) -> pa.Table:
-        near = np.round(cosines(matrix(q["embedding"]), matrix(r["embedding"])), 4)
-        part, grade = np.array(r["body_part"].to_pylist(), object), np.array(r["grade"].to_pylist(), object)
-        ids, none = r["case_id"].to_numpy(), np.equal(part, None)
-        out = []
-        for s, own in zip(near, q["body_part"].to_pylist(), strict=True):
-            first = np.where(none, 2, np.equal(part, own or "").astype(int))
-            best = first_of([-first, -s, ids], most)
-            out.append((first[best], ids[best], best, s[best]))
-        size = [len(x[0]) for x in out]
-        flat = lambda i, kind: np.concatenate([x[i] for x in out]) if out else np.zeros(0, kind)
-        return pa.table({"id": pa.array(np.repeat(q["id"].to_numpy(), size)), "first": pa.array(flat(0, np.int64)), "case_id": pa.array(flat(1, np.int64)), "grade": pa.array(grade[flat(2, np.int64)], pa.string()), "similarity": pa.array(flat(3, np.float64))})
-
-    asked = queries.where(directed("embedding")).select(F.col("id").cast("long"), "body_part", "embedding")
-    known = cases.where(directed("embedding")).select(F.col("case_id").cast("long"), "body_part", "grade", "embedding")
-    rows = meet(known, F.col("case_id"), asked, F.col("id"), run, "id long, first long, case_id long, grade string, similarity double")
+    schema = "id long, first long, case_id long, grade string, similarity double"
+
+    def met(known: DataFrame, asked: DataFrame, tier: int | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+        """The best of each block; tier: what comes first is the same for all its cases and queries."""
+
+        def run(r: pa.Table, q: pa.Table) -> pa.Table:
+            near = np.round(cosines(matrix(q["embedding"]), matrix(r["embedding"])), 4)
+            part, grade = np.array(r["part"].to_pylist(), object), np.array(r["grade"].to_pylist(), object)
+            ids, none = r["case_id"].to_numpy(), np.equal(part, None)
+            out = []
+            for s, own in zip(near, q["part"].to_pylist(), strict=True):
+                first = np.where(none, 2, np.equal(part, own).astype(int)) if tier is None else None
+                best = first_of([-s, ids] if tier is not None else [-first, -s, ids], most)
+                out.append((first[best] if tier is None else np.full(len(best), tier), ids[best], best, s[best]))
+            size = [len(x[0]) for x in out]
+            flat = lambda i, kind: np.concatenate([x[i] for x in out]) if out else np.zeros(0, kind)
+            return pa.table({"id": pa.array(np.repeat(q["id"].to_numpy(), size)), "first": pa.array(flat(0, np.int64)), "case_id": pa.array(flat(1, np.int64)), "grade": pa.array(grade[flat(2, np.int64)], pa.string()), "similarity": pa.array(flat(3, np.float64))})
+
+        return meet(known, F.col("case_id"), asked, F.col("id"), run, schema, keys=keys)
+
+    asked = queries.where(directed("embedding")).select(F.col("id").cast("long"), F.coalesce("body_part", F.lit("")).alias("part"), "embedding")
+    known = cases.where(directed("embedding")).select(F.col("case_id").cast("long"), F.col("body_part").alias("part"), "grade", "embedding")
+    bare, named = known.where("part IS NULL"), known.where("part IS NOT NULL")
+    lacking = most - bare.count()
+    if lacking <= 0:
+        rows = met(bare, asked, 2)
+    else:
+        full = named.groupBy("part").count().where(F.col("count") >= lacking).select("part")
+        own, rest = asked.join(full, "part", "left_semi"), asked.join(full, "part", "left_anti")
+        rows = met(bare, own, 2).unionByName(met(named, own, 1, ("part",))).unionByName(met(known, rest))
     order = Window.partitionBy("id").orderBy(F.desc("first"), F.desc("similarity"), "case_id")
     return rows.withColumn("r", F.row_number().over(order).cast("long")).where(F.col("r") <= most).select("id", "r", "case_id", "grade", "similarity")
 

@@ -3,6 +3,7 @@
 import datetime
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -286,3 +287,19 @@ def test_entities_leave_questions_and_nodes_to_the_executors(spark):
     want = {(0, "person", "김철수"), (0, "disease", "허리"), (0, "disease", "목 통증"), (1, "disease", "허리"), (4, "disease", "x"), (5, "disease", "허리")}
     assert sorted(map(tuple, found.collect())) == sorted(want)
     assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("bare", [0, 2, 4, 9])
+def test_similar_cases_meet_only_cases_that_may_come_first(spark, bare):
+    """Many, few or no cases without a body part; parts with many cases, with one, with none."""
+    r = np.random.default_rng(bare)
+    cases = [(i, None if i < bare else ["a", "a", "a", "", "b"][i % 5] if i < 40 else "a", f"g{i % 3}", r.normal(0, 1, 4).tolist()) for i in range(60)] + [(99, "a", "g", None)]
+    asked = [(i, ["a", "b", "c", None, ""][i % 5], r.normal(0, 1, 4).tolist()) for i in range(20)] + [(50, "a", [0.0] * 4)]
+    found = prediction.similar_cases(spark.createDataFrame(asked, "id long, body_part string, embedding array<double>"), spark.createDataFrame(cases, "case_id long, body_part string, grade string, embedding array<double>"), 5)
+    cos = lambda a, b: round(float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)), 4)
+    want = []
+    for q, own, v in asked[:-1]:
+        ranked = sorted((-(2 if p is None else int(p == (own or ""))), -cos(v, e), c, g) for c, p, g, e in cases[:-1])[:5]
+        want += [(q, i, c, g, -s) for i, (_, s, c, g) in enumerate(ranked, 1)]
+    assert sorted(map(tuple, found.collect())) == want
+    assert ("CoGroups" in (plan := found._jdf.queryExecution().optimizedPlan().toString())) and ((plan.count("CoGroups") == 1 and "isnull(body_part" in plan) == (bare > 5))
