@@ -9,6 +9,7 @@ from ..functions.replies import diseases, grade
 from . import graph
 from .matching import regex_join
 from .rules import compiled
+from .shared import fresh_dir, written
 
 
 def mentions(blocks: DataFrame) -> DataFrame:
@@ -27,9 +28,9 @@ def layer(scans: DataFrame, blocks: DataFrame, agendas: DataFrame, rules: DataFr
     """Nodes (ntype, key, name) and edges (stype, skey, etype, dtype, dkey) of the scans.
 
     scans: sd_id, person, reg_no, hospital, doc_kind, ga_id; agendas: ga_id, agenda_no; rules: pattern (those that can't be
-    compiled are left out; they are read when this is called). Codes of a scan meet its diseases by sd_id, each pair once.
+    compiled are left out; they are read when this is called). What blocks say is worked out once and written when this is called. Codes of a scan meet its diseases by sd_id, each pair once.
     """
-    said = mentions(blocks)
+    said = written(mentions(blocks), fresh_dir(blocks.sparkSession, "mentions"))  # five kinds of edges and nodes read it
     filled = lambda c: F.nullif(F.col(c), F.lit(""))
     owner = F.when(filled("person").isNotNull(), F.concat("person", F.lit(":"), F.coalesce("reg_no", F.lit(""))))
     scans = scans.select("*", owner.alias("owner"), F.trim(F.concat(F.coalesce(filled("person"), F.lit("미상")), F.lit(" "), F.coalesce("doc_kind", F.lit("")))).alias("title"))

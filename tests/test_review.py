@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.functions import replies, text as tx
-from marlstone.operators import clauses, graph_facts, prediction, questions, records, rules, state
+from marlstone.operators import clauses, graph_facts, instance_graph, prediction, questions, records, rules, state
 from marlstone.sources import tables
 
 
@@ -303,3 +303,12 @@ def test_similar_cases_meet_only_cases_that_may_come_first(spark, bare):
         want += [(q, i, c, g, -s) for i, (_, s, c, g) in enumerate(ranked, 1)]
     assert sorted(map(tuple, found.collect())) == want
     assert ("CoGroups" in (plan := found._jdf.queryExecution().optimizedPlan().toString())) and ((plan.count("CoGroups") == 1 and "isnull(body_part" in plan) == (bare > 5))
+
+
+def test_what_blocks_say_is_worked_out_once(spark):
+    blocks = spark.createDataFrame([(1, "t", 1, ("무릎 염좌", "3 급", "M1"), (None, None, "rule"))], "sd_id long, doc string, line int, fields struct<disease: string, grade: string, kcd: string>, norm struct<disease: string, grade: string, source: string>")
+    scans = spark.createDataFrame([(1, "p", None, None, "k", 1)], "sd_id long, person string, reg_no string, hospital string, doc_kind string, ga_id long")
+    agendas, asked = spark.createDataFrame([], "ga_id long, agenda_no string"), spark.createDataFrame([("무릎",)], "pattern string")
+    edges = instance_graph.layer(scans, blocks, agendas, asked)[1]
+    assert "regexp_replace" not in edges._jdf.queryExecution().optimizedPlan().toString()
+    assert {(e.etype, e.skey, e.dkey) for e in edges.collect()} == {("HAS_DOC", "p:", "1"), ("MENTIONS", "1", "무릎 염좌"), ("MATCHES_RULE", "무릎 염좌", "무릎"), ("MENTIONS_KCD", "1", "M1"), ("CODED_AS", "무릎 염좌", "M1"), ("ASSIGNS_GRADE", "1", "3급")}
