@@ -71,10 +71,10 @@ def disease_facts(found: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataF
     What is said of a disease is put together once, then meets the questions that name it.
     """
     asked = found.where("kind = 'disease'").select("id", "name")
-    people = _grown(_ends(edges, "MENTIONS", "scan", "name").join(asked.select("name").distinct(), "name"), _ends(edges, "HAS_DOC", "person", "scan"), "scan").select("name", "person").distinct()
-    called = people.join(nodes.where("ntype = 'person'").select(F.col("key").alias("person"), F.col("name").alias("who")), "person").groupBy("name").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("who")).alias("who"))
+    people = _grown(_grown(_ends(edges, "MENTIONS", "scan", "name"), asked.select("name").distinct(), "name"), _ends(edges, "HAS_DOC", "person", "scan"), "scan").select("name", "person").distinct()
+    called = _grown(people, nodes.where("ntype = 'person'").select(F.col("key").alias("person"), F.col("name").alias("who")), "person").groupBy("name").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("who")).alias("who"))
     codes = _ends(edges, "CODED_AS", "name", "code").groupBy("name").agg(F.array_sort(F.collect_set("code")).alias("codes"))
-    said = called.join(codes, "name", "left").select("name", F.concat("name", F.lit(PEOPLE), F.col("n").cast("string"), F.lit(PEOPLE_END), F.array_join("who", ", "), _said(CODES, "codes", ")")).alias("fact"))
+    said = _grown(called, codes, "name", "left").select("name", F.concat("name", F.lit(PEOPLE), F.col("n").cast("string"), F.lit(PEOPLE_END), F.array_join("who", ", "), _said(CODES, "codes", ")")).alias("fact"))
     return _grown(asked, said, "name").select("id", "name", "fact")
 
 
