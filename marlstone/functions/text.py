@@ -26,7 +26,7 @@ def chunks(text: Column, size: int = CHUNK, overlap: int = OVERLAP) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters, digits and hyphens with at least one letter or digit."""
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}\-]+"), 0), lambda t: t.rlike(r"[\p{L}\p{N}]"))
+    return F.regexp_extract_all(F.lower(text), F.lit(r"(?<!-)-*+[\p{L}\p{N}][\p{L}\p{N}\-]*+"), 0)
 
 
 def or_terms(query: Column) -> Column:

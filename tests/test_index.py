@@ -154,3 +154,20 @@ def test_a_search_of_everything_lists_no_pairs(spark, tmp_path):
     found = index.search(asked, 3, probes=len(index.centers), rerank=100)
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, search.knn_multi(vectors, asked, 3).collect()))
+
+
+def test_a_block_meets_its_questions_once(spark, tmp_path):
+    """Postings are shuffled once for all questions of a block, not once for each of them; ids and terms of all kinds are found as by a scan."""
+    rows = [(k * 10**15 - 3 * 10**17, " ".join(f"w{j}" for j in range(k % 7, 40)) + " --w1 -- --- élan-Vital 東京 x-" * (k % 5)) for k in range(600)]
+    docs = spark.createDataFrame([*rows, (None, "w1 w2"), (7, None), (8, "-- -")], "doc_id long, text string").cache()
+    index = Postings.build(docs, str(tmp_path / "p"))
+    few, many = ([(q, f"w{q % 40} w{(q + 5) % 40} w39 élan-vital 東京 --w1") for q in range(n)] for n in (2, 60))
+    for asked in (few, many):
+        questions = spark.createDataFrame(asked, "query_id long, text string")
+        hits, _ = index.search(questions, 4)
+        terms = questions.select("query_id", F.split(F.lower("text"), " ").alias("terms"))
+        want = search.top_each(search.lexical_multi(docs.where("doc_id IS NOT NULL"), terms), 4, F.desc("score"), "doc_id")
+        columns = ["query_id", "r", "doc_id", "score"]
+        assert sorted(map(tuple, hits.select(*columns).collect())) == sorted(map(tuple, want.select(*columns).collect()))
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" not in plan and "FlatMapCoGroupsInArrow" in plan
