@@ -42,6 +42,20 @@ def test_contains_join(spark):
     assert matching.contains_join(df.select("id", "text"), known.where("false")).count() == 0
 
 
+def test_names_meet_texts_in_place_or_by_shuffle(spark):
+    """Few names go to the texts: neither their grams nor they are shuffled; beyond the limit the result is the same."""
+    r = random.Random(3)
+    word = lambda n: "".join(r.choice("ab é가나😀") for _ in range(n))
+    names = sorted({word(r.randrange(1, 9)) for _ in range(90)})
+    texts = [(i, word(r.randrange(0, 60))) for i in range(700)] + [(900, None)]
+    df, known = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame([(x,) for x in names], "name string")
+    want = sorted((i, x) for i, t in texts if t for x in names if x in t)
+    few, many = matching.contains_join(df, known), matching.contains_join(df, known, letters=0)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) == want
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+
+
 def test_regex_join(spark):
     texts = ["무릎 염좌", "허리", "목", "12급 x", "", None, "무릎 염좌", "a.b", "axb"]
     patterns = ["무릎|허리", "목$", r"\d+급", ".", "(?i)A", r"a\.b", "zz"]
