@@ -76,7 +76,8 @@ def _met_in_place(texts: DataFrame, names: list[str], gram: int) -> DataFrame:
     often = dict(texts.select("text").mapInArrow(count, "slot long, times long").groupBy("slot").agg(F.sum("times")).collect())
     filed = defaultdict(list)
     for n in names:
-        filed[min(of[n].tolist(), key=lambda x: (often.get(x, 0), x))].append(n)
+        slot = min(of[n].tolist(), key=lambda x: (often.get(x, 0), x))
+        filed[slot].append((n, int(np.flatnonzero(_slots(n, size(n), bits) == slot)[0])))
     held = np.zeros(1 << bits, bool)
     held[list(filed)] = True
     sent_filed = spark.sparkContext.broadcast((dict(filed), held))
@@ -85,12 +86,16 @@ def _met_in_place(texts: DataFrame, names: list[str], gram: int) -> DataFrame:
         named, held = sent_filed.value
         for part in slices(batches):
             lines = part.column(1).to_pylist()
-            ends, whole, pairs = np.cumsum([len(x) for x in lines]), "".join(lines), np.zeros(0, np.int64)
+            ends, whole, met = np.cumsum([len(x) for x in lines]), "".join(lines), set()
             for s in sizes:
                 found = _slots(whole, s, bits)
                 at = np.flatnonzero(held[found])
-                pairs = np.union1d(pairs, np.searchsorted(ends, at, "right") << bits | found[at])
-            met = [(i, n) for i, slot in zip((pairs >> bits).tolist(), (pairs & ((1 << bits) - 1)).tolist(), strict=True) for n in named[slot] if n in lines[i]]
+                row = np.searchsorted(ends, at, "right")
+                # A name is compared where its piece is found, in the text that the piece begins in.
+                for p, i, slot, end in zip(at.tolist(), row.tolist(), found[at].tolist(), ends[row].tolist(), strict=True):
+                    for n, before in named[slot]:
+                        if p - before >= end - len(lines[i]) and whole.startswith(n, p - before, end):
+                            met.add((i, n))
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array([i for i, _ in met], pa.int64())), pa.array([n for _, n in met], pa.string())], ["id", "name"])
 
     return texts.select("id", "text").mapInArrow(meet, f"id {texts.schema['id'].dataType.simpleString()}, name string")
