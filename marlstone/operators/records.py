@@ -79,9 +79,12 @@ def register(cases: DataFrame, items: DataFrame, records: DataFrame, officials:
         both = both.unionByName(p)
     key = ["app_id", "item", "kind", "title"]
     rest = F.struct("note", "file_name", "file_path", "is_final", "dis_id")
-    new = both.withColumn("item", F.coalesce("dis_id", F.lit(0))).groupBy(*key).agg(F.min(rest).alias("r"))
+    rows = both.select("app_id", F.coalesce("dis_id", F.lit(0)).alias("item"), "kind", "title", rest.alias("r"))
     if held is not None:
-        new = new_only(new, held.select("app_id", F.coalesce("dis_id", F.lit(0)).alias("item"), "kind", "title"), key)
+        old = held.select(F.col("app_id").cast("long").alias("app_id"), F.coalesce("dis_id", F.lit(0)).cast("long").alias("item"), "kind", "title", F.lit(None).cast(rows.schema["r"].dataType).alias("r"))
+        rows = rows.unionByName(old)
+    # Rows go to their case once: whatever is held of a key stands beside what is new.
+    new = rows.repartition("app_id").groupBy(*key).agg(F.min("r").alias("r"), F.bool_or(F.col("r").isNull()).alias("held")).where("NOT held")
     return new.select("app_id", "r.dis_id", "kind", "title", "r.note", "r.file_name", "r.file_path", "r.is_final")
 
 

@@ -377,7 +377,7 @@ def file_register_sources(t):
     """Every order as a case, with files from five sources; of every tenth one file is held already."""
     none = F.lit(None).cast("string")
     cases = t.orders.withColumnRenamed("o_orderkey", "app_id")
-    lines = t.lineitem.select(F.col("l_orderkey").alias("app_id"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("dis_id"), "l_returnflag", "l_linestatus", "l_shipdate").distinct()
+    lines = t.lineitem.select(F.col("l_orderkey").alias("app_id"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("dis_id"), "l_returnflag", "l_linestatus", "l_shipdate").repartition("dis_id").distinct()  # what follows goes by dis_id
     items = lines.select("app_id", "dis_id", F.col("l_returnflag").alias("name"))
     medical = lines.select("dis_id", F.lit("h").alias("hospital"), F.when(F.col("l_linestatus") == "F", "영상").otherwise("외래").alias("rec_type"), F.when(F.col("l_returnflag") != "A", F.col("l_shipdate").cast("date")).alias("rec_date"), none.alias("diagnosis"), F.lit("f").alias("finding"))
     officials = cases.select("app_id", F.lit(None).alias("dis_id"), F.col("o_orderstatus").alias("doc_kind"), none.alias("doc_date"), F.col("o_orderpriority").alias("issuer"), F.lit("c").alias("content"))

@@ -150,3 +150,18 @@ def test_list_filters(spark):
     assert shown() == shown(said=" ", equal={"kind": ""}) == [1, 3, 21]
     assert shown(said="1", within=("id", "name")) == [1, 21] and shown(said="kIM", within=("id", "name")) == [1] and shown(equal={"kind": "a"}) == [1, 3]
     assert shown(unanswered=(rows.where("id > 2"), "id")) == [1]
+
+
+def test_what_is_held_is_left_out_in_one_exchange(spark):
+    """Held files (by case, item, none or 0, kind and title) stay as they are; new and held ones go to their case together, without a join of theirs."""
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    cases, items = df([(1,), (2,)], "app_id long"), df([(1, 10, "knee"), (2, 20, None)], "app_id long, dis_id long, name string")
+    found = df([(10, "h", "x", "2020-01-01", None, "f"), (10, "h", "x", "2020-01-01", "d", "f")], "dis_id long, hospital string, rec_type string, rec_date string, diagnosis string, finding string")
+    none = lambda schema: df([], schema)
+    officials, scans = none("app_id long, dis_id long, doc_kind string, doc_date string, issuer string, content string"), none("app_id long, doc_kind string, file_name string, orig_path string")
+    held = df([(1, None, records.SERVICE, records.SERVICE_TITLE), (2, 20, records.FACTS, records.FACTS_TITLE), (9, 1, "x", "y"), (1, None, records.FACTS, records.FACTS_TITLE + "knee")], "app_id long, dis_id long, kind string, title string")
+    got = records.register(cases, items, found, officials, scans, held)
+    rows = sorted((r.app_id, r.dis_id or 0, r.kind, r.note) for r in got.collect())
+    assert rows == sorted([(1, 0, records.APPLICATION, None), (2, 0, records.APPLICATION, None), (2, 0, records.SERVICE, None), (1, 10, records.FACTS, None), (1, 10, records.MEDICAL, "d")])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan and plan.count("Join") == 1
