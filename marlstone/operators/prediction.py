@@ -11,6 +11,8 @@ from .nearest import cosines, directed, first_of, matrix, meet
 
 # Criteria looked at, what is said of a grade and of the change of one.
 CRITERIA = 6
+#: Queries whose scores against a block of criteria are held at once.
+ASKED = 64
 RATIONALE = "인정 상이처 '%s'에 대하여 제출된 진단서, 해당 진료과목 전문의의 신체검사 소견을 종합하여 살펴보건대, 이는 「국가유공자 등 예우 및 지원에 관한 법률 시행령」 [별표3] 상이등급구분표 %s호 \"%s\"에 부합하는 것으로 판단되어 상이등급 '%s %s호'에 해당함."
 BELOW, RAISED, UP, DOWN, KEEP = "등급기준미달", "승급(기준미달→등급)", "승급", "하향", "직전등급 유지"
 NO_GRADE = 99
@@ -36,21 +38,25 @@ def score_criteria(queries: DataFrame, criteria: DataFrame, most: int = CRITERIA
     known = criteria.where(directed("embedding")).select(F.col("class_no").cast("long"), "grade", "body_part", "description", "embedding")
 
     def run(r: pa.Table, q: pa.Table) -> pa.Table:
-        near = cosines(matrix(q["embedding"]), matrix(r["embedding"]))
+        vectors, against = matrix(q["embedding"]), matrix(r["embedding"])
         texts, spoken = [t or "" for t in r["description"].to_pylist()], q["words"].to_pylist()
         different = sorted({w for x in spoken for w in x})
         place = {w: i for i, w in enumerate(different)}
-        asks = np.zeros((len(spoken), len(different)))
-        for i, x in enumerate(spoken):
-            asks[i, [place[w] for w in x]] = [len(w) for w in x]
         held = np.array([[w in t for t in texts] for w in different], float).reshape(len(different), len(texts))
-        found = np.round(asks @ held + near, 4)
         class_no, grade, text = (np.array(r[c].to_pylist(), kind) for c, kind in (("class_no", np.int64), ("grade", object), ("description", object)))
         ties = [class_no, *(np.unique([v or "" for v in c], return_inverse=True)[1] if len(c) else np.zeros(0, int) for c in (grade, text))]
-        best = [first_of([-s, *ties], most) for s in found]
+        best, scores = [], []
+        for a in range(0, len(spoken), ASKED):  # the scores of a few queries are held at once
+            few = spoken[a : a + ASKED]
+            asks = np.zeros((len(few), len(different)))
+            for i, x in enumerate(few):
+                asks[i, [place[w] for w in x]] = [len(w) for w in x]
+            for s in np.round(asks @ held + cosines(vectors[a : a + ASKED], against), 4):
+                best.append(first_of([-s, *ties], most))
+                scores.append(s[best[-1]])
         at = np.concatenate(best) if best else np.zeros(0, int)
         by = np.repeat(np.arange(len(best)), [len(x) for x in best])
-        return pa.table({"id": pa.array(q["id"].to_numpy()[by]), "class_no": pa.array(class_no[at]), "grade": pa.array(grade[at], pa.string()), "description": pa.array(text[at], pa.string()), "similarity": pa.array(found[by, at] if len(at) else np.zeros(0))})
+        return pa.table({"id": pa.array(q["id"].to_numpy()[by]), "class_no": pa.array(class_no[at]), "grade": pa.array(grade[at], pa.string()), "description": pa.array(text[at], pa.string()), "similarity": pa.array(np.concatenate(scores) if scores else np.zeros(0))})
 
     rows = meet(known, F.struct("class_no", "description"), asked, F.col("id"), run, "id long, class_no long, grade string, description string, similarity double", keys=["body_part"])
     order = Window.partitionBy("id").orderBy(F.desc("similarity"), "class_no", "grade", "description")

@@ -2,8 +2,10 @@
 
 import datetime
 import json
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -312,3 +314,20 @@ def test_what_blocks_say_is_worked_out_once(spark):
     edges = instance_graph.layer(scans, blocks, agendas, asked)[1]
     assert "regexp_replace" not in edges._jdf.queryExecution().optimizedPlan().toString()
     assert {(e.etype, e.skey, e.dkey) for e in edges.collect()} == {("HAS_DOC", "p:", "1"), ("MENTIONS", "1", "무릎 염좌"), ("MATCHES_RULE", "무릎 염좌", "무릎"), ("MENTIONS_KCD", "1", "M1"), ("CODED_AS", "무릎 염좌", "M1"), ("ASSIGNS_GRADE", "1", "3급")}
+
+
+def test_criteria_hold_the_scores_of_few_queries_at_once(spark, monkeypatch):
+    """A block of 8192 criteria and 1024 queries has 67 MB of scores; less than half of that is held."""
+    kept = []
+    monkeypatch.setattr(prediction, "meet", lambda r, rk, q, qk, run, schema, **_: kept.append(run) or spark.createDataFrame([], schema))
+    queries = spark.createDataFrame([], "id long, disease string, body_part string, embedding array<double>")
+    prediction.score_criteria(queries, spark.createDataFrame([], "class_no long, grade string, body_part string, description string, embedding array<double>"))
+    r = np.random.default_rng(1)
+    vectors = lambda n: pa.array(list(r.normal(0, 1, (n, 4))))
+    rows = pa.table({"class_no": np.arange(8192), "grade": ["g"] * 8192, "description": ["red bolt", "ring"] * 4096, "embedding": vectors(8192)})
+    asked = pa.table({"id": np.arange(1024), "words": [["bolt"], ["ring", "red"], []] * 341 + [["red"]], "embedding": vectors(1024)})
+    tracemalloc.start()
+    got = kept[0](rows, asked)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.num_rows == 1024 * prediction.CRITERIA and peak < 33e6
