@@ -72,6 +72,11 @@ def answers(questions: DataFrame, search: Search, generate: Generate, rewrite: G
     round's state is a table in the shared folder, written when this is called. A question without a new wording, or whose
     rewriting says nothing, is done. wordings are all that were searched for, the first included.
     """
+    return _rounds(questions, search, generate, rewrite, retries, most, laws, wording)[-1]
+
+
+def _rounds(questions: DataFrame, search: Search, generate: Generate, rewrite: Generate | None = None, retries: int = 1, most: int = 10, laws: dict[str, str] = LAWS, wording: int = 200) -> list[DataFrame]:
+    """What answers() says without retries, after one, and so on."""
     spark, at = questions.sparkSession, fresh_dir(questions.sparkSession, "answers")
     none = F.array().cast("array<long>")
     asked = questions.select("id", F.coalesce("text", F.lit("")).alias("text"))
@@ -83,6 +88,7 @@ def answers(questions: DataFrame, search: Search, generate: Generate, rewrite: G
     hits = listed(search(asked)).select("id", F.col("hits").cast("array<long>").alias("hits"))
     start = asked.join(hits, "id", "left").select("id", "text", F.coalesce("hits", none).alias("hits"), F.array("text").alias("wordings"), F.lit(0).alias("retried"))
     state = written(told(start).withColumn("open", _unanswered(F.col("answer"))), f"{at}/0")
+    states = [state]
     for k in range(1, retries + 1):
         tried = state.where("open").withColumn("last", F.element_at("wordings", -1)).withColumn("now", expand_clauses(F.col("last"), laws))
         known = F.array_contains("wordings", F.col("now"))
@@ -99,17 +105,19 @@ def answers(questions: DataFrame, search: Search, generate: Generate, rewrite: G
         again = written(told(rows).withColumn("open", _unanswered(F.col("answer"))), f"{at}/{k}-again")
         kept = state.join(again.select("id"), "id", "left_anti").withColumn("open", F.lit(False))
         state = written(kept.unionByName(again), f"{at}/{k}")
-    return state.select("id", "text", "answer", "hits", "retried", "wordings")
+        states.append(state)
+    return [x.select("id", "text", "answer", "hits", "retried", "wordings") for x in states]
 
 
 def evaluation(questions: DataFrame, search: Search, generate: Generate, rewrite: Generate | None = None, retries: int = 1, names: DataFrame | None = None, **more) -> DataFrame:
     """Rates of the answers to questions (id, text, expected: a source's name), without and with retries: answer_quality by mode, `off` and `on`.
 
-    A source is called by its doc_id unless names (doc_id, name) say otherwise.
+    A source is called by its doc_id unless names (doc_id, name) say otherwise. Retries go on from the answers without them, which are
+    searched for and generated once for both modes.
     """
-    both = None
-    for mode, most in (("off", 0), ("on", retries)):
-        got = answers(questions.select("id", "text"), search, generate, rewrite, most, **more).select(F.lit(mode).alias("mode"), "id", "answer", "hits", F.col("retried").alias("retries"))
+    both, rounds = None, _rounds(questions.select("id", "text"), search, generate, rewrite, retries, **more)
+    for mode, said in (("off", rounds[0]), ("on", rounds[-1])):
+        got = said.select(F.lit(mode).alias("mode"), "id", "answer", "hits", F.col("retried").alias("retries"))
         both = got if both is None else both.unionByName(got)
     each = both.select("mode", "id", F.explode("hits").alias("doc_id"))
     each = each.join(names, "doc_id", "left") if names is not None else each.withColumn("name", F.col("doc_id").cast("string"))

@@ -86,6 +86,15 @@ def test_evaluation(spark, found):
     assert tuple(got["on"])[1:6] == (3, third, third, round(2 / 3, 6), third)
 
 
+def test_evaluation_searches_a_round_once(spark, found):
+    """With retries goes on from the answers without them: first all questions, then those tried again."""
+    searched = []
+    search = lambda rows: searched.append(sorted(r.id for r in rows.collect())) or found(rows)
+    rows = asked(spark, "q 예우법 1-2", "other words", "nothing").withColumn("expected", F.lit("3"))
+    questions.evaluation(rows, search, always(clauses.NO_EVIDENCE), laws=LAWS).collect()
+    assert searched == [[0, 1, 2], [0]]
+
+
 def test_laws_come_first(spark, found):
     laws = lambda rows: rows.where(F.endswith("text", F.lit("X"))).select("id", F.explode(F.array(F.lit(2).cast("long"), F.lit(9).cast("long"))).alias("doc_id")).withColumn("r", F.col("doc_id"))
     rows = questions.law_first(asked(spark, "q 예우법 1-2", "other words"), found, laws, laws=LAWS).orderBy("id", "r").collect()
