@@ -212,6 +212,18 @@ def test_jaccard(docs):
     assert got(jaccard.jaccard_components(docs), "doc_id", "n_shingles", "component_id") == sorted(brute.jaccard(PAIRS))
 
 
+def test_jaccard_lists_are_met_by_numbers(spark, monkeypatch):
+    """What rows of long lists carry through the join is an array of small numbers, not of hashes; all links of different components are found."""
+    common = " ".join(f"c{j}" for j in range(60))
+    data = [(10 * g + k, f"{common} " + " ".join(f"g{g}x{j}" for j in range(3 + g % 4 + k))) for g in range(12) for k in range(2)] + [(500 + g, f"{common} " + " ".join(f"u{g}v{j}" for j in range(40))) for g in range(12)]
+    kept, put = [], jaccard.cut
+    monkeypatch.setattr(jaccard, "cut", lambda df: kept.append(put(df)) or kept[-1])
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert got(jaccard.jaccard_components(df), "doc_id", "n_shingles", "component_id") == sorted(brute.jaccard(data))
+    listed = [x for x in kept if "grams" in x.columns]
+    assert len(listed) == 1 and listed[0].schema["grams"].dataType.simpleString() == "array<int>" and not listed[0].isEmpty()
+
+
 def test_jaccard_long_lists(spark):
     """Groups around a base whose members link with it but not always with each other, and chains."""
     r = random.Random(3)
