@@ -290,6 +290,17 @@ def test_clauses_are_numbered_once_for_all_cases_of_a_kind(spark):
     assert "Aggregate [case_id" not in plan
 
 
+def test_written_clauses_stay_small(spark, tmp_path):
+    """All clauses of a case one after the other took about four bytes a row, so a gigabyte of tables filled the disk. A case without id stays."""
+    order = spark.range(20_000).select(F.col("id").cast("string").alias("rule_no"), F.lit("x").alias("review_content"), F.lit("").alias("target_cond"), F.lit("1").alias("pair_order"), F.concat(F.lit("item "), F.col("id") * 7919 % 61).alias("judge_item"), F.lit("r").alias("result"))
+    cases = spark.range(40).select(F.when(F.col("id") > 0, F.col("id")).alias("case_id"), F.lit("x").alias("review_content"), F.lit("").alias("target_cond"))
+    rules.applied_clauses(order, cases).select("case_id", "place", "judge_item").write.parquet(str(tmp_path / "out"))
+    found = spark.read.parquet(str(tmp_path / "out"))
+    held = found.groupBy("case_id").agg(F.count("*").alias("n"), F.sum("place").alias("s"), F.count_distinct("place").alias("d"), F.count_if(F.col("judge_item") == F.concat(F.lit("item "), (F.col("place") - 1) * 7919 % 61)).alias("right")).collect()
+    assert {r.case_id for r in held} == {None, *range(1, 40)} and all((r.n, r.s, r.d, r.right) == (20_000, 200_010_000, 20_000, 20_000) for r in held)
+    assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < 0.5 * 800_000
+
+
 def test_entities_leave_questions_and_nodes_to_the_executors(spark):
     """Both grow; neither the questions' letters nor the nodes are a table that the driver would have to hold."""
     nodes = spark.createDataFrame([("person", "p", "김철수"), ("disease", "허리", "허리"), ("disease", "목 통증", "목 통증"), ("disease", "x", "x")], "ntype string, key string, name string")
