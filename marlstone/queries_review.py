@@ -268,8 +268,8 @@ def predict_grades(t):
     k = F.col("id")
     pick = lambda case, kind: F.struct(case.cast("long").alias("case_id"), F.lit(kind).alias("kind"), F.lit(1.0).alias("weight"))
     one = asked.where(k % 3 > 0).select("id", F.when(k % 3 == 1, pick(k * 13 % 500, "pin")).otherwise(pick((k * 7 + 1) % 500, "exclude")).alias("p")).select("id", "p.*")
-    part = asked.where(k % 5 == 0).select("id", F.lit(3).alias("m")).join(t.embeddings.select(F.col("vec_id").alias("case_id"), (F.col("vec_id") % 26).alias("m")), "m").select("id", "case_id", F.lit("exclude").alias("kind"), F.lit(1.0).alias("weight"))
-    rows = prediction.predict(asked, _criteria(t), _earlier(t), one.unionByName(part)).join(asked.select("id", "disease"), "id")
+    parts = asked.where(k % 5 == 0).select("id", F.lit(3).cast("long").alias("case_set")), t.embeddings.select(F.col("vec_id").alias("case_id"), (F.col("vec_id") % 26).alias("case_set"))
+    rows = prediction.predict(asked, _criteria(t), _earlier(t), one, parts).join(asked.select("id", "disease"), "id")
     return rows.select("id", "grade1", "grade2", F.replace("rationale", F.concat(F.lit("'"), "disease", F.lit("'에 대하여")), F.lit("'%s'에 대하여")).alias("rationale"), "disease")
 
 

@@ -336,6 +336,50 @@ def test_what_blocks_say_is_worked_out_once(spark):
     assert {(e.etype, e.skey, e.dkey) for e in edges.collect()} == {("HAS_DOC", "p:", "1"), ("MENTIONS", "1", "무릎 염좌"), ("MATCHES_RULE", "무릎 염좌", "무릎"), ("MENTIONS_KCD", "1", "M1"), ("CODED_AS", "무릎 염좌", "M1"), ("ASSIGNS_GRADE", "1", "3급")}
 
 
+def test_a_set_that_many_questions_exclude_is_no_row_for_each_pair(spark, monkeypatch):
+    """predict_grades listed every excluded case of every fifth question, so its picks grew with the square of the vectors."""
+    from marlstone import queries_review
+
+    given = []
+    monkeypatch.setattr(prediction, "predict", lambda asked, criteria, cases, *picks: given.append((asked, picks)) or asked.select("id", *(F.lit("").alias(c) for c in ("grade1", "grade2", "rationale"))))
+    queries_review.predict_grades(queries_review.Tables(spark, "/root/testdata/sf0.01"))
+    asked, picks = given[0]
+    rows = [f.count() for p in picks if p is not None for f in (p if isinstance(p, tuple) else (p,))]
+    assert sum(rows) <= 3 * asked.count()
+
+
+def test_excluded_sets_are_as_their_cases_excluded_one_by_one(spark):
+    near = spark.createDataFrame([(i, r, (i + 3 * r) % 11, f"g{r % 2}", 1.0 - r / 10) for i in range(12) for r in range(1, 6)], "id long, r long, case_id long, grade string, similarity double")
+    cases = spark.createDataFrame([(c, f"own{c}") for c in range(11)], "case_id long, grade string")
+    held, out = [(c, s) for c in range(10) for s in {c % 3, c % 4 + 10, None}], [(i, s) for i in range(0, 12, 2) for s in {i % 3, 11, None}]
+    pairs = {(i, c) for i, s in out for c, x in held if s is not None and s == x}
+    pins = [(i, (i * 5) % 11, "pin", 1.0) for i in range(0, 12, 3)]
+    picks = lambda rows: spark.createDataFrame(rows, "id long, case_id long, kind string, weight double")
+    sets = spark.createDataFrame(out, "id long, case_set long"), spark.createDataFrame(held, "case_id long, case_set long")
+    got = sorted(map(tuple, prediction.picked_cases(near, cases, picks(pins), sets).collect()), key=str)
+    assert got == sorted(map(tuple, prediction.picked_cases(near, cases, picks(pins + [(i, c, "exclude", 1.0) for i, c in pairs])).collect()), key=str)
+
+
+def test_alike_criteria_are_met_once(spark, monkeypatch):
+    """Many criteria of one vector and text: only those that may be among the best are sent, and ties go by number, grade and text."""
+    r = np.random.default_rng(5)
+    vectors = r.normal(0, 1, (3, 4)).tolist()
+    rows = [(int(r.integers(0, 40)), f"g{i % 3}", ["a", "a", "b", None][i % 4], ["red bolt", "ring", None, "bolt"][int(r.integers(0, 4))], vectors[int(r.integers(0, 3))]) for i in range(600)]
+    asked = [(i, ["red bolt", "ring", None, "xx bolt"][i % 4], ["a", "b", "c", None][i // 4 % 4], vectors[i % 3] if i % 5 else r.normal(0, 1, 4).tolist()) for i in range(150)]
+    real, sent = prediction.meet, []
+    monkeypatch.setattr(prediction, "meet", lambda known, *a, **b: sent.append(known) or real(known, *a, **b))
+    found = prediction.score_criteria(spark.createDataFrame(asked, "id long, disease string, body_part string, embedding array<double>"), spark.createDataFrame(rows, "class_no long, grade string, body_part string, description string, embedding array<double>"))
+    cos = lambda a, b: float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b))
+    want = []
+    for i, disease, part, v in asked:
+        words = [w for w in dict.fromkeys((disease or "").split()) if len(w) > 1]
+        ranked = sorted((-round(sum(len(w) for w in words if w in (d or "")) + cos(v, e), 4), c, g, d is not None, d or "") for c, g, p, d, e in rows if p and part in (None, p))[:6]
+        want += [(i, n, c, g, d if some else None, -s) for n, (s, c, g, some, d) in enumerate(ranked, 1)]
+    assert sorted(map(tuple, found.collect()), key=lambda x: x[:2]) == want
+    most = sent[0].groupBy("body_part", "description", F.col("embedding").cast("string")).count().agg(F.max("count")).first()[0]
+    assert most <= prediction.CRITERIA
+
+
 def test_criteria_hold_the_scores_of_few_queries_at_once(spark, monkeypatch):
     """A block of 8192 criteria and 1024 queries has 67 MB of scores; less than half of that is held."""
     kept = []
